@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.common import new_dir
 from folioworks.llm.decontam import find_leaks
-from folioworks.llm.language import identify_language
+from folioworks.llm.language import with_language
 from folioworks.llm.minhash import near_duplicates
 from folioworks.llm.packing import pack_documents
 from folioworks.llm.quality import score_quality
@@ -14,21 +14,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is among the dropped ones; a null id only goes with null ids."""
-    ids = dropped.select(F.col("doc_id").alias("dropped_id"))
-    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
+    """docs less the rows whose doc_id is among the dropped ones."""
+    return docs.select(*COLUMNS).join(dropped.select("doc_id"), "doc_id", "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected."""
-    found = identify_language(docs)
-    return _without(docs, found.where("rejected"))
+    return with_language(docs).where("not language.rejected").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted to be of low quality."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 0"))
+    poor = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 0")
+    poor = poor.select(F.col("doc_id").alias("poor_id"), "text_hash")
+    same = docs["doc_id"].eqNullSafe(poor["poor_id"]) & (F.xxhash64(docs["text"]) == poor["text_hash"])
+    return docs.join(poor, same, "left_anti").select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

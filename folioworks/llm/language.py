@@ -147,6 +147,19 @@ def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel |
     return LanguageModel([r["lang"] for r in fitted], np.stack([np.frombuffer(r["c"], "<f4") for r in fitted]), idf, floor)
 
 
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with one more column: language, a struct of lang_pred, score, rejected (see identify_language)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = docs.sparkSession.sparkContext.broadcast(fit_language(rows))
+
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def judge(text: pd.Series) -> pd.DataFrame:
+        langs, scores, rejected = model.value.predict(text) if model.value else (["und"] * len(text), [0.0] * len(text), [True] * len(text))
+        return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
+
+    return docs.withColumn("language", judge(F.col(text_col).cast("string")))
+
+
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine, 0 to 1), rejected for every row of docs.
 
@@ -156,18 +169,9 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ties go to the language first in order.  An empty table gives an empty result; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(fit_language(rows))
-
-    def run(batches):
-        for pdf in batches:
-            if model.value:
-                langs, scores, rejected = model.value.predict(pdf["text"])
-            else:
-                langs, scores, rejected = "und", 0.0, True
-            yield pd.DataFrame({"doc_id": pdf["doc"], "held_out": pdf["held_out"], "lang_pred": langs, "score": scores, "rejected": rejected})
-
-    return rows.select("doc", "text", (fold(F.col("doc")) == 0).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    three = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    judged = with_language(three, "doc", "text", "lang")
+    return judged.select(F.col("doc").alias("doc_id"), (fold(F.col("doc")) == 0).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

@@ -58,13 +58,13 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(rows: DataFrame) -> DataFrame:
-    """doc, stats for rows of doc, text."""
+    """doc, text_hash, stats for rows of doc, text."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["doc"], "stats": [[float(x) for x in statistics(t)] for t in pdf["text"]]})
+            yield pd.DataFrame({"doc": pdf["doc"], "text_hash": pdf["text_hash"], "stats": [[float(x) for x in statistics(t)] for t in pdf["text"]]})
 
-    return rows.mapInPandas(run, "doc long, stats array<double>")
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc long, text_hash long, stats array<double>")
 
 
 def fold(doc) -> "F.Column":
@@ -150,12 +150,12 @@ def fit_quality(labelled: DataFrame) -> QualityModel | None:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (score >= threshold) for every row of docs.
+    """doc_id, held_out, score (0 to 1), predicted (score >= threshold), text_hash for every row of docs.
 
     labels: doc_id, quality (0 or 1). Labels of held-out documents (crc32 of the id as
     text is divisible by 5) are never read; several labels of a document count as their
     mean, null ones not at all.  Scores come from the text alone: equal texts have equal
-    scores, null and empty texts that of zero statistics.  Without labels every score is
+    scores, null and empty texts that of zero statistics; text_hash tells rows of one id apart.  Without labels every score is
     0.5.  An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -168,9 +168,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     else:
         share = docs.sparkSession.sparkContext.broadcast(model)
         score = F.pandas_udf(lambda s: pd.Series(share.value.score(np.array(s.tolist()))), "double")("stats")
-    out = stats.select(F.col("doc").alias("doc_id"), (fold(F.col("doc")) == 0).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = stats.select(F.col("doc").alias("doc_id"), (fold(F.col("doc")) == 0).alias("held_out"), score.alias("score"), "text_hash")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
