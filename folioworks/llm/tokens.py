@@ -13,7 +13,8 @@ import re
 
 import numpy as np
 
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Letters with one lower-case letter each, which the dotted capital I is not.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 _AFTER, _GLUED, _FIRST = "\x02", "\x03", "\x01"
 _WORKER: dict = {}
 
