@@ -2,7 +2,9 @@
 
 from collections.abc import Callable
 
-MODULES: list = []
+from ..operators import corpus
+
+MODULES = [corpus]
 
 
 def queries() -> dict[str, Callable]:
