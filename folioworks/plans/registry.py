@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from ..operators import corpus
+from ..operators import bibliography, corpus, render
 
-MODULES = [corpus]
+MODULES = [corpus, bibliography, render]
 
 
 def queries() -> dict[str, Callable]:
