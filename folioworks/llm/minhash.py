@@ -12,9 +12,10 @@ the time by which all slots are expected to be filled are made; where a slot
 stays empty the horizon doubles.
 
 Slots are banded; texts that share a band are candidates.  In each band the
-members are linked to one hub, verified on the real multisets, and grouped.
-Members of a band that are still in different groups are then compared with
-each other, so no pair that shares a band is left undecided.
+members are linked to one hub, verified on the real multisets, and grouped.  Bands
+that then still have members in different groups tie their texts to families, whose
+members are compared exactly, block against block, so every pair that shares a band
+is in one group or was decided on its multisets.
 """
 
 import numpy as np
@@ -26,58 +27,62 @@ from .common import components, mix, shingles, staged, table
 
 #: Slots of a signature, and slots in a band. At an overlap of 0.8 the chance to share none of 24 bands is 3e-6.
 SLOTS, ROWS = 96, 4
+#: Texts in a block of a family, on average.
+BLOCK = 192
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def bag_signature(hashes: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """For each slot a 64-bit mark of its first point; empty for an empty multiset."""
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    total = float(counts.sum())
-    horizon = slots / total * (np.log(slots) + 3.0)
+def bag_signatures(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
+    """n_docs rows of slots: the mark of each slot's first point, for multisets given as rows of doc, hash, count; no doc may be empty.
+
+    All documents go through the rounds together: in each round every live interval
+    moves to its next point, and is dropped when that lies beyond its document's horizon.
+    """
     # the intervals of the weight axis that a count reaches: number j is (2**(j-1), 2**j], number 0 is (0, 1]
-    reach = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)
-    if reach.any():
-        who = np.repeat(np.arange(len(hashes)), reach + 1)
-        level = np.arange(len(who)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
-    else:
-        who, level = np.arange(len(hashes)), np.zeros(len(hashes), np.int64)
+    reach = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+    who = np.repeat(np.arange(len(hashes)), reach)
+    level = np.arange(len(who)) - np.repeat(np.cumsum(reach) - reach, reach)
     width = np.where(level > 0, 2.0 ** (level - 1), 1.0)
-    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-    weight = counts[who].astype(np.float64)
+    low = np.where(level > 0, width, 0.0)
+    weight, owner = counts[who].astype(np.float64), doc[who]
     seed = mix(hashes[who] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    while True:
-        first = np.full(slots, np.inf)
-        mark = np.zeros(slots, np.uint64)
-        live = np.arange(len(seed))
-        time = np.zeros(len(seed))
-        state = seed
+    out = np.zeros((n_docs, slots), np.uint64)
+    horizon = slots / np.bincount(doc, counts, n_docs) * (np.log(slots) + 2.5)
+    open_docs = np.ones(n_docs, bool)
+    while open_docs.any():
+        live = np.flatnonzero(open_docs[owner])
+        time, state = np.zeros(len(live)), seed[live]
         times, places, marks = [], [], []
         while len(live):
             state = mix(state + np.uint64(0xD1B54A32D192ED03))
             time = time - np.log(_uniform(state)) / width[live]
-            keep = time <= horizon
+            keep = np.flatnonzero(time <= horizon[owner[live]])
             live, time, state = live[keep], time[keep], state[keep]
-            if not len(live):
-                break
             point = mix(state ^ np.uint64(0xA0761D6478BD642F))
-            unit = low[live] + np.floor(_uniform(mix(point)) * width[live]) + 1
-            used = unit <= weight[live]
+            place = owner[live] * slots + ((point >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+            used = np.ones(len(live), bool)
+            wide = np.flatnonzero(width[live] > 1)  # an interval of one unit is used whole
+            used[wide] = low[live[wide]] + np.floor(_uniform(mix(point[wide])) * width[live[wide]]) + 1 <= weight[live[wide]]
             times.append(time[used])
-            places.append((point[used] >> np.uint64(32)) % np.uint64(slots))
+            places.append(place[used])
             marks.append(point[used])
-        if times:
-            t, p, m = np.concatenate(times), np.concatenate(places).astype(np.int64), np.concatenate(marks)
-            order = np.lexsort((t, p))
-            p, t, m = p[order], t[order], m[order]
-            lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
-            first[p[lead]], mark[p[lead]] = t[lead], m[lead]
-        if np.isfinite(first).all():
-            return mark
-        horizon *= 2
+        t, p, m = np.concatenate(times), np.concatenate(places), np.concatenate(marks)
+        last_first = np.argsort(-t, kind="stable")
+        flat, filled = np.zeros(n_docs * slots, np.uint64), np.zeros(n_docs * slots, bool)
+        flat[p[last_first]], filled[p] = m[last_first], True
+        done = open_docs & filled.reshape(n_docs, slots).all(axis=1)
+        out[done] = flat.reshape(n_docs, slots)[done]
+        open_docs &= ~done
+        horizon = horizon * 2
+    return out
+
+
+def bag_signature(hashes: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """The signature of one multiset; empty for an empty one."""
+    return bag_signatures(np.zeros(len(hashes), np.int64), hashes, counts, 1, slots)[0] if len(hashes) else np.empty(0, np.uint64)
 
 
 def multiset(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,19 +102,65 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _sign(batches):
     bands = SLOTS // ROWS
     for pdf in batches:
-        keys, short = [], []
-        for text in pdf["text"]:
-            sig = bag_signature(*multiset(text))
-            if len(sig):
-                k = np.arange(1, bands + 1, dtype=np.uint64)
-                for row in sig.reshape(bands, ROWS).T:
+        for i in range(0, len(pdf), 128):
+            part = pdf.iloc[i : i + 128]
+            sets = [multiset(t) for t in part["text"]]
+            some = [j for j, (h, _) in enumerate(sets) if len(h)]
+            keys = [[] for _ in sets]
+            if some:
+                doc = np.repeat(np.arange(len(some)), [len(sets[j][0]) for j in some])
+                sig = bag_signatures(doc, np.concatenate([sets[j][0] for j in some]), np.concatenate([sets[j][1] for j in some]), len(some))
+                k = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(some), 1))
+                for row in np.moveaxis(sig.reshape(len(some), bands, ROWS), 2, 0):
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) ^ row)
-                keys.append(k.view(np.int64).tolist())
-                short.append((sig >> np.uint64(8)).astype(np.uint8).tolist())
-            else:
-                keys.append([])
-                short.append([])
-        yield pd.DataFrame({"doc": pdf["doc"], "text_key": pdf["text_key"], "bands": keys, "short": short})
+                for j, x in zip(some, k.view(np.int64).tolist(), strict=True):
+                    keys[j] = x
+            yield pd.DataFrame({"doc": part["doc"].to_numpy(), "text_key": part["text_key"].to_numpy(), "bands": keys})
+
+
+def _parts(batches):
+    """The multiset of a text as a set: a hash for each shingle and each of its repeats."""
+    for pdf in batches:
+        parts = []
+        for text in pdf["text"]:
+            h, k = multiset(text)
+            nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            parts.append(mix(np.repeat(h, k) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
+        yield pd.DataFrame({"rep": pdf["rep"], "part": parts})
+
+
+def _block(least: float):
+    """Links between members of two blocks of a family (or inside one) that are in different groups."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root, rep = pdf["root"].to_numpy(), pdf["rep"].to_numpy()
+        if (root == root[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        n = pdf["part"].map(len).to_numpy()
+        doc = np.repeat(np.arange(len(n)), n)
+        _, column, times = np.unique(np.concatenate(pdf["part"].to_list()), return_inverse=True, return_counts=True)
+        several = times > 1  # a part that one text has alone is in no overlap
+        place = np.cumsum(several) - 1
+        keep = several[column]
+        doc, column = doc[keep], place[column[keep]]
+        common = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        for at in range(0, int(several.sum()), 8192):
+            lo, hi = np.searchsorted(column, [at, at + 8192])
+            m = np.zeros((len(n), 8192), np.float32)
+            m[doc[lo:hi], column[lo:hi] - at] = 1
+            common += m @ m.T
+        near = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (root[:, None] != root[None, :])
+        # links that join what is apart: at most one less than there are members
+        group, links = root.copy(), []
+        for a, b in np.argwhere(np.triu(near, 1)):
+            if group[a] != group[b]:
+                links.append((max(rep[a], rep[b]), min(rep[a], rep[b])))
+                group[group == group[a]] = group[b]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _verify(least: float):
@@ -138,10 +189,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     texts = rows.where("doc is not null and text is not null")
-    signed = staged(texts.withColumn("text_key", F.md5("text")).mapInPandas(_sign, "doc long, text_key string, bands array<long>, short array<int>"), "signed")
+    signed = staged(texts.withColumn("text_key", F.md5("text")).mapInPandas(_sign, "doc long, text_key string, bands array<long>"), "signed")
 
     # equal texts: one representative goes on; the sums are partial, so a hot text is one row per task
-    reps = staged(signed.groupBy("text_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("short").alias("short")), "reps")
+    reps = staged(signed.groupBy("text_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "reps")
     member = reps.select("rep", F.explode("bands").alias("band"))
     hubs = member.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = staged(member.join(hubs, "band"), "shared")
@@ -157,24 +208,22 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     links = linked(tried)
     roots = components(links)
 
-    # bands whose members are still in different groups: their members are compared across groups
-    placed = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    # bands whose members are in different groups: the texts that such bands tie together are a family, compared in blocks
+    placed = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "hub", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = staged(placed.join(mixed, "band").join(reps.select("rep", "short"), "rep"), "rest")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "root", "short"))) for k in "ab")
-    alike = F.size(F.filter(F.zip_with("short_a", "short_b", lambda u, v: u == v), lambda e: e))
-    across = (
-        x.join(y, "band")
-        .where((F.col("root_a") < F.col("root_b")) & (alike >= int(SLOTS * (least - 0.25))))
-        .select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = linked(staged(across, "pairs"))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    rest = staged(placed.join(mixed, "band").select("rep", "hub", "root").distinct(), "rest")
+    if not rest.isEmpty():
+        family = components(rest.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), F.col("root").alias("family"))
+        count = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        member = rest.groupBy("rep").agg(F.first("root").alias("root")).join(family, "rep").join(count, "family")
+        parts = texts.withColumnRenamed("doc", "rep").join(member.select("rep"), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+        dealt = parts.join(member, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = dealt.groupBy("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        links = links.union(staged(pairs.applyInPandas(_block(least), "a long, b long"), "links"))
+        roots = components(links)
     if not same.join(reps.select(F.col("rep").alias("a")), "a", "left_semi").isEmpty():  # an id with several texts joins their classes
-        roots = components(links.union(more).union(same))
+        roots = components(links.union(same))
     grouped = copies.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
     out = rows.select("doc").join(grouped, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
