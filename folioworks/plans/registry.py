@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from ..operators import bibliography, corpus, render
+from ..operators import bibliography, corpus, matching, naming, render
 
-MODULES = [corpus, bibliography, render]
+MODULES = [corpus, bibliography, render, matching, naming]
 
 
 def queries() -> dict[str, Callable]:

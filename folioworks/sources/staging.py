@@ -13,3 +13,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df, name: str = "kept"):
+    """The rows of df, written once to the shared folder: what several branches of a plan use is not computed again."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
