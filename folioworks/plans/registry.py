@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from ..operators import bibliography, corpus, matching, naming, render
+from ..operators import bibliography, corpus, matching, naming, quality, render, tasks
 
-MODULES = [corpus, bibliography, render, matching, naming]
+MODULES = [corpus, bibliography, render, matching, naming, tasks, quality]
 
 
 def queries() -> dict[str, Callable]:
