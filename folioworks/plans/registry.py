@@ -2,9 +2,12 @@
 
 from collections.abc import Callable
 
-from ..operators import bibliography, corpus, matching, naming, quality, render, tasks
+from ..operators import bibliography, corpus, layout, matching, naming, quality, render, tasks, templates
+from ..sources import files
+from ..streaming import jobs
+from . import pipeline
 
-MODULES = [corpus, bibliography, render, matching, naming, tasks, quality]
+MODULES = [corpus, bibliography, render, matching, naming, tasks, quality, layout, templates, files, jobs, pipeline]
 
 
 def queries() -> dict[str, Callable]:
