@@ -52,7 +52,7 @@ def merge_lines(words: DataFrame) -> DataFrame:
 
 def ocr_confidence(raw: DataFrame) -> DataFrame:
     """Mean confidence of a page from 0 to 1; -1 marks rows without one."""
-    return raw.groupBy("page_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("conf") != -1, F.col("conf"))) / 100, F.lit(0.0)), 4).alias("confidence"))
+    return raw.groupBy("page_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("conf") != -1, F.col("conf"))) / 100, F.lit(0.0)) + 1e-9, 4).alias("confidence"))
 
 
 def page_regions(stats: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ QUERIES = {
 _GRID = "SELECT table_id, max(row) + 1 AS rows, max(col) + 1 AS columns, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(off) <= 0.1 AS regular FROM (SELECT *, greatest(max(y0) OVER r - min(y0) OVER r, max(y1) OVER r - min(y1) OVER r, max(x0) OVER c - min(x0) OVER c, max(x1) OVER c - min(x1) OVER c) AS off FROM ({}) WINDOW r AS (PARTITION BY table_id, row), c AS (PARTITION BY table_id, col)) GROUP BY table_id"
 SQL = {
     "normalize_words": f"SELECT page_id, word_id, trim(text) AS text, \"left\" / 2 AS x0, top / 2 AS y0, (\"left\" + width) / 2 AS x1, (top + height) / 2 AS y1, greatest(0.0, conf / 100) AS confidence FROM ({_WO}) WHERE level = 5 AND trim(text) <> ''",
-    "ocr_confidence": f"SELECT page_id, round(coalesce(avg(conf) FILTER (conf <> -1) / 100, 0.0), 4) AS confidence FROM ({_WO}) GROUP BY page_id",
+    "ocr_confidence": f"SELECT page_id, round(coalesce(avg(conf) FILTER (conf <> -1) / 100, 0.0) + 1e-9, 4) AS confidence FROM ({_WO}) GROUP BY page_id",
     "page_regions": " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, ({x})::DOUBLE AS x, ({y})::DOUBLE AS y, ({w})::DOUBLE AS w, ({h})::DOUBLE AS h FROM ({plain(STATS, 'pages')}) WHERE {c}" for k, c, x, y, w, h in _REGIONS),
     "apply_order": f"SELECT doc_id, block_id, CASE WHEN ok THEN n - 1 - pos_rank ELSE pos END AS pos, ok AS reordered FROM (SELECT *, revision = 1 AND (doc_id % 4 <> 0 OR n = 1) AS ok FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS pos_rank FROM ({_BL})))",
     "apply_roles": f"SELECT b.doc_id, b.block_id, coalesce(CASE WHEN g.ok THEN c.role END, b.role) AS role FROM ({_BL}) b LEFT JOIN ({_RO}) c USING (doc_id, block_id) LEFT JOIN (SELECT c.doc_id, bool_and(c.role <> 'title' AND b.is_text) AS ok FROM ({_RO}) c JOIN ({_BL}) b USING (doc_id, block_id) GROUP BY c.doc_id) g ON g.doc_id = b.doc_id",
