@@ -198,11 +198,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     shared = staged(member.join(hubs, "band"), "shared")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        a, b = (looked_at.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         near = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b").mapInPandas(_verify(least), "a long, b long")
         return staged(near, "links")
 
     tried = staged(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    # the texts of all pairs are picked out once, with a shuffle at every size; later joins and families only read these
+    ids = tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    looked_at = staged(texts.hint("merge").join(ids, "doc", "left_semi"), "texts")
     copies = signed.select("doc", "text_key").join(reps.select("text_key", "rep"), "text_key").select("doc", "rep")
     same = copies.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
     links = linked(tried)
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
         family = components(rest.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), F.col("root").alias("family"))
         count = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         member = rest.groupBy("rep").agg(F.first("root").alias("root")).join(family, "rep").join(count, "family")
-        parts = texts.withColumnRenamed("doc", "rep").join(member.select("rep"), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>")
+        parts = looked_at.withColumnRenamed("doc", "rep").join(member.select("rep"), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>")
         own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
         dealt = parts.join(member, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = dealt.groupBy("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
