@@ -138,7 +138,7 @@ def render_blocks(lines: list[str], rows: DataFrame) -> DataFrame:
 def number_refs(tokens: DataFrame) -> DataFrame:
     """tokens (doc_id, pos, kind, role, label): labels numbered per kind by first place, references resolved, unknown ones marked."""
     first = tokens.where("role = 'label'").groupBy("doc_id", "kind", "label").agg(F.min("pos").alias("first"))
-    number = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("first"))
+    number = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("first", "label"))
     prefix = F.coalesce(*(F.when(F.col("kind") == k, p) for k, p in PREFIX.items()), F.lit(""))
     named = first.select("doc_id", "kind", "label", F.concat(prefix, number).alias("shown"))
     return tokens.join(named, ["doc_id", "kind", "label"], "left").select("doc_id", "pos", "label", "role", F.coalesce("shown", F.lit("??")).alias("shown"), F.col("shown").isNull().alias("undefined"))
@@ -213,7 +213,7 @@ SQL = {
     "inspect_templates": f"SELECT template_id, name, CASE WHEN d IS NULL THEN 'error' ELSE 'warning' END AS problem FROM (SELECT template_id, unnest(CASE WHEN contains(text, 'extra') THEN ['name', 'segment', 'unknown', 'balance', 'items', 'extra', 'flag'] ELSE ['name', 'segment', 'unknown', 'balance'] END) AS name, true AS u FROM ({_TE})) FULL JOIN (SELECT *, true AS d FROM ({plain(DECLARED, 'region')})) USING (template_id, name) WHERE u IS NULL OR d IS NULL",
     "fill_templates": f"SELECT template_id, c_custkey AS id, replace(replace(replace(replace(text, '{{{{name}}}}', c_name), '{{{{segment}}}}', c_mktsegment || '<N>'), '{{{{balance}}}}', c_acctbal_t), '<N>', '{{{{name}}}}') AS text FROM ({_TE}), (SELECT *, CAST(trunc(c_acctbal)::BIGINT AS VARCHAR) AS c_acctbal_t FROM customer)",
     "render_blocks": "SELECT c_custkey AS id, 'Customer ' || c_name || chr(10) || CASE WHEN c_acctbal > 5000 THEN 'rich in ' || c_mktsegment ELSE 'not rich' END || chr(10) || coalesce(o.t, '') || 'end' AS text, NULL::VARCHAR AS error FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- ' || o_orderkey || ': ' || o_orderstatus || chr(10) || CASE WHEN o_orderstatus = 'O' THEN '  open' || chr(10) ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
-    "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
+    "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f, label) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
     "build_toc": f"SELECT doc_id, string_agg(l || repeat('.', greatest(4, {TOC_WIDTH} - length(l) - length(p))::INT) || p, chr(10) ORDER BY pos) AS toc FROM (SELECT doc_id, pos, repeat('  ', level - 1) || text || ' ' AS l, ' ' || page AS p FROM ({_HE})) GROUP BY doc_id",
     "reference_list": f"SELECT doc_id, pos, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || '] ' || text AS line FROM ({plain(REFS, 'conversations')}) WHERE trim(text) <> ''",
 }

@@ -46,7 +46,8 @@ def differences(df, con, sql):
     bad = {n: (mine[n], t) for n, t in zip(names, types, strict=True) if mine[n] != {"bigint": "long", "integer": "int"}.get(t, t)}
     a, b = rows(df.columns, ours), rows(names, theirs)
     if a != b:
-        x, y = [r for r in a if r not in set(b)][:2], [r for r in b if r not in set(a)][:2]
+        in_a, in_b = set(a), set(b)
+        x, y = [r for r in a if r not in in_b][:2], [r for r in b if r not in in_a][:2]
         return f"{len(a)} and {len(b)} rows; ours {str(x)[:500]}; theirs {str(y)[:500]}"
     return f"types {bad}" if bad else ""
 
