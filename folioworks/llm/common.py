@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """A 64-bit hash of each word, kept while the Python worker lives."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: str) -> int:
@@ -76,6 +76,15 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+#: All dictionaries that outlive a task in this Python worker.
+CACHES: list[dict] = [_HASHES]
+
+
+def only(cache: dict = _HASHES) -> None:
+    """Empties the other dictionaries: a worker that goes from one operator's tasks to another's holds one at a time."""
+    for c in CACHES:
+        if c is not cache:
+            c.clear()
 
 
 def words(text: str | None) -> list[str]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_partitions, ordered_partitions, shingles, table
+from .common import mix, n_partitions, only, ordered_partitions, shingles, table
 
 BINS, BITS = 512, 4
 #: The fingerprint of a text without words.
@@ -78,6 +78,7 @@ def edited(text: str, after: str) -> str:
 
 def _walk(batches):
     """Rows come by part and order, the last of a part being the first row of the next part (tail)."""
+    only()
     prev = None
     for pdf in batches:
         out = []

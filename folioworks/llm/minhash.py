@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingles, staged, table
+from .common import components, mix, only, shingles, staged, table
 
 #: Slots of a signature, and slots in a band. At an overlap of 0.8 the chance to share none of 24 bands is 3e-6.
 SLOTS, ROWS = 96, 4
@@ -100,6 +100,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _sign(batches):
+    only()
     bands = SLOTS // ROWS
     for pdf in batches:
         for i in range(0, len(pdf), 128):
@@ -120,6 +121,7 @@ def _sign(batches):
 
 def _parts(batches):
     """The multiset of a text as a set: a hash for each shingle and each of its repeats."""
+    only()
     for pdf in batches:
         parts = []
         for text in pdf["text"]:
@@ -165,6 +167,7 @@ def _block(least: float):
 
 def _verify(least: float):
     def run(batches):
+        only()
         name, kept = None, None
         for pdf in batches:
             ok = []

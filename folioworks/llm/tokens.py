@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import CACHES, only
+
 #: Letters with one lower-case letter each, which the dotted capital I is not.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 _AFTER, _GLUED, _FIRST = "\x02", "\x03", "\x01"
@@ -29,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordIds(dict):
     """Ids of parts of texts as bytes; ``None`` marks a part that cannot stand alone."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,4 +89,6 @@ def word_ids(path: str) -> WordIds:
     """This worker's encoder for a vocabulary file."""
     if path not in _WORKER:
         _WORKER[path] = WordIds(path)
+        CACHES.append(_WORKER[path])
+    only(_WORKER[path])
     return _WORKER[path]
