@@ -2,7 +2,10 @@
 
 Numbers, names and units of measure become typed placeholders, so a question whose
 values were changed keeps its template.  Windows of eight template words of the
-benchmark are joined by hash with all windows of the documents.  For each aligned
+benchmark are joined by hash with all windows of the documents.  Windows of literal
+words in lower case are a second key in the same join: they find copies whose case
+was changed, and items or parts of items with too few plain words for a template,
+which are found with their own values only.  For each aligned
 run of hits the values behind the placeholders are compared: one benchmark value
 must stand for one document value throughout, or the run does not count.
 """
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Words in a window, least plain words among them, least words of an item that is searched for.
-WINDOW, PLAIN, SHORTEST = 8, 4, 4
+#: Words in a window, least plain words in one that is also found with other values.
+WINDOW, PLAIN = 8, 4
 #: An item counts as leaked at this share of its windows, or at so many windows (13 words in a row).
 SHARE, MANY = 0.5, 6
 #: A side of a join is broadcast up to so many rows; beyond that both sides are shuffled.
@@ -32,9 +35,9 @@ def template_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(rf"[012]|{LETTERS}"), 0)
 
 
-def plain_words(text: Column) -> Column:
-    """The values behind template_words, one for one."""
-    return F.regexp_extract_all(text, F.lit(rf"{NUMBER}|{LETTERS}"), 0)
+def literal_words(text: Column) -> Column:
+    """The words behind template_words, one for one, in lower case; numbers have a # in front, so no word is a placeholder."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, NUMBER, "#$0")), F.lit(rf"#{NUMBER}|{LETTERS}"), 0)
 
 
 def windows(words: str, size: int) -> Column:
@@ -43,16 +46,20 @@ def windows(words: str, size: int) -> Column:
 
 
 def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item, words, values, size, n_windows) and (h, size, item, at) of the items that are searched for."""
+    """(item, words, values, size, n_windows, n_typed) and (h, size, item, at, typed) of the items that have words.
+
+    Every window is indexed by its literal words, and those with enough plain words (typed) by their template too.
+    """
     base = items.select(F.col("item_id").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item is not null")
-    base = base.select("item", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("values"))
-    base = base.where(F.size("words") >= SHORTEST).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    base = base.select("item", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
+    base = base.where(F.size("words") >= 1).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
     at = base.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("at"))
-    part = F.slice("words", F.col("at"), F.col("size"))
-    at = at.select("item", "size", "at", F.xxhash64(part).alias("h"), F.size(F.filter(part, lambda w: ~w.isin("0", "1", "2"))).alias("plain"))
-    index = at.where(F.col("plain") >= F.least("size", F.lit(PLAIN)))
-    counts = index.groupBy("item").agg(F.count("*").alias("n_windows"))
-    return base.join(counts, "item"), index.select("h", "size", "item", "at")
+    part, literal = F.slice("words", F.col("at"), F.col("size")), F.slice("values", F.col("at"), F.col("size"))
+    plain = F.size(F.filter(part, lambda w: ~w.isin("0", "1", "2")))
+    at = at.select("item", "size", "at", F.xxhash64(literal).alias("l"), F.xxhash64(part).alias("t"), (plain >= F.least("size", F.lit(PLAIN))).alias("typed"))
+    counts = at.groupBy("item").agg(F.count("*").alias("n_windows"), F.count_if("typed").alias("n_typed"))
+    keys = F.array_distinct(F.when(F.col("typed"), F.array("l", "t")).otherwise(F.array("l")))
+    return base.join(counts, "item"), at.select(F.explode(keys).alias("h"), "size", "item", "at", "typed")
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -63,9 +70,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row per document and benchmark item that it leaks: doc_id, item_id, windows, item_windows, coverage, same_values.
 
     windows: distinct windows of the item found in aligned runs with consistent values;
-    leaked at half of the item's windows or at six.  same_values: no value differs.
-    Every position of every whole text is compared.  Null texts and ids match nothing,
-    items of fewer than four words are not searched for, equal documents (also rows with
+    leaked at half of the item's windows, at half of those that have a template, or at
+    six.  same_values: no value differs but in case.
+    Every position of every whole text is compared.  An item of fewer than eight words
+    is one window.  Windows with fewer than four plain words (in shorter items, with any
+    other) are found with their own values only, in any case; a copy with both names
+    in another case and other values is not found.  Null texts and ids match nothing,
+    nor do items without a letter or number; equal documents (also rows with
     one id) leak alike and come once per id; empty tables give an empty result; other
     columns are ignored.
     """
@@ -74,31 +85,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     n_index = index.count()
     sizes = sorted(r["size"] for r in base.select("size").distinct().collect())  # at most WINDOW values
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    worded = rows.select("doc", template_words(F.col("text")).alias("words"))
+    worded = rows.select("doc", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
     found = None
     for size in sizes:
-        at = worded.select("doc", F.posexplode(windows("words", size)).alias("place", "h"))
+        hashed = worded.select("doc", windows("words", size).alias("t"), windows("values", size).alias("l"))
+        both = F.concat("t", F.zip_with("t", "l", lambda t, l: F.when(t != l, l)))  # a plain window has one key
+        at = hashed.select("doc", F.size("t").alias("n"), F.posexplode(both).alias("pos", "h"))
         keyed = small_side(index.where(F.col("size") == size), n_index)
-        hit = at.join(keyed, "h").select("doc", "item", "size", "at", (F.col("place") + 1).alias("place"))
+        hit = at.join(keyed, "h").select("doc", "item", "size", "at", "typed", (F.col("pos") % F.col("n") + 1).alias("place"))
         found = hit if found is None else found.union(hit)
     if found is None:
         return rows.join(items.select(F.col("item_id").alias("item")).limit(0), F.lit(True)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *(F.lit(None).cast(k).alias(c) for c, k in (("windows", "long"), ("item_windows", "long"), ("coverage", "double"), ("same_values", "boolean"))))
     hits = staged(found.distinct(), "hits")
     # values behind the placeholders, for documents with hits only
     ids = hits.select("doc").distinct()
-    valued = rows.join(small_side(ids, ids.count()), "doc", "left_semi").select("doc", plain_words(F.col("text")).alias("doc_values"))
+    valued = rows.join(small_side(ids, ids.count()), "doc", "left_semi").select("doc", literal_words(F.col("text")).alias("doc_values"))
     both = hits.join(valued, "doc").join(small_side(base.select("item", "words", "values"), n_index), "item")
     pair = F.zip_with(F.slice("values", F.col("at"), F.col("size")), F.slice("doc_values", F.col("place"), F.col("size")), lambda a, b: F.struct(a.alias("theirs"), b.alias("ours")))
     typed = F.zip_with(pair, F.slice("words", F.col("at"), F.col("size")), lambda p, w: F.when(w.isin("0", "1", "2"), p))
-    lined = both.select("doc", "item", "at", (F.col("place") - F.col("at")).alias("line"), F.filter(typed, lambda p: p.isNotNull()).alias("slots"))
+    lined = both.select("doc", "item", "at", "typed", (F.col("place") - F.col("at")).alias("line"), F.filter(typed, lambda p: p.isNotNull()).alias("slots"))
     slots = lined.select("doc", "item", "line", F.explode("slots").alias("s")).groupBy("doc", "item", "line", F.col("s.theirs").alias("theirs"))
     slots = slots.agg(F.min("s.ours").alias("lo"), F.max("s.ours").alias("hi"))
     broken = slots.groupBy("doc", "item", "line").agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.max((F.col("lo") != F.col("theirs")) | (F.col("hi") != F.col("theirs"))).alias("changed"))
-    good = lined.select("doc", "item", "line", "at").join(broken, ["doc", "item", "line"], "left").where(~F.coalesce("clash", F.lit(False)))
-    summed = good.select("doc", "item", "at", F.coalesce("changed", F.lit(False)).alias("changed")).groupBy("doc", "item", "at").agg(F.min("changed").alias("changed"))
-    summed = summed.groupBy("doc", "item").agg(F.count("*").alias("windows"), (~F.max("changed")).alias("same_values"))
-    out = summed.join(small_side(base.select("item", "n_windows"), n_index), "item")
-    out = out.where((F.col("windows") >= SHARE * F.col("n_windows")) | (F.col("windows") >= MANY))
+    good = lined.select("doc", "item", "line", "at", "typed").join(broken, ["doc", "item", "line"], "left").where(~F.coalesce("clash", F.lit(False)))
+    summed = good.select("doc", "item", "at", "typed", F.coalesce("changed", F.lit(False)).alias("changed")).groupBy("doc", "item", "at", "typed").agg(F.min("changed").alias("changed"))
+    summed = summed.groupBy("doc", "item").agg(F.count("*").alias("windows"), F.count_if("typed").alias("typed"), (~F.max("changed")).alias("same_values"))
+    out = summed.join(small_side(base.select("item", "n_windows", "n_typed"), n_index), "item")
+    share = (F.col("windows") >= SHARE * F.col("n_windows")) | ((F.col("typed") > 0) & (F.col("typed") >= SHARE * F.col("n_typed")))
+    out = out.where(share | (F.col("windows") >= MANY))
     return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.col("n_windows").alias("item_windows"), (F.col("windows") / F.col("n_windows")).alias("coverage"), "same_values")
 
 

@@ -134,6 +134,20 @@ def test_leaks(spark):
     assert decontam.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def leaks(spark, docs, items):
+    got = decontam.find_leaks(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], DOCS), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]): r for r in got.collect()}
+
+
+def test_leaks_without_plain_words_or_in_other_case(spark):
+    items = ["How tall is Everest?", "What is 12 + 35 - 7 * 4 / 2?", "Name Berlin", "In 1912 Anna Berg met Carl Dorn and Emil Falk near Graz, then Hugo Iser and Jana Kern left for Linz with 3 kg of 2 kg bags.", "?!"]
+    docs = [f"so much before. {t} so much after" for t in items]
+    docs += [docs[3].lower(), docs[3].upper(), docs[3].title(), "How tall is Olympus? What is 11 + 35 - 7 * 4 / 2? Name Paris", "0 1 2 0 1 2 0 1 2 0 1 2"]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(i, i) for i in range(4)} | {(k, 3) for k in (5, 6, 7)}
+    assert all(r["same_values"] and r["coverage"] == 1 for r in got.values())
+
+
 def test_leaks_equal_brute_force_for_plain_text(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
