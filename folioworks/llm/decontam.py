@@ -5,12 +5,13 @@ values were changed keeps its template.  Windows of eight template words of the
 benchmark are joined by hash with all windows of the documents.  Windows of literal
 words in lower case are a second key in the same join: they find copies whose case
 was changed, and items or parts of items with too few plain words for a template,
-which are found with their own values only.  For each aligned
-run of hits the values behind the placeholders are compared: one benchmark value
-must stand for one document value throughout, or the run does not count.
+which are found with their own values only.  A window
+with the benchmark's own values always counts.  Windows with other values count where
+benchmark and document values map one to one over all such windows of their aligned
+run, which ends where a window with a template is missing.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -46,9 +47,10 @@ def windows(words: str, size: int) -> Column:
 
 
 def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item, words, values, size, n_windows, n_typed) and (h, size, item, at, typed) of the items that have words.
+    """(item, words, values, size, n_windows, n_typed) and (h, size, item, at, typed, before) of the items that have words.
 
-    Every window is indexed by its literal words, and those with enough plain words (typed) by their template too.
+    Every window is indexed by its literal words, and those with enough plain words (typed) by their template too;
+    before: how many of the item's typed windows come before this one.
     """
     base = items.select(F.col("item_id").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item is not null")
     base = base.select("item", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
@@ -57,9 +59,10 @@ def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     part, literal = F.slice("words", F.col("at"), F.col("size")), F.slice("values", F.col("at"), F.col("size"))
     plain = F.size(F.filter(part, lambda w: ~w.isin("0", "1", "2")))
     at = at.select("item", "size", "at", F.xxhash64(literal).alias("l"), F.xxhash64(part).alias("t"), (plain >= F.least("size", F.lit(PLAIN))).alias("typed"))
+    at = at.withColumn("before", F.count_if("typed").over(Window.partitionBy("item").orderBy("at")) - F.col("typed").cast("int"))
     counts = at.groupBy("item").agg(F.count("*").alias("n_windows"), F.count_if("typed").alias("n_typed"))
     keys = F.array_distinct(F.when(F.col("typed"), F.array("l", "t")).otherwise(F.array("l")))
-    return base.join(counts, "item"), at.select(F.explode(keys).alias("h"), "size", "item", "at", "typed")
+    return base.join(counts, "item"), at.select(F.explode(keys).alias("h"), "size", "item", "at", "typed", "before")
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -71,7 +74,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     windows: distinct windows of the item found in aligned runs with consistent values;
     leaked at half of the item's windows, at half of those that have a template, or at
-    six.  same_values: no value differs but in case.
+    six.  same_values: no value of a window that counts differs but in case.
     Every position of every whole text is compared.  An item of fewer than eight words
     is one window.  Windows with fewer than four plain words (in shorter items, with any
     other) are found with their own values only, in any case; a copy with both names
@@ -85,30 +88,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     n_index = index.count()
     sizes = sorted(r["size"] for r in base.select("size").distinct().collect())  # at most WINDOW values
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    worded = rows.select("doc", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
+    rows = rows.withColumn("copy", F.xxhash64("text"))
+    worded = rows.select("doc", "copy", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
     found = None
     for size in sizes:
-        hashed = worded.select("doc", windows("words", size).alias("t"), windows("values", size).alias("l"))
+        hashed = worded.select("doc", "copy", windows("words", size).alias("t"), windows("values", size).alias("l"))
         both = F.concat("t", F.zip_with("t", "l", lambda t, l: F.when(t != l, l)))  # a plain window has one key
-        at = hashed.select("doc", F.size("t").alias("n"), F.posexplode(both).alias("pos", "h"))
+        at = hashed.select("doc", "copy", F.size("t").alias("n"), F.posexplode(both).alias("pos", "h"))
         keyed = small_side(index.where(F.col("size") == size), n_index)
-        hit = at.join(keyed, "h").select("doc", "item", "size", "at", "typed", (F.col("pos") % F.col("n") + 1).alias("place"))
+        hit = at.join(keyed, "h").select("doc", "copy", "item", "size", "at", "typed", "before", (F.col("pos") % F.col("n") + 1).alias("place"))
         found = hit if found is None else found.union(hit)
     if found is None:
         return rows.join(items.select(F.col("item_id").alias("item")).limit(0), F.lit(True)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *(F.lit(None).cast(k).alias(c) for c, k in (("windows", "long"), ("item_windows", "long"), ("coverage", "double"), ("same_values", "boolean"))))
     hits = staged(found.distinct(), "hits")
     # values behind the placeholders, for documents with hits only
-    ids = hits.select("doc").distinct()
-    valued = rows.join(small_side(ids, ids.count()), "doc", "left_semi").select("doc", literal_words(F.col("text")).alias("doc_values"))
-    both = hits.join(valued, "doc").join(small_side(base.select("item", "words", "values"), n_index), "item")
-    pair = F.zip_with(F.slice("values", F.col("at"), F.col("size")), F.slice("doc_values", F.col("place"), F.col("size")), lambda a, b: F.struct(a.alias("theirs"), b.alias("ours")))
-    typed = F.zip_with(pair, F.slice("words", F.col("at"), F.col("size")), lambda p, w: F.when(w.isin("0", "1", "2"), p))
-    lined = both.select("doc", "item", "at", "typed", (F.col("place") - F.col("at")).alias("line"), F.filter(typed, lambda p: p.isNotNull()).alias("slots"))
-    slots = lined.select("doc", "item", "line", F.explode("slots").alias("s")).groupBy("doc", "item", "line", F.col("s.theirs").alias("theirs"))
-    slots = slots.agg(F.min("s.ours").alias("lo"), F.max("s.ours").alias("hi"))
-    broken = slots.groupBy("doc", "item", "line").agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.max((F.col("lo") != F.col("theirs")) | (F.col("hi") != F.col("theirs"))).alias("changed"))
-    good = lined.select("doc", "item", "line", "at", "typed").join(broken, ["doc", "item", "line"], "left").where(~F.coalesce("clash", F.lit(False)))
-    summed = good.select("doc", "item", "at", "typed", F.coalesce("changed", F.lit(False)).alias("changed")).groupBy("doc", "item", "at", "typed").agg(F.min("changed").alias("changed"))
+    ids = hits.select("doc", "copy").distinct()
+    valued = rows.join(small_side(ids, ids.count()), ["doc", "copy"], "left_semi").dropDuplicates(["doc", "copy"]).select("doc", "copy", literal_words(F.col("text")).alias("doc_values"))
+    both = hits.join(valued, ["doc", "copy"]).join(small_side(base.select("item", "words", "values"), n_index), "item")
+    theirs, ours = F.slice("values", F.col("at"), F.col("size")), F.slice("doc_values", F.col("place"), F.col("size"))
+    typed = F.zip_with(F.zip_with(theirs, ours, lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))), F.slice("words", F.col("at"), F.col("size")), lambda p, w: F.when(w.isin("0", "1", "2"), p))
+    changed = theirs != ours
+    line = ["doc", "copy", "item", "line"]
+    lined = both.select("doc", "copy", "item", "at", "typed", "before", (F.col("place") - F.col("at")).alias("line"), changed.alias("changed"), F.when(changed, F.filter(typed, lambda p: p.isNotNull())).alias("slots"))
+    # a run ends where a window that has a template is not among the hits
+    along = Window.partitionBy(line).orderBy("at")
+    cut = F.coalesce(F.col("before") > F.lag(F.col("before") + F.col("typed").cast("int")).over(along), F.lit(False))
+    lined = lined.withColumn("cut", cut.cast("int")).withColumn("run", F.sum("cut").over(along))
+    slots = lined.where("changed").select(*line, "run", F.explode("slots").alias("s")).groupBy(*line, "run").agg(F.collect_set("s").alias("s"))
+    pairs, one_side = F.size("s"), [F.size(F.array_distinct(F.col(f"s.{c}"))) for c in ("theirs", "ours")]
+    broken = slots.select(*line, "run", ((pairs != one_side[0]) | (pairs != one_side[1])).alias("clash"))
+    good = lined.select(*line, "run", "at", "typed", "changed").join(broken, [*line, "run"], "left").where(~F.col("changed") | ~F.coalesce("clash", F.lit(False)))
+    summed = good.groupBy("doc", "item", "at", "typed").agg(F.min("changed").alias("changed"))
     summed = summed.groupBy("doc", "item").agg(F.count("*").alias("windows"), F.count_if("typed").alias("typed"), (~F.max("changed")).alias("same_values"))
     out = summed.join(small_side(base.select("item", "n_windows", "n_typed"), n_index), "item")
     share = (F.col("windows") >= SHARE * F.col("n_windows")) | ((F.col("typed") > 0) & (F.col("typed") >= SHARE * F.col("n_typed")))

@@ -148,6 +148,18 @@ def test_leaks_without_plain_words_or_in_other_case(spark):
     assert all(r["same_values"] and r["coverage"] == 1 for r in got.values())
 
 
+def test_leaks_with_one_inconsistent_slot(spark):
+    rng = random.Random(8)
+    item = f"They saw Paris as {prose(rng, 30)} and then Paris once more with {prose(rng, 30)}"
+    pairs = "The train from Paris to Lyon goes on to the old town of Nancy by way of Dijon and the hills"
+    docs = [item.replace("then Paris", "then Toledo"), pairs.replace("Paris", "Metz").replace("Lyon", "Metz").replace("Nancy", "Metz").replace("Dijon", "Metz"), pairs.replace("Paris", "Metz").replace("Nancy", "Brest")]
+    got = leaks(spark, docs, [item, pairs])
+    assert set(got) == {(0, 0), (2, 1)} and got[0, 0]["windows"] >= 50
+    # two texts with one id are compared each with its own values
+    two = decontam.find_leaks(spark.createDataFrame([(1, item, "", ""), (1, prose(rng, 9) + ". " + pairs, "", "")], DOCS), spark.createDataFrame([(0, item), (1, pairs)], "item_id long, text string"))
+    assert {(r["item_id"], r["coverage"], r["same_values"]) for r in two.collect()} == {(0, 1.0, True), (1, 1.0, True)}
+
+
 def test_leaks_equal_brute_force_for_plain_text(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
