@@ -3,8 +3,9 @@
 Each distinct five-word shingle is hashed once; the hash names a bin and a value,
 and a bin keeps its least value.  An empty bin takes the value of the bin that its
 own fixed sequence of probes meets first, so two texts copy alike.  Four low-order
-bits of every bin are stored.  Two different values agree in four bits once in 16
-times, which `likeness` takes out again.
+bits of every bin's value mixed with the bin's number are stored, so copies of one
+value differ.  Two different values agree in four bits once in 16 times,
+independently in each bin, which `likeness` takes out again.
 """
 
 from hashlib import sha256
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import mix, n_partitions, only, ordered_partitions, shingles, table
 
 BINS, BITS = 512, 4
-#: The fingerprint of a text without words.
-NO_WORDS = "0" * (BINS * BITS // 4)
+#: What a text without words has instead of a fingerprint.
+NO_WORDS = ""
+_BIN_MARKS = mix(np.arange(1, BINS + 1, dtype=np.uint64))
 _PROBES: list[np.ndarray] = []
 
 
@@ -52,11 +54,11 @@ def bins_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> str:
-    """Hexadecimal digits, one for each bin; equal texts have equal fingerprints."""
+    """Hexadecimal digits, one for each bin, or NO_WORDS; equal texts have equal fingerprints."""
     h = shingles(text)
     if not len(h):
         return NO_WORDS
-    low = (mix(bins_of(h)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    low = (mix(bins_of(h) ^ _BIN_MARKS) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return ((low[0::2] << 4) | low[1::2]).tobytes().hex()
 
 
@@ -102,7 +104,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The next document is the one with the next id; rows with one id are in order of
     their texts, null ids come first, and the first row follows the last.  A null text
-    is an empty one; texts without words have a fingerprint of zeros and are like each
+    is an empty one; texts without words have an empty fingerprint and are like each
     other and nothing else.  An empty table gives an empty result; other columns are
     ignored.  Documents are dealt once to ordered parts; each part also gets the first
     document of the next part, so no part needs another one's rows.

@@ -134,6 +134,17 @@ def test_leaks(spark):
     assert decontam.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_fingerprints_of_few_shingles():
+    prints = [fingerprints.fingerprint(f"w{i}") for i in range(200)]
+    assert all(len(p) == fingerprints.BINS for p in prints) and len(set(prints)) == 200
+    assert max(fingerprints.likeness(a, b) for i, a in enumerate(prints) for b in prints[:i]) < 0.1
+    assert all(fingerprints.likeness(p, fingerprints.fingerprint("")) == 0.0 for p in prints)
+    assert fingerprints.likeness(fingerprints.fingerprint(None), fingerprints.fingerprint(" ")) == 1.0
+    rng = random.Random(9)
+    short = [fingerprints.fingerprint(prose(rng, 7)) for _ in range(100)]  # three shingles
+    assert max(fingerprints.likeness(a, b) for i, a in enumerate(short) for b in short[:i]) < 0.12
+
+
 def leaks(spark, docs, items):
     got = decontam.find_leaks(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], DOCS), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     return {(r["doc_id"], r["item_id"]): r for r in got.collect()}
