@@ -2,8 +2,8 @@
 
 Both models are Markov models of variable order (0 to 5 characters of context) with
 Witten-Bell smoothing: a context that was seen mixes its counts with the next
-shorter context, down to an even chance for every character.  One is fitted on URLs
-that the rules accept, one on URLs that they reject; a URL's score is the
+shorter context, down to an even chance for every character.  One is fitted on all
+whole URLs that the rules accept, one on all that they reject; a URL's score is the
 difference of its log-likelihoods per character, turned into a probability by a
 logistic curve that is fitted on other labelled URLs.
 """
@@ -11,17 +11,17 @@ logistic curve that is fitted on other labelled URLs.
 import math
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 #: (host, path, verdict): the rules that the query fixes.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+VERDICTS = ("allow", "block")
 ORDER = 5
-#: The models are fitted on at most so many labelled URLs of each verdict, those with the least hashes.
-MOST_LABELLED = 10_000
+#: The curve is fitted on scores rounded to so many decimals.
+PLACES = 3
 #: Characters that an even chance is shared between.
 ALPHABET = 256
 _START, _END = "\x02", "\x03"
@@ -52,6 +52,40 @@ def context_counts(urls: DataFrame, key: str = "said") -> DataFrame:
     return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
+def gram_ratios(needed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, ratio): what each needed gram adds to a score, as UrlScorer.ratio has it, from context_counts' rows."""
+    seen = counts.groupBy("gram").agg(*(F.coalesce(F.sum(F.when(F.col("said") == v, F.col("n"))), F.lit(0)).alias(v) for v in VERDICTS))
+    part = needed.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")).withColumn("part", F.expr("right(gram, k)"))
+    part = part.withColumn("context", F.expr("left(part, k - 1)"))
+    sums = [f(v).alias(f"{name}_{v}") for v in VERDICTS for name, f in (("total", F.sum), ("kinds", lambda v: F.count_if(F.col(v) > 0)))]
+    contexts = seen.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context")).agg(*sums)
+    # a row for each character at most: short contexts are in so many grams that they are not dealt out by key
+    short, long = F.broadcast(contexts.where("length(context) < 2")), contexts.where("length(context) >= 2")
+    known = part.where("k <= 2").join(short, "context").unionByName(part.where("k > 2").join(long, "context"))
+    known = known.join(seen.withColumnRenamed("gram", "part"), "part", "left")
+    fields = [f"{name}_{v}" for v in VERDICTS for name in ("total", "kinds")] + list(VERDICTS)
+    steps = known.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("steps"))
+
+    def chance(v: str) -> Column:
+        def longer(p: Column, e: Column) -> Column:
+            return F.when(e[f"total_{v}"] > 0, (F.coalesce(e[v], F.lit(0)) + e[f"kinds_{v}"] * p) / (e[f"total_{v}"] + e[f"kinds_{v}"])).otherwise(p)
+
+        return F.aggregate("steps", F.lit(1.0 / ALPHABET), longer)
+
+    return steps.select("gram", (F.log(chance("allow")) - F.log(chance("block"))).alias("ratio"))
+
+
+def url_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(shown, x): UrlScorer.score of every distinct URL; sums are of decimals, so their order does not matter."""
+    t = F.concat(F.lit(_START), "shown", F.lit(_END))
+    ends = urls.select("shown").distinct().select("shown", t.alias("t")).select("shown", "t", F.explode(F.sequence(F.lit(2), F.length("t"))).alias("i"))
+    first = F.greatest(F.lit(1), F.col("i") - ORDER)
+    grams = ends.select("shown", F.substring("t", first, F.col("i") - first + 1).alias("gram"))
+    ratios = gram_ratios(grams.select("gram").distinct(), counts)
+    summed = grams.join(ratios, "gram").groupBy("shown").agg(F.sum(F.col("ratio").cast("decimal(20,12)")).alias("x"))
+    return summed.select("shown", (F.col("x").cast("double") / (F.length("shown") + 1)).alias("x"))
+
+
 class MarkovModel:
     """A smoothed model of variable order from gram counts."""
 
@@ -77,7 +111,7 @@ class MarkovModel:
 
 
 class UrlScorer:
-    """The difference of both models' log-likelihoods of a URL, per character."""
+    """The difference of both models' log-likelihoods of a URL, per character; the plain form that url_scores is held against."""
 
     def __init__(self, accepted: dict[str, int], rejected: dict[str, int]):
         self.good, self.bad = MarkovModel(accepted), MarkovModel(rejected)
@@ -88,15 +122,15 @@ class UrlScorer:
         return sum(self.ratio(t[max(0, i - ORDER) : i + 1]) for i in range(1, len(t))) / (len(t) - 1)
 
 
-def fit_logistic(x: list[float], y: list[int], rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of P(y = 1) over x, by damped Newton steps with a small ridge."""
+def fit_logistic(x: list[float], y: list[int], n: list[int], rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of P(y = 1) over x, of points that stand for n rows each, by damped Newton steps with a small ridge."""
     a, b = 1.0, 0.0
     for _ in range(rounds):
         ga, gb, haa, hab, hbb = a * 1e-3, b * 1e-3, 1e-3, 0.0, 1e-3
-        for u, v in zip(x, y, strict=True):
+        for u, v, m in zip(x, y, n, strict=True):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * u + b))))
-            w = p * (1 - p)
-            ga, gb = ga + (p - v) * u, gb + (p - v)
+            w = m * p * (1 - p)
+            ga, gb = ga + m * (p - v) * u, gb + m * (p - v)
             haa, hab, hbb = haa + w * u * u, hab + w * u, hbb + w
         det = haa * hbb - hab * hab
         da, db = (ga * hbb - gb * hab) / det, (gb * haa - ga * hab) / det
@@ -107,45 +141,29 @@ def fit_logistic(x: list[float], y: list[int], rounds: int = 50) -> tuple[float,
     return a, b
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", most: int = MOST_LABELLED) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score (the probability to be accepted by the models) for every row.
 
-    URLs that a rule decides are the labelled ones; at most `most` of each verdict
-    (distinct host and path, least hashes) fit models and curve: four in five the
-    models, one in five the curve.  If one verdict has no labelled URL there is
-    nothing to compare and undecided URLs are allowed with score 0.5.  A null URL or
-    one without :// has an empty host and path and is judged by the models as the
-    empty text.  Repeated rows are judged alike, an empty table gives an empty result,
-    and other columns are ignored.
+    All rows that a rule decides are the labelled ones: about four in five, by a hash of
+    the URL, fit the models and the others the curve.  Models learn and score the whole
+    URL with scheme, query and fragment.  Counts, chances and scores stay distributed;
+    the driver gets a row for each score rounded to three decimals.  If one verdict has
+    no labelled URL there is nothing to compare and undecided URLs are allowed with
+    score 0.5.  A null URL is judged as the empty text; one without :// has an empty
+    host and path.  Repeated rows count as often as they come and are judged alike, an
+    empty table gives an empty result, and other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"))
-    judged = with_rule(with_parts(rows), rules).withColumn("shown", F.concat("host", "path"))
-    known = judged.where("rule_verdict is not null").select(F.col("rule_verdict").alias("said"), "shown").distinct().withColumn("h", F.xxhash64("shown"))
-    picked = [known.where(F.col("said") == v).orderBy("h", "shown").limit(most) for v in ("allow", "block")]
-    sample = picked[0].union(picked[1])
-    fit = sample.where("pmod(h, 5) <> 0")
-    counts: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for r in context_counts(fit).collect():  # bounded by `most` URLs
-        counts[r["said"]][r["gram"]] = r["n"]
-    if counts["allow"] and counts["block"]:
-        share = judged.sparkSession.sparkContext.broadcast((counts["allow"], counts["block"]))
-        made: dict[str, UrlScorer] = {}
-
-        def scorer() -> UrlScorer:
-            if "it" not in made:
-                made["it"] = UrlScorer(*share.value)
-            return made["it"]
-
-        held = [(r["shown"], int(r["said"] == "allow")) for r in sample.where("pmod(h, 5) = 0").select("shown", "said").collect()]
-        slope, start = fit_logistic([scorer().score(u) for u, _ in held], [v for _, v in held])
-        made.clear()
-
-        @F.pandas_udf("double")
-        def chance(shown: pd.Series) -> pd.Series:
-            s = scorer()
-            return shown.map(lambda u: 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * s.score(u) + start)))))
-
-        scored = judged.withColumn("score", chance("shown"))
+    judged = with_rule(with_parts(rows), rules).withColumn("shown", F.coalesce("url", F.lit("")))
+    known = judged.where("rule_verdict is not null").select(F.col("rule_verdict").alias("said"), "shown")
+    counts = staged(context_counts(known.where("pmod(xxhash64(shown), 5) <> 0")), "url-grams")
+    if counts.select("said").distinct().count() == len(VERDICTS):
+        scores = staged(url_scores(judged, counts), "url-scores")
+        held = known.where("pmod(xxhash64(shown), 5) = 0").join(scores, "shown")
+        points = held.groupBy(F.round("x", PLACES).alias("x"), "said").agg(F.count("*").alias("n")).orderBy("x", "said").collect()  # bounded by PLACES
+        slope, start = fit_logistic([r["x"] for r in points], [int(r["said"] == "allow") for r in points], [r["n"] for r in points])
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("x") + start))
+        scored = judged.join(scores, "shown").withColumn("score", 1 / (1 + F.exp(-z)))
     else:
         scored = judged.withColumn("score", F.lit(0.5))
     by_model = F.when(F.col("score") >= 0.5, "allow").otherwise("block")

@@ -175,6 +175,24 @@ def test_url_rules(spark):
     assert urls.judge_urls(none.limit(0), urls.RULES).count() == 0
 
 
+def test_url_models_learn_whole_urls_of_all_rows(spark):
+    rng = random.Random(7)
+    rows = [f"http://x.com/{rng.choice(['fr', 'de'])}/{rng.randrange(50)}?k={rng.randrange(9)}" for _ in range(400)] + ["http://x.com/fr/1?k=1"] * 5
+    known = [("allow" if "/fr/" in u else "block", u) for u in rows]
+    counts = urls.context_counts(spark.createDataFrame(known, "said string, shown string"))
+    by = {v: {r["gram"]: r["n"] for r in counts.where(f"said = '{v}'").collect()} for v in ("allow", "block")}
+    plain = urls.UrlScorer(by["allow"], by["block"])
+    asked = rows[:20] + ["", "no scheme", "ftp://Ελ.net/é?q#漢", "http://x.net/de/1"]
+    got = {r["shown"]: r["x"] for r in urls.url_scores(spark.createDataFrame([(u,) for u in asked], "shown string"), counts).collect()}
+    assert set(got) == set(asked) and all(abs(got[u] - plain.score(u)) < 1e-9 for u in got)
+    # only the query tells these apart
+    learn = [f"http://x.com/{'fr' if i % 2 else 'de'}/{i}?{'good' if i % 2 else 'poor'}={i}" for i in range(200)]
+    ask = ["http://a.net/q?good=1", "http://a.net/q?poor=1", "good good", "poor poor"]
+    judged = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(ask + learn)), "page_id long, url string"), urls.RULES).collect()}
+    assert judged[0]["score"] > judged[1]["score"] and judged[2]["score"] > judged[3]["score"]
+    assert len(judged) == len(ask + learn)
+
+
 def test_markov_chances_sum_to_one_and_tell_apart():
     m = urls.MarkovModel({"a": 3, "b": 1, "aa": 2, "ab": 1})
     left = (urls.ALPHABET - 2) * m.chance("ac")
