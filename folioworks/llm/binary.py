@@ -15,18 +15,22 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_dir, n_partitions, ordered_partitions, table
+from .common import new_dir, n_partitions, table
 from .tokens import word_ids
 
 #: Plain bytes at which a frame is closed; a document is never split, so a long one makes a longer frame.
 FRAME = 1 << 18
+#: Plain bytes and documents at which a file is closed, so its tables stay small.
+MOST_PLAIN, MOST_DOCS = 1 << 30, 4_000_000
 #: Fixed values of the public zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _DOC = struct.Struct("<qIIQ")
@@ -40,16 +44,28 @@ class FrameWriter:
         self.sink, self.width, self.frame = sink, width, frame
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
         self.parts: list[bytes] = []
-        self.held = 0
+        self.held = self.plain = self.n_docs = 0
+        self.first = self.last = None
         self.entries: list[bytes] = []
         self.docs: list[bytes] = []
 
+    @property
+    def n_tokens(self) -> int:
+        return self.plain // self.width
+
+    def full(self) -> bool:
+        return self.plain >= MOST_PLAIN or self.n_docs >= MOST_DOCS
+
     def add(self, doc: int, ids: bytes) -> None:
+        """Documents come in ascending order of id."""
         if self.held and self.held + len(ids) > self.frame:
             self.close_frame()
         self.docs.append(_DOC.pack(doc, len(self.entries), self.held // self.width, len(ids) // self.width))
         self.parts.append(ids)
         self.held += len(ids)
+        self.plain += len(ids)
+        self.n_docs += 1
+        self.first, self.last = doc if self.first is None else self.first, doc
 
     def close_frame(self) -> None:
         plain = b"".join(self.parts)
@@ -68,7 +84,7 @@ class FrameWriter:
 
 
 class FrameReader:
-    """Reads documents of one file; only the frames that are asked for are decompressed."""
+    """Reads documents of one file; only the frames that are asked for are read and decompressed."""
 
     def __init__(self, source):
         self.source = source
@@ -81,9 +97,18 @@ class FrameReader:
         self.starts = [0, *np.cumsum([e[0] for e in self.entries], dtype=np.int64).tolist()]
         docs = source.read_at(size - foot - 8 - self.starts[-1] - 8, self.starts[-1] + 8)
         self.width = docs[0]
-        self.docs = [*_DOC.iter_unpack(docs[1:])]
+        self.docs = np.frombuffer(docs, np.dtype([("id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")]), offset=1)
+        self.before = np.cumsum(self.docs["n"]) - self.docs["n"]
         self.unpacker = zstandard.ZstdDecompressor()
         self.now, self.plain = -1, b""
+        self.opened: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    def find(self, doc: int) -> range:
+        """Numbers of the documents with an id."""
+        return range(int(np.searchsorted(self.docs["id"], doc, side="left")), int(np.searchsorted(self.docs["id"], doc, side="right")))
 
     def frame(self, i: int) -> bytes:
         if i != self.now:
@@ -92,71 +117,87 @@ class FrameReader:
             if len(self.plain) != plain or xxhash.xxh64_intdigest(self.plain) & 0xFFFFFFFF != check:
                 raise ValueError(f"frame {i} fails its checksum")
             self.now = i
+            self.opened.append(i)
         return self.plain
 
     def ids(self, nth: int) -> np.ndarray:
         """The ids of the file's nth document."""
-        _, frame, at, n = self.docs[nth]
+        _, frame, at, n = self.docs[nth].item()
         return np.frombuffer(self.frame(frame), "<u2" if self.width == 2 else "<u4", n, at * self.width)
 
+    def row(self, nth: int, start: int) -> tuple:
+        """doc_id, start, n_tokens, ids_crc32, ids (unsigned 32-bit) of the nth document."""
+        doc, raw = int(self.docs["id"][nth]), self.ids(nth).astype("<u4").tobytes()
+        return None if doc == NO_ID else doc, start, len(raw) // 4, crc32(raw), raw
+
+
+MANIFEST = "file string, part int, nth int, first_id long, last_id long, docs long, tokens long"
+#: What a null id is in a file.
+NO_ID = -(1 << 63)
+
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every whole text and end_id in ascending id order; returns the manifest, itself written beside them.
 
-    Manifest: file, part (its place in the order), docs, tokens, start (ids of all files
-    before).  A null text has only end_id; rows with one id are in order of their ids'
-    bytes; a null id is written as the least number, and comes first; an empty table
-    writes no file; other columns are ignored.  A task writes under a name of its own and
-    the manifest names only files of tasks that ended well, so lost executors and second
-    attempts do no harm.
+    Manifest: file, part and nth (its place in the order), first_id, last_id, docs,
+    tokens, start (ids of all files before).  A null text has only end_id; rows with one
+    id are in order of a hash of their texts, and may lie in several parts; a null id is
+    written as the least number, and comes first; an empty table writes no file; other
+    columns are ignored.  A part is one task's range of the order, and its files are
+    closed at MOST_PLAIN bytes or MOST_DOCS documents.  A task writes under names of its
+    own and the manifest names only files of tasks that ended well, so lost executors
+    and second attempts do no harm.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    n = n_partitions(spark)
-    cuts = np.array(ordered_partitions(rows, "doc", n), np.int64)
-
-    def encode(batches):
-        enc = word_ids(tokenizer)
-        end = enc.pack([end_id])
-        for pdf in batches:
-            part = np.searchsorted(cuts, pdf["doc"].to_numpy(np.int64), side="left").astype(np.int32)
-            yield pd.DataFrame({"part": part, "doc": pdf["doc"], "ids": [enc.encode(t or "") + end for t in pdf["text"]]})
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def save(batches):
         import os
 
-        width = word_ids(tokenizer).dtype.itemsize
+        enc = word_ids(tokenizer)
         system, folder = pafs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
-        now = None
+        part, nth, writer, done = TaskContext.get().partitionId(), 0, None, []
 
         def close():
             writer.finish()
             writer.sink.close()
-            return {"file": name, "part": now, "docs": n_docs, "tokens": n_tokens}
-
-        for pdf in batches:
-            done = []
-            for part, doc, ids in zip(pdf["part"], pdf["doc"], pdf["ids"], strict=True):
-                if part != now:
-                    if now is not None:
-                        done.append(close())
-                    now, n_docs, n_tokens, name = int(part), 0, 0, f"ids-{part:06d}-{os.urandom(6).hex()}.zst"
-                    writer = FrameWriter(system.open_output_stream(f"{folder}/{name}", compression=None), width)
-                writer.add(int(doc), ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // width
-            yield pd.DataFrame(done, columns=["file", "part", "docs", "tokens"])
-        if now is not None:
-            yield pd.DataFrame([close()])
-
-    dealt = rows.mapInPandas(encode, "part int, doc long, ids binary").repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc", "ids")
-    files = dealt.mapInPandas(save, "file string, part int, docs long, tokens long")
-    files.write.parquet(f"{path}/manifest-files")
-    kept = spark.read.schema(files.schema).parquet(f"{path}/manifest-files")
-    before = F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row per file
+            done.append((name, part, nth, writer.first, writer.last, writer.n_docs, writer.n_tokens))
+
+        for batch in batches:
+            at = 0
+            for ids in enc.encode_column(batch["text"], end_id):
+                for doc, one in zip(batch["doc"].slice(at, len(ids)).to_numpy().tolist(), ids, strict=True):
+                    if writer and writer.full():
+                        close()
+                        writer, nth = None, nth + 1
+                    if not writer:
+                        name = f"ids-{part:06d}-{nth:04d}-{os.urandom(6).hex()}.zst"
+                        writer = FrameWriter(system.open_output_stream(f"{folder}/{name}", compression=None), enc.dtype.itemsize)
+                    writer.add(doc, one.as_buffer().to_pybytes())
+                at += len(ids)
+        if writer:
+            close()
+        columns = list(zip(*done, strict=True)) or [[]] * 7
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
+
+    keyed = rows.select("doc", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p"), "text")
+    dealt = keyed.repartitionByRange(n_partitions(spark), "doc", "h", "p").sortWithinPartitions("doc", "h").select("doc", "text")
+    dealt.mapInArrow(save, MANIFEST).write.parquet(f"{path}/manifest-files")
+    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest-files")
+    before = F.sum("tokens").over(W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1))  # a row per file
     return kept.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
+NAMES = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+
+
+def _frame(rows: list[tuple], with_ids: bool = True) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=NAMES if with_ids else NAMES[:4]).astype({"doc_id": "Int64"})
+
+
 def read_ids(manifest: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and (with_ids) ids of every document, read from the files of the manifest."""
 
@@ -166,23 +207,53 @@ def read_ids(manifest: DataFrame, path: str, with_ids: bool = True) -> DataFrame
             for name, start in zip(pdf["file"], pdf["start"], strict=True):
                 with system.open_input_file(f"{folder}/{name}") as f:
                     reader, out, at = FrameReader(f), [], int(start)
-                    for nth, (doc, _, _, n) in enumerate(reader.docs):
-                        ids = reader.ids(nth).astype("<u4")
-                        row = (None if doc == -(1 << 63) else doc, at, n, crc32(ids.tobytes()))
-                        out.append((*row, ids.tobytes()) if with_ids else row)
-                        at += n
+                    for nth in range(len(reader)):
+                        row = reader.row(nth, at)
+                        out.append(row if with_ids else row[:4])
+                        at += row[2]
                         if len(out) == 1000:
-                            yield frame(out)
+                            yield _frame(out, with_ids)
                             out = []
-                    yield frame(out)
+                    yield _frame(out, with_ids)
 
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4]
+    files = manifest.repartition(n_partitions(manifest.sparkSession))
+    return files.mapInPandas(load, SCHEMA if with_ids else SCHEMA.rpartition(", ")[0])
 
-    def frame(rows):
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    files = manifest.repartition(n_partitions(manifest.sparkSession))
-    return files.mapInPandas(load, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+def read_documents(manifest: DataFrame, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of read_ids for the documents whose id is wanted; only the frames that hold them are read and decompressed.
+
+    A null id finds the documents without one, an unknown id none; an id that is asked
+    for several times comes as often as the files have it.
+    """
+    bounds = manifest.orderBy("part", "nth").select("file", "first_id", "last_id", "start").collect()  # a row per file of MOST_PLAIN bytes
+    first, last = (np.array([b[c] for b in bounds], np.int64) for c in ("first_id", "last_id"))
+
+    @F.pandas_udf("array<int>")
+    def places(doc: pd.Series) -> pd.Series:
+        x = doc.to_numpy(np.int64)
+        lo, hi = np.searchsorted(last, x, side="left"), np.searchsorted(first, x, side="right")
+        return pd.Series([list(range(a, b)) for a, b in zip(lo, hi, strict=True)])
+
+    asked = wanted.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")).distinct()
+    dealt = asked.withColumn("place", F.explode(places("doc"))).repartition("place").sortWithinPartitions("place", "doc")
+
+    def load(batches):
+        system, folder = pafs.FileSystem.from_uri(path)
+        now, reader = None, None
+        for pdf in batches:
+            out = []
+            for doc, place in zip(pdf["doc"], pdf["place"], strict=True):
+                if place != now:
+                    if reader:
+                        reader.source.close()
+                    now, reader = place, FrameReader(system.open_input_file(f"{folder}/{bounds[place]['file']}"))
+                out += [reader.row(nth, int(bounds[place]["start"] + reader.before[nth])) for nth in reader.find(doc)]
+            yield _frame(out)
+        if reader:
+            reader.source.close()
+
+    return dealt.mapInPandas(load, SCHEMA)
 
 
 def op8_binary(spark, sf_dir: str) -> DataFrame:

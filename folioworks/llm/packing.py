@@ -1,7 +1,7 @@
 """Packing documents into sequences of one length by multiway differencing (Karmarkar and Karp).
 
 Documents are tokenised once and dealt to groups of a few hundred by a hash of
-their id.  Inside a group full sequences are cut off long documents, and what is
+the row and, among equal rows of a task, their number.  Inside a group full sequences are cut off long documents, and what is
 left of each document is an item.  Every item starts as a partial partition with
 one filled window; the two partial partitions with the greatest imbalance merge
 over and over, the fullest windows of one with the emptiest of the other, until one
@@ -10,13 +10,15 @@ windows rises and the group is partitioned again.
 """
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, table
+from .common import mix, n_partitions, table
 from .tokens import word_ids
 
 LENGTH = 2048
@@ -64,7 +66,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, wide: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "n"], kind="stable")
         group, out, at, rest = int(key[0]) << 32, [], 0, []
         ids = pdf["ids"].tolist()
@@ -106,21 +108,31 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     A document is the ids of its whole text (null: empty) and end_id.  Pieces lie one
     after another in their sequence from offset 0; ids is the piece as little-endian
     unsigned 32-bit numbers.  Only documents longer than `capacity` are cut, into full
-    sequences and a rest.  Rows with the same id are packed one by one; a null id is
-    kept; an empty table gives an empty result; other columns are ignored.
+    sequences and a rest.  Rows with the same id, and equal rows, are packed one by one
+    and dealt to different groups; a null id is kept; an empty table gives an empty
+    result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-rows.count() // GROUP))
     wide = word_ids(tokenizer).dtype.itemsize
 
     def encode(batches):
-        enc = word_ids(tokenizer)
-        end = enc.pack([end_id])
-        for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["doc"], "h": pdf["h"], "ids": [enc.encode(t or "") + end for t in pdf["text"]]})
-
-    hashed = rows.withColumn("h", F.xxhash64("doc", F.length("text")))
-    coded = hashed.mapInPandas(encode, "doc long, h long, ids binary").withColumn("n", F.octet_length("ids"))
+        enc, seen = word_ids(tokenizer), Counter()
+        for batch in batches:
+            nth = []
+            for x in batch["h"].to_numpy().tolist():  # equal rows of a task get numbers, in whatever order they come
+                nth.append(seen[x])
+                seen[x] += 1
+            h = mix(batch["h"].to_numpy().view(np.uint64) + np.array(nth, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            at = 0
+            for ids in enc.encode_column(batch["text"], end_id):
+                here = slice(at, at + len(ids))
+                n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]) // wide
+                yield pa.RecordBatch.from_arrays([batch["doc"].slice(at, len(ids)), pa.array(h[here].view(np.int64)), ids, pa.array(n, pa.int32())], ["doc", "h", "ids", "n"])
+                at += len(ids)
+
+    hashed = rows.withColumn("h", F.xxhash64("doc", "text", F.spark_partition_id()))
+    coded = hashed.mapInArrow(encode, "doc long, h long, ids binary, n int")
     dealt = coded.withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups))).repartition(max(n_partitions(docs.sparkSession), 1), "grp")
     return dealt.groupBy("grp").applyInPandas(_pack(capacity, wide), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

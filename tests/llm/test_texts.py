@@ -6,7 +6,9 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioworks.llm import binary, chat, language, packing, quality, reshard, tokens, urls
 
@@ -24,6 +26,29 @@ def test_cached_ids_equal_the_library(path):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def plain_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_ids_of_a_column_equal_an_untouched_tokenizer(path):
+    plain, marked = plain_tokenizer(path), plain_tokenizer(path)
+    marked.encode_special_tokens = True
+    rng = random.Random(4)
+    pieces = ["a", "The", "don't", "3.5", ",", ".", "...", "\n", "\n\n", "\n\n\n", " ", "  ", "\t", "é", "İ", "Привет", "мир,", "日本語", ").", " .", "~", "a~b", "́", "\xa0", "\u200b", "x²", "\r\n", "'s", "\x03", "Ġ", "</w>", "👍🏽"]
+    texts = [None] + ["".join(rng.choice(pieces) + rng.choice(["", " ", ", ", ". "]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    special = ["end <|endoftext|> go", "a<|startoftext|>b"]
+    enc = tokens.WordIds(path, max_words=300)  # generations of words come and go
+    got = [x.as_py() for part in enc.encode_column(pa.array(texts + special), 2) for x in part]
+    for t, ids in zip(texts, got, strict=False):
+        assert np.frombuffer(ids, enc.dtype).tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+    # special strings in a text are ordinary text, as stated
+    for t, ids in zip(special, got[-2:], strict=True):
+        assert np.frombuffer(ids, enc.dtype).tolist() == [*marked.encode(t, add_special_tokens=False).ids, 2]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(5)
@@ -46,6 +71,28 @@ def test_packing(spark, docs):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), BYTES).count() == 0
 
 
+def test_packing_query_equals_the_library(spark, sf):
+    tok = plain_tokenizer(BYTES)
+    want = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = packing.op5_packing(spark, sf).toPandas()
+    for d, g in got.groupby("doc_id"):
+        ids, at = np.array(want.pop(d), "<u4"), 0
+        for r in g.sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert not want
+    ends = got.assign(end=got["offset"] + got["length"]).sort_values("offset").groupby("sequence_id")
+    assert (ends["length"].sum() == ends["end"].max()).all() and ends["end"].max().max() <= 2048
+    assert got["length"].sum() > 0.9 * 2048 * got["sequence_id"].nunique()
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    df = spark.range(0, 2000, 1, 3).select(F.lit(7).alias("doc_id"), F.lit("the same words " * 20).alias("text"))
+    got = packing.pack_documents(df, BYTES).toPandas()
+    assert len(got) == 2000 and (got["sequence_id"] // (1 << 32)).value_counts().max() < 700
+
+
 def test_differencing_covers_every_item_once():
     rng = random.Random(6)
     for _ in range(50):
@@ -70,11 +117,23 @@ def test_binary_round_trip(spark, docs, tmp_path):
         at += r["n_tokens"]
     empty = f"file://{tmp_path}/none"
     assert binary.read_ids(binary.write_ids(spark.createDataFrame([], DOCS), empty, WORDS), empty).count() == 0
+    asked = spark.createDataFrame([(3,), (103,), (103,), (None,), (999,)], "doc_id long")
+    found = binary.read_documents(manifest, path, asked).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted((tuple(r) for r in got if r["doc_id"] in (3, 103, None)), key=repr)
 
 
-def test_frames_are_separate_and_checked(tmp_path):
-    import pyarrow as pa
+def test_binary_query_equals_the_library(spark, sf, monkeypatch):
+    monkeypatch.setattr(binary, "MOST_DOCS", 50)
+    tok = plain_tokenizer(WORDS)
+    at, want = 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, binary.op8_binary(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
 
+def test_frames_are_separate_and_checked(tmp_path):
     sink = pa.BufferOutputStream()
     w = binary.FrameWriter(sink, 2, frame=64)
     docs = [np.arange(n, dtype="<u2").tobytes() for n in (1, 40, 0, 7, 100, 3)]
@@ -85,6 +144,9 @@ def test_frames_are_separate_and_checked(tmp_path):
     reader = binary.FrameReader(_Source(data))
     assert [reader.ids(i).tobytes() for i in (5, 0, 4, 2, 1, 3)] == [docs[i] for i in (5, 0, 4, 2, 1, 3)]
     assert len(reader.entries) > 2
+    one = binary.FrameReader(_Source(data))
+    assert [one.row(i, 0)[2] for i in one.find(4)] == [100] and len(one.opened) == 1  # no other frame is decompressed
+    assert len(one.find(99)) == 0
     data[reader.starts[1] + 8] ^= 255
     bad = binary.FrameReader(_Source(data))
     assert bad.ids(0).tobytes() == docs[0]
