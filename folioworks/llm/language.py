@@ -1,9 +1,10 @@
 """Language identification by the nearest of several centroids per language.
 
 Texts are vectors of hashed letter trigrams, weighted by term frequency (square
-root) and inverse document frequency and scaled to unit length.  The vectors of each
-language are clustered by spherical k-means; a text gets the language of the centroid
-with the greatest cosine and is rejected where that cosine is far below what training
+root) and inverse document frequency and scaled to unit length.  Document frequencies
+are counted over all training texts.  A bounded sample of each language's vectors is
+clustered by spherical k-means; a text gets the language of the centroid with the
+greatest cosine and is rejected where that cosine is far below what nearly all training
 texts of about its length reach.
 """
 
@@ -12,15 +13,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged, table
-from .quality import fold
+from .common import mix, table
+from .quality import fold, pool_violators
 
 #: Hashed trigrams, centroids of a language, rounds of clustering.
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 8
-#: About so many documents of each language fit the model, those with the least hashes.
-MOST_LABELLED = 1500
-#: Rejected below this share of the least cosine among training texts of the same length class.
-SLACK = 0.5
+#: About so many documents of each language are clustered, those with the least hashes; a cluster of a smaller share than LEAST_SHARE is dropped.
+MOST_LABELLED, LEAST_SHARE = 1500, 0.02
+#: Rejected below SLACK times the cosine that all but this share of the training texts of the same length class reach.
+SLACK, QUANTILE = 0.5, 0.005
+#: Classes of text length (powers of two), steps that cosines are counted in, tasks that add up the counts of all others.
+CLASSES, STEPS, SUM_TASKS = 21, 400, 32
+#: Bits of a row's hash that decide whether it is in the sample.
+HASH_BITS = 52
 _LETTER: list[np.ndarray] = []
 
 
@@ -38,8 +43,7 @@ def trigram_counts(text: str | None) -> np.ndarray | None:
         return None
     x = np.where(letter, points, 32).astype(np.uint64)
     x = np.concatenate([np.array([32], np.uint64), x, np.array([32], np.uint64)])
-    keep = (x[1:-1] != 32) | (np.roll(x, 1)[1:-1] != 32)
-    x = np.concatenate([x[:1], x[1:-1][keep], x[-1:]])
+    x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]  # a run of gaps is one
     h = mix(x[:-2] | (x[1:-1] << np.uint64(21)) | (x[2:] << np.uint64(42)))
     return np.sqrt(np.bincount((h % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)).astype(np.float32)
 
@@ -49,23 +53,58 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def size_class(n: pd.Series | np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(n, 1)).astype(int), 20)
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(int), CLASSES - 1)
 
 
-def cluster(v: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from the first vector and then always the one farthest from those chosen."""
-    chosen = [0]
-    near = v @ v[0]
-    while len(chosen) < min(k, len(v)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, v @ v[chosen[-1]])
+def cluster(v: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Spherical k-means from centres drawn by their distance from those drawn before; clusters of few vectors are dropped."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(v)))]
+    far = np.maximum(1 - v @ v[chosen[0]], 0)
+    while len(chosen) < min(k, len(v)) and far.sum() > 1e-6:
+        chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * far.sum()).clip(0, len(v) - 1)))
+        far = np.minimum(far, np.maximum(1 - v @ v[chosen[-1]], 0))
     centres = v[chosen]
-    for _ in range(rounds):
+    for last in [False] * rounds + [True]:
         own = (v @ centres.T).argmax(axis=1)
-        centres = np.stack([unit(v[own == i].sum(axis=0)) if (own == i).any() else c for i, c in enumerate(centres)])
+        size = np.bincount(own, minlength=len(centres))
+        if last:
+            large = size >= max(1, LEAST_SHARE * len(v))
+            centres = centres[large] if large.any() else centres
+        else:
+            centres = np.stack([unit(v[own == i].sum(axis=0)) if size[i] else c for i, c in enumerate(centres)])
     return centres
 
 
+def summed(vectors: DataFrame) -> np.ndarray:
+    """The sum of the column v (arrays of one length) over all rows; the driver gets a row for each of SUM_TASKS tasks."""
+
+    def add(batches):
+        total = 0.0
+        for pdf in batches:
+            for v in pdf["v"]:
+                total = total + np.frombuffer(v, "<f8")
+        if isinstance(total, np.ndarray):
+            yield pd.DataFrame({"v": [total.tobytes()]})
+
+    parts = vectors.repartition(SUM_TASKS).mapInPandas(add, "v binary").collect()
+    return np.sum([np.frombuffer(r["v"], "<f8") for r in parts], axis=0) if parts else np.zeros(1)
+
+
+def floors(seen: np.ndarray) -> np.ndarray:
+    """The least cosine to accept by class of length, from counts of cosines (classes by STEPS): a low quantile of each class, made monotone over the classes by weight."""
+    n = seen.sum(axis=1)
+    some = np.flatnonzero(n)
+    low = np.array([(np.searchsorted(np.cumsum(seen[i]), max(1.0, QUANTILE * n[i])) / STEPS) for i in some])
+    smooth = pool_violators(low, n[some])
+    # a class without training texts takes the floor of the next smaller one that has some, the first ones none
+    out = np.zeros(CLASSES)
+    for i in range(CLASSES):
+        at = np.searchsorted(some, i, side="right") - 1
+        out[i] = SLACK * smooth[at] if at >= 0 else 0.0
+    return out
+
+
 class LanguageModel:
     """langs: the language of each row of centres; floor: the least cosine to accept by class of size."""
 
@@ -81,7 +120,9 @@ class LanguageModel:
             cos = iter(unit(np.stack(some) * self.idf) @ self.centres.T if some else [])
             for t, v in zip(texts[i : i + 128], part, strict=True):
                 if v is None:
-                    langs, scores, rejected = [*langs, "und"], [*scores, 0.0], [*rejected, True]
+                    langs.append("und")
+                    scores.append(0.0)
+                    rejected.append(True)
                     continue
                 c = next(cos)
                 j = int(c.argmax())
@@ -92,59 +133,68 @@ class LanguageModel:
         return langs, scores, rejected
 
 
+def sample_bound(n: int, most: int) -> int:
+    """Rows whose hash of HASH_BITS bits is below this are about `most` of n, whatever n is."""
+    return min(1 << HASH_BITS, -(-most * (1 << HASH_BITS) // max(n, 1)))
+
+
 def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel | None:
-    """rows: doc, text, lang. Held-out and unlabelled rows are left out; None if none is left."""
+    """rows: doc, text, lang. Held-out and unlabelled rows are left out; None if none is left.
+
+    Document frequencies and the floors are counted over all rows that are left, in
+    partial sums; only the clustering reads a sample, of distinct rows.
+    """
     spark = rows.sparkSession
     known = rows.where("text is not null and lang is not null").where(fold(F.col("doc")) != 0).where(F.col("text").rlike(r"\p{L}"))
-    h = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 20))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return None
-    share = spark.createDataFrame([(lang, int(min(1.0, most / n) * (1 << 20))) for lang, n in counts.items()], "lang string, below int")
-    picked = known.join(F.broadcast(share), "lang").where(h < F.col("below")).select("lang", "text", F.xxhash64("doc", "text").alias("h"))
-
-    def vectors(batches):
-        for pdf in batches:
-            v = [trigram_counts(t) for t in pdf["text"]]
-            ok = [x is not None for x in v]
-            v = [x for x in v if x is not None]
-            yield pd.DataFrame({"lang": pdf["lang"][ok], "h": pdf["h"][ok], "n": pdf["text"][ok].map(len), "v": [x.astype("<f2").tobytes() for x in v]})
-
-    sample = staged(picked.mapInPandas(vectors, "lang string, h long, n long, v binary"), "vectors")
 
     def frequency(batches):
-        df, n = np.zeros(DIMS), 0
+        df = np.zeros(DIMS + 1)
         for pdf in batches:
-            for v in pdf["v"]:
-                df += np.frombuffer(v, "<f2") > 0
-            n += len(pdf)
-        yield pd.DataFrame({"df": [[float(n), *df.tolist()]]})
-
-    df = np.sum([r["df"] for r in sample.mapInPandas(frequency, "df array<double>").collect()], axis=0)  # DIMS numbers a partition of the bounded sample
+            for t in pdf["text"]:
+                v = trigram_counts(t)
+                if v is not None:
+                    df[1:] += v > 0
+                    df[0] += 1
+        yield pd.DataFrame({"v": [df.tobytes()]})
+
+    df = summed(known.select("text").mapInPandas(frequency, "v binary"))
     if not df[0]:
         return None
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 0.1).astype(np.float32)
 
-    def matrix(pdf):
-        return unit(np.stack([np.frombuffer(v, "<f2").astype(np.float32) for v in pdf["v"]]) * idf)
+    share = spark.createDataFrame([(lang, sample_bound(n, most)) for lang, n in counts.items()], "lang string, below long")
+    h = F.xxhash64("doc", "text")
+    picked = known.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").where(F.col("h").bitwiseAND((1 << HASH_BITS) - 1) < F.col("below"))
+    picked = picked.groupBy("lang", "h").agg(F.first("text").alias("text"))  # rows that repeat count once
+
+    def vectors(batches):
+        for pdf in batches:
+            v = [trigram_counts(t) for t in pdf["text"]]
+            ok = [x is not None for x in v]
+            yield pd.DataFrame({"lang": pdf["lang"][ok], "h": pdf["h"][ok], "v": [x.astype("<f2").tobytes() for x in v if x is not None]})
 
-    def centres(key, pdf):
+    def centres(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")
-        v = matrix(pdf)
-        c = cluster(v)
-        cos = (v @ c.T).max(axis=1)
-        least = pd.Series(cos).groupby(size_class(pdf["n"].to_numpy())).min().to_dict()
-        return pd.DataFrame({"lang": [key[0]] * len(c), "c": [x.astype("<f4").tobytes() for x in c], "least": [[float(least.get(i, 2.0)) for i in range(21)]] * len(c)})
-
-    fitted = sample.groupBy("lang").applyInPandas(centres, "lang string, c binary, least array<double>").orderBy("lang", "c").collect()  # CENTROIDS rows a language
-    least = np.array([r["least"] for r in fitted]).min(axis=0)
-    # a class without training texts takes the floor of the next smaller class that has some, the first ones none
-    floor, last = np.zeros(21), 0.0
-    for i in range(21):
-        last = least[i] * SLACK if least[i] <= 1 else last
-        floor[i] = last
-    floor = np.minimum.accumulate(floor[::-1])[::-1]
-    return LanguageModel([r["lang"] for r in fitted], np.stack([np.frombuffer(r["c"], "<f4") for r in fitted]), idf, floor)
+        c = cluster(unit(np.stack([np.frombuffer(v, "<f2").astype(np.float32) for v in pdf["v"]]) * idf))
+        return pd.DataFrame({"lang": [key[0]] * len(c), "c": [x.astype("<f4").tobytes() for x in c]})
+
+    sample = picked.mapInPandas(vectors, "lang string, h long, v binary")
+    fitted = sample.groupBy("lang").applyInPandas(centres, "lang string, c binary").orderBy("lang", "c").collect()  # CENTROIDS rows a language
+    model = LanguageModel([r["lang"] for r in fitted], np.stack([np.frombuffer(r["c"], "<f4") for r in fitted]), idf, np.zeros(CLASSES))
+    share_model = spark.sparkContext.broadcast(model)
+
+    def cosines(batches):
+        seen = np.zeros((CLASSES, STEPS + 1))
+        for pdf in batches:
+            _, scores, _ = share_model.value.predict(pdf["text"])
+            np.add.at(seen, (size_class(pdf["text"].map(len).to_numpy()), (np.array(scores) * STEPS).astype(int)), 1)
+        yield pd.DataFrame({"v": [seen.tobytes()]})
+
+    model.floor = floors(summed(known.select("text").mapInPandas(cosines, "v binary")).reshape(CLASSES, STEPS + 1))
+    return model
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -164,7 +214,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, held_out, lang_pred, score (cosine, 0 to 1), rejected for every row of docs.
 
     Learned from documents whose crc32 of the id as text is not divisible by 5 and whose
-    language is known.  A text that is null or has no letter is `und`, score 0, rejected;
+    language is known; repeated rows count as often as they come, but are clustered once.
+    A null id has the crc32 of an empty text, so it is held out.  A text that is null or has no letter is `und`, score 0, rejected;
     so is every text if there is nothing to learn from.  Equal texts get equal answers;
     ties go to the language first in order.  An empty table gives an empty result; other
     columns are ignored.

@@ -295,6 +295,59 @@ def test_language_on_held_out(spark, sf):
     assert language.identify_language(docs.limit(0)).count() == 0
 
 
+def test_language_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    model = language.fit_language(docs.select(F.col("doc_id").alias("doc"), "text", "lang"))
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        t = f" {' '.join(letters.split())} "
+        out = np.zeros(language.DIMS)
+        for i in range(len(t) - 2):
+            x = ord(t[i]) | ord(t[i + 1]) << 21 | ord(t[i + 2]) << 42
+            out[int(language.mix(np.array([x], np.uint64))[0]) % language.DIMS] += 1
+        return np.sqrt(out)
+
+    vectors = {r["doc_id"]: grams(r["text"]) for r in rows}
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] and vectors[r["doc_id"]].any()]
+    df = sum((vectors[r["doc_id"]] > 0).astype(int) for r in learned)
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + df)) + 0.1, atol=1e-5)
+
+    def best(v):
+        v = v * model.idf
+        cos = model.centres @ (v / np.linalg.norm(v))
+        return model.langs[int(cos.argmax())], float(cos.max())
+
+    for r in language.identify_language(docs).collect():
+        lang, cos = best(vectors[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - cos) < 1e-3
+    # the floors rise with length and lie below nearly all cosines of the training texts
+    assert (np.diff(model.floor) >= 0).all()
+    low = [best(vectors[r["doc_id"]])[1] < model.floor[int(np.log2(len(r["text"])))] for r in learned]
+    assert sum(low) <= 0.01 * len(low)
+
+
+def test_language_samples_of_any_size():
+    for n in (1, 1500, 10**6, 1_570_000_000, 10**10, 10**13):
+        kept = n * language.sample_bound(n, 1500) / 2**language.HASH_BITS
+        assert min(n, 1500) <= kept * 1.000001 <= min(n, 1500) * 1.01
+    # one odd text of a rare length does not move the floors of other lengths
+    seen = np.zeros((language.CLASSES, language.STEPS + 1))
+    seen[8:12, 280] = 1000
+    before = language.floors(seen)
+    seen[15, 3] = 1
+    assert np.allclose(language.floors(seen)[:12], before[:12], atol=0.01)
+
+
+def test_language_clusters_are_not_single_outliers():
+    rng = np.random.default_rng(3)
+    v = language.unit(np.abs(np.vstack([np.eye(16)[0] * 3 + rng.random((300, 16)), np.eye(16)[1] * 3 + rng.random((300, 16)), [[0] * 15 + [9]]])).astype(np.float32))
+    c = language.cluster(v)
+    own = np.bincount((v @ c.T).argmax(axis=1))
+    assert len(c) >= 2 and own.min() >= 0.02 * len(v)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
