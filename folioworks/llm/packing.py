@@ -30,27 +30,34 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     """k windows of item numbers with near-equal sums of sizes."""
     if k <= 1:
         return [list(range(len(sizes)))]
-    # a partial partition: its sums in descending order less the least one, and each window's items
-    heap = [(-s, i, [s], [[i]]) for i, s in enumerate(sizes)]
+    # a partial partition: the sums of its k windows in descending order, less the least one
+    sums = np.zeros((len(sizes), k), np.int64)
+    sums[:, 0] = sizes
+    parts = dict(enumerate(sums))
+    heap = [(-int(s), i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
+    merged: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        if len(a) + len(b) <= k:  # each meets only empty windows of the other
-            sums, items = a + b, in_a + in_b
-        else:
-            full_a, full_b = a + [0] * (k - len(a)), [0] * (k - len(b)) + b[::-1]
-            ia, ib = in_a + [[]] * (k - len(a)), [[]] * (k - len(b)) + in_b[::-1]
-            sums, items = [x + y for x, y in zip(full_a, full_b, strict=True)], [x + y for x, y in zip(ia, ib, strict=True)]
-        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
-        sums, items = [sums[i] for i in order], [items[i] for i in order]
-        least = sums[-1] if len(sums) == k else 0
-        sums = [s - least for s in sums]
-        heapq.heappush(heap, (-sums[0], tie, sums, items))
-        tie += 1
-    windows = heap[0][3] if heap else []
-    return windows + [[] for _ in range(k - len(windows))]
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        both = parts.pop(a) + parts.pop(b)[::-1]  # the fullest windows of one meet the emptiest of the other
+        order = np.argsort(-both, kind="stable")
+        both = both[order]
+        both -= both[-1]
+        new = len(sizes) + len(merged)
+        parts[new] = both
+        merged.append((a, b, order))
+        heapq.heappush(heap, (-int(both[0]), new))
+    # back through the merges: which window of the whole each window of a partial partition is
+    place = {heap[0][1]: np.arange(k)} if heap else {}
+    for new in range(len(sizes) + len(merged) - 1, len(sizes) - 1, -1):
+        a, b, order = merged[new - len(sizes)]
+        own = np.empty(k, np.int64)
+        own[order] = place.pop(new)
+        place[a], place[b] = own, own[::-1]
+    windows: list[list[int]] = [[] for _ in range(k)]
+    for i in range(len(sizes)):
+        windows[place[i][0]].append(i)
+    return windows
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
