@@ -107,24 +107,41 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
+#: A vertex of a graph is hot if it has so many edges and this share of all of them; so a round has at most 1 / HOT_SHARE hot ones.
+HOT_EDGES, HOT_SHARE = 500, 0.005
+
+
+def with_least(edges: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    """(u, v, m) for every edge (u, v): m is the least v among u's edges in `of`, which has n rows.
+
+    The minima of hot vertices, at most 1 / HOT_SHARE, are broadcast, so the edges of a
+    hub are not brought to one task; the others are joined by key.
+    """
+    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.col("n") > max(HOT_EDGES, int(HOT_SHARE * n))
+    tagged = edges.join(F.broadcast(least.where(hot).select("u", "m")), "u", "left")
+    rest = tagged.where("m is null").select("u", "v").join(least.where(~hot).select("u", "m"), "u")
+    return tagged.where("m is not null").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in an edge (a, b): root is the least id that it is linked to, over any number of links.
 
-    Alternating large-star and small-star rounds; the edges of a round are written
-    to the shared folder.  No edge list or component reaches the driver or one task:
-    each round is two grouped minima with partial aggregation and two joins.
+    Alternating large-star and small-star rounds; the edges of each half round are
+    written to the shared folder.  No edge list or component reaches the driver or one
+    task: a round is two grouped minima with partial aggregation and two joins, in which
+    hubs are broadcast minima.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    seen, n = None, now.count()
+    while n:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_min.select("u", F.col("m").alias("v")))
+        large = with_least(both.where("v > u"), both, 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = staged(large, "stars")
+        small = with_least(large, large, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = staged(small.where("u <> v").distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, mark) == seen:
             break
-        seen = mark
+        seen = (n, mark)
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -13,9 +13,8 @@ stays empty the horizon doubles.
 
 Slots are banded; texts that share a band are candidates.  In each band the
 members are linked to one hub, verified on the real multisets, and grouped.  Bands
-that then still have members in different groups tie their texts to families, whose
-members are compared exactly, block against block, so every pair that shares a band
-is in one group or was decided on its multisets.
+that then still have members in different groups are compared exactly, block against block,
+so every pair that shares a band is in one group or was decided on its multisets.
 """
 
 import numpy as np
@@ -23,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, only, shingles, staged, table
+from .common import components, mix, only, shingles, staged, table, with_least
 
 #: Slots of a signature, and slots in a band. At an overlap of 0.8 the chance to share none of 24 bands is 3e-6.
 SLOTS, ROWS = 96, 4
-#: Texts in a block of a family, on average.
+#: Texts in a block, on average.
 BLOCK = 192
 
 
@@ -132,10 +131,10 @@ def _parts(batches):
 
 
 def _block(least: float):
-    """Links between members of two blocks of a family (or inside one) that are in different groups."""
+    """Links between members of two blocks of a set of texts (or inside one) that are in different groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, rep = pdf["root"].to_numpy(), pdf["rep"].to_numpy()
+        root, rep, side = (pdf[c].to_numpy() for c in ("root", "rep", "side"))
         if (root == root[0]).all():
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         n = pdf["part"].map(len).to_numpy()
@@ -154,6 +153,7 @@ def _block(least: float):
             m[doc[lo:hi], column[lo:hi] - at] = 1
             common += m @ m.T
         near = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (root[:, None] != root[None, :])
+        near &= (side[:, None] < 0) | (side[:, None] != side[None, :])  # inside one block all pairs count, else those across
         # links that join what is apart: at most one less than there are members
         group, links = root.copy(), []
         for a, b in np.argwhere(np.triu(near, 1)):
@@ -165,6 +165,39 @@ def _block(least: float):
     return run
 
 
+def compared_in_blocks(members: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) inside sets of texts, between texts of different groups; each pair that can be near is compared exactly.
+
+    members: set, rep, root; parts: rep, part.  A set is cut by size (a text can only be
+    near one of at least `least` times its size, which is in the same or the next class)
+    and by whether a text is in the set's largest group, whose members need no comparison
+    among themselves.  So a set with one large group and few strangers costs its size
+    times the strangers, in blocks that only move the rows they compare.
+    """
+    sized = parts.select("rep", F.size("part").alias("n"))
+    largest = members.groupBy("set", "root").agg(F.count("*").alias("k")).groupBy("set").agg(F.max_by("root", F.struct("k", "root")).alias("large"))
+    size_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(1 / least)) + 1e-9).cast("int")
+    placed = staged(members.join(sized, "rep").join(largest, "set").select("set", "rep", "root", size_class.alias("size"), (F.col("root") == F.col("large")).alias("same")), "members")
+    units = placed.groupBy("set", "size", "same").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    x, y = (units.select("set", *(F.col(c).alias(f"{c}_{i}") for c in ("size", "same", "blocks"))) for i in "xy")
+    near_size = (F.col("size_y") == F.col("size_x") + 1) | ((F.col("size_y") == F.col("size_x")) & (F.col("same_x") <= F.col("same_y")))
+    pairs = staged(x.join(y, "set").where(near_size & ~(F.col("same_x") & F.col("same_y"))), "blocks")  # a few hundred rows a set at most
+    one = (F.col("size_x") == F.col("size_y")) & (F.col("same_x") == F.col("same_y"))
+    key = ["set", "size_x", "same_x", "size_y", "same_y"]
+
+    def side(i: str, others: str) -> DataFrame:
+        at = pairs if i == "x" else pairs.where(~one)
+        rows = placed.join(at.select(*key, "blocks_x", "blocks_y", F.col(f"size_{i}").alias("size"), F.col(f"same_{i}").alias("same")), ["set", "size", "same"])
+        own = F.pmod(F.xxhash64("rep"), F.col(f"blocks_{i}")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{others}") - 1)))
+        first, second = ("own", "other") if i == "x" else ("other", "own")
+        i_x, i_y = F.when(one, F.least(first, second)).otherwise(F.col(first)), F.when(one, F.greatest(first, second)).otherwise(F.col(second))
+        return rows.select(*key, i_x.alias("i"), i_y.alias("j"), "rep", "root", F.when(one & (i_x == i_y), -1).when(one, (F.col("own") == i_x).cast("int")).otherwise(F.lit(int(i == "x"))).alias("side"))
+
+    dealt = side("x", "y").union(side("y", "x")).join(parts, "rep")
+    return dealt.groupBy(*key, "i", "j").applyInPandas(_block(least), "a long, b long")
+
+
 def _verify(least: float):
     def run(batches):
         only()
@@ -180,60 +213,77 @@ def _verify(least: float):
     return run
 
 
+def distinct_texts(signed: DataFrame) -> DataFrame:
+    """(text_key, rep, first, bands) for every distinct text; first: its least id; rep: a number that no other text has, the first where it can be."""
+    reps = staged(signed.groupBy("text_key").agg(F.min("doc").alias("first"), F.first("bands").alias("bands")), "reps")
+    shared = reps.groupBy("first").agg(F.count("*").alias("n"), F.min("text_key").alias("lead")).where("n > 1")
+    if shared.isEmpty():
+        return reps.withColumn("rep", F.col("first"))
+    # several texts with one least id: all but one take a hash of their text
+    n = reps.count()
+    for seed in range(8):
+        own = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("text_key")), F.col("first")).otherwise(F.xxhash64("text_key", F.lit(seed)))
+        numbered = staged(reps.join(shared.select("first", "lead"), "first", "left").select("text_key", "first", "bands", own.alias("rep")), "reps")
+        if numbered.select("rep").distinct().count() == n:
+            return numbered
+    raise ValueError("no numbers without clashes for the texts that share an id")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its near-duplicate class), kept (it is that document).
+    """One row per row of docs: doc_id, class_id (the least doc_id of its near-duplicate class), kept, text_key (md5 of the text).
 
     Two texts are near duplicates at a multiset overlap of at least `least` of their
     five-word shingles (lower case, letters and digits); classes are closed over links.
-    Equal texts, also empty ones, are one class.  A null text is a class of its own, as
-    is a null doc_id (class_id null, kept).  Rows with the same doc_id and text get the
-    same class_id, and each is kept or not as that document is; an empty table gives an
-    empty result.  Other columns are ignored, whatever their names.
+    Equal texts, also empty ones, are one class.  One text of each class is kept, with
+    its least id: of the texts of that id in the class, that with the least key.  A null
+    text is a class of its own, as is a null doc_id (class_id null); both are kept.
+    Different texts of one id are told apart, and each is in its own class; rows with the
+    same doc_id and text are kept or not alike; an empty table gives an empty result.
+    Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.where("doc is not null and text is not null")
-    signed = staged(texts.withColumn("text_key", F.md5("text")).mapInPandas(_sign, "doc long, text_key string, bands array<long>"), "signed")
+    texts = rows.where("doc is not null and text is not null").withColumn("text_key", F.md5("text"))
+    signed = staged(texts.mapInPandas(_sign, "doc long, text_key string, bands array<long>"), "signed")
 
     # equal texts: one representative goes on; the sums are partial, so a hot text is one row per task
-    reps = staged(signed.groupBy("text_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "reps")
+    reps = distinct_texts(signed)
     member = reps.select("rep", F.explode("bands").alias("band"))
     hubs = member.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = staged(member.join(hubs, "band"), "shared")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (looked_at.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        a, b = (looked_at.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         near = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b").mapInPandas(_verify(least), "a long, b long")
         return staged(near, "links")
 
     tried = staged(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    # the texts of all pairs are picked out once, with a shuffle at every size; later joins and families only read these
-    ids = tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    looked_at = staged(texts.hint("merge").join(ids, "doc", "left_semi"), "texts")
-    copies = signed.select("doc", "text_key").join(reps.select("text_key", "rep"), "text_key").select("doc", "rep")
-    same = copies.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
+    # the texts of all pairs are picked out once, with a shuffle at every size; later joins and blocks only read these
+    ids = tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "first", "text_key"), "rep")
+    one = texts.hint("merge").join(ids.select(F.col("first").alias("doc"), "text_key", "rep"), ["doc", "text_key"])
+    looked_at = staged(one.groupBy("rep").agg(F.first("text").alias("text")), "texts")  # a row that repeats is looked at once
     links = linked(tried)
     roots = components(links)
 
-    # bands whose members are in different groups: the texts that such bands tie together are a family, compared in blocks
-    placed = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "hub", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = staged(placed.join(mixed, "band").select("rep", "hub", "root").distinct(), "rest")
+    # bands whose members are in different groups: the sets of texts that share such a band are compared in blocks
+    placed = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo < hi")
+    mixed = mixed.groupBy("n", "who").agg(F.min("band").alias("band"))  # bands with the same members are one set
+    rest = staged(placed.join(mixed.select("band"), "band").select(F.col("band").alias("set"), "rep", "root"), "rest")
     if not rest.isEmpty():
-        family = components(rest.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), F.col("root").alias("family"))
-        count = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        member = rest.groupBy("rep").agg(F.first("root").alias("root")).join(family, "rep").join(count, "family")
-        parts = looked_at.withColumnRenamed("doc", "rep").join(member.select("rep"), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-        dealt = parts.join(member, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = dealt.groupBy("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        links = links.union(staged(pairs.applyInPandas(_block(least), "a long, b long"), "links"))
+        parts = staged(looked_at.join(rest.select("rep").distinct(), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>"), "parts")
+        links = links.union(staged(compared_in_blocks(rest, parts, least), "links"))
         roots = components(links)
-    if not same.join(reps.select(F.col("rep").alias("a")), "a", "left_semi").isEmpty():  # an id with several texts joins their classes
-        roots = components(links.union(same))
-    grouped = copies.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
-    out = rows.select("doc").join(grouped, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    classed = reps.select("text_key", "first", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    if reps.where("rep <> first").isEmpty():  # the root is the least id of its class
+        top = classed.select("text_key", F.struct(F.col("root").alias("first"), F.when(F.col("rep") == F.col("root"), F.col("text_key")).alias("text_key")).alias("m"))
+    else:
+        edges = classed.select(F.col("root").alias("u"), F.struct("first", "text_key").alias("v"))
+        top = with_least(edges, edges, reps.count()).select("v.text_key", "m")
+    out = signed.select("doc", "text_key").join(top, "text_key")
+    kept = (F.col("doc") == F.col("m.first")) & F.coalesce(F.col("text_key") == F.col("m.text_key"), F.lit(False))
+    alone = rows.where("doc is null or text is null").select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(True).alias("kept"), F.md5("text").alias("text_key"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("m.first").alias("class_id"), kept.alias("kept"), "text_key").union(alone)
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

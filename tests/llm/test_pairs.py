@@ -64,7 +64,7 @@ def corpus():
 
 def test_classes_equal_brute_force(spark, corpus):
     rows = [(i, t, "x", "y") for i, t in enumerate(corpus)] + [(900, None, "x", "y"), (901, None, "x", "y"), (None, "a b c", "x", "y"), (3, corpus[3], "x", "y")]
-    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    got = [tuple(r)[:3] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
     assert len(got) == len(rows)
     by = {d: (c, k) for d, c, k in got}
     assert [by[i][0] for i in range(len(corpus))] == classes_by_force(corpus)
@@ -73,6 +73,61 @@ def test_classes_equal_brute_force(spark, corpus):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_large_sets_equal_brute_force(spark, monkeypatch):
+    """Sets of many blocks and sizes: a shared passage, a large group of near copies, strangers among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(11)
+    common = prose(rng, 60)
+    texts = [f"{common} {prose(rng, rng.choice([3, 8, 12, 14, 16, 30, 60]))}" for _ in range(150)]
+    base = f"{common} {prose(rng, 140)}".split()
+    for e in range(120):
+        w = list(base)
+        w[60 + e] = "other"
+        w[199 - e // 2] = f"x{e % 7}"
+        texts.append(" ".join(w))
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)).collect()
+    by = {r["doc_id"]: r["class_id"] for r in got}
+    assert [by[i] for i in range(len(texts))] == classes_by_force(texts)
+
+
+def test_blocks_link_all_that_is_near(spark, monkeypatch):
+    """compared_in_blocks on its own: all texts in one set, each its own group but for one large group."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(12)
+    texts = []
+    for k in range(14):
+        base = prose(rng, rng.choice([6, 10, 40, 44, 50, 100])).split()
+        for _ in range(5):
+            w = list(base) + prose(rng, rng.choice([0, 1, 3])).split()
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            texts.append(" ".join(w))
+    large = prose(rng, 45).split()
+    texts += [" ".join([*large[:43], f"y{i}", *large[44:]]) for i in range(30)]
+    n = len(texts)
+    members = spark.createDataFrame([(1, i, i if i < n - 30 else n - 30) for i in range(n)], "set long, rep long, root long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    links = minhash.compared_in_blocks(members, docs.mapInPandas(minhash._parts, "rep long, part array<long>"), 0.8)
+    same = spark.createDataFrame([(i, n - 30) for i in range(n - 29, n)], "a long, b long")
+    root = {r["id"]: r["root"] for r in components(links.union(same)).collect()}
+    assert [root.get(i, i) for i in range(n)] == classes_by_force(texts)
+
+
+def test_different_texts_of_one_id_stay_apart(spark):
+    a, b, c = (prose(random.Random(k), 80) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (5, b), (9, a + " more"), (9, c), (7, b), (2, c)]
+    got = sorted(tuple(r)[:3] for r in minhash.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)).collect())
+    assert got == [(2, 2, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 2, False), (9, 5, False)]
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    from folioworks.llm import common
+
+    monkeypatch.setattr(common, "HOT_EDGES", 10)
+    edges = [(1000 + i, 7) for i in range(400)] + [(5000 + i, 1000 + i) for i in range(200)] + [(3, 5000), (9001, 9000)]
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 3 for e in edges[:-1] for x in e} | {9000: 9000, 9001: 9000}
+
+
 def test_signature_is_unbiased_for_multisets():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
