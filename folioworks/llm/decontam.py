@@ -20,8 +20,10 @@ from .common import staged, table
 WINDOW, PLAIN = 8, 4
 #: An item counts as leaked at this share of its windows, or at so many windows (13 words in a row).
 SHARE, MANY = 0.5, 6
-#: A side of a join is broadcast up to so many rows; beyond that both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast up to so many bytes; beyond that both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row of whole numbers in memory, at most.
+ROW = 100
 #: Words that are a unit after a number.
 UNITS = "km cm mm m kg mg g lb lbs oz mi mile miles ft feet inch inches yd yards hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres ml l degrees mph kmh".split()
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
@@ -65,12 +67,12 @@ def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base.join(counts, "item"), at.select(F.explode(keys).alias("h"), "size", "item", "at", "typed", "before")
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that it leaks: doc_id, item_id, windows, item_windows, coverage, same_values.
+    """One row per document and benchmark item that it leaks: doc_id, item_id, windows, item_windows, coverage, same_values, text_hash.
 
     windows: distinct windows of the item found in aligned runs with consistent values;
     leaked at half of the item's windows, at half of those that have a template, or at
@@ -78,38 +80,42 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Every position of every whole text is compared.  An item of fewer than eight words
     is one window.  Windows with fewer than four plain words (in shorter items, with any
     other) are found with their own values only, in any case; a copy with both names
-    in another case and other values is not found.  Null texts and ids match nothing,
-    nor do items without a letter or number; equal documents (also rows with
-    one id) leak alike and come once per id; empty tables give an empty result; other
-    columns are ignored.
+    in another case and other values is not found.  Null texts match nothing, nor do
+    items without a letter or number or an id; a document without an id is looked at
+    like any other.  Equal texts leak alike and come once per id; different texts of one
+    id are told apart by text_hash (xxhash64 of the text); empty tables give an empty
+    result; other columns are ignored.
     """
     base, index = benchmark_index(items)
     base, index = staged(base, "items"), staged(index, "index")
-    n_index = index.count()
+    n_index = ROW * index.count()
+    words = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("values", " ")) + ROW * (1 + F.size("words"))
+    n_base = base.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     sizes = sorted(r["size"] for r in base.select("size").distinct().collect())  # at most WINDOW values
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.withColumn("copy", F.xxhash64("text"))
-    worded = rows.select("doc", "copy", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
+    worded = rows.select("copy", template_words(F.col("text")).alias("words"), literal_words(F.col("text")).alias("values"))
     found = None
     for size in sizes:
-        hashed = worded.select("doc", "copy", windows("words", size).alias("t"), windows("values", size).alias("l"))
+        hashed = worded.select("copy", windows("words", size).alias("t"), windows("values", size).alias("l"))
         both = F.concat("t", F.zip_with("t", "l", lambda t, l: F.when(t != l, l)))  # a plain window has one key
-        at = hashed.select("doc", "copy", F.size("t").alias("n"), F.posexplode(both).alias("pos", "h"))
+        at = hashed.select("copy", F.size("t").alias("n"), F.posexplode(both).alias("pos", "h"))
         keyed = small_side(index.where(F.col("size") == size), n_index)
-        hit = at.join(keyed, "h").select("doc", "copy", "item", "size", "at", "typed", "before", (F.col("pos") % F.col("n") + 1).alias("place"))
+        hit = at.join(keyed, "h").select("copy", "item", "size", "at", "typed", "before", (F.col("pos") % F.col("n") + 1).alias("place"))
         found = hit if found is None else found.union(hit)
     if found is None:
-        return rows.join(items.select(F.col("item_id").alias("item")).limit(0), F.lit(True)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *(F.lit(None).cast(k).alias(c) for c, k in (("windows", "long"), ("item_windows", "long"), ("coverage", "double"), ("same_values", "boolean"))))
+        return rows.join(items.select(F.col("item_id").alias("item")).limit(0), F.lit(True)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *(F.lit(None).cast(k).alias(c) for c, k in (("windows", "long"), ("item_windows", "long"), ("coverage", "double"), ("same_values", "boolean"), ("text_hash", "long"))))
     hits = staged(found.distinct(), "hits")
-    # values behind the placeholders, for documents with hits only
-    ids = hits.select("doc", "copy").distinct()
-    valued = rows.join(small_side(ids, ids.count()), ["doc", "copy"], "left_semi").dropDuplicates(["doc", "copy"]).select("doc", "copy", literal_words(F.col("text")).alias("doc_values"))
-    both = hits.join(valued, ["doc", "copy"]).join(small_side(base.select("item", "words", "values"), n_index), "item")
+    # values behind the placeholders, for texts with hits only, each once
+    ids = hits.select("copy").distinct()
+    hit_texts = rows.join(small_side(ids, ROW * ids.count()), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    valued = hit_texts.select("copy", literal_words(F.col("text")).alias("doc_values"))
+    both = hits.join(valued, "copy").join(small_side(base.select("item", "words", "values"), n_base), "item")
     theirs, ours = F.slice("values", F.col("at"), F.col("size")), F.slice("doc_values", F.col("place"), F.col("size"))
     typed = F.zip_with(F.zip_with(theirs, ours, lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))), F.slice("words", F.col("at"), F.col("size")), lambda p, w: F.when(w.isin("0", "1", "2"), p))
     changed = theirs != ours
-    line = ["doc", "copy", "item", "line"]
-    lined = both.select("doc", "copy", "item", "at", "typed", "before", (F.col("place") - F.col("at")).alias("line"), changed.alias("changed"), F.when(changed, F.filter(typed, lambda p: p.isNotNull())).alias("slots"))
+    line = ["copy", "item", "line"]
+    lined = both.select("copy", "item", "at", "typed", "before", (F.col("place") - F.col("at")).alias("line"), changed.alias("changed"), F.when(changed, F.filter(typed, lambda p: p.isNotNull())).alias("slots"))
     # a run ends where a window that has a template is not among the hits
     along = Window.partitionBy(line).orderBy("at")
     cut = F.coalesce(F.col("before") > F.lag(F.col("before") + F.col("typed").cast("int")).over(along), F.lit(False))
@@ -118,13 +124,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     pairs, one_side = F.size("s"), [F.size(F.array_distinct(F.col(f"s.{c}"))) for c in ("theirs", "ours")]
     broken = slots.select(*line, "run", ((pairs != one_side[0]) | (pairs != one_side[1])).alias("clash"))
     good = lined.select(*line, "run", "at", "typed", "changed").join(broken, [*line, "run"], "left").where(~F.col("changed") | ~F.coalesce("clash", F.lit(False)))
-    summed = good.groupBy("doc", "item", "at", "typed").agg(F.min("changed").alias("changed"))
-    summed = summed.groupBy("doc", "item").agg(F.count("*").alias("windows"), F.count_if("typed").alias("typed"), (~F.max("changed")).alias("same_values"))
+    summed = good.groupBy("copy", "item", "at", "typed").agg(F.min("changed").alias("changed"))
+    summed = summed.groupBy("copy", "item").agg(F.count("*").alias("windows"), F.count_if("typed").alias("typed"), (~F.max("changed")).alias("same_values"))
     out = summed.join(small_side(base.select("item", "n_windows", "n_typed"), n_index), "item")
     share = (F.col("windows") >= SHARE * F.col("n_windows")) | ((F.col("typed") > 0) & (F.col("typed") >= SHARE * F.col("n_typed")))
-    out = out.where(share | (F.col("windows") >= MANY))
-    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.col("n_windows").alias("item_windows"), (F.col("windows") / F.col("n_windows")).alias("coverage"), "same_values")
+    out = staged(out.where(share | (F.col("windows") >= MANY)), "leaks")
+    of = rows.select("doc", "copy").join(small_side(out, ROW * out.count()), "copy").groupBy("doc", "copy", "item").agg(*(F.first(c).alias(c) for c in ("windows", "n_windows", "same_values")))
+    return of.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.col("n_windows").alias("item_windows"), (F.col("windows") / F.col("n_windows")).alias("coverage"), "same_values", F.col("copy").alias("text_hash"))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")

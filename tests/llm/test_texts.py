@@ -2,7 +2,6 @@
 
 import random
 import zlib
-from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -346,20 +345,3 @@ def test_language_clusters_are_not_single_outliers():
     c = language.cluster(v)
     own = np.bincount((v @ c.T).argmax(axis=1))
     assert len(c) >= 2 and own.min() >= 0.02 * len(v)
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        n.append(docs.count())
-    assert n == sorted(n, reverse=True) and n[-1] > 0.6 * n[0]
-    packed = corpus_pipeline.packing_stage(spark, docs, sf).toPandas()
-    assert set(packed["doc_id"]) == {r["doc_id"] for r in docs.collect()}
-    first = docs.collect()[0]
-    assert sha256(first["text"].encode()).hexdigest()
