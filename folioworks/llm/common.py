@@ -109,21 +109,26 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
-#: A vertex of a graph is hot if it has so many edges and this share of all of them; so a round has at most 1 / HOT_SHARE hot ones.
-HOT_EDGES, HOT_SHARE = 500, 0.005
+#: A key is hot if it has so many rows and this share of all of them; so there are at most 1 / HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 500, 0.005
 
 
-def with_least(edges: DataFrame, of: DataFrame, n: int) -> DataFrame:
-    """(u, v, m) for every edge (u, v): m is the least v among u's edges in `of`, which has n rows.
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: int) -> DataFrame:
+    """rows joined with keyed, in which `count` says how many of the n rows have the key; a few rows a key.
 
-    The minima of hot vertices, at most 1 / HOT_SHARE, are broadcast, so the edges of a
-    hub are not brought to one task; the others are joined by key.
+    What belongs to hot keys, at most 1 / HOT_SHARE of them, is broadcast, so the rows of
+    one key are not brought to one task; the others are joined by key.
     """
-    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hot = F.col("n") > max(HOT_EDGES, int(HOT_SHARE * n))
-    tagged = edges.join(F.broadcast(least.where(hot).select("u", "m")), "u", "left")
-    rest = tagged.where("m is null").select("u", "v").join(least.where(~hot).select("u", "m"), "u")
-    return tagged.where("m is not null").select("u", "v", "m").union(rest.select("u", "v", "m"))
+    hot = F.col("count") > max(HOT_ROWS, int(HOT_SHARE * n))
+    few, many = F.broadcast(keyed.where(hot).drop("count")), keyed.where(~hot).drop("count")
+    cold = rows.join(F.broadcast(keyed.where(hot).select(*on).distinct()), on, "left_anti")
+    return rows.join(few, on).unionByName(cold.join(many, on))
+
+
+def with_least(edges: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    """(u, v, m) for every edge (u, v): m is the least v among u's edges in `of`, which has n rows and all u."""
+    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+    return join_hot(edges.select("u", "v"), least, ["u"], n)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, only, shingles, staged, table, with_least
+from .common import components, join_hot, mix, only, shingles, staged, table, with_least
 
 #: Slots of a signature, and slots in a band. At an overlap of 0.8 the chance to share none of 24 bands is 3e-6.
 SLOTS, ROWS = 96, 4
@@ -165,6 +165,30 @@ def _block(least: float):
     return run
 
 
+def sets_to_compare(rest: DataFrame) -> DataFrame:
+    """(set, rep, root): sets of texts that hold every pair of texts of different groups with a common band.
+
+    rest: band, rep, root.  The texts that bands tie together are a family.  A family is
+    one set, or each of its bands is, whichever moves fewer rows: large groups share most
+    of their bands, while texts that only a common passage ties in a chain do not.
+    """
+    n = rest.count()
+    by_root = rest.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("rep").alias("lead"))
+    bands = by_root.groupBy("band").agg(F.sum("k").alias("count"), F.max("k").alias("k"), F.min("lead").alias("lead"))
+    tied = join_hot(rest, bands.select("band", "count", "lead"), ["band"], n)
+    family = staged(components(tied.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).select(F.col("id").alias("rep"), F.col("root").alias("family")), "families")
+    whole = staged(rest.groupBy("rep").agg(F.first("root").alias("root")).join(family, "rep"), "whole")
+    moved = lambda all_, same: all_ * (1 + (all_ - same) / BLOCK)
+    per_root = whole.groupBy("family", "root").agg(F.count("*").alias("k"))
+    cost = per_root.groupBy("family").agg(F.sum("k").alias("count"), F.max("k").alias("k")).select("family", "count", moved(F.col("count"), F.col("k")).alias("as_one"))
+    of_bands = bands.join(family.withColumnRenamed("rep", "lead"), "lead").groupBy("family").agg(F.sum(moved(F.col("count"), F.col("k"))).alias("as_bands"))
+    choice = staged(cost.join(of_bands, "family").select("family", "count", (F.col("as_bands") < F.col("as_one")).alias("apart")), "choice")
+    chosen = staged(join_hot(whole, choice, ["family"], n), "chosen")
+    as_one = chosen.where("not apart").select(F.xxhash64(F.lit("family"), "family").alias("set"), "rep", "root")
+    apart = rest.join(chosen.where("apart").select("rep"), "rep", "left_semi")
+    return as_one.union(apart.select(F.xxhash64(F.lit("band"), "band").alias("set"), "rep", "root"))
+
+
 def compared_in_blocks(members: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) inside sets of texts, between texts of different groups; each pair that can be near is compared exactly.
 
@@ -174,20 +198,23 @@ def compared_in_blocks(members: DataFrame, parts: DataFrame, least: float) -> Da
     among themselves.  So a set with one large group and few strangers costs its size
     times the strangers, in blocks that only move the rows they compare.
     """
-    sized = parts.select("rep", F.size("part").alias("n"))
-    largest = members.groupBy("set", "root").agg(F.count("*").alias("k")).groupBy("set").agg(F.max_by("root", F.struct("k", "root")).alias("large"))
+    sized = staged(members.join(parts.select("rep", F.size("part").alias("n")), "rep"), "sized")
+    n = sized.count()
+    by_root = sized.groupBy("set", "root").agg(F.count("*").alias("k"))
+    largest = by_root.groupBy("set").agg(F.max_by("root", F.struct("k", "root")).alias("large"), F.sum("k").alias("count"))
     size_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(1 / least)) + 1e-9).cast("int")
-    placed = staged(members.join(sized, "rep").join(largest, "set").select("set", "rep", "root", size_class.alias("size"), (F.col("root") == F.col("large")).alias("same")), "members")
-    units = placed.groupBy("set", "size", "same").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    x, y = (units.select("set", *(F.col(c).alias(f"{c}_{i}") for c in ("size", "same", "blocks"))) for i in "xy")
+    placed = staged(join_hot(sized, largest, ["set"], n).select("set", "rep", "root", size_class.alias("size"), (F.col("root") == F.col("large")).alias("same")), "members")
+    units = placed.groupBy("set", "size", "same").agg(F.count("*").alias("count")).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    x, y = (units.select("set", *(F.col(c).alias(f"{c}_{i}") for c in ("size", "same", "blocks", "count"))) for i in "xy")
     near_size = (F.col("size_y") == F.col("size_x") + 1) | ((F.col("size_y") == F.col("size_x")) & (F.col("same_x") <= F.col("same_y")))
-    pairs = staged(x.join(y, "set").where(near_size & ~(F.col("same_x") & F.col("same_y"))), "blocks")  # a few hundred rows a set at most
+    pairs = staged(x.join(y, "set").where(near_size & ~(F.col("same_x") & F.col("same_y"))), "blocks")  # a set has a few dozen units
     one = (F.col("size_x") == F.col("size_y")) & (F.col("same_x") == F.col("same_y"))
     key = ["set", "size_x", "same_x", "size_y", "same_y"]
 
     def side(i: str, others: str) -> DataFrame:
         at = pairs if i == "x" else pairs.where(~one)
-        rows = placed.join(at.select(*key, "blocks_x", "blocks_y", F.col(f"size_{i}").alias("size"), F.col(f"same_{i}").alias("same")), ["set", "size", "same"])
+        at = at.select(*key, "blocks_x", "blocks_y", F.col(f"size_{i}").alias("size"), F.col(f"same_{i}").alias("same"), F.col(f"count_{i}").alias("count"))
+        rows = join_hot(placed, at, ["set", "size", "same"], n)
         own = F.pmod(F.xxhash64("rep"), F.col(f"blocks_{i}")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{others}") - 1)))
         first, second = ("own", "other") if i == "x" else ("other", "own")
@@ -264,14 +291,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     links = linked(tried)
     roots = components(links)
 
-    # bands whose members are in different groups: the sets of texts that share such a band are compared in blocks
+    # bands whose members are in different groups: sets of texts that hold all pairs with such a band are compared in blocks
     placed = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo < hi")
     mixed = mixed.groupBy("n", "who").agg(F.min("band").alias("band"))  # bands with the same members are one set
-    rest = staged(placed.join(mixed.select("band"), "band").select(F.col("band").alias("set"), "rep", "root"), "rest")
+    rest = staged(placed.join(mixed.select("band"), "band").select("band", "rep", "root"), "rest")
     if not rest.isEmpty():
         parts = staged(looked_at.join(rest.select("rep").distinct(), "rep", "left_semi").mapInPandas(_parts, "rep long, part array<long>"), "parts")
-        links = links.union(staged(compared_in_blocks(rest, parts, least), "links"))
+        links = links.union(staged(compared_in_blocks(staged(sets_to_compare(rest), "sets"), parts, least), "links"))
         roots = components(links)
     classed = reps.select("text_key", "first", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     if reps.where("rep <> first").isEmpty():  # the root is the least id of its class

@@ -90,6 +90,21 @@ def test_large_sets_equal_brute_force(spark, monkeypatch):
     assert [by[i] for i in range(len(texts))] == classes_by_force(texts)
 
 
+def test_sets_hold_every_pair_with_a_common_band(spark):
+    rng = random.Random(13)
+    rest = [(b, r, r % 7) for b in range(30) for r in rng.sample(range(b // 10 * 40, b // 10 * 40 + 40), 12)]
+    rest += [(1000 + i, r, r) for i in range(300) for r in (5000 + i, 5001 + i)]  # a chain: its bands apart move less than all of it
+    sets = {}
+    for r in minhash.sets_to_compare(spark.createDataFrame(rest, "band long, rep long, root long")).collect():
+        sets.setdefault(r["set"], set()).add((r["rep"], r["root"]))
+    held = {tuple(sorted((a[0], b[0]))) for m in sets.values() for a in m for b in m if a[1] != b[1]}
+    bands = {}
+    for b, rep, root in rest:
+        bands.setdefault(b, set()).add((rep, root))
+    assert {tuple(sorted((a[0], b[0]))) for m in bands.values() for a in m for b in m if a[1] != b[1]} <= held
+    assert max(len(m) for m in sets.values()) <= 40
+
+
 def test_blocks_link_all_that_is_near(spark, monkeypatch):
     """compared_in_blocks on its own: all texts in one set, each its own group but for one large group."""
     monkeypatch.setattr(minhash, "BLOCK", 5)
@@ -122,7 +137,7 @@ def test_different_texts_of_one_id_stay_apart(spark):
 def test_hubs_are_split(spark, monkeypatch):
     from folioworks.llm import common
 
-    monkeypatch.setattr(common, "HOT_EDGES", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     edges = [(1000 + i, 7) for i in range(400)] + [(5000 + i, 1000 + i) for i in range(200)] + [(3, 5000), (9001, 9000)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: 3 for e in edges[:-1] for x in e} | {9000: 9000, 9001: 9000}
