@@ -1,7 +1,7 @@
 """Vectorised helpers for what Spark's functions cannot say; each works on a column of Arrow batches."""
 
 import unicodedata
-from collections import Counter
+from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,59 +28,18 @@ def decode_dropping(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
 
 
-def similarity(a: str, b: str) -> float:
-    """Twice the matched characters over the sum of lengths, matched by longest common blocks first; the order of a and b matters.
-
-    Characters that stand in more than a hundredth of a b of 200 and more characters
-    do not start a block.
-    """
-    if not a and not b:
-        return 1.0
-    at: dict[str, list[int]] = {}
-    for j, c in enumerate(b):
-        at.setdefault(c, []).append(j)
-    if len(b) >= 200:
-        at = {c: js for c, js in at.items() if len(js) <= len(b) // 100 + 1}
-
-    def longest(alo, ahi, blo, bhi):
-        best_i, best_j, best = alo, blo, 0
-        run: dict[int, int] = {}
-        for i in range(alo, ahi):
-            new: dict[int, int] = {}
-            for j in at.get(a[i], ()):
-                if blo <= j < bhi:
-                    k = new[j] = run.get(j - 1, 0) + 1
-                    if k > best:
-                        best_i, best_j, best = i - k + 1, j - k + 1, k
-            run = new
-        while best_i > alo and best_j > blo and a[best_i - 1] == b[best_j - 1]:
-            best_i, best_j, best = best_i - 1, best_j - 1, best + 1
-        while best_i + best < ahi and best_j + best < bhi and a[best_i + best] == b[best_j + best]:
-            best += 1
-        return best_i, best_j, best
-
-    todo, matched = [(0, len(a), 0, len(b))], 0
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        i, j, k = longest(alo, ahi, blo, bhi)
-        if k:
-            matched += k
-            todo += [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]
-    return 2.0 * matched / (len(a) + len(b))
-
-
 def similar_pairs(least: float):
     """A mapInPandas function: keeps the rows (author, word, ...) whose similarity is at least `least`."""
 
     def run(batches):
         for pdf in batches:
-            bag = {}
-            keep = []
-            for a, w in zip(pdf["author"], pdf["word"], strict=True):
-                x = bag.setdefault(a, Counter(a))
-                common = sum((x & Counter(w)).values())  # no block match can have more
-                keep.append(2.0 * common / (len(a) + len(w)) >= least and similarity(a, w) >= least)
-            yield pdf[keep]
+            matcher, ok = SequenceMatcher(), np.zeros(len(pdf), bool)
+            for word, rows in pdf.reset_index(drop=True).groupby("word", sort=False)["author"]:
+                matcher.set_seq2(word)  # what the matcher prepares of a word serves all its authors
+                for i, author in rows.items():
+                    matcher.set_seq1(author)
+                    ok[i] = matcher.quick_ratio() >= least and matcher.ratio() >= least
+            yield pdf[ok]
 
     return run
 

@@ -21,7 +21,8 @@ def strip(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """NFKC, lower case, anything but letters, digits, underscores and white space to a space, spaces collapsed; null is ''."""
     text = F.coalesce(text, F.lit(""))
-    composed = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(helpers.nfkc(text))
+    plain = text.rlike(r"^\p{ASCII}*$")
+    composed = F.when(plain, text).otherwise(helpers.nfkc(F.when(~plain, text)))  # a Python function is evaluated for every row; plain ones go as nulls
     return strip(F.regexp_replace(F.regexp_replace(F.lower(composed), r"(?U)[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
 
 

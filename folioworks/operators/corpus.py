@@ -94,7 +94,7 @@ def duplicate_map(docs: DataFrame) -> DataFrame:
 
 def filter_tasks(tasks: DataFrame, state: str = "all", query: str = "") -> DataFrame:
     """Tasks (status, filename) of a group of states whose name contains query."""
-    groups = {"active": ["queued", "running"], "done": ["done"], "attention": ["error", "interrupted", "cancelled", "expired"]}
+    groups = {"active": ["queued", "running", "cancelling"], "done": ["done"], "attention": ["error", "interrupted", "cancelled", "expired"]}
     kept = tasks if state == "all" else tasks.where(F.col("status").isin(groups[state]))
     return kept.where(F.lower("filename").contains(query.lower()))
 
@@ -105,7 +105,7 @@ def normalize_bib(raw: DataFrame) -> DataFrame:
     return raw.withColumn("authors", authors).withColumn("year", F.when(F.col("year_text").rlike(r"^\d+$"), F.col("year_text").try_cast("int"))).drop("authors_text", "year_text")
 
 
-PAGES = "SELECT doc_id, CAST(doc_id % 3 AS INT) AS page, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) ELSE text END AS text FROM {documents}"
+PAGES = "SELECT doc_id, 0 AS page, text FROM {documents} UNION ALL SELECT doc_id, 1, 'page ' || CAST(doc_id AS STRING) || ' mail me@example.org' FROM {documents} WHERE doc_id % 3 = 0"
 SQL_EMAILS = f"list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '{T.EMAIL}'), lambda e: lower(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) NOT IN ('abc', 'test', 'invalid', 'localhost', 'example') AND length(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) <= 5)))"
 TASKS = """
 SELECT o_orderkey AS task_id, 'file_' || CAST(o_orderkey % 1000 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '.docx' ELSE '.PDF' END AS filename,

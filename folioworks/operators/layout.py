@@ -1,7 +1,7 @@
 """Recognised words and pages: clean-up, lines, confidence, regions, order, roles and table grids."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +9,8 @@ from ..plans.inputs import derived, plain
 
 #: A word's level, the gap and overlap that join words to a line, tolerance of a grid.
 WORD_LEVEL, LEAST_OVERLAP, MOST_GAP, TOLERANCE = 5, -2.0, 4.0, 0.1
+#: Share of a page that is a margin or band, ink that fills a band, densities of edges of a table, width over height of a wide page.
+MARGIN, BAND_INK, TABLE_DENSITY, WIDE = 0.08, 0.02, (0.15, 0.4), 1.15
 
 
 def normalize_words(raw: DataFrame, scale: float) -> DataFrame:
@@ -24,23 +26,22 @@ def polygon_box(polygons: DataFrame) -> DataFrame:
 
 
 def fold_lines(words: list[tuple]) -> list[tuple]:
-    """(text, x0, y0, x1, y1, confidence) rows of a page to lines: in order of top and left, a word joins the line so far if they overlap in height and are close."""
+    """(text, x0, y0, x1, y1, confidence) rows of a page to lines: in order of top and left, a word joins the line so far if they overlap in height and are close. The confidence of the line so far counts as much as that of the word that joins."""
     lines: list[list] = []
     for text, x0, y0, x1, y1, conf in sorted(words, key=lambda w: (w[2], w[1], w[0])):
         if lines:
             line = lines[-1]
             if min(line[4], y1) - max(line[2], y0) > LEAST_OVERLAP and x0 - line[3] <= MOST_GAP:
-                n = line[6]
-                lines[-1] = [f"{line[0]} {text}", min(line[1], x0), min(line[2], y0), max(line[3], x1), max(line[4], y1), (line[5] * n + conf) / (n + 1), n + 1]
+                lines[-1] = [f"{line[0]} {text}", min(line[1], x0), min(line[2], y0), max(line[3], x1), max(line[4], y1), (line[5] + conf) / 2]
                 continue
-        lines.append([text, x0, y0, x1, y1, conf, 1])
-    return [tuple(x[:6]) for x in lines]
+        lines.append([text, x0, y0, x1, y1, conf])
+    return [tuple(x) for x in lines]
 
 
 def merge_lines(words: DataFrame) -> DataFrame:
-    """page_id, line, text, box and mean confidence; the fold depends on order, so a page is one small group."""
+    """page_id, line, text, box and confidence; the fold depends on order, so a page is one small group."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lines = fold_lines([*pdf[["text", "x0", "y0", "x1", "y1", "confidence"]].itertuples(index=False, name=None)])
         out = pd.DataFrame(lines, columns=["text", "x0", "y0", "x1", "y1", "confidence"])
         out.insert(0, "line", range(len(out)))
@@ -56,23 +57,41 @@ def ocr_confidence(raw: DataFrame) -> DataFrame:
 
 
 def page_regions(stats: DataFrame) -> DataFrame:
-    """Regions of a page from its statistics: shares of ink at top and bottom, density of edges, share of ink in the middle column."""
+    """Regions of a page (kind, x, y, w, h, confidence) from its size in pixels, the shares of ink in its top and bottom bands and its density of edges.
+
+    A band with ink is a header or footer; a middling density of edges is a table in the
+    upper part of the body; the rest is text, in two columns on a wide page; a footer has
+    a page number at its right end.
+    """
+    whole = lambda c: F.floor(c).cast("int")
     w, h = F.col("width"), F.col("height")
-    region = lambda kind, x, y, rw, rh: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), rw.alias("w"), rh.alias("h"))
-    zero, body = F.lit(0.0), h * 0.8
-    two = F.col("middle_ink") < 0.02
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("top_ink") > 0.01, region("header", zero, zero, w, h * 0.1)),
-            F.when(F.col("edge_density") > 0.15, region("table", zero, h * 0.1, w, body)),
-            F.when((F.col("edge_density") <= 0.15) & two, region("text", zero, h * 0.1, w / 2, body)),
-            F.when((F.col("edge_density") <= 0.15) & two, region("text", w / 2, h * 0.1, w / 2, body)),
-            F.when((F.col("edge_density") <= 0.15) & ~two, region("text", zero, h * 0.1, w, body)),
-            F.when(F.col("bottom_ink") > 0.01, region("footer", zero, h * 0.9, w, h * 0.1)),
-            F.when((F.col("bottom_ink") > 0) & (F.col("bottom_ink") <= 0.01), region("page_number", w * 0.45, h * 0.95, w * 0.1, h * 0.05)),
-        )
+    margin, band = whole(w * MARGIN), whole(h * MARGIN)
+    header, footer = F.col("top_ink") > BAND_INK, F.col("bottom_ink") > BAND_INK
+    table = (F.col("edge_density") > TABLE_DENSITY[0]) & (F.col("edge_density") < TABLE_DENSITY[1])
+    top = F.when(header, band).otherwise(0)
+    bottom = F.when(footer, h - band).otherwise(h)
+    body = F.greatest(F.lit(1), bottom - top)
+    wide = w > h * WIDE
+    rows = stats.select("page_id", "top_ink", "bottom_ink", header.alias("header"), footer.alias("footer"), table.alias("table"), wide.alias("wide"), w.alias("w"), h.alias("h"), margin.alias("margin"), band.alias("band"), top.alias("top"), bottom.alias("bottom"), body.alias("body"))
+    rows = rows.withColumns({"table_top": F.col("top") + whole(F.col("body") * 0.1), "table_height": whole(F.col("body") * 0.3)})
+    text_top = F.when(F.col("table"), F.col("table_top") + F.col("table_height")).otherwise(F.col("top"))
+    rows = rows.withColumns({"text_top": text_top, "text_height": F.col("bottom") - text_top, "inner": F.col("w") - 2 * F.col("margin"), "column": whole((F.col("w") - 3 * F.col("margin")) / 2)})
+    zero, c = F.lit(0), F.col
+
+    def region(when: Column, kind: str, x: Column, y: Column, rw: Column, rh: Column, sure: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), rw.cast("int").alias("w"), rh.cast("int").alias("h"), sure.cast("double").alias("confidence")))
+
+    ink = lambda k: F.round(F.least(F.lit(1.0), c(k) * 10), 2)
+    found = F.array(
+        region(c("header"), "header", zero, zero, c("w"), c("band"), ink("top_ink")),
+        region(c("footer"), "footer", zero, c("h") - c("band"), c("w"), c("band"), ink("bottom_ink")),
+        region(c("table"), "table", c("margin"), c("table_top"), c("inner"), c("table_height"), F.lit(0.4)),
+        region(~c("wide"), "text", c("margin"), c("text_top"), c("inner"), c("text_height"), F.lit(0.5)),
+        region(c("wide"), "text", c("margin"), c("text_top"), c("column"), c("text_height"), F.lit(0.5)),
+        region(c("wide"), "text", 2 * c("margin") + c("column"), c("text_top"), c("column"), c("text_height"), F.lit(0.5)),
+        region(c("footer"), "page_number", c("w") - c("margin"), c("h") - c("band"), whole(c("margin") / 2), c("band"), F.lit(0.3)),
     )
-    return stats.select("page_id", F.explode(found).alias("r")).select("page_id", "r.*")
+    return rows.select("page_id", F.explode(F.array_compact(found)).alias("r")).select("page_id", "r.*")
 
 
 def apply_order(blocks: DataFrame, orders: DataFrame) -> DataFrame:
@@ -93,22 +112,40 @@ def apply_roles(blocks: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def table_grid(cells: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """table_id, rows, columns, box and whether all cells of a row share top and bottom, and of a column left and right."""
-    row, col = W.partitionBy("table_id", "row"), W.partitionBy("table_id", "col")
-    spread = lambda c, w: F.max(c).over(w) - F.min(c).over(w)
-    off = F.greatest(spread("y0", row), spread("y1", row), spread("x0", col), spread("x1", col))
-    return cells.withColumn("off", off).groupBy("table_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("columns"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), (F.max("off") <= tolerance).alias("regular"))
+    """table_id, rows, columns, box, and whether the cells (row, col from 0) are a regular grid.
+
+    That is: every place has one cell with a box of positive size, whose left and right
+    lie within the tolerance of those of the first cell of its column, and whose top and
+    bottom within that of the first cell of its row.
+    """
+    column, row = W.partitionBy("table_id", "col").orderBy("row"), W.partitionBy("table_id", "row").orderBy("col")
+    off = F.greatest(*(F.abs(F.col(c) - F.first(c).over(w)) for c, w in (("x0", column), ("x1", column), ("y0", row), ("y1", row))))
+    sound = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (off <= tolerance)
+    checked = cells.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    found = checked.groupBy("table_id").agg(
+        (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("columns"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
+        F.bool_and("sound").alias("sound"), F.count("*").alias("n"), F.count_distinct("row", "col").alias("places"),
+    )
+    full = (F.col("n") == F.col("places")) & (F.col("n") == F.col("rows") * F.col("columns"))
+    return found.select("table_id", "rows", "columns", "x0", "y0", "x1", "y1", (full & F.col("sound")).alias("regular"))
 
 
 def crop_table(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
-    return cells.where(F.col("row").between(*rows) & F.col("col").between(*columns)).withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - columns[0]})
+    """The cells of a range of rows and columns (both ends included), numbered from 0; tables that the range goes beyond are left out."""
+    for low, high in (rows, columns):
+        if low < 0 or high < low:
+            raise ValueError(f"{low} to {high} is no range")
+    size = cells.groupBy("table_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    fits = size.where((F.col("last_row") >= rows[1]) & (F.col("last_col") >= columns[1])).select("table_id")
+    inside = cells.where(F.col("row").between(*rows) & F.col("col").between(*columns)).join(fits, "table_id", "left_semi")
+    return inside.withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - columns[0]})
 
 
 WORDS = "SELECT CAST(l_orderkey % 700 AS BIGINT) AS page_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS word_id, CASE l_linenumber % 7 WHEN 6 THEN '  ' ELSE 'w' || CAST(l_partkey % 90 AS STRING) END AS text, CAST(CASE WHEN l_suppkey % 9 = 0 THEN 4 ELSE 5 END AS INT) AS level, CAST(l_partkey % 300 AS DOUBLE) AS left, CAST(l_suppkey % 40 AS DOUBLE) * 12 AS top, CAST(20 + l_partkey % 30 AS DOUBLE) AS width, 10.0E0 AS height, CAST(CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_partkey % 101 END AS DOUBLE) AS conf FROM {lineitem}"
-STATS = "SELECT page_id, 600.0E0 AS width, 800.0E0 AS height, CAST(page_id % 5 AS DOUBLE) / 100 AS top_ink, CAST(page_id % 3 AS DOUBLE) / 200 AS bottom_ink, CAST(page_id % 7 AS DOUBLE) / 30 AS edge_density, CAST(page_id % 4 AS DOUBLE) / 100 AS middle_ink FROM {pages}"
+STATS = "SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN 1403 ELSE 997 END AS INT) AS width, CAST(1189 + page_id % 7 AS INT) AS height, CAST(page_id % 5 AS DOUBLE) / 64 AS top_ink, CAST(page_id % 8 AS DOUBLE) / 128 AS bottom_ink, CAST(page_id % 16 AS DOUBLE) / 32 AS edge_density FROM {pages}"
 BLOCKS = "SELECT conv_id AS doc_id, turn AS block_id, turn AS pos, CAST(conv_id % 3 AS BIGINT) AS revision, role <> 'system' AS is_text, 'paragraph' AS role FROM {conversations}"
 ROLES = "SELECT conv_id AS doc_id, turn AS block_id, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'title' ELSE 'heading' || CAST(1 + turn % 3 AS STRING) END AS role FROM {conversations} WHERE turn < 3"
-CELLS = "SELECT CAST(l_orderkey % 300 AS BIGINT) AS table_id, CAST(l_linenumber % 3 AS INT) AS row, CAST(l_partkey % 4 AS INT) AS col, CAST(l_partkey % 4 AS DOUBLE) * 50 + CASE WHEN l_orderkey % 300 % 7 = 0 THEN CAST(l_suppkey % 2 AS DOUBLE) ELSE 0.0E0 END AS x0, CAST(l_linenumber % 3 AS DOUBLE) * 20 AS y0, CAST(l_partkey % 4 AS DOUBLE) * 50 + 49 AS x1, CAST(l_linenumber % 3 AS DOUBLE) * 20 + 19 AS y1 FROM {lineitem}"
+CELLS = "SELECT o_orderkey AS table_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, c * 50.0E0 + CASE WHEN o_orderkey % 7 = 0 AND r = 1 AND c = 1 THEN 0.3E0 WHEN o_orderkey % 11 = 0 AND r = 2 THEN 0.05E0 ELSE 0.0E0 END AS x0, r * 20.0E0 AS y0, c * 50.0E0 + CASE WHEN o_orderkey % 13 = 0 AND r = 0 THEN 0.0E0 ELSE 49.0E0 END AS x1, r * 20.0E0 + 19 AS y1 FROM {orders}, (SELECT l_linenumber - 1 AS r FROM {lineitem} GROUP BY l_linenumber) a, (SELECT l_linenumber - 1 AS c FROM {lineitem} GROUP BY l_linenumber) b WHERE r < 2 + o_orderkey % 2 AND c < 3 AND NOT (o_orderkey % 5 = 0 AND r = 1 AND c = 0)"
 
 
 def _orders(s, d):
@@ -117,8 +154,19 @@ def _orders(s, d):
     return ids.select("doc_id", F.lit(1).cast("long").alias("revision"), F.when(F.col("doc_id") % 4 == 0, F.slice("block_ids", 1, 1)).otherwise(F.col("block_ids")).alias("block_ids"))
 
 
-_BL, _RO, _CE, _WO = (plain(x, t) for x, t in ((BLOCKS, "conversations"), (ROLES, "conversations"), (CELLS, "lineitem"), (WORDS, "lineitem")))
-_REGIONS = [("header", "top_ink > 0.01", "0.0", "0.0", "width", "height * 0.1"), ("table", "edge_density > 0.15", "0.0", "height * 0.1", "width", "height * 0.8"), ("text", "edge_density <= 0.15 AND middle_ink < 0.02", "0.0", "height * 0.1", "width / 2", "height * 0.8"), ("text", "edge_density <= 0.15 AND middle_ink < 0.02", "width / 2", "height * 0.1", "width / 2", "height * 0.8"), ("text", "edge_density <= 0.15 AND NOT middle_ink < 0.02", "0.0", "height * 0.1", "width", "height * 0.8"), ("footer", "bottom_ink > 0.01", "0.0", "height * 0.9", "width", "height * 0.1"), ("page_number", "bottom_ink > 0 AND bottom_ink <= 0.01", "width * 0.45", "height * 0.95", "width * 0.1", "height * 0.05")]
+_BL, _RO, _WO = (plain(x, t) for x, t in ((BLOCKS, "conversations"), (ROLES, "conversations"), (WORDS, "lineitem")))
+_CE = plain(CELLS, "orders", "lineitem")
+_REGIONS = f"""
+WITH p AS (SELECT *, (width * 0.08::DOUBLE)::DOUBLE AS m, (height * 0.08::DOUBLE)::DOUBLE AS b, top_ink > 0.02 AS hd, bottom_ink > 0.02 AS ft, edge_density > 0.15 AND edge_density < 0.4 AS tb, width > height * 1.15::DOUBLE AS wide FROM ({plain(STATS, 'pages')})),
+q AS (SELECT * REPLACE (floor(m)::INT AS m, floor(b)::INT AS b) FROM p), r AS (SELECT *, CASE WHEN hd THEN b ELSE 0 END AS t, CASE WHEN ft THEN height - b ELSE height END AS e FROM q),
+s AS (SELECT *, t + floor((e - t) * 0.1::DOUBLE)::INT AS tt, floor((e - t) * 0.3::DOUBLE)::INT AS th FROM r), u AS (SELECT *, CASE WHEN tb THEN tt + th ELSE t END AS y, (width - 3 * m) // 2 AS cw FROM s)
+SELECT page_id, 'header' AS kind, 0 AS x, 0 AS y, width AS w, b AS h, round(least(1.0, top_ink * 10), 2)::DOUBLE AS confidence FROM u WHERE hd
+UNION ALL SELECT page_id, 'footer', 0, height - b, width, b, round(least(1.0, bottom_ink * 10), 2)::DOUBLE FROM u WHERE ft
+UNION ALL SELECT page_id, 'table', m, tt, width - 2 * m, th, 0.4 FROM u WHERE tb
+UNION ALL SELECT page_id, 'text', m, y, CASE WHEN wide THEN cw ELSE width - 2 * m END, e - y, 0.5 FROM u
+UNION ALL SELECT page_id, 'text', 2 * m + cw, y, cw, e - y, 0.5 FROM u WHERE wide
+UNION ALL SELECT page_id, 'page_number', width - m, height - b, m // 2, b, 0.3 FROM u WHERE ft
+"""
 
 QUERIES = {
     "normalize_words": lambda s, d: normalize_words(derived(s, d, WORDS, "lineitem"), 2.0),
@@ -127,16 +175,21 @@ QUERIES = {
     "page_regions": lambda s, d: page_regions(derived(s, d, STATS, "pages")),
     "apply_order": lambda s, d: apply_order(derived(s, d, BLOCKS, "conversations"), _orders(s, d)),
     "apply_roles": lambda s, d: apply_roles(derived(s, d, BLOCKS, "conversations"), derived(s, d, ROLES, "conversations")),
-    "table_grid": lambda s, d: table_grid(derived(s, d, CELLS, "lineitem")),
-    "crop_table": lambda s, d: table_grid(crop_table(derived(s, d, CELLS, "lineitem"), (1, 2), (0, 1))),
+    "table_grid": lambda s, d: table_grid(derived(s, d, CELLS, "orders", "lineitem")),
+    "crop_table": lambda s, d: table_grid(crop_table(derived(s, d, CELLS, "orders", "lineitem"), (0, 2), (1, 2))),
 }
-_GRID = "SELECT table_id, max(row) + 1 AS rows, max(col) + 1 AS columns, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(off) <= 0.1 AS regular FROM (SELECT *, greatest(max(y0) OVER r - min(y0) OVER r, max(y1) OVER r - min(y1) OVER r, max(x0) OVER c - min(x0) OVER c, max(x1) OVER c - min(x1) OVER c) AS off FROM ({}) WINDOW r AS (PARTITION BY table_id, row), c AS (PARTITION BY table_id, col)) GROUP BY table_id"
+_GRID = """
+SELECT table_id, max(row) + 1 AS rows, max(col) + 1 AS columns, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+  count(*) = count(DISTINCT (row, col)) AND count(*) = (max(row) + 1) * (max(col) + 1) AND bool_and(x0 < x1 AND y0 < y1 AND abs(x0 - cx0) <= 0.1 AND abs(x1 - cx1) <= 0.1 AND abs(y0 - ry0) <= 0.1 AND abs(y1 - ry1) <= 0.1) AS regular
+FROM (SELECT *, first_value(x0) OVER c AS cx0, first_value(x1) OVER c AS cx1, first_value(y0) OVER r AS ry0, first_value(y1) OVER r AS ry1 FROM ({}) WINDOW c AS (PARTITION BY table_id, col ORDER BY row), r AS (PARTITION BY table_id, row ORDER BY col))
+GROUP BY table_id
+"""
 SQL = {
     "normalize_words": f"SELECT page_id, word_id, trim(text) AS text, \"left\" / 2 AS x0, top / 2 AS y0, (\"left\" + width) / 2 AS x1, (top + height) / 2 AS y1, greatest(0.0, conf / 100) AS confidence FROM ({_WO}) WHERE level = 5 AND trim(text) <> ''",
     "ocr_confidence": f"SELECT page_id, round(coalesce(avg(conf) FILTER (conf <> -1) / 100, 0.0) + 1e-9, 4) AS confidence FROM ({_WO}) GROUP BY page_id",
-    "page_regions": " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, ({x})::DOUBLE AS x, ({y})::DOUBLE AS y, ({w})::DOUBLE AS w, ({h})::DOUBLE AS h FROM ({plain(STATS, 'pages')}) WHERE {c}" for k, c, x, y, w, h in _REGIONS),
+    "page_regions": _REGIONS,
     "apply_order": f"SELECT doc_id, block_id, CASE WHEN ok THEN n - 1 - pos_rank ELSE pos END AS pos, ok AS reordered FROM (SELECT *, revision = 1 AND (doc_id % 4 <> 0 OR n = 1) AS ok FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS pos_rank FROM ({_BL})))",
     "apply_roles": f"SELECT b.doc_id, b.block_id, coalesce(CASE WHEN g.ok THEN c.role END, b.role) AS role FROM ({_BL}) b LEFT JOIN ({_RO}) c USING (doc_id, block_id) LEFT JOIN (SELECT c.doc_id, bool_and(c.role <> 'title' AND b.is_text) AS ok FROM ({_RO}) c JOIN ({_BL}) b USING (doc_id, block_id) GROUP BY c.doc_id) g ON g.doc_id = b.doc_id",
     "table_grid": _GRID.format(_CE),
-    "crop_table": _GRID.format(f"SELECT * REPLACE (row - 1 AS row) FROM ({_CE}) WHERE row BETWEEN 1 AND 2 AND col BETWEEN 0 AND 1"),
+    "crop_table": _GRID.format(f"SELECT * REPLACE (col - 1 AS col) FROM ({_CE}) WHERE row <= 2 AND col BETWEEN 1 AND 2 AND table_id IN (SELECT table_id FROM ({_CE}) GROUP BY table_id HAVING max(row) >= 2 AND max(col) >= 2)"),
 }

@@ -5,6 +5,9 @@ heads, years, DOIs and ISBNs are joined on equal keys and then checked, so a pai
 that no signal ties together never exists; its score would be 0.
 """
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..sources.staging import kept
 WEIGHTS = {"manual": 100.0, "author": 1.0, "title_overlap": 2.0, "title_in_filename": 1.5, "year": 0.15, "doi": 2.0, "isbn": 1.5}
 THRESHOLD, FUZZY, EMPTY, TITLE, AUTHORS = 0.30, 0.6, 100, 15, 5
 KEY = 4
+#: Fixed value: a title that says there is none.
+NO_TITLE = "Unknown"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -58,6 +63,9 @@ def author_signal(feats: DataFrame, bib: DataFrame, fuzzy: bool = True) -> DataF
     # distinct words against distinct authors of a length that can be similar enough, then back to the documents
     sized = names.select("author", T.normalize_text(F.col("author")).alias("a")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(4), F.ceil(F.length("a") * FUZZY / (2 - FUZZY))), F.greatest(F.lit(4), F.floor(F.length("a") * (2 - FUZZY) / FUZZY)))))
     pairs = vocabulary.where(F.length("word") >= 4).withColumn("len", F.length("word").cast("long")).join(sized, "len")
+    # no more characters can match than each has of the other's letters
+    of_a, of_word = (F.length(x) - F.length(F.expr(f"translate({x}, {y}, '')")) for x, y in (("a", "word"), ("word", "a")))
+    pairs = pairs.where(2 * F.least(of_a, of_word) >= FUZZY * (F.length("a") + F.length("word")))
     alike = pairs.select(F.col("a").alias("author"), "word", F.col("author").alias("name")).mapInPandas(helpers.similar_pairs(FUZZY), "author string, word string, name string")
     close = words.join(alike.select("word", F.col("name").alias("author")), "word").select("doc_id", "author").distinct()
     return found.union(close.join(found, ["doc_id", "author"], "left_anti").select("doc_id", "author", F.lit(0.8)))
@@ -65,7 +73,7 @@ def author_signal(feats: DataFrame, bib: DataFrame, fuzzy: bool = True) -> DataF
 
 def title_overlap(feats: DataFrame, bib: DataFrame) -> DataFrame:
     """(doc_id, item_pos, score): share of the title's keywords in the text, or 1.25 times that in the file name."""
-    titles = bib.select("item_pos", T.keywords(T.normalize_text(F.col("title"))).alias("k")).select("item_pos", F.size("k").alias("n"), F.explode("k").alias("word"))
+    titles = bib.where(F.col("title") != NO_TITLE).select("item_pos", T.keywords(T.normalize_text(F.col("title"))).alias("k")).select("item_pos", F.size("k").alias("n"), F.explode("k").alias("word"))
     words = feats.select("doc_id", F.explode(T.keywords(F.col("norm"))).alias("word"), F.lit(1.0).alias("w")).union(feats.select("doc_id", F.explode(T.keywords(F.col("file_norm"))), F.lit(1.25)))
     wanted = titles.select("word").distinct()
     kept = words.join(wanted, "word", "left_semi")  # words of no title go before the wide join
@@ -85,24 +93,62 @@ def title_in_filename(feats: DataFrame, bib: DataFrame) -> DataFrame:
     return found.select("doc_id", "item_pos", F.when(F.col("latin") == 0, "title_in_filename").otherwise("title_translit_in_filename").alias("name"), score.alias("score"))
 
 
+def years_seen(feats: DataFrame, bib: DataFrame) -> DataFrame:
+    """(doc_id, y): years of the bibliography that stand in a text or file name, also inside longer numbers; each is found by its digits."""
+    years = bib.where("year is not null").select(F.col("year").cast("string").alias("y")).distinct()
+    lengths = sorted(r["n"] for r in years.select(F.length("y").alias("n")).distinct().collect())  # a number can have ten lengths
+    if not lengths:
+        return feats.select("doc_id", F.lit("").alias("y")).limit(0)
+    both = F.concat_ws("\n", "text", "filename")
+    runs = F.array_distinct(F.concat(*(F.regexp_extract_all(both, F.lit(rf"(?=([0-9]{{{n}}}))"), 1) for n in lengths)))
+    return feats.select("doc_id", F.explode(runs).alias("y")).join(years, "y", "left_semi")
+
+
 def year_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    years = bib.where("year is not null").agg(F.collect_set(F.col("year").cast("string")).alias("years"))  # one row of distinct years
-    at = feats.crossJoin(F.broadcast(years)).select("doc_id", F.explode(F.filter("years", lambda y: F.col("text").contains(y) | F.col("filename").contains(y))).alias("y"))
-    return at.join(bib.select("item_pos", F.col("year").cast("string").alias("y")), "y").select("doc_id", "item_pos", F.lit(1.0).alias("score"))
+    return years_seen(feats, bib).join(bib.select("item_pos", F.col("year").cast("string").alias("y")), "y").select("doc_id", "item_pos", F.lit(1.0).alias("score"))
+
+
+def year_for_best(feats: DataFrame, bib: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of year_match that can decide a best match: pairs with another signal, and of each year the first item.
+
+    A year alone is the least of all signals, so of the items that have nothing else only
+    the first can be a document's best one.
+    """
+    seen = years_seen(feats, bib)
+    dated = bib.where("year is not null").select("item_pos", F.col("year").cast("string").alias("y"))
+    first = seen.join(dated.groupBy("y").agg(F.min("item_pos").alias("item_pos")), "y").select("doc_id", "item_pos")
+    paired = others.select("doc_id", "item_pos").distinct().join(dated, "item_pos").join(seen, ["doc_id", "y"]).select("doc_id", "item_pos")
+    return first.union(paired).distinct().withColumn("score", F.lit(1.0))
+
+
+def whole_in(hay: DataFrame, needles: DataFrame, at: str = "") -> DataFrame:
+    """(doc_id, item_pos): needles (item_pos, needle) that stand in the texts (doc_id, hay), by one join on whole needles.
+
+    The texts are cut into windows of each length that a needle has, from every place or
+    only from those where `at` (a plain string that all needles begin with) stands.
+    """
+    lengths = sorted(r["n"] for r in needles.select(F.length("needle").alias("n")).distinct().collect())  # a row for each length
+    if not lengths:
+        return hay.select("doc_id", F.lit(0).cast("long").alias("item_pos")).limit(0)
+    head = re.escape(at)
+    runs = [F.regexp_extract_all("hay", F.lit(rf"(?s)(?=({head}.{{{n - len(at)}}}))"), 1) for n in lengths]
+    windows_ = hay.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("needle"))
+    return windows_.join(needles, "needle").select("doc_id", "item_pos").distinct()
 
 
 def doi_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    """DOIs start with 10., so only places where a text has that are looked at."""
-    places = F.regexp_extract_all(F.lower("text"), F.lit(r"(?s)(?=(10\..{5}))"), 1)
-    texts = feats.select("doc_id", F.lower("text").alias("low"), F.explode(F.array_distinct(places)).alias("key"))
-    wanted = bib.where("doi <> ''").select("item_pos", F.lower("doi").alias("doi")).withColumn("key", F.substring("doi", 1, 8))
-    return texts.join(wanted, "key").where("contains(low, doi)").select("doc_id", "item_pos", F.lit(1.0).alias("score")).distinct()
+    """DOIs start with 10., so windows begin only there; others are looked for at every place."""
+    texts, low = feats.select("doc_id", F.lower("text").alias("hay")), F.lower("doi")
+    wanted = bib.where("doi <> ''").select("item_pos", low.alias("needle"))
+    usual = F.col("needle").startswith("10.")
+    return whole_in(texts, wanted.where(usual), "10.").union(whole_in(texts, wanted.where(~usual))).withColumn("score", F.lit(1.0))
 
 
 def isbn_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
+    """An ISBN's digits among the digits of a text."""
     digits = lambda c: F.regexp_replace(c, r"(?U)\D", "")
     texts = feats.select("doc_id", digits(F.col("text")).alias("hay")).where("hay <> ''")
-    return containing(texts, bib.select("item_pos", digits(F.col("isbn")).alias("needle"))).select("doc_id", "item_pos", F.lit(1.0).alias("score")).distinct()
+    return whole_in(texts, bib.select("item_pos", digits(F.col("isbn")).alias("needle")).where("needle <> ''")).withColumn("score", F.lit(1.0))
 
 
 def manual_match(feats: DataFrame, mapping: DataFrame, bib: DataFrame) -> DataFrame:
@@ -116,17 +162,21 @@ def load_manual_matches(defaults: DataFrame, extra: DataFrame) -> DataFrame:
     return defaults.join(given, "stem", "left_anti").select("stem", "item_pos").union(given)
 
 
-def all_signals(feats: DataFrame, bib: DataFrame, fuzzy: bool = True, weights: dict | None = None) -> DataFrame:
-    """Long table doc_id, item_pos, name, score, weight of the signals above 0."""
+def all_signals(feats: DataFrame, bib: DataFrame, fuzzy: bool = True, weights: dict | None = None, for_best: bool = False) -> DataFrame:
+    """Long table doc_id, item_pos, name, score, weight of the signals above 0; for_best leaves out years that cannot decide a best match."""
     w = WEIGHTS | (weights or {})
     authors = author_signal(feats, bib, fuzzy).join(bib.select("item_pos", F.explode(F.slice("authors", 1, AUTHORS)).alias("author")), "author")
     parts = [authors.select("doc_id", "item_pos", F.lit("author").alias("name"), "score", F.lit(w["author"]).alias("weight"))]
     parts += [title_in_filename(feats, bib).select("doc_id", "item_pos", "name", "score", F.lit(w["title_in_filename"]))]
-    parts += [f(feats, bib).select("doc_id", "item_pos", F.lit(n), "score", F.lit(w[n])) for n, f in (("title_overlap", title_overlap), ("year", year_match), ("doi", doi_match), ("isbn", isbn_match))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    parts += [f(feats, bib).select("doc_id", "item_pos", F.lit(n), "score", F.lit(w[n])) for n, f in (("title_overlap", title_overlap), ("doi", doi_match), ("isbn", isbn_match))]
+    out = reduce(DataFrame.union, parts)
+    least = min(v for k, v in w.items() if k != "year")
+    if for_best and 0 < w["year"] <= least:  # else a year can outweigh other signals
+        out = kept(out, "signals")
+        years = year_for_best(feats, bib, out)
+    else:
+        years = year_match(feats, bib)
+    return out.union(years.select("doc_id", "item_pos", F.lit("year"), "score", F.lit(w["year"])))
 
 
 def score(signals: DataFrame) -> DataFrame:
@@ -143,7 +193,7 @@ def best_match(docs: DataFrame, scored: DataFrame, threshold: float = THRESHOLD)
 def match_files(docs: DataFrame, bib: DataFrame, mapping: DataFrame | None = None, threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """Best match of each document; a manual match wins with the manual weight."""
     feats = kept(features(docs), "features")
-    auto = best_match(docs, score(all_signals(feats, bib, fuzzy)), threshold)
+    auto = best_match(docs, score(all_signals(feats, bib, fuzzy, for_best=True)), threshold)
     if mapping is None:
         return auto
     manual = manual_match(feats, mapping, bib).select("doc_id", F.col("item_pos").alias("manual"))
@@ -170,14 +220,14 @@ def match_stats(matches: DataFrame, bib: DataFrame) -> DataFrame:
 
 
 MBIB = """
-SELECT item_id + 1 AS item_pos, substr(text, 1, 60) AS title, split_part(text, ' ', 3) || ';' || split_part(text, ' ', 6) || CASE WHEN item_id % 5 = 0 THEN '; Щукин; Kuhn-Lee' ELSE '' END AS authors_text,
-  CAST(1950 + item_id % 70 AS STRING) AS year_text, 'article' AS doc_type, '10.1234/B' || CAST(item_id AS STRING) AS doi, '978-5-' || CAST(10000 + item_id AS STRING) || '-1' AS isbn
+SELECT item_id + 1 AS item_pos, CASE WHEN item_id % 17 = 3 THEN 'Unknown' ELSE substr(text, 1, 60) END AS title, split_part(text, ' ', 3) || ';' || split_part(text, ' ', 6) || CASE WHEN item_id % 5 = 0 THEN '; Щукин; Kuhn-Lee' ELSE '' END AS authors_text,
+  CAST(1950 + item_id % 70 AS STRING) AS year_text, 'article' AS doc_type, CASE WHEN item_id % 19 = 7 THEN '10.1/ab' WHEN item_id % 19 = 8 THEN 'x/Y' ELSE '10.1234/B' || CAST(item_id AS STRING) END AS doi, CASE WHEN item_id % 19 = 5 THEN '123' ELSE '978-5-' || CAST(10000 + item_id AS STRING) || '-1' END AS isbn
 FROM {benchmark}
 """
 MDOCS = """
-SELECT doc_id, CASE WHEN doc_id % 15 = 0 THEN 'short' ELSE d.text || CASE doc_id % 10 WHEN 1 THEN ' published 1955 doi 10.1234/b' || CAST(doc_id % 40 AS STRING) WHEN 2 THEN ' isbn 978-5-' || CAST(10000 + doc_id % 40 AS STRING) || '-1' WHEN 3 THEN ' by Щукин, and Kuhn-Lee' WHEN 4 THEN ' by schukin' ELSE '' END END AS text,
+SELECT doc_id, d.text || CASE doc_id % 10 WHEN 1 THEN ' published 1955 doi 10.1234/b' || CAST(doc_id % 40 AS STRING) WHEN 2 THEN ' isbn 978-5-' || CAST(10000 + doc_id % 40 AS STRING) || '-1' WHEN 3 THEN ' by Щукин, and Kuhn-Lee' WHEN 4 THEN ' by schukin' WHEN 5 THEN ' see 10.1/AB and x/y in 1123' ELSE '' END AS text,
   CASE doc_id % 6 WHEN 0 THEN replace(substr(coalesce(b.text, 'none'), 1, 60), ' ', '_') WHEN 1 THEN split_part(coalesce(b.text, 'a b none'), ' ', 3) || '_' || CAST(doc_id AS STRING) ELSE 'file_' || CAST(doc_id AS STRING) END || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.TXT' END AS filename
-FROM {documents} d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id % 40
+FROM (SELECT doc_id, text FROM {documents} UNION ALL SELECT doc_id + 1000000000, 'short' FROM {documents} WHERE doc_id % 15 = 0) d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id % 40
 """
 MANUAL = "SELECT 'file_' || CAST(doc_id AS STRING) AS stem, CAST(1 + quality + toxic * 500 AS BIGINT) AS item_pos FROM {labels} WHERE doc_id % 3 = 0"
 EXTRA = "SELECT '{{\"file_' || CAST(doc_id AS STRING) || '\": ' || CAST(2 + quality AS STRING) || '}}' AS json FROM {labels} WHERE doc_id % 9 = 0 UNION ALL SELECT 'not json' FROM {region}"
@@ -206,7 +256,12 @@ def _matched(s, d, fuzzy=False):
 
 
 def _auto(s, d):
-    return best_match(_docs(s, d), score(all_signals(_feats(s, d), _bib(s, d), False)))
+    return best_match(_docs(s, d), score(all_signals(_feats(s, d), _bib(s, d), False, for_best=True)))
+
+
+def _report(s, d):
+    signals = kept(all_signals(_feats(s, d), _bib(s, d), False, for_best=True), "signals")
+    return match_report(best_match(_docs(s, d), score(signals)), signals.withColumn("score", F.round("score", 6)))
 
 
 def _names(bib):
@@ -228,7 +283,7 @@ b AS MATERIALIZED (SELECT *, list_filter(list_transform(string_split(authors_tex
 au AS MATERIALIZED (SELECT author, {_N('author')} AS a, {_translit('author')} AS la FROM (SELECT DISTINCT unnest(authors[1:5]) AS author FROM b) WHERE length(author) > 3),
 sig_author AS MATERIALIZED (SELECT doc_id, author, greatest(CASE WHEN contains(fnorm, a) THEN 1.2 WHEN contains(fnorm, la) THEN 1.1 ELSE 0 END, CASE WHEN contains(norm, a) THEN 1.0 WHEN contains(norm, la) THEN 0.9 ELSE 0 END)::DOUBLE AS score FROM d, au WHERE contains(fnorm, a) OR contains(fnorm, la) OR contains(norm, a) OR contains(norm, la)),
 dk AS MATERIALIZED (SELECT doc_id, list_distinct(regexp_extract_all(norm, '{T.KEYWORD}')) AS k, list_distinct(regexp_extract_all(fnorm, '{T.KEYWORD}')) AS fk FROM d),
-sig_overlap AS (SELECT doc_id, item_pos, greatest(len(list_intersect(kw, k)) / len(kw)::DOUBLE, 1.25 * len(list_intersect(kw, fk)) / len(kw)::DOUBLE) AS score FROM dk, b WHERE len(kw) > 0 AND (len(list_intersect(kw, k)) > 0 OR len(list_intersect(kw, fk)) > 0)),
+sig_overlap AS (SELECT doc_id, item_pos, greatest(len(list_intersect(kw, k)) / len(kw)::DOUBLE, 1.25 * len(list_intersect(kw, fk)) / len(kw)::DOUBLE) AS score FROM dk, b WHERE title <> 'Unknown' AND len(kw) > 0 AND (len(list_intersect(kw, k)) > 0 OR len(list_intersect(kw, fk)) > 0)),
 sig_file AS (SELECT doc_id, item_pos, CASE WHEN h THEN 'title_in_filename' ELSE 'title_translit_in_filename' END AS name, CASE WHEN NOT is_empty THEN 1.0 WHEN h THEN 2.0 ELSE 2.5 END::DOUBLE AS score FROM (
   SELECT doc_id, item_pos, is_empty, contains(replace(fnorm, ' ', '_'), replace(substr({_N('title')}, 1, 60), ' ', '_')) AS h, length(title) > 15 AND contains(replace(fnorm, ' ', '_'), replace({_translit('title')}, ' ', '_')) AS l FROM d, b WHERE length(title) >= 15) WHERE h OR l),
 sig_year AS (SELECT doc_id, item_pos, 1.0::DOUBLE AS score FROM d, b WHERE contains(text, year_text) OR contains(filename, year_text)),
@@ -258,7 +313,7 @@ QUERIES = {
     "best_match": _auto,
     "match_files": _matched,
     "match_files_fuzzy": lambda s, d: _matched(s, d, True),
-    "match_report": lambda s, d: match_report(_auto(s, d), all_signals(_feats(s, d), _bib(s, d), False).withColumn("score", F.round("score", 6))),
+    "match_report": _report,
     "match_preview": lambda s, d: match_preview(_matched(s, d), _docs(s, d), _names(_bib(s, d))),
     "match_stats": lambda s, d: match_stats(_matched(s, d), _bib(s, d)),
 }

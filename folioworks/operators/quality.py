@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import helpers
 from ..plans.inputs import derived, plain, table
 
-SIDE = 160
+#: What an accepted pair of page images has at least, and at most.
+LEAST_SIMILARITY, MOST_HASH_DISTANCE, LEAST_OVERLAP = 0.90, 20, 0.30
 
 
 def inspect_blocks(blocks: DataFrame) -> DataFrame:
@@ -83,11 +84,12 @@ def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def exact_text_gate(source: DataFrame, target: DataFrame) -> DataFrame:
-    """unmatched: source paragraphs (not blank) that the target lacks, with repeats; accepted if none."""
-    clean = lambda df, n: df.where(F.trim("text") != "").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.count("*").alias(n))
-    both = clean(source, "n").join(clean(target, "m"), ["doc_id", "h", "l"], "left")
-    out = both.groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("unmatched"))
-    return out.select("doc_id", "unmatched", (F.col("unmatched") == 0).alias("accepted"))
+    """unmatched: source paragraphs (not blank) that the target lacks, with repeats; accepted if none, so also where all source paragraphs are blank."""
+    clean = lambda df, n: df.where(F.trim("text") != "").groupBy("doc_id", F.sha2("text", 256).alias("h")).agg(F.count("*").alias(n))
+    both = clean(source, "n").join(clean(target, "m"), ["doc_id", "h"], "left")
+    lacking = both.groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("unmatched"))
+    out = source.select("doc_id").distinct().join(lacking, "doc_id", "left").select("doc_id", F.coalesce("unmatched", F.lit(0)).alias("unmatched"))
+    return out.withColumn("accepted", F.col("unmatched") == 0)
 
 
 def text_flow_gate(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -107,7 +109,8 @@ def object_budget(diff: DataFrame, limit: int) -> DataFrame:
 
 
 def heading_budget(diff: DataFrame, limit: int) -> DataFrame:
-    bad = (F.col("kind") == "heading") & F.col("change").isin("lost", "edited", "moved")
+    """Headings lost or edited per document against a limit; one that only moved is kept."""
+    bad = (F.col("kind") == "heading") & F.col("change").isin("lost", "edited")
     out = diff.groupBy("doc_id").agg(F.count_if(bad).alias("changed"))
     return out.select("doc_id", "changed", (F.col("changed") <= limit).alias("accepted"), F.when(F.col("changed") > limit, "heading_budget_exceeded").otherwise("ok").alias("reason"))
 
@@ -179,8 +182,8 @@ def latest_measurement(measures: DataFrame, revisions: DataFrame) -> DataFrame:
     return newest.select("task_id", "page", F.col("m.revision").alias("revision"), F.col("m.value").alias("value")).join(revisions, ["task_id", "revision"], "left_semi")
 
 
-def compare_rasters(pairs: DataFrame, most_rmse: float = 64.0) -> DataFrame:
-    """Grey rasters (pair_id, ref, cand, width): similarity, rmse, distance of 64-bit difference hashes, overlap of what is darker than 246."""
+def compare_rasters(pairs: DataFrame) -> DataFrame:
+    """Grey rasters (pair_id, ref, cand, width): similarity, rmse (both as shares of 255), distance of 64-bit difference hashes, overlap of what is darker than 246; accepted by similarity, distance and overlap."""
 
     @F.pandas_udf("similarity double, rmse double, hash_distance int, overlap double")
     def measure(ref: pd.Series, cand: pd.Series, width: pd.Series) -> pd.DataFrame:
@@ -190,11 +193,11 @@ def compare_rasters(pairs: DataFrame, most_rmse: float = 64.0) -> DataFrame:
             ink_a, ink_b = a < 246, b < 246
             union = (ink_a | ink_b).sum()
             bits = helpers.difference_bits(a) ^ helpers.difference_bits(b)
-            out.append((max(0.0, 1 - np.abs(a - b).mean() / 255), float(np.sqrt(((a - b) ** 2).mean())), bits.bit_count(), float((ink_a & ink_b).sum() / union) if union else 1.0))
+            out.append((max(0.0, 1 - np.abs(a - b).mean() / 255), float(np.sqrt(((a - b) ** 2).mean())) / 255, bits.bit_count(), float((ink_a & ink_b).sum() / union) if union else 1.0))
         return pd.DataFrame(out, columns=["similarity", "rmse", "hash_distance", "overlap"])
 
     got = pairs.select("pair_id", measure("ref", "cand", "width").alias("m")).select("pair_id", "m.*")
-    return got.withColumn("accepted", F.col("rmse") <= most_rmse)
+    return got.withColumn("accepted", (F.col("similarity") >= LEAST_SIMILARITY) & (F.col("hash_distance") <= MOST_HASH_DISTANCE) & (F.col("overlap") >= LEAST_OVERLAP))
 
 
 TARGET = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') WHEN 2 THEN text || chr(10) || 'added line' ELSE replace(text, ' the ', ' a ') END AS text FROM {documents}"
@@ -247,7 +250,7 @@ _SRC, _TGT = _LINES.format("SELECT * FROM documents"), _LINES.format(plain(TARGE
 _METRICS = "SELECT doc_id, unnest(['blocks', 'headings', 'paragraphs', 'list_items', 'characters', 'runs', 'links']) AS metric, unnest([count(*), count(*) FILTER (kind = 'heading'), count(*) FILTER (kind = 'paragraph'), 0, sum(length(text))::BIGINT, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT, count(*) FILTER (regexp_matches(text, 'https?://'))]) AS value FROM ({}) GROUP BY doc_id"
 _RES = plain(RESOURCES, "lineitem")
 _REST = f"SELECT * FROM ({_RES}) WHERE NOT (sha256 = 'r3' OR (doc_id % 4 = 0 AND sha256 = 'r5'))"
-_EXACT = f"SELECT doc_id, sum(greatest(n - coalesce(m, 0), 0))::BIGINT AS unmatched, sum(greatest(n - coalesce(m, 0), 0)) = 0 AS accepted FROM (SELECT doc_id, text, count(*) AS n FROM ({_SRC}) WHERE trim(text) <> '' GROUP BY ALL) LEFT JOIN (SELECT doc_id, text, count(*) AS m FROM ({_TGT}) GROUP BY ALL) USING (doc_id, text) GROUP BY doc_id"
+_EXACT = f"SELECT doc_id, coalesce(u, 0)::BIGINT AS unmatched, coalesce(u, 0) = 0 AS accepted FROM (SELECT DISTINCT doc_id FROM ({_SRC})) LEFT JOIN (SELECT doc_id, sum(greatest(n - coalesce(m, 0), 0)) AS u FROM (SELECT doc_id, text, count(*) AS n FROM ({_SRC}) WHERE trim(text) <> '' GROUP BY ALL) LEFT JOIN (SELECT doc_id, text, count(*) AS m FROM ({_TGT}) GROUP BY ALL) USING (doc_id, text) GROUP BY doc_id) USING (doc_id)"
 _FLOW = f"SELECT doc_id, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) = trim(regexp_replace(t.text, '\\s+', ' ', 'g')) AS accepted FROM documents d JOIN ({plain(TARGET, 'documents')}) t USING (doc_id)"
 _O, _OT = plain(OBJECTS, "documents", "lineitem"), plain(OBJECTS_T, "documents", "lineitem")
 
@@ -300,7 +303,7 @@ SQL = {
     "object_budget": _DIFF + "SELECT doc_id, count(*) FILTER (change = 'lost') AS lost, count(*) FILTER (change = 'lost') <= 0 AS accepted FROM diff GROUP BY doc_id",
     "formula_budget": f"SELECT doc_id, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)))::BIGINT AS changed, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0))) <= 3 AS accepted FROM (SELECT doc_id, fingerprint, count(*) AS n FROM ({_FORM}) GROUP BY ALL) FULL JOIN (SELECT doc_id, fingerprint, count(*) AS m FROM ({_FORM}) WHERE NOT (fingerprint = 'f3.0' AND doc_id % 2 = 0) GROUP BY ALL) USING (doc_id, fingerprint) GROUP BY doc_id",
     "emphasis_budget": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n END AS changed, doc_id % 7 <> 0 AND n <= 500 AS accepted FROM (SELECT conv_id AS doc_id, sum(CASE WHEN conv_id % 3 = 0 AND turn % 2 <> 0 THEN length(regexp_replace(substr(text, 11), '\\s+', '', 'g')) ELSE 0 END)::BIGINT AS n FROM conversations GROUP BY conv_id)",
-    "heading_budget": _DIFF + "SELECT doc_id, count(*) FILTER (b) AS changed, count(*) FILTER (b) <= 0 AS accepted, CASE WHEN count(*) FILTER (b) > 0 THEN 'heading_budget_exceeded' ELSE 'ok' END AS reason FROM (SELECT *, kind = 'heading' AND change IN ('lost', 'edited', 'moved') AS b FROM diff) GROUP BY doc_id",
+    "heading_budget": _DIFF + "SELECT doc_id, count(*) FILTER (b) AS changed, count(*) FILTER (b) <= 0 AS accepted, CASE WHEN count(*) FILTER (b) > 0 THEN 'heading_budget_exceeded' ELSE 'ok' END AS reason FROM (SELECT *, kind = 'heading' AND change IN ('lost', 'edited') AS b FROM diff) GROUP BY doc_id",
     "loss_budget": f"SELECT doc_id, count(*) FILTER (severity = 'loss') AS losses, count(*) FILTER (severity = 'loss') <= 1 AS accepted FROM ({plain(ISSUES, 'lineitem')}) GROUP BY doc_id",
     "quality_gates": _DIFF + f", g AS (SELECT doc_id, 'exact_text' AS gate, accepted FROM ({_EXACT}) UNION ALL SELECT doc_id, 'text_flow', accepted FROM ({_FLOW}) UNION ALL SELECT doc_id, 'objects', count(*) FILTER (change = 'lost') <= 2 FROM diff GROUP BY doc_id), h AS (SELECT doc_id, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT ok), '') AS failed FROM (SELECT doc_id, gate, coalesce(accepted, false) AS ok FROM (SELECT DISTINCT doc_id FROM g) CROSS JOIN (SELECT unnest(['exact_text', 'objects', 'text_flow']) AS gate) LEFT JOIN g USING (doc_id, gate)) GROUP BY doc_id) SELECT doc_id, failed = '' AS accepted, failed FROM h",
     "latest_measurement": f"SELECT task_id, page, revision, value FROM (SELECT task_id, page, arg_max(revision, ts) AS revision, arg_max(value, ts) AS value FROM ({plain(MEASURES, 'events')}) GROUP BY ALL) JOIN ({plain(REVISIONS, 'events')}) USING (task_id, revision)",

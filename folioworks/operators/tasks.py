@@ -8,8 +8,8 @@ from ..plans.inputs import derived, plain
 
 #: Seconds a task lives, states that are active, states of a batch, bytes in an archive, rows in the task centre.
 TTL = 3600
-ACTIVE = ["queued", "running"]
-STATES = ["queued", "running", "done", "error", "cancelled", "expired"]
+ACTIVE = ["queued", "running", "cancelling"]
+STATES = ["queued", "running", "done", "error", "expired", "interrupted"]
 ARCHIVE_BYTES = 512 * 1024 * 1024
 CENTRE = 12
 
@@ -33,11 +33,16 @@ def task_counts(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("queue_kind") != "pipeline-input").groupBy("status").agg(F.count("*").alias("n"))
 
 
-def batch_history(jobs: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Each job with its files' states; a file whose task is gone is expired."""
+def batch_history(jobs: DataFrame, files: DataFrame, tasks: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest jobs with their files' states; a file whose task is gone is expired.
+
+    The six states are always counted, total counts files in any state; a job without
+    files has zeros.
+    """
+    shown = jobs if limit is None else jobs.orderBy(F.desc("ts"), "job_id").limit(limit)
     states = files.join(tasks.select("task_id", "status"), "task_id", "left").withColumn("status", F.coalesce("status", F.lit("expired")))
-    counted = states.groupBy("job_id").pivot("status", STATES).agg(F.count("task_id")).na.fill(0)
-    return jobs.select("job_id", "target_format").join(counted, "job_id").withColumn("total", sum((F.col(s) for s in STATES), F.lit(0)))
+    counted = states.groupBy("job_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATES), F.count("*").alias("total"))
+    return shown.select("job_id", "target_format", "ts").join(counted, "job_id", "left").na.fill(0, [*STATES, "total"])
 
 
 def batch_rollup(jobs: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -65,14 +70,22 @@ def selection_check(requested: DataFrame, files: DataFrame, tasks: DataFrame) ->
 
 
 def archive_manifest(files: DataFrame, tasks: DataFrame, cap: int = ARCHIVE_BYTES) -> DataFrame:
-    """Files of a job in order with ordinal names and running bytes; those beyond the cap, or without an artifact, are not included."""
-    rows = files.join(tasks.select("task_id", "status", "bytes"), "task_id", "left")
-    ready = F.coalesce(F.col("status") == "done", F.lit(False))
-    order = W.partitionBy("job_id").orderBy("pos", "task_id")
-    rows = rows.withColumn("size", F.when(ready, F.col("bytes")).otherwise(0))
-    rows = rows.withColumn("running", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order))
-    state = F.when(~ready, "unavailable").when(F.col("running") > cap, "too_large").otherwise("included")
-    return rows.select("job_id", "pos", "task_id", F.format_string("%03d", "nth").alias("name"), state.alias("state"), "running")
+    """Files of a job in order, their state, and the name each has in the archive.
+
+    A done task's artifact is packed under the file's number in the job; a done task
+    without one is unavailable, other tasks keep their state.  If the artifacts exceed
+    the cap, or there is none, the archive is refused as a whole.
+    """
+    rows = files.join(tasks.select("task_id", "status", "artifact", "bytes"), "task_id", "left").withColumn("status", F.coalesce("status", F.lit("expired")))
+    done = F.col("status") == "done"
+    packed = done & (F.coalesce("artifact", F.lit("")) != "")
+    job = W.partitionBy("job_id")
+    order = job.orderBy("pos", "task_id")
+    rows = rows.withColumns({"packed": packed, "size": F.when(packed, F.col("bytes")).otherwise(0), "nth": F.row_number().over(order)})
+    rows = rows.withColumns({"running": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)), "all_bytes": F.sum("size").over(job), "n_packed": F.count_if("packed").over(job)})
+    refused = F.when(F.col("all_bytes") > cap, "too_large").when(F.col("n_packed") == 0, "nothing_ready")
+    name = F.when(F.col("packed") & refused.isNull(), F.format_string("%02d/%s", "nth", "artifact"))
+    return rows.select("job_id", "pos", "task_id", F.when(done & ~F.col("packed"), "unavailable").otherwise(F.col("status")).alias("state"), name.alias("file"), "running", refused.alias("refused"))
 
 
 def recover_tasks(tasks: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -97,16 +110,24 @@ def name_clashes(datasets: DataFrame) -> DataFrame:
 
 
 def library_upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base after changes (id or null, title, year, deleted): known ids keep what is null in the change, rows without id get new ones after the greatest."""
-    edits = changes.where("id is not null")
-    kept = base.join(edits.where("deleted").select("id"), "id", "left_anti")
-    new = edits.where("not deleted").select("id", F.col("title").alias("t"), F.col("year").alias("y"))
-    updated = kept.join(new, "id", "left").select("id", F.coalesce("t", "title").alias("title"), F.coalesce("y", "year").alias("year"))
-    # new ids by counts of hash parts, so no window runs over the whole table
-    fresh = changes.where("id is null").withColumn("part", F.pmod(F.xxhash64("title", "year"), F.lit(256)))
-    before = fresh.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    """base after changes (change_id, id or null, title, year, deleted).
+
+    Changes of an id count as one: the last value that is not null of each field, and
+    deleted if any of them says so (null: it does not).  Known ids keep what no change
+    names; changes of unknown ids do nothing; rows without id get new ids after the
+    greatest, in order of change_id.
+    """
+    edits = changes.where("id is not null").groupBy("id").agg(
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("change_id"))).alias(f"new_{c}") for c in ("title", "year")), F.bool_or(F.coalesce("deleted", F.lit(False))).alias("gone")
+    )
+    updated = base.join(edits, "id", "left").where("not coalesce(gone, false)").select("id", F.coalesce("new_title", "title").alias("title"), F.coalesce("new_year", "year").alias("year"))
+    # new ids by counts of ranges of change_id, so no window runs over the whole table
+    fresh = changes.where("id is null")
+    cuts = fresh.agg(F.coalesce(F.percentile_approx("change_id", [i / 64 for i in range(1, 64)], 10000), F.array().cast("array<bigint>")).alias("cuts"))  # one row
+    parted = fresh.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("change_id"))))
+    before = parted.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # 64 rows
     last = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    placed = fresh.withColumn("nth", F.row_number().over(W.partitionBy("part").orderBy("title", "year"))).join(F.broadcast(before), "part").crossJoin(last)
+    placed = parted.withColumn("nth", F.row_number().over(W.partitionBy("part").orderBy("change_id"))).join(F.broadcast(before), "part").crossJoin(F.broadcast(last))
     return updated.union(placed.select((F.col("last") + F.coalesce("base", F.lit(0)) + F.col("nth")).alias("id"), "title", "year"))
 
 
@@ -116,17 +137,18 @@ def storage_bytes(files: DataFrame) -> DataFrame:
 
 
 TASKS = """
-SELECT DISTINCT l_orderkey * 10 + l_linenumber AS task_id, CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'error' WHEN 3 THEN 'cancelled' ELSE 'done' END AS status,
+SELECT DISTINCT l_orderkey * 10 + l_linenumber AS task_id, CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'error' WHEN 3 THEN 'interrupted' WHEN 4 THEN 'cancelling' ELSE 'done' END AS status,
   CAST(1700000000 + ((l_orderkey * 10 + l_linenumber) * 37) % 20000 AS BIGINT) AS ts, CASE (l_orderkey * 3 + l_linenumber) % 5 WHEN 0 THEN 'pipeline-input' WHEN 1 THEN 'ocr' WHEN 2 THEN 'gone' ELSE 'convert' END AS queue_kind,
-  CAST((l_orderkey * 7919 + l_linenumber * 104729) % 200000000 AS BIGINT) AS bytes
+  CAST((l_orderkey * 7919 + l_linenumber * 104729) % 200000000 AS BIGINT) AS bytes,
+  CASE WHEN (l_orderkey + l_linenumber) % 9 > 4 AND l_orderkey % 4 <> 0 THEN 'result_' || CAST(l_linenumber AS STRING) || '.docx' END AS artifact
 FROM {lineitem} WHERE (l_orderkey * 10 + l_linenumber) % 7 <> 0
 """
-FILES = "SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS pos, l_orderkey * 10 + l_linenumber AS task_id, CASE WHEN l_linenumber % 3 = 0 THEN 'exact' END AS mode FROM {lineitem}"
-JOBS = "SELECT o_orderkey AS job_id, CASE o_orderkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'pdf' ELSE 'txt' END AS target_format, CASE WHEN o_orderkey % 2 = 0 THEN 'fast' ELSE 'visual' END AS mode FROM {orders}"
+FILES = "SELECT l_orderkey + CASE WHEN l_orderkey % 10 = 1 THEN 1 ELSE 0 END AS job_id, CAST(l_linenumber AS BIGINT) AS pos, l_orderkey * 10 + l_linenumber AS task_id, CASE WHEN l_linenumber % 3 = 0 THEN 'exact' END AS mode FROM {lineitem}"
+JOBS = "SELECT o_orderkey AS job_id, CASE o_orderkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'pdf' ELSE 'txt' END AS target_format, CASE WHEN o_orderkey % 2 = 0 THEN 'fast' ELSE 'visual' END AS mode, CAST(1700000000 + (o_orderkey * 31) % 50000 AS BIGINT) AS ts FROM {orders}"
 ASKED = "SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 11 = 0 THEN 9 ELSE 0 END AS task_id FROM {lineitem} WHERE l_linenumber <= 3"
 BASE = "SELECT o_orderkey AS id, CAST(o_orderkey % 3 AS BIGINT) AS revision, 'v' || CAST(o_orderkey AS STRING) AS snapshot, 't' || CAST(o_custkey % 40 AS STRING) AS template, CASE WHEN o_orderkey % 2 = 0 THEN 'Set ' ELSE 'set ' END || CAST(o_orderkey % 500 AS STRING) AS name FROM {orders}"
 UPDATES = "SELECT l_orderkey AS id, CAST(l_linenumber % 4 AS BIGINT) AS revision, l_orderkey * 100 + l_linenumber AS update_id, 'u' || CAST(l_linenumber AS STRING) AS snapshot FROM {lineitem}"
-CHANGES = "SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'new title ' || CAST(o_orderkey AS STRING) END AS title, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(2000 + o_orderkey % 25 AS BIGINT) END AS year, o_orderkey % 13 = 1 AS deleted FROM {orders} WHERE o_orderkey % 5 < 2"
+CHANGES = "SELECT o_orderkey AS change_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey - o_orderkey % 3 END AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'new title ' || CAST(o_orderkey AS STRING) END AS title, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(2000 + o_orderkey % 25 AS BIGINT) END AS year, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 13 = 1 END AS deleted FROM {orders} WHERE o_orderkey % 5 < 2"
 LIB = "SELECT p_partkey AS id, p_name AS title, CAST(1950 + p_partkey % 70 AS BIGINT) AS year FROM {part}"
 STORED = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' ELSE 'docx' END AS ext, CAST(length(text) AS BIGINT) AS size FROM {documents}"
 NOW = 1700019000
@@ -145,7 +167,7 @@ def _j(s, d):
 
 
 _PT, _PF, _PJ = plain(TASKS, "lineitem"), plain(FILES, "lineitem"), plain(JOBS, "orders")
-_COUNTS = ", ".join(f"count(*) FILTER (coalesce(status, 'expired') = '{s}') AS {s}" for s in STATES)
+_COUNTS = ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("queued", "running", "done", "error", "expired", "interrupted"))
 
 QUERIES = {
     "live_tasks": lambda s, d: live_tasks(_t(s, d), NOW),
@@ -153,6 +175,7 @@ QUERIES = {
     "task_snapshot": lambda s, d: task_snapshot(_t(s, d)),
     "task_counts": lambda s, d: task_counts(_t(s, d)),
     "batch_history": lambda s, d: batch_history(_j(s, d), _f(s, d), _t(s, d)),
+    "batch_history_newest": lambda s, d: batch_history(_j(s, d), _f(s, d), _t(s, d), 20),
     "batch_rollup": lambda s, d: batch_rollup(_j(s, d), _f(s, d), _t(s, d)),
     "batch_detail": lambda s, d: batch_detail(_j(s, d), _f(s, d), _t(s, d)),
     "selection_check": lambda s, d: selection_check(derived(s, d, ASKED, "lineitem"), _f(s, d), _t(s, d)),
@@ -167,19 +190,30 @@ QUERIES = {
 SQL = {
     "live_tasks": f"SELECT * FROM ({_PT}) WHERE {NOW} - ts <= {TTL}",
     "recent_tasks": f"SELECT * FROM ({_PT}) ORDER BY ts DESC, task_id LIMIT 50",
-    "task_snapshot": f"SELECT *, status IN ('queued', 'running') AS active FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' ORDER BY active DESC, ts DESC, task_id LIMIT {CENTRE}",
+    "task_snapshot": f"SELECT *, status IN ('queued', 'running', 'cancelling') AS active FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' ORDER BY active DESC, ts DESC, task_id LIMIT {CENTRE}",
     "task_counts": f"SELECT status, count(*) AS n FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' GROUP BY status",
-    "batch_history": f"SELECT job_id, target_format, {_COUNTS}, count(*) AS total FROM ({_PJ}) JOIN ({_PF}) USING (job_id) LEFT JOIN ({_PT}) USING (task_id) GROUP BY ALL",
+    "batch_history": f"SELECT job_id, target_format, ts, {_COUNTS}, count(task_id) AS total FROM (SELECT j.job_id, target_format, j.ts, f.task_id, CASE WHEN f.task_id IS NULL THEN NULL ELSE coalesce(t.status, 'expired') END AS state FROM ({_PJ}) j LEFT JOIN ({_PF}) f USING (job_id) LEFT JOIN ({_PT}) t ON t.task_id = f.task_id) GROUP BY ALL",
+    "batch_history_newest": f"SELECT job_id, target_format, ts, {_COUNTS}, count(task_id) AS total FROM (SELECT j.job_id, target_format, j.ts, f.task_id, CASE WHEN f.task_id IS NULL THEN NULL ELSE coalesce(t.status, 'expired') END AS state FROM (SELECT * FROM ({_PJ}) ORDER BY ts DESC, job_id LIMIT 20) j LEFT JOIN ({_PF}) f USING (job_id) LEFT JOIN ({_PT}) t ON t.task_id = f.task_id) GROUP BY ALL",
     "batch_rollup": f"SELECT target_format, st AS status, count(*) AS n FROM (SELECT target_format, coalesce(status, 'expired') AS st FROM ({_PJ}) JOIN ({_PF}) USING (job_id) LEFT JOIN ({_PT}) USING (task_id)) GROUP BY ROLLUP (target_format, st)",
     "batch_detail": f"SELECT f.job_id, pos, task_id, coalesce(status, 'expired') AS status, coalesce(f.mode, j.mode) AS mode FROM ({_PF}) f JOIN ({_PJ}) j USING (job_id) LEFT JOIN ({_PT}) USING (task_id)",
     "selection_check": f"""
         WITH a AS ({plain(ASKED, 'lineitem')}), k AS (SELECT DISTINCT job_id, task_id FROM ({_PF})),
-        h AS (SELECT job_id, count(*) AS known, count(*) FILTER (queue_kind = 'convert' AND status NOT IN ('queued', 'running')) AS retryable FROM (SELECT DISTINCT * FROM a) JOIN k USING (job_id, task_id) LEFT JOIN ({_PT}) USING (task_id) GROUP BY job_id)
+        h AS (SELECT job_id, count(*) AS known, count(*) FILTER (queue_kind = 'convert' AND status NOT IN ('queued', 'running', 'cancelling')) AS retryable FROM (SELECT DISTINCT * FROM a) JOIN k USING (job_id, task_id) LEFT JOIN ({_PT}) USING (task_id) GROUP BY job_id)
         SELECT job_id, asked = d AND d = coalesce(known, 0) AS valid, coalesce(files, 0) - coalesce(known, 0) AS skipped, coalesce(retryable, 0) AS retryable
         FROM (SELECT job_id, count(*) AS asked, count(DISTINCT task_id) AS d FROM a GROUP BY job_id) LEFT JOIN h USING (job_id) LEFT JOIN (SELECT job_id, count(*) AS files FROM k GROUP BY job_id) USING (job_id)""",
-    "archive_manifest": f"SELECT job_id, pos, task_id, lpad(nth::VARCHAR, 3, '0') AS name, CASE WHEN NOT ready THEN 'unavailable' WHEN running > {ARCHIVE_BYTES} THEN 'too_large' ELSE 'included' END AS state, running FROM (SELECT *, row_number() OVER o AS nth, (sum(CASE WHEN ready THEN bytes ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM (SELECT *, coalesce(status = 'done', false) AS ready FROM ({_PF}) LEFT JOIN ({_PT}) USING (task_id)) WINDOW o AS (PARTITION BY job_id ORDER BY pos, task_id))",
-    "recover_tasks": f"SELECT CASE WHEN queue_kind IN ('convert', 'ocr') THEN 'resumed' ELSE 'interrupted' END AS outcome, count(*) AS n FROM ({_PT}) WHERE status IN ('queued', 'running') GROUP BY 1",
+    "archive_manifest": f"""
+        SELECT job_id, pos, task_id, CASE WHEN status = 'done' AND artifact IS NULL THEN 'unavailable' ELSE status END AS state, running, refused,
+          CASE WHEN size IS NOT NULL AND refused IS NULL THEN lpad(nth::VARCHAR, greatest(2, length(nth::VARCHAR))::INT, '0') || '/' || artifact END AS file
+        FROM (SELECT *, CASE WHEN sum(coalesce(size, 0)) OVER (PARTITION BY job_id) > 536870912 THEN 'too_large' WHEN count(size) OVER (PARTITION BY job_id) = 0 THEN 'nothing_ready' END AS refused,
+            row_number() OVER o AS nth, (sum(coalesce(size, 0)) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT AS running
+          FROM (SELECT job_id, pos, task_id, artifact, coalesce(status, 'expired') AS status, CASE WHEN status = 'done' AND artifact IS NOT NULL THEN bytes END AS size FROM ({_PF}) LEFT JOIN ({_PT}) USING (task_id))
+          WINDOW o AS (PARTITION BY job_id ORDER BY pos, task_id))""",
+    "recover_tasks": f"SELECT CASE WHEN queue_kind IN ('convert', 'ocr') THEN 'resumed' ELSE 'interrupted' END AS outcome, count(*) AS n FROM ({_PT}) WHERE status IN ('queued', 'running', 'cancelling') GROUP BY 1",
     "apply_updates": f"SELECT b.id, revision + (new IS NOT NULL)::INT AS revision, coalesce(new, snapshot) AS snapshot, coalesce(tried, 0) - (new IS NOT NULL)::INT AS conflicts FROM ({plain(BASE, 'orders')}) b LEFT JOIN (SELECT u.id, arg_min(u.snapshot, update_id) AS new FROM ({plain(UPDATES, 'lineitem')}) u JOIN ({plain(BASE, 'orders')}) b ON b.id = u.id AND b.revision = u.revision GROUP BY u.id) f USING (id) LEFT JOIN (SELECT id, count(*) AS tried FROM ({plain(UPDATES, 'lineitem')}) GROUP BY id) t USING (id)",
     "name_clashes": f"SELECT template, lower(name) AS name_key, count(*) AS n, min(id) AS first_id FROM ({plain(BASE, 'orders')}) GROUP BY 1, 2 HAVING count(*) > 1",
+    "library_upsert": f"""
+        WITH c AS ({plain(CHANGES, 'orders')}), e AS (SELECT id, arg_max(title, change_id) FILTER (title IS NOT NULL) AS t, arg_max(year, change_id) FILTER (year IS NOT NULL) AS y, bool_or(coalesce(deleted, false)) AS gone FROM c WHERE id IS NOT NULL GROUP BY id)
+        SELECT id, coalesce(t, title) AS title, coalesce(y, year) AS year FROM ({plain(LIB, 'part')}) LEFT JOIN e USING (id) WHERE NOT coalesce(gone, false)
+        UNION ALL SELECT (SELECT max(id) FROM ({plain(LIB, 'part')})) + row_number() OVER (ORDER BY change_id), title, year FROM c WHERE id IS NULL""",
     "storage_bytes": f"SELECT ext, count(*) AS files, sum(size)::BIGINT AS bytes FROM ({plain(STORED, 'documents')}) GROUP BY ROLLUP (ext)",
 }

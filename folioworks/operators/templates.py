@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..plans.inputs import derived, plain
 
-#: Prefixes of numbered targets, width of a table of contents.
+#: Prefixes of numbered targets, width of a table of contents and indent of a level.
 PREFIX = {"figure": "Рис. ", "table": "Табл. "}
-TOC_WIDTH = 72
+TOC_WIDTH, TOC_INDENT = 72, "    "
 TAG = r"\{%\s*(.*?)\s*%\}"
 
 
@@ -53,8 +53,8 @@ def inspect_templates(templates: DataFrame, declared: DataFrame) -> DataFrame:
 
 def fill_templates(templates: DataFrame, rows: DataFrame) -> DataFrame:
     """Every template (a few; broadcast) with each row's values (map) in place of {{key}}; values are not expanded again, unknown keys stay."""
-    parts = F.split("text", r"(?=\{\{\w+\}\})|(?<=\}\})")
-    key = lambda p: F.regexp_extract(p, r"^\{\{(\w+)\}\}$", 1)
+    parts = F.split("text", r"(?=\{\{[^{}]+\}\})|(?<=\}\})")
+    key = lambda p: F.regexp_extract(p, r"(?s)^\{\{([^{}]+)\}\}$", 1)
     filled = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(key(p) != "", F.col("data")[key(p)]), p)), "")
     return rows.crossJoin(F.broadcast(templates)).select("template_id", "id", filled.alias("text"))
 
@@ -145,10 +145,10 @@ def number_refs(tokens: DataFrame) -> DataFrame:
 
 
 def build_toc(headings: DataFrame, width: int = TOC_WIDTH) -> DataFrame:
-    """One text per document: an indented line per heading (level, text, page) with dot leaders, four at least."""
-    lead = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.col("text"), F.lit(" "))
-    page = F.concat(F.lit(" "), F.col("page").cast("string"))
-    line = F.concat(lead, F.repeat(F.lit("."), F.greatest(F.lit(4), F.lit(width) - F.length(lead) - F.length(page))), page)
+    """One text per document: for each heading (level, text, page) its text, dots and page; text, dots and page number together fill the width, with four dots at least."""
+    page = F.col("page").cast("string")
+    dots = F.repeat(F.lit("."), F.greatest(F.lit(4), F.lit(width) - F.length("text") - F.length(page)))
+    line = F.concat(F.repeat(F.lit(TOC_INDENT), F.col("level") - 1), F.concat_ws(" ", "text", dots, page))
     rows = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
     return rows.select("doc_id", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("toc"))
 
@@ -163,8 +163,8 @@ SCHEMA = [{"name": "k", "type": "integer", "required": True}, {"name": "title",
 TEMPLATES = "SELECT r_regionkey AS template_id, 'Dear {{name}}, ' || r_name || ': {{segment}} {{unknown}} {{balance}}' || CASE WHEN r_regionkey % 2 = 0 THEN ' {% for x in items %}{{x.a}} {{extra}}{% endfor %}{% if flag %}yes{% endif %}' ELSE '' END AS text FROM {region}"
 DECLARED = "SELECT r_regionkey AS template_id, 'name' AS name FROM {region} UNION ALL SELECT r_regionkey, 'balance' FROM {region} UNION ALL SELECT r_regionkey, 'flag' FROM {region} UNION ALL SELECT r_regionkey, 'never' FROM {region}"
 TOKENS = "SELECT l_orderkey AS doc_id, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 'figure' ELSE 'table' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 'ref' ELSE 'label' END AS role, 'l' || CAST(l_suppkey % 4 AS STRING) AS label FROM {lineitem}"
-HEADINGS = "SELECT conv_id AS doc_id, turn AS pos, CAST(1 + turn % 3 AS INT) AS level, substr(replace(text, chr(10), ' '), 1, 20 + CAST(turn % 7 AS INT) * 10) AS text, turn * 2 AS page FROM {conversations}"
-REFS = "SELECT conv_id AS doc_id, turn AS pos, CASE WHEN turn % 4 = 1 THEN ' ' ELSE substr(text, 1, 40) END AS text FROM {conversations}"
+HEADINGS = "SELECT conv_id AS doc_id, turn AS pos, CAST(1 + turn % 3 AS INT) AS level, replace(text, chr(10), ' ') AS text, turn * 2 AS page FROM {conversations}"
+REFS = "SELECT conv_id AS doc_id, turn AS pos, text FROM {conversations} UNION ALL SELECT conv_id, turn + 1000, ' ' FROM {conversations} UNION ALL SELECT conv_id, turn + 2000, 'once more ' || text FROM {conversations}"
 LINES = ["Customer {{ name }}", "{% if rich %}", "rich in {{ segment }}", "{% else %}", "not rich", "{% endif %}", "{% for o in orders %}", "- {{ o.id }}: {{ o.status }}", "{% if o.open %}", "  open", "{% endif %}", "{% endfor %}", "end"]
 
 
@@ -214,6 +214,6 @@ SQL = {
     "fill_templates": f"SELECT template_id, c_custkey AS id, replace(replace(replace(replace(text, '{{{{name}}}}', c_name), '{{{{segment}}}}', c_mktsegment || '<N>'), '{{{{balance}}}}', c_acctbal_t), '<N>', '{{{{name}}}}') AS text FROM ({_TE}), (SELECT *, CAST(trunc(c_acctbal)::BIGINT AS VARCHAR) AS c_acctbal_t FROM customer)",
     "render_blocks": "SELECT c_custkey AS id, 'Customer ' || c_name || chr(10) || CASE WHEN c_acctbal > 5000 THEN 'rich in ' || c_mktsegment ELSE 'not rich' END || chr(10) || coalesce(o.t, '') || 'end' AS text, NULL::VARCHAR AS error FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- ' || o_orderkey || ': ' || o_orderstatus || chr(10) || CASE WHEN o_orderstatus = 'O' THEN '  open' || chr(10) ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f, label) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
-    "build_toc": f"SELECT doc_id, string_agg(l || repeat('.', greatest(4, {TOC_WIDTH} - length(l) - length(p))::INT) || p, chr(10) ORDER BY pos) AS toc FROM (SELECT doc_id, pos, repeat('  ', level - 1) || text || ' ' AS l, ' ' || page AS p FROM ({_HE})) GROUP BY doc_id",
+    "build_toc": f"SELECT doc_id, string_agg(repeat(' ', 4 * (level - 1)) || text || ' ' || repeat('.', greatest(4, 72 - length(text) - length(page::VARCHAR))::INT) || ' ' || page, chr(10) ORDER BY pos) AS toc FROM ({_HE}) GROUP BY doc_id",
     "reference_list": f"SELECT doc_id, pos, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || '] ' || text AS line FROM ({plain(REFS, 'conversations')}) WHERE trim(text) <> ''",
 }

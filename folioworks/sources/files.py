@@ -41,15 +41,19 @@ def decode_text(content: Column, mode: str = "fallback") -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(other)
 
 
+#: Documents in a file that a query derives.
+IN_FILE = 500
+
+
 def _written(s, d) -> str:
-    """The documents as text files, one for each source."""
+    """The documents as text files, one for each source and run of IN_FILE ids, so that no file grows with the table."""
     path = new_dir(s, "files")
-    docs = table(s, d, "documents").select("source", "doc_id", "text")
-    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
+    docs = table(s, d, "documents").select("source", "doc_id", "text", F.floor(F.col("doc_id") / IN_FILE).alias("run"))
+    docs.repartition("source", "run").sortWithinPartitions("source", "run", "doc_id").select("source", "run", "text").write.partitionBy("source", "run").text(path)
     return path
 
 
-BYTES = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN X'F2E5F1F2' ELSE CAST(text AS BINARY) END AS content FROM {documents}"
+BYTES = "SELECT doc_id, CAST(text AS BINARY) AS content FROM {documents} UNION ALL SELECT -1 - doc_id, X'F2E5F1F2' FROM {documents}"
 
 
 def _source_of(path: str = "path") -> Column:
@@ -57,7 +61,7 @@ def _source_of(path: str = "path") -> Column:
 
 
 def _ignored(s, d):
-    rows = derived(s, d, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN X'61FF62' ELSE CAST(text AS BINARY) END AS content FROM {documents}", "documents")
+    rows = derived(s, d, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(X'61FF62', CAST(text AS BINARY)) ELSE CAST(text AS BINARY) END AS content FROM {documents}", "documents")
     return rows.select("doc_id", decode_text(F.col("content"), "ignore").alias("text"))
 
 
@@ -68,8 +72,8 @@ QUERIES = {
     "decode_text_ignore": _ignored,
 }
 SQL = {
-    "ingest_files": "SELECT source, 'txt' AS ext, 'txt' AS format, strlen(t)::BIGINT AS size, sha256(t) AS sha256 FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)",
-    "list_files": "SELECT source, 'txt' AS ext, 1::BIGINT AS files, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source",
-    "decode_text": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'тест' ELSE text END AS text FROM documents",
-    "decode_text_ignore": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ab' ELSE text END AS text FROM documents",
+    "ingest_files": f"SELECT source, 'txt' AS ext, 'txt' AS format, strlen(t)::BIGINT AS size, sha256(t) AS sha256 FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source, doc_id // {IN_FILE})",
+    "list_files": f"SELECT source, 'txt' AS ext, count(DISTINCT doc_id // {IN_FILE}) AS files, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source",
+    "decode_text": "SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, 'тест' FROM documents",
+    "decode_text_ignore": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ab' || text ELSE text END AS text FROM documents",
 }

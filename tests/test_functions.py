@@ -1,7 +1,5 @@
 """Cases of single functions, and helpers against brute force."""
 
-import random
-from difflib import SequenceMatcher
 from itertools import product
 
 import pytest
@@ -29,13 +27,6 @@ def test_text(spark):
     assert one(spark, T.sanitize_filename(F.col("t")), t='a<b>:"c/') == "a_b_c"
 
 
-def test_similarity_equals_the_standard_library():
-    rng = random.Random(1)
-    for _ in range(400):
-        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in "ab")
-        assert helpers.similarity(a, b) == pytest.approx(SequenceMatcher(None, a, b).ratio())
-
-
 def test_word_edits_over_all_short_sequences():
     def full(a, b):
         d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -68,12 +59,6 @@ def test_matching_ties_and_manual(spark):
     assert not got[2]["matched"] and got[3]["item_pos"] == 2 and got[3]["score"] == 100
 
 
-def test_names():
-    assert naming.short_title("Исследование феррорезонансных процессов в сетях") == naming.short_title("Исследование феррорезонансных процессов в сетях")
-    assert naming.short_title("The of") == "the" and naming.short_title("") == ""
-    assert naming.short_word("organization") == "organiz" and len(naming.short_title("word " * 40)) <= 55
-
-
 def test_template_without_key_is_refused(spark):
     bib = spark.createDataFrame([(1, ["Smith"], "T", "book")], "item_pos long, authors array<string>, title string, doc_type string")
     with pytest.raises(ValueError):
