@@ -1,10 +1,14 @@
 """What the operators of this subpackage share: staging, words, ordered partitions, components."""
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,11 +86,20 @@ _HASHES = WordHashes()
 CACHES: list[dict] = [_HASHES]
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system; idle workers stand beside the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def only(cache: dict = _HASHES) -> None:
     """Empties the other dictionaries: a worker that goes from one operator's tasks to another's holds one at a time."""
     for c in CACHES:
         if c is not cache:
             c.clear()
+    give_back()
 
 
 def words(text: str | None) -> list[str]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import give_back, mix, table
 from .quality import fold, pool_violators
 
 #: Hashed trigrams, centroids of a language, rounds of clustering.
@@ -159,6 +159,7 @@ def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel |
                     df[1:] += v > 0
                     df[0] += 1
         yield pd.DataFrame({"v": [df.tobytes()]})
+        give_back()
 
     df = summed(known.select("text").mapInPandas(frequency, "v binary"))
     if not df[0]:
@@ -192,6 +193,7 @@ def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel |
             _, scores, _ = share_model.value.predict(pdf["text"])
             np.add.at(seen, (size_class(pdf["text"].map(len).to_numpy()), (np.array(scores) * STEPS).astype(int)), 1)
         yield pd.DataFrame({"v": [seen.tobytes()]})
+        give_back()
 
     model.floor = floors(summed(known.select("text").mapInPandas(cosines, "v binary")).reshape(CLASSES, STEPS + 1))
     return model

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, mix, only, shingles, staged, table, with_least
+from .common import components, give_back, join_hot, mix, only, shingles, staged, table, with_least
 
 #: Slots of a signature, and slots in a band. At an overlap of 0.8 the chance to share none of 24 bands is 3e-6.
 SLOTS, ROWS = 96, 4
@@ -116,6 +116,7 @@ def _sign(batches):
                 for j, x in zip(some, k.view(np.int64).tolist(), strict=True):
                     keys[j] = x
             yield pd.DataFrame({"doc": part["doc"].to_numpy(), "text_key": part["text_key"].to_numpy(), "bands": keys})
+    give_back()
 
 
 def _parts(batches):
@@ -128,6 +129,7 @@ def _parts(batches):
             nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             parts.append(mix(np.repeat(h, k) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
         yield pd.DataFrame({"rep": pdf["rep"], "part": parts})
+    give_back()
 
 
 def _block(least: float):
@@ -152,8 +154,11 @@ def _block(least: float):
             m = np.zeros((len(n), 8192), np.float32)
             m[doc[lo:hi], column[lo:hi] - at] = 1
             common += m @ m.T
+            del m
         near = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (root[:, None] != root[None, :])
         near &= (side[:, None] < 0) | (side[:, None] != side[None, :])  # inside one block all pairs count, else those across
+        del common
+        give_back()
         # links that join what is apart: at most one less than there are members
         group, links = root.copy(), []
         for a, b in np.argwhere(np.triu(near, 1)):
@@ -236,6 +241,8 @@ def _verify(least: float):
                     name, kept = b, multiset(text_b)
                 ok.append(overlap(multiset(text_a), kept) >= least)
             yield pdf.loc[ok, ["a", "b"]]
+        kept = None
+        give_back()
 
     return run
 

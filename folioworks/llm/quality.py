@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import give_back, only, staged, table
 
 #: Random features, their seed, kernel width in standardised units, ridge, calibration bins.
 FEATURES, SEED, WIDTH, RIDGE, BINS = 256, 20, 4.0, 1.0, 200
@@ -61,8 +61,10 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     """doc, text_hash, stats for rows of doc, text."""
 
     def run(batches):
+        only()
         for pdf in batches:
             yield pd.DataFrame({"doc": pdf["doc"], "text_hash": pdf["text_hash"], "stats": [[float(x) for x in statistics(t)] for t in pdf["text"]]})
+        give_back()
 
     return rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc long, text_hash long, stats array<double>")
 

@@ -27,15 +27,15 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 _OTHER = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|^ | $"
 #: Marks of the first part, of a part without a space before it, of the end of a text, and of a text that is encoded whole.
 _FIRST, _GLUED, _END, _WHOLE = "\x01", "\x03", "\x04", "\x05"
-#: Bytes of text that are worked on together, parts that go to the library in one text.
-SLICE, CHUNK = 6 << 20, 500
+#: Bytes of text that are worked on together, parts that go to the library in one text, texts in one call.
+SLICE, CHUNK, CHUNKS = 6 << 20, 500, 64
 _WORKER: dict = {}
 
 
 class WordIds:
     """Encoder for one vocabulary; the store keeps two generations of words, so common ones outlive the rare."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel work
@@ -54,6 +54,9 @@ class WordIds:
         for name, i in names.items():
             self.border[i] = name.startswith("Ġ") or i == self.line if self.spaced else name.endswith("</w>")
 
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
     def clear(self) -> None:
         self.young, self.old = {}, {}
 
@@ -73,8 +76,9 @@ class WordIds:
         """Parts whose texts, joined, are told apart by border ids; those of a chunk that cannot be told apart go alone."""
         out = {}
         chunks = [slice(i, i + CHUNK) for i in range(0, len(parts), CHUNK)]
-        found = self.tokenizer.encode_batch_fast(["".join(texts[c]) for c in chunks], add_special_tokens=False)
-        for c, e in zip(chunks, found, strict=True):
+        calls = (chunks[i : i + CHUNKS] for i in range(0, len(chunks), CHUNKS))
+        found = ((c, e) for call in calls for c, e in zip(call, self.tokenizer.encode_batch_fast(["".join(texts[c]) for c in call], add_special_tokens=False), strict=True))
+        for c, e in found:
             ids = np.array(e.ids, self.dtype)
             marks = np.flatnonzero(border[ids])
             here = parts[c]
@@ -146,25 +150,25 @@ class WordIds:
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         pool = self.lookup(names, {_FIRST: b"", _END: end} | special)
         width = self.dtype.itemsize
-        size = np.fromiter(map(len, pool), np.int64, len(pool)) // width
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, pool), np.int32, len(pool)) // width
         codes = coded.indices.to_numpy()
         n = size[codes]
-        ends = np.cumsum(n)
-        index = np.repeat(start[codes] - (ends - n), n)
-        index += np.arange(len(index))
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.int32 if ends[-1] < 1 << 31 else np.int64
+        start = np.cumsum(size, dtype=place) - size
+        index = np.repeat((start[codes] - (ends - n)).astype(place), n)
+        index += np.arange(len(index), dtype=place)
         ids = np.frombuffer(b"".join(pool), self.dtype)[index]
         return ids, ends[parts.offsets.to_numpy()[1:] - 1]
 
     def encode_column(self, texts: pa.Array, end_id: int):
         """Little-endian ids of each whole text (null: empty) and the end id, as binary arrays of SLICE bytes of text or one longer text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        stops = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        stops = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         end, at = self.pack([end_id]), 0
         while at < len(texts):
             done = stops[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(stops, done + SLICE, side="right")))
-            ids, ends = self._slice(texts.slice(at, upto - at), end)
+            ids, ends = self._slice(pc.fill_null(texts.slice(at, upto - at).cast(pa.large_string()), ""), end)
             offsets = np.concatenate([[0], ends * self.dtype.itemsize]).astype(np.int32)
             yield pa.Array.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             at = upto
