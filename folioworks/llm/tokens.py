@@ -28,14 +28,14 @@ _OTHER = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 #: Marks of the first part, of a part without a space before it, of the end of a text, and of a text that is encoded whole.
 _FIRST, _GLUED, _END, _WHOLE = "\x01", "\x03", "\x04", "\x05"
 #: Bytes of text that are worked on together, parts that go to the library in one text, texts in one call.
-SLICE, CHUNK, CHUNKS = 6 << 20, 500, 64
+SLICE, CHUNK, CHUNKS = 3 << 20, 500, 32
 _WORKER: dict = {}
 
 
 class WordIds:
     """Encoder for one vocabulary; the store keeps two generations of words, so common ones outlive the rare."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 350_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel work
