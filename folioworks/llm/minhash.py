@@ -158,7 +158,6 @@ def _block(least: float):
         near = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (root[:, None] != root[None, :])
         near &= (side[:, None] < 0) | (side[:, None] != side[None, :])  # inside one block all pairs count, else those across
         del common
-        give_back()
         # links that join what is apart: at most one less than there are members
         group, links = root.copy(), []
         for a, b in np.argwhere(np.triu(near, 1)):

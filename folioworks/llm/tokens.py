@@ -39,6 +39,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel work
+        if "jemalloc" in pa.supported_memory_backends():  # gives freed pages back at once
+            pa.set_memory_pool(pa.jemalloc_memory_pool())
+            pa.jemalloc_set_decay_ms(0)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.tokenizer.normalizer is None  # a space belongs to the word after it
