@@ -4,8 +4,12 @@ The watermarks say how late a row may be: later rows are dropped, and closed win
 and old keys leave the state.
 """
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import text as T
 from ..plans.inputs import table
@@ -41,27 +45,38 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
     return agg.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
 
-def latest_status(events: DataFrame, path: str, ttl: str) -> DataFrame:
-    """The newest status of each task, upserted batch by batch; tasks older than ttl at the end are dropped.
-
-    A batch writes the next version of the table as a whole and then is done; a batch
-    that runs again writes the same version again.
+def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps the newest (ts, status) of one task; a change is written, a task that the watermark has passed is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(batches)
+    at = rows["ts"].max()
+    new = (int(at.value // 1000), rows.loc[rows["ts"] == at, "event_type"].max())
+    old = state.get if state.exists else None
+    if old is None or new > tuple(old):
+        state.update(new)
+        # a timeout must lie ahead of the watermark
+        state.setTimeoutTimestamp(max(new[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"user_id": [key[0]], "event_type": [new[1]], "ts": [at]})
+
+
+def status_changes(events: DataFrame, ttl: str) -> DataFrame:
+    """A row (user_id, event_type, ts) whenever a task has a newer status than before.
+
+    Of statuses at one time the last by name counts.  The state has a row for each task
+    that is not older than ttl: the watermark trails the newest step by ttl, so older
+    steps are dropped and older tasks leave the state.
     """
-    spark = events.sparkSession
-    schema = "user_id long, event_type string, ts timestamp"
+    timed = events.select("user_id", "event_type", "ts").where("user_id is not null and ts is not null and event_type is not null").withWatermark("ts", ttl)
+    return timed.groupBy("user_id").applyInPandasWithState(_newest, "user_id long, event_type string, ts timestamp", "micros long, event_type string", "append", "EventTimeTimeout")
 
-    def upsert(batch: DataFrame, version: int) -> None:
-        new = batch.select("user_id", "event_type", "ts")
-        old = spark.read.schema(schema).parquet(f"{path}/v{version - 1}") if version else spark.createDataFrame([], schema)
-        rows = old.union(new).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"), F.max("ts").alias("ts"))
-        rows.write.mode("overwrite").parquet(f"{path}/v{version}")
 
-    query = events.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = query.lastProgress["batchId"] if query.lastProgress else -1
-    rows = spark.read.schema(schema).parquet(f"{path}/v{done}") if done >= 0 else spark.createDataFrame([], schema)
+def latest_status(events: DataFrame, ttl: str) -> DataFrame:
+    """The newest status of each task; tasks older than ttl at the end are dropped."""
+    rows = drained(status_changes(events, ttl)).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"), F.max("ts").alias("ts"))
     newest = rows.agg(F.max("ts").alias("newest"))
-    return rows.crossJoin(newest).where(F.expr(f"ts >= newest - interval {ttl}")).select("user_id", "event_type")
+    return rows.crossJoin(F.broadcast(newest)).where(F.expr(f"ts >= newest - interval {ttl}")).select("user_id", "event_type")  # against one row
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -85,7 +100,7 @@ QUERIES = {
     "stream_step_windows": lambda s, d: drained(step_windows(_events(s, d))).where("event_type <> 'end'"),
     "stream_sliding_windows": lambda s, d: drained(step_windows(_events(s, d), "2 hours", "1 hour")).where("event_type <> 'end'"),
     "stream_sessions": lambda s, d: drained(run_sessions(_events(s, d))).where("user_id >= 0"),
-    "stream_task_status": lambda s, d: latest_status(_events(s, d).where("user_id >= 0"), new_dir(s, "status"), "10 hours"),
+    "stream_task_status": lambda s, d: latest_status(_events(s, d).where("user_id >= 0"), "10 hours"),
 }
 _EMAILS = "list_sort(list_distinct(list_filter(regexp_extract_all(text, '" + T.EMAIL + "'), lambda e: lower(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) NOT IN ('abc', 'test', 'invalid', 'localhost', 'example') AND length(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) <= 5)))"
 SQL = {
