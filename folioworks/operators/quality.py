@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers
 from ..plans.inputs import derived, plain, table
+from ..sources.staging import kept
 
 #: What an accepted pair of page images has at least, and at most.
 LEAST_SIMILARITY, MOST_HASH_DISTANCE, LEAST_OVERLAP = 0.90, 20, 0.30
@@ -56,31 +57,47 @@ def font_retention(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.sum("runs").alias("runs"), F.sum(F.least("runs", F.coalesce("m", F.lit(0)))).alias("kept"), F.round(F.sum(F.least("runs", F.coalesce("m", F.lit(0)))) / F.sum("runs"), 6).alias("ratio"))
 
 
-def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row per object of either side: retained, changed (moved, edited), lost or added.
+#: How objects are paired, stage by stage over what is left.
+PAIRED_BY = [("origin", ["format", "origin", "kind", "hash"]), ("origin", ["format", "origin"]), ("content", ["kind", "hash"]), ("place", ["kind", "place"])]
 
-    Pairs are made one to one in stages, each over what is left: equal origin, equal
-    content (repeats by order of place), equal place and kind.
-    """
 
-    def numbered(df, *keys):
-        return df.withColumn("k", F.row_number().over(W.partitionBy("doc_id", *keys).orderBy("place")))
-
-    a = source.select("doc_id", "place", "kind", "hash", "origin")
-    b = target.select("doc_id", "place", "kind", "hash", "origin")
-    found = None
-    for keys in (("origin",), ("kind", "hash"), ("kind", "place")):
-        usable = F.lit(True) if keys != ("origin",) else F.col("origin").isNotNull()
-        x = numbered(a.where(usable), *keys).select("doc_id", *keys, "k", F.struct("place", "kind", "hash").alias("x"))
-        y = numbered(b.where(usable), *keys).select("doc_id", *keys, "k", F.struct("place", "kind", "hash").alias("y"))
-        pair = x.join(y, ["doc_id", *keys, "k"]).select("doc_id", "x", "y")
-        a = a.join(pair.select("doc_id", F.col("x.place").alias("place")), ["doc_id", "place"], "left_anti")
-        b = b.join(pair.select("doc_id", F.col("y.place").alias("place")), ["doc_id", "place"], "left_anti")
-        found = pair if found is None else found.union(pair)
+def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row per object (doc_id, place, kind, hash, format, origin) of either side: retained, changed (moved, edited), lost or added.
+
+    Pairs are made one to one in stages, each over what is left: equal origin in equal
+    formats (equal contents first), equal content, equal place and kind; of several with
+    one key by order of place.  Objects of one format with different origins are
+    different objects: they are never paired by content or place.  An object without an
+    origin may be any.  basis says by what a pair was made, and ambiguous that either
+    side had several objects with the key.
+    """
+    x = source.select("doc_id", F.struct("place", "kind", "hash", "format", "origin").alias("x"))
+    y = target.select("doc_id", F.struct("place", "kind", "hash", "format", "origin").alias("y"))
+
+    def numbered(df, side, keys):
+        named = [F.col("doc_id").alias(f"{side}0"), *(F.col(f"{side}.{k}").alias(f"{side}{i}") for i, k in enumerate(keys, 1))]
+        same = W.partitionBy(*(f"{side}{i}" for i in range(len(keys) + 1)))
+        nth, several = F.row_number().over(same.orderBy(f"{side}.place")), F.count("*").over(same) > 1
+        return df.select(side, *named).withColumns({f"{side}_nth": nth, f"{side}_several": several})
+
+    others = F.col("x.origin").isNotNull() & F.col("y.origin").isNotNull() & F.col("x.format").eqNullSafe(F.col("y.format")) & (F.col("x.origin") != F.col("y.origin"))
+    found = []
+    for basis, keys in PAIRED_BY:
+        on = (F.col("x_nth") == F.col("y_nth")) & ~others
+        for i in range(len(keys) + 1):
+            on &= F.col(f"x{i}") == F.col(f"y{i}")
+        joined = numbered(x, "x", keys).join(numbered(y, "y", keys), on, "full")
+        both = kept(joined.select(F.coalesce("x0", "y0").alias("doc_id"), "x", "y", (F.col("x_several") | F.col("y_several")).alias("ambiguous")), "objects")
+        found.append(both.where("x is not null and y is not null").select("*", F.lit(basis).alias("basis")))
+        x, y = both.where("y is null").select("doc_id", "x"), both.where("x is null").select("doc_id", "y")
     change = F.when(F.col("x.hash") != F.col("y.hash"), "edited").when(F.col("x.place") != F.col("y.place"), "moved").otherwise("retained")
-    out = found.select("doc_id", F.col("x.kind").alias("kind"), F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"))
-    lost = a.select("doc_id", "kind", "place", F.lit(None).cast("long"), F.lit("lost"))
-    return out.union(lost).union(b.select("doc_id", "kind", F.lit(None).cast("long"), "place", F.lit("added")))
+    out = None
+    for pairs in found:
+        rows = pairs.select("doc_id", F.col("x.kind").alias("kind"), F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"), "basis", "ambiguous")
+        out = rows if out is None else out.union(rows)
+    none, sure = F.lit(None).cast("string"), F.lit(False)
+    out = out.union(x.select("doc_id", "x.kind", "x.place", F.lit(None).cast("long"), F.lit("lost"), none, sure))
+    return out.union(y.select("doc_id", "y.kind", F.lit(None).cast("long"), "y.place", F.lit("added"), none, sure))
 
 
 def exact_text_gate(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -103,16 +120,31 @@ def text_flow_gate(source: DataFrame, target: DataFrame) -> DataFrame:
     return flow(source).join(flow(target).withColumnRenamed("h", "g"), "doc_id", "left").select("doc_id", F.coalesce(F.col("h") == F.col("g"), F.lit(False)).alias("accepted"))
 
 
-def object_budget(diff: DataFrame, limit: int) -> DataFrame:
-    """Objects lost per document against a limit."""
-    return diff.groupBy("doc_id").agg(F.count_if(F.col("change") == "lost").alias("lost")).select("doc_id", "lost", (F.col("lost") <= limit).alias("accepted"))
+def _object_gate(diff: DataFrame, bad: Column, name: str, limit: int, inventories: DataFrame | None) -> DataFrame:
+    """doc_id, the number of bad rows (null unless it is certain), accepted, reason."""
+    unsure = F.col("ambiguous") | F.coalesce(F.col("basis") == "place", F.lit(False))
+    out = diff.groupBy("doc_id").agg(F.count_if(bad).alias("n"), (F.count_if(unsure) > 0).alias("unsure"))
+    if inventories is not None:
+        out = out.join(inventories.select("doc_id", "complete"), "doc_id", "full")
+    known = F.coalesce("complete", F.lit(False)) if inventories is not None else F.lit(True)
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(~known, "unavailable").when(F.col("unsure"), "uncertain-matching").when(n > limit, "budget-exceeded").otherwise("accepted")
+    return out.select("doc_id", F.when(reason.isin("accepted", "budget-exceeded"), n).alias(name), (reason == "accepted").alias("accepted"), reason.alias("reason"))
+
+
+def object_budget(diff: DataFrame, limit: int, inventories: DataFrame | None = None) -> DataFrame:
+    """Objects lost per document against a limit.
+
+    A document is refused if pairs were ambiguous or made by place alone (uncertain-matching)
+    or if inventories (doc_id, complete: both sides were listed) do not have it as
+    complete (unavailable); a complete one without objects loses nothing.
+    """
+    return _object_gate(diff, F.col("change") == "lost", "lost", limit, inventories)
 
 
-def heading_budget(diff: DataFrame, limit: int) -> DataFrame:
-    """Headings lost or edited per document against a limit; one that only moved is kept."""
-    bad = (F.col("kind") == "heading") & F.col("change").isin("lost", "edited")
-    out = diff.groupBy("doc_id").agg(F.count_if(bad).alias("changed"))
-    return out.select("doc_id", "changed", (F.col("changed") <= limit).alias("accepted"), F.when(F.col("changed") > limit, "heading_budget_exceeded").otherwise("ok").alias("reason"))
+def heading_budget(diff: DataFrame, limit: int, inventories: DataFrame | None = None) -> DataFrame:
+    """Headings lost or edited per document against a limit, refused like lost objects; one that only moved is kept."""
+    return _object_gate(diff, (F.col("kind") == "heading") & F.col("change").isin("lost", "edited"), "changed", limit, inventories)
 
 
 def formula_budget(source: DataFrame, target: DataFrame, limit: int) -> DataFrame:
@@ -201,14 +233,15 @@ def compare_rasters(pairs: DataFrame) -> DataFrame:
 
 
 TARGET = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') WHEN 2 THEN text || chr(10) || 'added line' ELSE replace(text, ' the ', ' a ') END AS text FROM {documents}"
-OBJECTS = "SELECT doc_id, place, CASE WHEN place % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, 'h' || CAST((doc_id * 7 + place * place) % 5 AS STRING) AS hash, CASE WHEN place % 3 = 0 THEN CAST(place AS STRING) END AS origin FROM (SELECT doc_id, CAST(e AS BIGINT) AS place FROM {documents}, (SELECT l_linenumber AS e FROM {lineitem} GROUP BY l_linenumber) n)"
-OBJECTS_T = "SELECT doc_id, place + doc_id % 2 AS place, kind, CASE WHEN (doc_id + place) % 6 = 0 THEN 'edited' ELSE hash END AS hash, origin FROM (" + OBJECTS + ") o WHERE (doc_id * 3 + place) % 8 <> 0"
+OBJECTS = "SELECT doc_id, place, CASE WHEN place % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, 'h' || CAST((doc_id * 7 + place * place) % (CASE WHEN doc_id % 4 = 1 THEN 5 ELSE 11 END) AS STRING) AS hash, 'docx' AS format, CASE WHEN place % 3 = 0 THEN CAST(place AS STRING) END AS origin FROM (SELECT doc_id, CAST(e AS BIGINT) AS place FROM {documents}, (SELECT l_linenumber AS e FROM {lineitem} GROUP BY l_linenumber) n)"
+OBJECTS_T = "SELECT doc_id, place + doc_id % 2 AS place, kind, CASE WHEN (doc_id + place) % 6 = 0 THEN 'edited' ELSE hash END AS hash, CASE WHEN doc_id % 5 < 2 THEN 'html' ELSE format END AS format, CASE WHEN (doc_id + place) % 7 = 0 THEN origin || 'x' ELSE origin END AS origin FROM (" + OBJECTS + ") o WHERE (doc_id * 3 + place) % 8 <> 0"
 GEOMETRY = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 3 AS width, 842.0E0 - doc_id % 5 AS height FROM {documents} UNION ALL SELECT doc_id, 9, 595.0E0, 842.0E0 FROM {documents} WHERE doc_id % 6 = 0"
 GEOMETRY_T = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 4 AS width, 842.0E0 AS height FROM {documents} WHERE doc_id % 10 <> 3"
 RESOURCES = "SELECT CAST(l_orderkey % 1000 AS BIGINT) AS doc_id, 'r' || CAST(l_partkey % 13 AS STRING) AS sha256, CAST(100 + (l_partkey % 13) * 10 AS BIGINT) AS size, 'f' || CAST(l_suppkey % 4 AS STRING) AS font FROM {lineitem}"
 FORMULAS = "SELECT CAST(l_orderkey % 2000 AS BIGINT) AS doc_id, 'f' || CAST(l_quantity % 9 AS STRING) AS fingerprint FROM {lineitem}"
 RUNS = "SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS BIGINT) AS pos, text, turn % 2 = 0 AS bold, turn % 3 = 0 AS italic FROM {conversations}"
 RUNS_T = "SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn * 2 AS BIGINT) AS pos, substr(text, 1, 10) AS text, turn % 2 = 0 AS bold, turn % 3 = 0 AS italic FROM {conversations} UNION ALL SELECT CAST(conv_id AS BIGINT), CAST(turn * 2 + 1 AS BIGINT), substr(text, 11) || CASE WHEN conv_id % 7 = 0 THEN 'x' ELSE ' ' END, turn % 2 = 0 OR conv_id % 3 = 0, turn % 3 = 0 FROM {conversations}"
+INVENTORIES = "SELECT doc_id, doc_id % 11 <> 5 AS complete FROM {documents}"
 ISSUES = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'loss' ELSE 'info' END AS severity FROM {lineitem}"
 PAIRS = "SELECT doc_id, text AS left_text, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'start ' || text || ' end' WHEN 2 THEN replace(text, ' the ', ' a ') ELSE substr(text, 1, 200) END AS right_text FROM {documents}"
 MEASURES = "SELECT user_id AS task_id, CAST(event_id % 5 AS INT) AS page, event_id AS ts, 'r' || CAST(event_id % 3 AS STRING) AS revision, value FROM {events}"
@@ -255,20 +288,29 @@ _FLOW = f"SELECT doc_id, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) = trim(r
 _O, _OT = plain(OBJECTS, "documents", "lineitem"), plain(OBJECTS_T, "documents", "lineitem")
 
 
-def _stage(n: int, keys: list[str], where: str) -> str:
+def _stage(n: int, basis: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"x.{c} = y.{c}" for c in ["doc_id", *keys, "k"])
     return f"""
-    x{n} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {k} ORDER BY place) AS k FROM a{n} WHERE {where}), y{n} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {k} ORDER BY place) AS k FROM b{n} WHERE {where}),
-    p{n} AS MATERIALIZED (SELECT x.doc_id, x.kind, x.place AS sp, y.place AS tp, x.hash AS h, y.hash AS g FROM x{n} x JOIN y{n} y ON {on}),
+    x{n} AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, {k}) AS c FROM a{n} WINDOW w AS (PARTITION BY doc_id, {k} ORDER BY place)), y{n} AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, {k}) AS c FROM b{n} WINDOW w AS (PARTITION BY doc_id, {k} ORDER BY place)),
+    p{n} AS MATERIALIZED (SELECT x.doc_id, x.kind, x.place AS sp, y.place AS tp, x.hash AS h, y.hash AS g, '{basis}' AS basis, greatest(x.c, y.c) > 1 AS ambiguous FROM x{n} x JOIN y{n} y ON {on} AND (x.origin IS NULL OR y.origin IS NULL OR x.format <> y.format OR x.origin = y.origin)),
     a{n + 1} AS MATERIALIZED (SELECT * FROM a{n} WHERE (doc_id, place) NOT IN (SELECT (doc_id, sp) FROM p{n})), b{n + 1} AS MATERIALIZED (SELECT * FROM b{n} WHERE (doc_id, place) NOT IN (SELECT (doc_id, tp) FROM p{n}))"""
 
 
 _DIFF = f"""
-WITH a0 AS MATERIALIZED ({_O}), b0 AS MATERIALIZED ({_OT}), {_stage(0, ['origin'], 'origin IS NOT NULL')}, {_stage(1, ['kind', 'hash'], 'true')}, {_stage(2, ['kind', 'place'], 'true')},
-diff AS (SELECT doc_id, kind, sp AS source_place, tp AS target_place, CASE WHEN h <> g THEN 'edited' WHEN sp <> tp THEN 'moved' ELSE 'retained' END AS change FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)
-  UNION ALL SELECT doc_id, kind, place, NULL, 'lost' FROM a3 UNION ALL SELECT doc_id, kind, NULL, place, 'added' FROM b3)
+WITH a0 AS MATERIALIZED ({_O}), b0 AS MATERIALIZED ({_OT}), {_stage(0, 'origin', ['format', 'origin', 'kind', 'hash'])}, {_stage(1, 'origin', ['format', 'origin'])}, {_stage(2, 'content', ['kind', 'hash'])}, {_stage(3, 'place', ['kind', 'place'])},
+diff AS (SELECT doc_id, kind, sp AS source_place, tp AS target_place, CASE WHEN h <> g THEN 'edited' WHEN sp <> tp THEN 'moved' ELSE 'retained' END AS change, basis, ambiguous FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+  UNION ALL SELECT doc_id, kind, place, NULL, 'lost', NULL, false FROM a4 UNION ALL SELECT doc_id, kind, NULL, place, 'added', NULL, false FROM b4)
 """
+
+
+def _gate_sql(bad: str, name: str, limit: int, everywhere: bool = True) -> str:
+    known = f"({plain(INVENTORIES, 'documents')})" if everywhere else "(SELECT DISTINCT doc_id, true AS complete FROM diff)"
+    return f"""SELECT doc_id, CASE WHEN reason IN ('accepted', 'budget-exceeded') THEN n END AS {name}, reason = 'accepted' AS accepted, reason FROM (
+    SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN NOT coalesce(complete, false) THEN 'unavailable' WHEN u > 0 THEN 'uncertain-matching' WHEN n > {limit} THEN 'budget-exceeded' ELSE 'accepted' END AS reason FROM
+    (SELECT doc_id, count(*) FILTER ({bad}) AS n, count(*) FILTER (ambiguous OR basis = 'place') AS u FROM diff GROUP BY doc_id) FULL JOIN {known} USING (doc_id))"""
+
+
 _FORM = plain(FORMULAS, "lineitem")
 
 QUERIES = {
@@ -280,10 +322,10 @@ QUERIES = {
     "diff_objects": lambda s, d: diff_objects(*_objects(s, d)),
     "exact_text_gate": lambda s, d: exact_text_gate(_blocks(s, d), _blocks(s, d, TARGET)),
     "text_flow_gate": lambda s, d: text_flow_gate(_blocks(s, d), _blocks(s, d, TARGET)),
-    "object_budget": lambda s, d: object_budget(diff_objects(*_objects(s, d)), 0),
+    "object_budget": lambda s, d: object_budget(diff_objects(*_objects(s, d)), 0, derived(s, d, INVENTORIES, "documents")),
     "formula_budget": lambda s, d: formula_budget(derived(s, d, FORMULAS, "lineitem"), derived(s, d, FORMULAS, "lineitem").where("not (fingerprint = 'f3.0' and doc_id % 2 = 0)"), 3),
     "emphasis_budget": lambda s, d: emphasis_budget(derived(s, d, RUNS, "conversations"), derived(s, d, RUNS_T, "conversations"), 500),
-    "heading_budget": lambda s, d: heading_budget(diff_objects(*_objects(s, d)), 0),
+    "heading_budget": lambda s, d: heading_budget(diff_objects(*_objects(s, d)), 0, derived(s, d, INVENTORIES, "documents")),
     "loss_budget": lambda s, d: loss_budget(derived(s, d, ISSUES, "lineitem"), 1),
     "word_edit_distance": lambda s, d: word_edit_distance(derived(s, d, PAIRS, "documents"), 8),
     "quality_gates": lambda s, d: quality_gates(exact_text=exact_text_gate(_blocks(s, d), _blocks(s, d, TARGET)), text_flow=text_flow_gate(_blocks(s, d), _blocks(s, d, TARGET)), objects=object_budget(diff_objects(*_objects(s, d)), 2)),
@@ -300,11 +342,11 @@ SQL = {
     "diff_objects": _DIFF + "SELECT * FROM diff",
     "exact_text_gate": _EXACT,
     "text_flow_gate": _FLOW,
-    "object_budget": _DIFF + "SELECT doc_id, count(*) FILTER (change = 'lost') AS lost, count(*) FILTER (change = 'lost') <= 0 AS accepted FROM diff GROUP BY doc_id",
+    "object_budget": _DIFF + _gate_sql("change = 'lost'", "lost", 0),
     "formula_budget": f"SELECT doc_id, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)))::BIGINT AS changed, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0))) <= 3 AS accepted FROM (SELECT doc_id, fingerprint, count(*) AS n FROM ({_FORM}) GROUP BY ALL) FULL JOIN (SELECT doc_id, fingerprint, count(*) AS m FROM ({_FORM}) WHERE NOT (fingerprint = 'f3.0' AND doc_id % 2 = 0) GROUP BY ALL) USING (doc_id, fingerprint) GROUP BY doc_id",
     "emphasis_budget": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n END AS changed, doc_id % 7 <> 0 AND n <= 500 AS accepted FROM (SELECT conv_id AS doc_id, sum(CASE WHEN conv_id % 3 = 0 AND turn % 2 <> 0 THEN length(regexp_replace(substr(text, 11), '\\s+', '', 'g')) ELSE 0 END)::BIGINT AS n FROM conversations GROUP BY conv_id)",
-    "heading_budget": _DIFF + "SELECT doc_id, count(*) FILTER (b) AS changed, count(*) FILTER (b) <= 0 AS accepted, CASE WHEN count(*) FILTER (b) > 0 THEN 'heading_budget_exceeded' ELSE 'ok' END AS reason FROM (SELECT *, kind = 'heading' AND change IN ('lost', 'edited') AS b FROM diff) GROUP BY doc_id",
+    "heading_budget": _DIFF + _gate_sql("kind = 'heading' AND change IN ('lost', 'edited')", "changed", 0),
     "loss_budget": f"SELECT doc_id, count(*) FILTER (severity = 'loss') AS losses, count(*) FILTER (severity = 'loss') <= 1 AS accepted FROM ({plain(ISSUES, 'lineitem')}) GROUP BY doc_id",
-    "quality_gates": _DIFF + f", g AS (SELECT doc_id, 'exact_text' AS gate, accepted FROM ({_EXACT}) UNION ALL SELECT doc_id, 'text_flow', accepted FROM ({_FLOW}) UNION ALL SELECT doc_id, 'objects', count(*) FILTER (change = 'lost') <= 2 FROM diff GROUP BY doc_id), h AS (SELECT doc_id, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT ok), '') AS failed FROM (SELECT doc_id, gate, coalesce(accepted, false) AS ok FROM (SELECT DISTINCT doc_id FROM g) CROSS JOIN (SELECT unnest(['exact_text', 'objects', 'text_flow']) AS gate) LEFT JOIN g USING (doc_id, gate)) GROUP BY doc_id) SELECT doc_id, failed = '' AS accepted, failed FROM h",
+    "quality_gates": _DIFF + f", g AS (SELECT doc_id, 'exact_text' AS gate, accepted FROM ({_EXACT}) UNION ALL SELECT doc_id, 'text_flow', accepted FROM ({_FLOW}) UNION ALL SELECT doc_id, 'objects', accepted FROM ({_gate_sql("change = 'lost'", "lost", 2, False)})), h AS (SELECT doc_id, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT ok), '') AS failed FROM (SELECT doc_id, gate, coalesce(accepted, false) AS ok FROM (SELECT DISTINCT doc_id FROM g) CROSS JOIN (SELECT unnest(['exact_text', 'objects', 'text_flow']) AS gate) LEFT JOIN g USING (doc_id, gate)) GROUP BY doc_id) SELECT doc_id, failed = '' AS accepted, failed FROM h",
     "latest_measurement": f"SELECT task_id, page, revision, value FROM (SELECT task_id, page, arg_max(revision, ts) AS revision, arg_max(value, ts) AS value FROM ({plain(MEASURES, 'events')}) GROUP BY ALL) JOIN ({plain(REVISIONS, 'events')}) USING (task_id, revision)",
 }

@@ -126,3 +126,66 @@ def test_short_identifiers_are_found(spark):
     feats = matching.features(docs)
     pairs = lambda f: sorted((r["doc_id"], r["item_pos"]) for r in f(feats, bib).collect())
     assert pairs(matching.doi_match) == [(1, 1), (2, 2)] and pairs(matching.isbn_match) == [(1, 1)] and pairs(matching.year_match) == [(1, 1), (1, 2)]
+
+
+OBJECT = "doc_id long, place long, kind string, hash string, format string, origin string"
+
+
+def objects(spark, *texts, form="docx", origins=None):
+    rows = [(1, i, "paragraph", t, form, o) for i, (t, o) in enumerate(zip(texts, origins or [None] * len(texts), strict=True))]
+    return spark.createDataFrame(rows, OBJECT)
+
+
+def changes(diff):
+    return sorted((r["change"], r["source_place"], r["target_place"], r["basis"]) for r in diff.collect())
+
+
+def test_moved_objects_are_not_lost(spark):
+    diff = quality.diff_objects(objects(spark, "gone", "kept", "too"), objects(spark, "kept", "too"))
+    assert changes(diff) == [("lost", 0, None, None), ("moved", 1, 0, "content"), ("moved", 2, 1, "content")]
+    assert quality.object_budget(diff, 0).first()["reason"] == "budget-exceeded"
+    assert quality.object_budget(diff, 1).first()["reason"] == "accepted"
+
+
+def test_a_shared_origin_keeps_occurrences_apart(spark):
+    diff = quality.diff_objects(objects(spark, "a", "b", "c", origins=["g"] * 3), objects(spark, "c", "a", origins=["g"] * 2))
+    assert [x[:3] for x in changes(diff)] == [("lost", 1, None), ("moved", 0, 1), ("moved", 2, 0)]
+    assert diff.where("ambiguous").count() == 0
+
+
+def test_repeats_are_ambiguous_and_refused(spark):
+    diff = quality.diff_objects(objects(spark, *["same"] * 3), objects(spark, *["same"] * 2))
+    assert diff.where("change = 'lost'").count() == 1 and diff.where("ambiguous").count() == 2
+    assert tuple(quality.object_budget(diff, 100).first()) == (1, None, False, "uncertain-matching")
+
+
+def test_an_edit_in_place_is_a_guess(spark):
+    diff = quality.diff_objects(objects(spark, "before"), objects(spark, "after"))
+    assert changes(diff) == [("edited", 0, 0, "place")]
+    assert quality.heading_budget(diff, 5).first()["reason"] == "uncertain-matching"
+
+
+@pytest.mark.parametrize(("form", "expected"), [("docx", ["added", "lost"]), ("html", ["retained"])])
+def test_other_origins_of_one_format_are_other_objects(spark, form, expected):
+    diff = quality.diff_objects(objects(spark, "same", origins=["s1"]), objects(spark, "same", form=form, origins=["s2"]))
+    assert [x[0] for x in changes(diff)] == expected
+
+
+def test_gates_of_objects_fail_closed_without_inventories(spark):
+    diff = quality.diff_objects(objects(spark, "x"), objects(spark, "x"))
+    listed = spark.createDataFrame([(1, False), (2, True)], "doc_id long, complete boolean")
+    assert [tuple(r) for r in quality.object_budget(diff, 0, listed).orderBy("doc_id").collect()] == [(1, None, False, "unavailable"), (2, 0, True, "accepted")]
+    empty = objects(spark)
+    assert quality.diff_objects(empty, empty).count() == 0
+
+
+def test_status_state_forgets_what_is_older_than_the_ttl(spark, tmp_path):
+    from folioworks.streaming import jobs
+
+    schema = "user_id long, event_type string, ts timestamp"
+    # each file is a batch; the late row of 1 comes after the watermark has passed it
+    for i, rows in enumerate([[(1, "old", 0), (2, "a", 50)], [(3, "b", 1000), (2, "z", 40)], [(1, "late", 5), (3, "c", 1000)]]):
+        at = [(u, e, pd.Timestamp(1_700_000_000 + s, unit="s").to_pydatetime()) for u, e, s in rows]
+        spark.createDataFrame(at, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert [tuple(r) for r in jobs.latest_status(stream, "100 seconds").collect()] == [(3, "c")]
