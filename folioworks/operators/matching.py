@@ -214,14 +214,19 @@ def match_preview(matches: DataFrame, docs: DataFrame, names: DataFrame) -> Data
 
 
 def match_stats(matches: DataFrame, bib: DataFrame) -> DataFrame:
-    """One row: entries, files, matched, unmatched, progress in percent of the entries (100 at most)."""
+    """One row: entries, files, matched, unmatched, progress in percent of the entries (100 at most), and how many entries are of each type, by name."""
     m = matches.agg(F.count("*").alias("total_files"), F.count_if("matched").alias("matched_files"))
-    return m.crossJoin(bib.agg(F.count("*").alias("total_bib"))).select("total_bib", "total_files", "matched_files", F.greatest(F.lit(0), F.col("total_files") - F.col("matched_files")).alias("unmatched"), F.least(F.lit(100.0), F.coalesce(F.round(F.try_divide(F.col("matched_files") * 100.0, "total_bib"), 1), F.lit(0.0))).alias("progress"))
+    types = bib.groupBy("doc_type").agg(F.count("*").alias("n"))  # a row per type
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("doc_type", F.lit("unknown")).alias("t"), "n"))), lambda x: F.concat(x["t"], F.lit("="), x["n"])), ", ")
+    b = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_bib"), told.alias("doc_types"))
+    progress = F.least(F.lit(100.0), F.coalesce(F.round(F.try_divide(F.col("matched_files") * 100.0, "total_bib"), 1), F.lit(0.0)))
+    unmatched = F.greatest(F.lit(0), F.col("total_files") - F.col("matched_files"))
+    return m.crossJoin(b).select("total_bib", "total_files", "matched_files", unmatched.alias("unmatched"), progress.alias("progress"), "doc_types")
 
 
 MBIB = """
 SELECT item_id + 1 AS item_pos, CASE WHEN item_id % 17 = 3 THEN 'Unknown' ELSE substr(text, 1, 60) END AS title, split_part(text, ' ', 3) || ';' || split_part(text, ' ', 6) || CASE WHEN item_id % 5 = 0 THEN '; Щукин; Kuhn-Lee' ELSE '' END AS authors_text,
-  CAST(1950 + item_id % 70 AS STRING) AS year_text, 'article' AS doc_type, CASE WHEN item_id % 19 = 7 THEN '10.1/ab' WHEN item_id % 19 = 8 THEN 'x/Y' ELSE '10.1234/B' || CAST(item_id AS STRING) END AS doi, CASE WHEN item_id % 19 = 5 THEN '123' ELSE '978-5-' || CAST(10000 + item_id AS STRING) || '-1' END AS isbn
+  CAST(1950 + item_id % 70 AS STRING) AS year_text, CASE WHEN item_id % 3 = 0 THEN 'book' ELSE 'article' END AS doc_type, CASE WHEN item_id % 19 = 7 THEN '10.1/ab' WHEN item_id % 19 = 8 THEN 'x/Y' ELSE '10.1234/B' || CAST(item_id AS STRING) END AS doi, CASE WHEN item_id % 19 = 5 THEN '123' ELSE '978-5-' || CAST(10000 + item_id AS STRING) || '-1' END AS isbn
 FROM {benchmark}
 """
 MDOCS = """
@@ -332,5 +337,5 @@ SQL = {
     "match_files": _WITH + "SELECT * FROM matches",
     "match_report": _WITH + "SELECT doc_id, item_pos, round(a.score, 2) AS score, string_agg(printf('%s=%.2f', name, round(round(s.score, 6), 2)), ', ' ORDER BY printf('%s=%.2f', name, round(round(s.score, 6), 2))) AS signals FROM auto a JOIN sig s USING (doc_id, item_pos) WHERE matched GROUP BY ALL",
     "match_preview": _WITH + "SELECT doc_id, filename, CASE WHEN matched THEN printf('%03d_item.pdf', item_pos) ELSE filename END AS new_name, matched, CASE WHEN matched THEN round(score, 2) ELSE 0.0 END AS score FROM d JOIN matches USING (doc_id)",
-    "match_stats": _WITH + "SELECT *, greatest(0, total_files - matched_files) AS unmatched, least(100.0, round(matched_files * 100.0::DOUBLE / total_bib, 1)) AS progress FROM (SELECT (SELECT count(*) FROM b) AS total_bib, count(*) AS total_files, count(*) FILTER (matched) AS matched_files FROM matches)",
+    "match_stats": _WITH + "SELECT *, greatest(0, total_files - matched_files) AS unmatched, least(100.0, round(matched_files * 100.0::DOUBLE / total_bib, 1)) AS progress FROM (SELECT (SELECT count(*) FROM b) AS total_bib, (SELECT string_agg(doc_type || '=' || n, ', ' ORDER BY doc_type) FROM (SELECT doc_type, count(*) AS n FROM b GROUP BY doc_type)) AS doc_types, count(*) AS total_files, count(*) FILTER (matched) AS matched_files FROM matches)",
 }

@@ -32,24 +32,41 @@ def compare_metrics(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def page_geometry(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Greatest and root mean square error of page sizes (doc_id, page, width, height); null where a side has no such pages."""
-    both = source.join(target.select("doc_id", "page", F.col("width").alias("w"), F.col("height").alias("h")), ["doc_id", "page"], "full")
-    error = F.greatest(F.abs(F.col("width") - F.col("w")), F.abs(F.col("height") - F.col("h")))
+    """Greatest and root mean square errors of sizes and margins of pages (doc_id, page, width, height, margins: left, top, right, bottom).
+
+    A page's error of size is the greater of its width's and height's; each margin counts
+    by itself.  Errors are null where no page is on both sides; available: both sides
+    have pages; complete: they have the same ones.
+    """
+    both = source.join(target.select("doc_id", "page", F.col("width").alias("w"), F.col("height").alias("h"), F.col("margins").alias("m")), ["doc_id", "page"], "full")
+    size = F.greatest(F.abs(F.col("width") - F.col("w")), F.abs(F.col("height") - F.col("h")))
     seen = F.col("width").isNotNull() & F.col("w").isNotNull()
-    e = F.when(seen, error)
-    return both.groupBy("doc_id").agg(F.max(e).alias("max_error"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rms_error"), F.bool_and(seen).alias("complete"))
+    margins = F.zip_with("margins", "m", lambda x, y: F.abs(x - y))
+    squares = F.aggregate(margins, F.lit(0.0), lambda acc, x: acc + x * x)
+    page = both.select("doc_id", "width", "w", seen.alias("seen"), F.when(seen, size).alias("e"), F.when(seen, F.array_max(margins)).alias("worst"), F.when(seen, squares).alias("squares"), F.when(seen, F.size(margins)).alias("n"))
+    return page.groupBy("doc_id").agg(
+        F.max("e").alias("max_error"),
+        F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rms_error"),
+        F.max("worst").alias("max_margin_error"),
+        F.round(F.sqrt(F.try_divide(F.sum("squares"), F.sum("n"))), 6).alias("rms_margin_error"),
+        (F.bool_or(F.col("width").isNotNull()) & F.bool_or(F.col("w").isNotNull())).alias("available"),
+        F.bool_and("seen").alias("complete"),
+    )
 
 
 def occurrences(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def resource_retention(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Per document the share of resources (sha256, size) and of their bytes that the target has, counted with repeats."""
-    a = source.groupBy("doc_id", "sha256", "size").agg(F.count("*").alias("n"))
+def resource_retention(source: DataFrame, target: DataFrame, *by: str) -> DataFrame:
+    """Per document, and by further columns of the source such as media_type, the share of resources (sha256, size) and of their bytes that the target has, counted with repeats."""
+    groups = ["doc_id", *by]
+    a = source.groupBy(*groups, "sha256", "size").agg(F.count("*").alias("n"))
     b = target.groupBy("doc_id", "sha256").agg(F.count("*").alias("m"))
     both = a.join(b, ["doc_id", "sha256"], "left").withColumn("kept", F.least("n", F.coalesce("m", F.lit(0))))
-    return both.groupBy("doc_id").agg(F.sum("n").alias("resources"), F.sum("kept").alias("kept"), F.round(F.sum("kept") / F.sum("n"), 6).alias("count_ratio"), F.round(F.sum(F.col("kept") * F.col("size")) / F.sum(F.col("n") * F.col("size")), 6).alias("byte_ratio"))
+    share = lambda x, y: F.round(F.try_divide(x, y), 6)
+    counts = share(F.sum("kept"), F.sum("n")).alias("count_ratio"), share(F.sum(F.col("kept") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("byte_ratio")
+    return both.groupBy(*groups).agg(F.sum("n").alias("resources"), F.sum("kept").alias("kept"), *counts)
 
 
 def font_retention(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -235,9 +252,9 @@ def compare_rasters(pairs: DataFrame) -> DataFrame:
 TARGET = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') WHEN 2 THEN text || chr(10) || 'added line' ELSE replace(text, ' the ', ' a ') END AS text FROM {documents}"
 OBJECTS = "SELECT doc_id, place, CASE WHEN place % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, 'h' || CAST((doc_id * 7 + place * place) % (CASE WHEN doc_id % 4 = 1 THEN 5 ELSE 11 END) AS STRING) AS hash, 'docx' AS format, CASE WHEN place % 3 = 0 THEN CAST(place AS STRING) END AS origin FROM (SELECT doc_id, CAST(e AS BIGINT) AS place FROM {documents}, (SELECT l_linenumber AS e FROM {lineitem} GROUP BY l_linenumber) n)"
 OBJECTS_T = "SELECT doc_id, place + doc_id % 2 AS place, kind, CASE WHEN (doc_id + place) % 6 = 0 THEN 'edited' ELSE hash END AS hash, CASE WHEN doc_id % 5 < 2 THEN 'html' ELSE format END AS format, CASE WHEN (doc_id + place) % 7 = 0 THEN origin || 'x' ELSE origin END AS origin FROM (" + OBJECTS + ") o WHERE (doc_id * 3 + place) % 8 <> 0"
-GEOMETRY = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 3 AS width, 842.0E0 - doc_id % 5 AS height FROM {documents} UNION ALL SELECT doc_id, 9, 595.0E0, 842.0E0 FROM {documents} WHERE doc_id % 6 = 0"
-GEOMETRY_T = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 4 AS width, 842.0E0 AS height FROM {documents} WHERE doc_id % 10 <> 3"
-RESOURCES = "SELECT CAST(l_orderkey % 1000 AS BIGINT) AS doc_id, 'r' || CAST(l_partkey % 13 AS STRING) AS sha256, CAST(100 + (l_partkey % 13) * 10 AS BIGINT) AS size, 'f' || CAST(l_suppkey % 4 AS STRING) AS font FROM {lineitem}"
+GEOMETRY = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 3 AS width, 842.0E0 - doc_id % 5 AS height, 50.0E0 AS m1, 40.0E0 AS m2, 50.0E0 + doc_id % 2 AS m3, 40.0E0 AS m4 FROM {documents} UNION ALL SELECT doc_id, 9, 595.0E0, 842.0E0, 50.0E0, 40.0E0, 50.0E0, 40.0E0 FROM {documents} WHERE doc_id % 6 = 0"
+GEOMETRY_T = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 4 AS width, 842.0E0 AS height, 50.0E0 + doc_id % 4 AS m1, 40.0E0 AS m2, 50.0E0 AS m3, 41.0E0 AS m4 FROM {documents} WHERE doc_id % 10 <> 3"
+RESOURCES = "SELECT CAST(l_orderkey % 1000 AS BIGINT) AS doc_id, 'r' || CAST(l_partkey % 13 AS STRING) AS sha256, CAST(100 + (l_partkey % 13) * 10 AS BIGINT) AS size, CASE WHEN l_partkey % 13 < 4 THEN 'image/png' ELSE 'image/svg+xml' END AS media_type, 'f' || CAST(l_suppkey % 4 AS STRING) AS font FROM {lineitem}"
 FORMULAS = "SELECT CAST(l_orderkey % 2000 AS BIGINT) AS doc_id, 'f' || CAST(l_quantity % 9 AS STRING) AS fingerprint FROM {lineitem}"
 RUNS = "SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS BIGINT) AS pos, text, turn % 2 = 0 AS bold, turn % 3 = 0 AS italic FROM {conversations}"
 RUNS_T = "SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn * 2 AS BIGINT) AS pos, substr(text, 1, 10) AS text, turn % 2 = 0 AS bold, turn % 3 = 0 AS italic FROM {conversations} UNION ALL SELECT CAST(conv_id AS BIGINT), CAST(turn * 2 + 1 AS BIGINT), substr(text, 11) || CASE WHEN conv_id % 7 = 0 THEN 'x' ELSE ' ' END, turn % 2 = 0 OR conv_id % 3 = 0, turn % 3 = 0 FROM {conversations}"
@@ -316,8 +333,9 @@ _FORM = plain(FORMULAS, "lineitem")
 QUERIES = {
     "inspect_blocks": lambda s, d: inspect_blocks(_blocks(s, d)),
     "compare_metrics": lambda s, d: compare_metrics(inspect_blocks(_blocks(s, d)), inspect_blocks(_blocks(s, d, TARGET))).withColumn("ratio", F.round("ratio", 6)),
-    "page_geometry": lambda s, d: page_geometry(derived(s, d, GEOMETRY, "documents"), derived(s, d, GEOMETRY_T, "documents")),
+    "page_geometry": lambda s, d: page_geometry(*(derived(s, d, sql, "documents").withColumn("margins", F.array("m1", "m2", "m3", "m4")) for sql in (GEOMETRY, GEOMETRY_T))),
     "resource_retention": lambda s, d: resource_retention(*_resources(s, d)),
+    "media_retention": lambda s, d: resource_retention(*_resources(s, d), "media_type"),
     "font_retention": lambda s, d: font_retention(*_fonts(s, d)),
     "diff_objects": lambda s, d: diff_objects(*_objects(s, d)),
     "exact_text_gate": lambda s, d: exact_text_gate(_blocks(s, d), _blocks(s, d, TARGET)),
@@ -336,8 +354,9 @@ QUERIES = {
 SQL = {
     "inspect_blocks": _METRICS.format(_SRC),
     "compare_metrics": f"SELECT doc_id, metric, coalesce(a.value, 0) AS source, coalesce(b.value, 0) AS target, round(CASE WHEN coalesce(a.value, 0) = 0 THEN 1.0 ELSE coalesce(b.value, 0)::DOUBLE / a.value END, 6) AS ratio, coalesce(b.value, 0) < coalesce(a.value, 0) AS lost FROM ({_METRICS.format(_SRC)}) a FULL JOIN ({_METRICS.format(_TGT)}) b USING (doc_id, metric)",
-    "page_geometry": f"SELECT doc_id, max(e) AS max_error, round(sqrt(avg(e * e)), 6) AS rms_error, bool_and(seen) AS complete FROM (SELECT doc_id, a.width IS NOT NULL AND b.width IS NOT NULL AS seen, CASE WHEN a.width IS NOT NULL AND b.width IS NOT NULL THEN greatest(abs(a.width - b.width), abs(a.height - b.height)) END AS e FROM ({plain(GEOMETRY, 'documents')}) a FULL JOIN ({plain(GEOMETRY_T, 'documents')}) b USING (doc_id, page)) GROUP BY doc_id",
+    "page_geometry": f"SELECT doc_id, max(e) AS max_error, round(sqrt(avg(e * e)), 6) AS rms_error, max(list_max(g)) AS max_margin_error, round(sqrt(sum(list_sum(list_transform(g, lambda x: x * x))) / sum(len(g))), 6) AS rms_margin_error, count(wa) > 0 AND count(wb) > 0 AS available, bool_and(wa IS NOT NULL AND wb IS NOT NULL) AS complete FROM (SELECT doc_id, a.width AS wa, b.width AS wb, CASE WHEN a.width IS NOT NULL AND b.width IS NOT NULL THEN greatest(abs(a.width - b.width), abs(a.height - b.height)) END AS e, CASE WHEN a.width IS NOT NULL AND b.width IS NOT NULL THEN [abs(a.m1 - b.m1), abs(a.m2 - b.m2), abs(a.m3 - b.m3), abs(a.m4 - b.m4)] END AS g FROM ({plain(GEOMETRY, 'documents')}) a FULL JOIN ({plain(GEOMETRY_T, 'documents')}) b USING (doc_id, page)) GROUP BY doc_id",
     "resource_retention": f"SELECT doc_id, sum(n)::BIGINT AS resources, sum(k)::BIGINT AS kept, round(sum(k) / sum(n)::DOUBLE, 6) AS count_ratio, round(sum(k * size) / sum(n * size)::DOUBLE, 6) AS byte_ratio FROM (SELECT *, least(n, coalesce(m, 0)) AS k FROM (SELECT doc_id, sha256, size, count(*) AS n FROM ({_RES}) GROUP BY ALL) LEFT JOIN (SELECT doc_id, sha256, count(*) AS m FROM ({_REST}) GROUP BY ALL) USING (doc_id, sha256)) GROUP BY doc_id",
+    "media_retention": f"SELECT doc_id, media_type, sum(n)::BIGINT AS resources, sum(k)::BIGINT AS kept, round(sum(k) / sum(n)::DOUBLE, 6) AS count_ratio, round(sum(k * size) / sum(n * size)::DOUBLE, 6) AS byte_ratio FROM (SELECT *, least(n, coalesce(m, 0)) AS k FROM (SELECT doc_id, media_type, sha256, size, count(*) AS n FROM ({_RES}) GROUP BY ALL) LEFT JOIN (SELECT doc_id, sha256, count(*) AS m FROM ({_REST}) GROUP BY ALL) USING (doc_id, sha256)) GROUP BY doc_id, media_type",
     "font_retention": f"SELECT doc_id, sum(n)::BIGINT AS runs, sum(least(n, coalesce(m, 0)))::BIGINT AS kept, round(sum(least(n, coalesce(m, 0))) / sum(n)::DOUBLE, 6) AS ratio FROM (SELECT doc_id, font, count(*) AS n FROM ({_RES}) GROUP BY ALL) LEFT JOIN (SELECT doc_id, font, count(*) AS m FROM ({_REST}) GROUP BY ALL) USING (doc_id, font) GROUP BY doc_id",
     "diff_objects": _DIFF + "SELECT * FROM diff",
     "exact_text_gate": _EXACT,

@@ -189,3 +189,12 @@ def test_status_state_forgets_what_is_older_than_the_ttl(spark, tmp_path):
         spark.createDataFrame(at, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert [tuple(r) for r in jobs.latest_status(stream, "100 seconds").collect()] == [(3, "c")]
+
+
+def test_errors_of_page_sizes_and_margins(spark):
+    page = "doc_id long, page int, width double, height double, margins array<double>"
+    a = spark.createDataFrame([(1, 1, 100.0, 200.0, [10.0] * 4), (2, 1, 1.0, 1.0, [1.0] * 4)], page)
+    b = spark.createDataFrame([(1, 1, 110.0, 205.0, [10.0, 13.0, 10.0, 10.0])], page)
+    first, second = (tuple(r) for r in quality.page_geometry(a, b).orderBy("doc_id").collect())
+    assert first == (1, 10.0, 10.0, 3.0, 1.5, True, True)
+    assert second == (2, None, None, None, None, False, False)
