@@ -6,16 +6,18 @@ from .decontam import op10_decontamination
 from .fingerprints import op2_fingerprints
 from .language import op7_language
 from .minhash import op1_minhash
+from .negatives import OP12_SQL, op12_negatives
 from .packing import op5_packing
 from .quality import op6_quality
 from .reshard import op4_reshard
+from .secret_scan import OP13_SQL, op13_secrets
 from .urls import op3_urls
 
 
 def queries() -> dict:
-    found = (op1_minhash, op2_fingerprints, op3_urls, op4_reshard, op5_packing, op6_quality, op7_language, op8_binary, op9_chat, op10_decontamination)
+    found = (op1_minhash, op2_fingerprints, op3_urls, op4_reshard, op5_packing, op6_quality, op7_language, op8_binary, op9_chat, op10_decontamination, op12_negatives, op13_secrets)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": OP9_SQL}
+    return {"op9_chat": OP9_SQL, "op12_negatives": OP12_SQL, "op13_secrets": OP13_SQL}
