@@ -15,6 +15,7 @@ first look at a bounded share of the tiles gives kth scores that already bound t
 
 import heapq
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,10 +78,10 @@ class Best:
 
     __slots__ = ("k", "low", "high", "heap", "bound")
 
-    def __init__(self, k: int, low: int, high: int, bound: int | None):
+    def __init__(self, k: int, low: float, high: float, bound: int | None):
         self.k, self.low, self.high, self.heap, self.bound = k, low, high, [], bound
 
-    def least(self) -> int:
+    def least(self) -> float:
         """Scores strictly below this are of no use."""
         kth = self.heap[0][0] if len(self.heap) == self.k else self.low
         return max(self.low, kth if self.bound is None else max(kth, self.bound))
@@ -240,7 +241,7 @@ def hard_negatives(
         rows = dealt.where(F.col("block") == b).select("id", "label", "v").toArrow()  # about block_bytes
         ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
         block = {"ids": ids, "labels": labels, "v": matrix(rows["v"].combine_chunks(), dims)}
-        every = [[(positives, -(1 << 63), (1 << 63) - 1, None)]] * len(ids)
+        every = [[(positives, -math.inf, math.inf, None)]] * len(ids)
         found = _searched(tiles, look, block | {"wants": every}, True, positives, leaf).collect()  # `positives` rows an anchor
         best = {r["anchor"]: [(-x["down"], x["id"]) for x in r["best"]] for r in found}
         wants = [[(negatives, -(-low * s // 100), high * s // 100, None) for s, _ in best.get(i, [])] for i in range(len(ids))]
