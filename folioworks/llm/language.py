@@ -134,7 +134,7 @@ class LanguageModel:
 
 
 def sample_bound(n: int, most: int) -> int:
-    """Rows whose hash of HASH_BITS bits is below this are about `most` of n, whatever n is."""
+    """Of n distinct rows, those whose hash of HASH_BITS bits is below this are about `most`, whatever n is; all, where n is no more."""
     return min(1 << HASH_BITS, -(-most * (1 << HASH_BITS) // max(n, 1)))
 
 
@@ -146,7 +146,9 @@ def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel |
     """
     spark = rows.sparkSession
     known = rows.where("text is not null and lang is not null").where(fold(F.col("doc")) != 0).where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    known = known.withColumn("h", F.xxhash64("doc", "text"))
+    # the sample is of distinct rows, so its share is of them too: a row that repeats is in or out with all its copies
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}  # a row per language
     if not counts:
         return None
 
@@ -167,8 +169,7 @@ def fit_language(rows: DataFrame, most: int = MOST_LABELLED) -> LanguageModel |
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 0.1).astype(np.float32)
 
     share = spark.createDataFrame([(lang, sample_bound(n, most)) for lang, n in counts.items()], "lang string, below long")
-    h = F.xxhash64("doc", "text")
-    picked = known.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").where(F.col("h").bitwiseAND((1 << HASH_BITS) - 1) < F.col("below"))
+    picked = known.select("lang", "text", "h").join(F.broadcast(share), "lang").where(F.col("h").bitwiseAND((1 << HASH_BITS) - 1) < F.col("below"))
     picked = picked.groupBy("lang", "h").agg(F.first("text").alias("text"))  # rows that repeat count once
 
     def vectors(batches):

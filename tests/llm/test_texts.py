@@ -345,3 +345,14 @@ def test_language_clusters_are_not_single_outliers():
     c = language.cluster(v)
     own = np.bincount((v @ c.T).argmax(axis=1))
     assert len(c) >= 2 and own.min() >= 0.02 * len(v)
+
+
+def test_language_of_rows_that_repeat(spark, sf):
+    """The sample is of distinct rows: one row many times over is still learned, and drives no other language out."""
+    text = "The cat sat on the mat and the dog lay on the rug while the rain fell on the roof"
+    one = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    got = language.identify_language(one).groupBy("lang_pred", "rejected").count().collect()
+    assert [tuple(r) for r in got] == [("en", False, 60_000)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang <> 'en'").select("doc_id", "text", "lang")
+    both = language.identify_language(docs.union(one.withColumn("doc_id", F.lit(1_000_006).cast("long"))))
+    assert [tuple(r) for r in both.where("doc_id = 1000006").groupBy("lang_pred", "rejected").count().collect()] == [("en", False, 60_000)]
