@@ -1,24 +1,26 @@
 """Documents to bibliography entries by weighted signals, each found through its own keys instead of all pairs.
 
-A signal is a row (doc_id, item_pos, name, score) with score above 0.  Words, title
-heads, years, DOIs and ISBNs are joined on equal keys and then checked, so a pair
-that no signal ties together never exists; its score would be 0.
+A signal is a row (doc_id, item_pos, name, score) with score above 0.  Authors, title
+heads, years, DOIs and ISBNs are looked for in all texts in one reading (see needles),
+words of titles are joined, so a pair that no signal ties together never exists; its
+score would be 0.
 """
 
-import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import helpers, text as T
 from ..plans.inputs import derived, plain
 from ..sources.staging import kept
+from .needles import find_needles
 
 #: Weight of each kind of signal, least score of a match, of a fuzzy author, length of an empty text and of a title.
 WEIGHTS = {"manual": 100.0, "author": 1.0, "title_overlap": 2.0, "title_in_filename": 1.5, "year": 0.15, "doi": 2.0, "isbn": 1.5}
 THRESHOLD, FUZZY, EMPTY, TITLE, AUTHORS = 0.30, 0.6, 100, 15, 5
-KEY = 4
+#: Characters that are put in order of how common they are.
+COMMON = 200
 #: Fixed value: a title that says there is none.
 NO_TITLE = "Unknown"
 
@@ -32,43 +34,91 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def windows(c: Column, k: int = KEY) -> Column:
-    runs = F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k)))
-    return F.when(F.length(c) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def hay(feats: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, field, hay: the texts that needles are looked for in, a row for each field."""
+    of = {
+        "norm": F.col("norm"), "file": F.col("file_norm"), "under": F.replace("file_norm", F.lit(" "), F.lit("_")), "low": F.lower("text"),
+        "digits": F.regexp_replace("text", r"(?U)\D", ""), "dated": F.concat_ws("\n", "text", "filename"),
+    }
+    return feats.select("doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), of[f].alias("hay")) for f in fields))))
 
 
-def containing(hay: DataFrame, needles: DataFrame, shortest: int = KEY) -> DataFrame:
-    """Rows of hay (hay, ...) with the needles (needle, ...) that stand in them: joined on a needle's first KEY characters (all of a shorter one), then checked. Needles have `shortest` characters at least."""
-    runs = F.concat(*(windows(F.col("hay"), k) for k in range(shortest, KEY + 1)))
-    keyed = hay.withColumn("key", F.explode(runs))
-    wanted = needles.where(F.length("needle") >= shortest).withColumn("key", F.substring("needle", 1, KEY))
-    return keyed.join(wanted, "key").where(F.col("hay").contains(F.col("needle"))).drop("key")
+def author_forms(bib: DataFrame) -> DataFrame:
+    """author, field, needle, s: how an author may stand in a text (norm) or file name, and what that scores."""
+    names = bib.select(F.explode(F.slice("authors", 1, AUTHORS)).alias("author")).where(F.length("author") > 3).distinct()
+    plain, latin = T.normalize_text(F.col("author")), T.transliterate(F.col("author"))
+    forms = F.array(*(F.struct(F.lit(f).alias("field"), c.alias("needle"), F.lit(s).alias("s")) for f, c, s in (("norm", plain, 1.0), ("norm", latin, 0.9), ("file", plain, 1.2), ("file", latin, 1.1))))
+    return names.select("author", F.inline(forms))
+
+
+def title_heads(bib: DataFrame) -> DataFrame:
+    """item_pos, field, needle, latin: a title's first 60 characters, and the whole title in Latin letters."""
+    titles, under = bib.where(F.length("title") >= TITLE), lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    heads = titles.select("item_pos", F.lit("under").alias("field"), under(F.substring(T.normalize_text(F.col("title")), 1, 60)).alias("needle"), F.lit(0).alias("latin"))
+    return heads.union(titles.where(F.length("title") > TITLE).select("item_pos", F.lit("under"), under(T.transliterate(F.col("title"))), F.lit(1)))
+
+
+def doi_needles(bib: DataFrame) -> DataFrame:
+    return bib.select("item_pos", F.lit("low").alias("field"), F.lower("doi").alias("needle"))
+
+
+def isbn_needles(bib: DataFrame) -> DataFrame:
+    return bib.select("item_pos", F.lit("digits").alias("field"), F.regexp_replace("isbn", r"(?U)\D", "").alias("needle"))
+
+
+def year_needles(bib: DataFrame) -> DataFrame:
+    return bib.where("year is not null").select("item_pos", F.lit("dated").alias("field"), F.col("year").cast("string").alias("needle"))
+
 
+def found_in(feats: DataFrame, *needles: DataFrame) -> DataFrame:
+    """(doc_id, field, needle) of all needles that stand in the field that they are looked for in."""
+    wanted = reduce(DataFrame.union, [n.select("field", "needle") for n in needles])
+    fields = [r["field"] for r in wanted.select("field").distinct().collect()]  # six at most
+    return find_needles(hay(feats, *sorted(fields)), wanted) if fields else feats.select("doc_id", F.lit("").alias("field"), F.lit("").alias("needle")).limit(0)
 
-def author_signal(feats: DataFrame, bib: DataFrame, fuzzy: bool = True) -> DataFrame:
+
+def author_signal(feats: DataFrame, bib: DataFrame, fuzzy: bool = True, found: DataFrame | None = None) -> DataFrame:
     """(doc_id, author, score): 1.2 in the file name, 1.1 there in Latin letters, 1.0 in the text, 0.9 there in Latin letters, else 0.8 for a similar word."""
-    names = bib.select(F.explode(F.slice("authors", 1, AUTHORS)).alias("author")).where(F.length("author") > 3).distinct()
-    forms = names.select("author", F.explode(F.array(F.struct(T.normalize_text(F.col("author")).alias("needle"), F.lit(1.0).alias("s")), F.struct(T.transliterate(F.col("author")).alias("needle"), F.lit(0.9).alias("s")))).alias("f")).select("author", "f.needle", "f.s")
-    words = feats.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where("word <> ''")
-    vocabulary = words.select("word").distinct()
-    first = F.substring_index("needle", " ", 1)
-    in_word = containing(vocabulary.select(F.col("word").alias("hay")), forms.select(first.alias("needle"), F.col("needle").alias("whole"), "author", "s"), 1)
-    hits = words.join(in_word.withColumnRenamed("hay", "word"), "word")
-    one = hits.where(~F.col("whole").contains(" ")).select("doc_id", "author", "s")
-    several = hits.where(F.col("whole").contains(" ")).select("doc_id", "author", "s", "whole").distinct().join(feats.select("doc_id", "norm"), "doc_id").where("contains(norm, whole)").select("doc_id", "author", "s")
-    in_file = containing(feats.select("doc_id", F.col("file_norm").alias("hay")), forms, 1).select("doc_id", "author", (F.col("s") + F.lit(0.2)).alias("s"))
-    found = one.union(several).union(in_file).groupBy("doc_id", "author").agg(F.round(F.max("s"), 2).alias("score"))
+    forms = author_forms(bib)
+    found = found_in(feats, forms) if found is None else found
+    exact = found.join(forms, ["field", "needle"]).groupBy("doc_id", "author").agg(F.max("s").alias("score"))
     if not fuzzy:
-        return found
-    # distinct words against distinct authors of a length that can be similar enough, then back to the documents
-    sized = names.select("author", T.normalize_text(F.col("author")).alias("a")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(4), F.ceil(F.length("a") * FUZZY / (2 - FUZZY))), F.greatest(F.lit(4), F.floor(F.length("a") * (2 - FUZZY) / FUZZY)))))
-    pairs = vocabulary.where(F.length("word") >= 4).withColumn("len", F.length("word").cast("long")).join(sized, "len")
-    # no more characters can match than each has of the other's letters
-    of_a, of_word = (F.length(x) - F.length(F.expr(f"translate({x}, {y}, '')")) for x, y in (("a", "word"), ("word", "a")))
-    pairs = pairs.where(2 * F.least(of_a, of_word) >= FUZZY * (F.length("a") + F.length("word")))
+        return exact
+    exact = kept(exact, "authors")
+    words = feats.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where(F.length("word") >= 4)
+    alike = similar_authors(words.select("word").distinct(), forms.select("author").distinct())
+    close = words.join(alike, "word").select("doc_id", "author").distinct()
+    return exact.union(close.join(exact, ["doc_id", "author"], "left_anti").select("doc_id", "author", F.lit(0.8)))
+
+
+def similar_authors(words: DataFrame, authors: DataFrame) -> DataFrame:
+    """(word, author): words of at least four characters whose similarity with the author's normal form is at least FUZZY.
+
+    Twice the characters in common, over both lengths, bounds the similarity.  So a pair
+    that is similar enough shares one of the rarest characters of either side (counted
+    with repeats; how many of them depends on its length): these are joined, the first
+    one that a pair shares decides, and the bound is checked before the similarity.
+    """
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    names = authors.select("author", T.normalize_text(F.col("author")).alias("a")).where("a <> ''")
+    seen = words.select(F.explode(chars(F.col("word"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    order = [r["c"] for r in seen.orderBy(F.desc("n"), "c").limit(COMMON).collect()][::-1]  # all others come before these
+    ranks = F.create_map(*(F.lit(x) for i, c in enumerate(order, 1) for x in (c, i))) if order else F.create_map().cast("map<string,int>")
+
+    def signed(df: DataFrame, of: str) -> DataFrame:
+        """df with bag (each character with the number of its repeat, in order of rarity) and key (the first of them: those that a partner must share one of)."""
+        nth = F.transform(chars(F.col(of)), lambda c, i: F.struct(F.coalesce(F.try_element_at(ranks, c), F.lit(0)).alias("rank"), c.alias("c"), F.size(F.filter(F.slice(chars(F.col(of)), 1, i + 1), lambda x: x == c)).alias("nth")))
+        bag = F.transform(F.array_sort(nth), lambda x: F.concat(x["c"], x["nth"].cast("string")))
+        n = F.length(of)
+        least = F.ceil(n * (FUZZY / (2 - FUZZY)) - 1e-9).cast("int")  # characters in common with the shortest partner
+        return df.withColumn("bag", bag).withColumn("keys", F.slice("bag", 1, n - least + 1))
+
+    w = signed(words, "word").select("word", "bag", "keys", F.explode("keys").alias("key"))
+    a = signed(names, "a").select("author", "a", F.col("bag").alias("a_bag"), F.col("keys").alias("a_keys"), F.explode("keys").alias("key"))
+    pairs = w.join(a, "key").where(F.get(F.array_intersect("keys", "a_keys"), F.lit(0)) == F.col("key"))
+    pairs = pairs.where(2 * F.size(F.array_intersect("bag", "a_bag")) >= FUZZY * (F.length("a") + F.length("word")) - 1e-9)
     alike = pairs.select(F.col("a").alias("author"), "word", F.col("author").alias("name")).mapInPandas(helpers.similar_pairs(FUZZY), "author string, word string, name string")
-    close = words.join(alike.select("word", F.col("name").alias("author")), "word").select("doc_id", "author").distinct()
-    return found.union(close.join(found, ["doc_id", "author"], "left_anti").select("doc_id", "author", F.lit(0.8)))
+    return alike.select("word", F.col("name").alias("author"))
 
 
 def title_overlap(feats: DataFrame, bib: DataFrame) -> DataFrame:
@@ -81,74 +131,46 @@ def title_overlap(feats: DataFrame, bib: DataFrame) -> DataFrame:
     return by_place.groupBy("doc_id", "item_pos").agg(F.max(F.col("k") / F.col("n") * F.col("w")).alias("score"))
 
 
-def title_in_filename(feats: DataFrame, bib: DataFrame) -> DataFrame:
+def title_in_filename(feats: DataFrame, bib: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_pos, name, score): the title's first 60 characters in the file name, else the whole title in Latin letters."""
-    files = feats.select("doc_id", "is_empty", F.replace("file_norm", F.lit(" "), F.lit("_")).alias("hay"))
-    titles = bib.where(F.length("title") >= TITLE)
-    under = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
-    heads = titles.select("item_pos", under(F.substring(T.normalize_text(F.col("title")), 1, 60)).alias("needle"), F.lit(0).alias("latin"))
-    latin = titles.where(F.length("title") > TITLE).select("item_pos", under(T.transliterate(F.col("title"))).alias("needle"), F.lit(1))
-    found = containing(files, heads.union(latin)).groupBy("doc_id", "item_pos", "is_empty").agg(F.min("latin").alias("latin"))
+    heads = title_heads(bib)
+    found = found_in(feats, heads) if found is None else found
+    least = found.join(heads, ["field", "needle"]).groupBy("doc_id", "item_pos").agg(F.min("latin").alias("latin")).join(feats.select("doc_id", "is_empty"), "doc_id")
     score = F.when(~F.col("is_empty"), 1.0).when(F.col("latin") == 0, 2.0).otherwise(2.5)
-    return found.select("doc_id", "item_pos", F.when(F.col("latin") == 0, "title_in_filename").otherwise("title_translit_in_filename").alias("name"), score.alias("score"))
-
-
-def years_seen(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    """(doc_id, y): years of the bibliography that stand in a text or file name, also inside longer numbers; each is found by its digits."""
-    years = bib.where("year is not null").select(F.col("year").cast("string").alias("y")).distinct()
-    lengths = sorted(r["n"] for r in years.select(F.length("y").alias("n")).distinct().collect())  # a number can have ten lengths
-    if not lengths:
-        return feats.select("doc_id", F.lit("").alias("y")).limit(0)
-    both = F.concat_ws("\n", "text", "filename")
-    runs = F.array_distinct(F.concat(*(F.regexp_extract_all(both, F.lit(rf"(?=([0-9]{{{n}}}))"), 1) for n in lengths)))
-    return feats.select("doc_id", F.explode(runs).alias("y")).join(years, "y", "left_semi")
+    return least.select("doc_id", "item_pos", F.when(F.col("latin") == 0, "title_in_filename").otherwise("title_translit_in_filename").alias("name"), score.alias("score"))
 
 
-def year_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    return years_seen(feats, bib).join(bib.select("item_pos", F.col("year").cast("string").alias("y")), "y").select("doc_id", "item_pos", F.lit(1.0).alias("score"))
+def year_match(feats: DataFrame, bib: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Years of the bibliography that stand in a text or file name, also inside longer numbers."""
+    return whole_match(feats, year_needles(bib), found)
 
 
-def year_for_best(feats: DataFrame, bib: DataFrame, others: DataFrame) -> DataFrame:
+def year_for_best(years: DataFrame, bib: DataFrame, others: DataFrame) -> DataFrame:
     """The rows of year_match that can decide a best match: pairs with another signal, and of each year the first item.
 
     A year alone is the least of all signals, so of the items that have nothing else only
-    the first can be a document's best one.
+    the first can be a document's best one.  years: (doc_id, field, needle) as found.
     """
-    seen = years_seen(feats, bib)
-    dated = bib.where("year is not null").select("item_pos", F.col("year").cast("string").alias("y"))
-    first = seen.join(dated.groupBy("y").agg(F.min("item_pos").alias("item_pos")), "y").select("doc_id", "item_pos")
-    paired = others.select("doc_id", "item_pos").distinct().join(dated, "item_pos").join(seen, ["doc_id", "y"]).select("doc_id", "item_pos")
+    dated = year_needles(bib)
+    seen = years.where("field = 'dated'").select("doc_id", "needle")
+    first = seen.join(dated.groupBy("needle").agg(F.min("item_pos").alias("item_pos")), "needle").select("doc_id", "item_pos")
+    paired = others.select("doc_id", "item_pos").distinct().join(dated.select("item_pos", "needle"), "item_pos").join(seen, ["doc_id", "needle"]).select("doc_id", "item_pos")
     return first.union(paired).distinct().withColumn("score", F.lit(1.0))
 
 
-def whole_in(hay: DataFrame, needles: DataFrame, at: str = "") -> DataFrame:
-    """(doc_id, item_pos): needles (item_pos, needle) that stand in the texts (doc_id, hay), by one join on whole needles.
-
-    The texts are cut into windows of each length that a needle has, from every place or
-    only from those where `at` (a plain string that all needles begin with) stands.
-    """
-    lengths = sorted(r["n"] for r in needles.select(F.length("needle").alias("n")).distinct().collect())  # a row for each length
-    if not lengths:
-        return hay.select("doc_id", F.lit(0).cast("long").alias("item_pos")).limit(0)
-    head = re.escape(at)
-    runs = [F.regexp_extract_all("hay", F.lit(rf"(?s)(?=({head}.{{{n - len(at)}}}))"), 1) for n in lengths]
-    windows_ = hay.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("needle"))
-    return windows_.join(needles, "needle").select("doc_id", "item_pos").distinct()
+def whole_match(feats: DataFrame, needles: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(doc_id, item_pos, score) of needles (item_pos, field, needle) that stand in their field."""
+    found = found_in(feats, needles) if found is None else found
+    return found.join(needles, ["field", "needle"]).select("doc_id", "item_pos").distinct().withColumn("score", F.lit(1.0))
 
 
-def doi_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    """DOIs start with 10., so windows begin only there; others are looked for at every place."""
-    texts, low = feats.select("doc_id", F.lower("text").alias("hay")), F.lower("doi")
-    wanted = bib.where("doi <> ''").select("item_pos", low.alias("needle"))
-    usual = F.col("needle").startswith("10.")
-    return whole_in(texts, wanted.where(usual), "10.").union(whole_in(texts, wanted.where(~usual))).withColumn("score", F.lit(1.0))
+def doi_match(feats: DataFrame, bib: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    return whole_match(feats, doi_needles(bib), found)
 
 
-def isbn_match(feats: DataFrame, bib: DataFrame) -> DataFrame:
+def isbn_match(feats: DataFrame, bib: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """An ISBN's digits among the digits of a text."""
-    digits = lambda c: F.regexp_replace(c, r"(?U)\D", "")
-    texts = feats.select("doc_id", digits(F.col("text")).alias("hay")).where("hay <> ''")
-    return whole_in(texts, bib.select("item_pos", digits(F.col("isbn")).alias("needle")).where("needle <> ''")).withColumn("score", F.lit(1.0))
+    return whole_match(feats, isbn_needles(bib), found)
 
 
 def manual_match(feats: DataFrame, mapping: DataFrame, bib: DataFrame) -> DataFrame:
@@ -165,17 +187,20 @@ def load_manual_matches(defaults: DataFrame, extra: DataFrame) -> DataFrame:
 def all_signals(feats: DataFrame, bib: DataFrame, fuzzy: bool = True, weights: dict | None = None, for_best: bool = False) -> DataFrame:
     """Long table doc_id, item_pos, name, score, weight of the signals above 0; for_best leaves out years that cannot decide a best match."""
     w = WEIGHTS | (weights or {})
-    authors = author_signal(feats, bib, fuzzy).join(bib.select("item_pos", F.explode(F.slice("authors", 1, AUTHORS)).alias("author")), "author")
+    # all that is looked for in texts and file names, in one reading
+    found = kept(found_in(feats, author_forms(bib), title_heads(bib), doi_needles(bib), isbn_needles(bib), year_needles(bib)), "found")
+    authors = author_signal(feats, bib, fuzzy, found).join(bib.select("item_pos", F.explode(F.slice("authors", 1, AUTHORS)).alias("author")), "author")
     parts = [authors.select("doc_id", "item_pos", F.lit("author").alias("name"), "score", F.lit(w["author"]).alias("weight"))]
-    parts += [title_in_filename(feats, bib).select("doc_id", "item_pos", "name", "score", F.lit(w["title_in_filename"]))]
-    parts += [f(feats, bib).select("doc_id", "item_pos", F.lit(n), "score", F.lit(w[n])) for n, f in (("title_overlap", title_overlap), ("doi", doi_match), ("isbn", isbn_match))]
+    parts += [title_in_filename(feats, bib, found).select("doc_id", "item_pos", "name", "score", F.lit(w["title_in_filename"]))]
+    parts += [title_overlap(feats, bib).select("doc_id", "item_pos", F.lit("title_overlap"), "score", F.lit(w["title_overlap"]))]
+    parts += [f(feats, bib, found).select("doc_id", "item_pos", F.lit(n), "score", F.lit(w[n])) for n, f in (("doi", doi_match), ("isbn", isbn_match))]
     out = reduce(DataFrame.union, parts)
     least = min(v for k, v in w.items() if k != "year")
     if for_best and 0 < w["year"] <= least:  # else a year can outweigh other signals
         out = kept(out, "signals")
-        years = year_for_best(feats, bib, out)
+        years = year_for_best(found, bib, out)
     else:
-        years = year_match(feats, bib)
+        years = year_match(feats, bib, found)
     return out.union(years.select("doc_id", "item_pos", F.lit("year"), "score", F.lit(w["year"])))
 
 
