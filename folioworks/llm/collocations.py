@@ -19,16 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import give_back, join_hot, mix, staged, table
+from ..functions.bits import Bits, bit_set, mix
+from .common import give_back, join_hot, staged, table
 
 #: Words of the longest phrase, least occurrences of a phrase, phrases reported for a language.
 ORDER, LEAST, TOP = 5, 100, 2000
 #: A phrase goes if a longer one around it has at least so many hundredths of its occurrences.
 INSIDE = 100
-#: Bits of a set for each of its members, and at most.
-BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Bytes of text split at once, bytes and distinct words worked on together.
-SLICE, CHUNK, MOST_WORDS = 1 << 20, 8 << 20, 400_000
+SLICE, CHUNK, MOST_WORDS = 1 << 20, 16 << 20, 400_000
 #: Parts that the first phrases of a language are picked in before they are ranked.
 SALT = 32
 #: A-Z in lower case, tabs as spaces, and what ends a piece (``.,;:!?`` and the line breaks from 10 to 13) as one mark.
@@ -78,29 +77,6 @@ def coded(texts: list[bytes], coder: Coder) -> np.ndarray:
     return codes[codes != _NONE]
 
 
-class Bits:
-    """A bit set of 64-bit hashes: `in` may say yes by chance, never no to a member."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = h & self.mask
-        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
-
-
-def bit_set(hashes: DataFrame) -> Bits:
-    """The set of the column h (long); the driver gets a row for each 64 bits, MOST_BITS / 64 at most."""
-    n = hashes.count()
-    size = min(MOST_BITS, max(1 << 12, 1 << int(np.ceil(np.log2(max(n, 1) * BITS_EACH)))))
-    slot = F.col("h").bitwiseAND(size - 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-    rows = hashes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(one).alias("v")).toArrow()
-    words = np.zeros(size // 64, np.uint64)
-    words[rows["at"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
-    return Bits(words)
-
-
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """(lang, texts) of about CHUNK bytes from batches of lang and text."""
     held: dict[str, list[bytes]] = {}
@@ -228,10 +204,17 @@ def phrase_counts(windows: DataFrame, least: int = LEAST) -> DataFrame:
     return rolled.where(whole).select("lang", words.alias("words"), "a")
 
 
-def _looked_up(rows: DataFrame, counts: DataFrame, on: list[str], value: str, n: int) -> DataFrame:
-    """rows with the number that counts (on, value) has for their key, hot keys apart."""
-    keyed = counts.join(rows.groupBy(*on).agg(F.count("*").alias("count")), on)
-    return join_hot(rows, keyed.select(*on, value, "count"), on, n)
+def with_parts(cuts: DataFrame, counts: DataFrame) -> DataFrame:
+    """cuts (lang, phrase, a, k, left, right) with l, r and n: the counts (lang, part, n) of both parts, and of the language, whose part is the empty word.
+
+    A cut asks for three counts, a row each; parts that many cuts ask for are told apart
+    and sent to all tasks.
+    """
+    asked = F.array(*(F.struct(F.lit(s).alias("side"), p.alias("part")) for s, p in (("l", F.col("left")), ("r", F.col("right")), ("n", F.lit("")))))
+    asked = staged(cuts.select("lang", "phrase", "a", "k", F.inline(asked)), "asked")
+    keyed = staged(counts.join(asked.groupBy("lang", "part").agg(F.count("*").alias("count")), ["lang", "part"]), "keyed")
+    told = join_hot(asked, keyed, ["lang", "part"], asked.count())
+    return told.groupBy("lang", "phrase", "a", "k").agg(*(F.max(F.when(F.col("side") == s, F.col("n"))).alias(s) for s in "lrn"))
 
 
 def find_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -251,17 +234,15 @@ def find_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, insid
     words = staged(word_counts(texts), "words")
     often = words.where(F.col("n") >= least)
     known = bit_set(_word_hashes(often))
-    pairs = bit_set(pair_counts(texts, known).where(F.col("n") >= least))
+    pairs = bit_set(staged(pair_counts(texts, known).where(F.col("n") >= least), "pairs"))
     phrases = staged(phrase_counts(lead_windows(texts, known, pairs), least).withColumn("phrase", F.array_join("words", " ")), "phrases")
 
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
-    cuts = staged(cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right")), "cuts")
-    rows = cuts.count()
-    counts = often.select("lang", F.col("word").alias("part"), "n").union(phrases.select("lang", "phrase", "a"))
-    cuts = _looked_up(cuts, counts.toDF("lang", "left", "l"), ["lang", "left"], "l", rows)
-    cuts = _looked_up(cuts, counts.toDF("lang", "right", "r"), ["lang", "right"], "r", rows)
-    cuts = _looked_up(cuts, words.groupBy("lang").agg(F.sum("n").alias("n")), ["lang"], "n", rows)
+    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = often.select("lang", F.col("word").alias("part"), "n").union(phrases.select("lang", "phrase", "a")).union(totals.select("lang", F.lit(""), "n"))
+    cuts = with_parts(cuts, counts)
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     cuts = cuts.withColumns({"above": wide("a") * wide("n") * F.lit(1000).cast("decimal(4,0)"), "below": wide("l") * wide("r")})
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr("above div below").alias("score"), "k", "l", "r", "n")).alias("cut"))

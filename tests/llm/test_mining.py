@@ -89,14 +89,6 @@ def test_scores_beyond_64_bits(spark):
     assert got == 1000 * a * n // (left * right)
 
 
-def test_bit_sets_hold_their_members(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "MOST_BITS", 1 << 12)
-    members = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 3000)
-    found = collocations.bit_set(spark.createDataFrame([(int(x),) for x in members], "h long"))
-    assert len(found.words) == 64 and found.has(members.view(np.uint64)).all()
-    assert not collocations.bit_set(spark.createDataFrame([], "h long")).has(members.view(np.uint64)).any()
-
-
 # hard negatives
 
 
