@@ -19,8 +19,8 @@ from .needles import find_needles
 #: Weight of each kind of signal, least score of a match, of a fuzzy author, length of an empty text and of a title.
 WEIGHTS = {"manual": 100.0, "author": 1.0, "title_overlap": 2.0, "title_in_filename": 1.5, "year": 0.15, "doi": 2.0, "isbn": 1.5}
 THRESHOLD, FUZZY, EMPTY, TITLE, AUTHORS = 0.30, 0.6, 100, 15, 5
-#: Characters that are put in order of how common they are.
-COMMON = 200
+#: Characters that are put in order of how common they are; pairs that one word may make in one task.
+COMMON, PAIRS = 200, 2_000_000
 #: Fixed value: a title that says there is none.
 NO_TITLE = "Unknown"
 
@@ -121,13 +121,27 @@ def similar_authors(words: DataFrame, authors: DataFrame) -> DataFrame:
     return alike.select("word", F.col("name").alias("author"))
 
 
-def title_overlap(feats: DataFrame, bib: DataFrame) -> DataFrame:
-    """(doc_id, item_pos, score): share of the title's keywords in the text, or 1.25 times that in the file name."""
+def title_overlap(feats: DataFrame, bib: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(doc_id, item_pos, score): share of the title's keywords in the text, or 1.25 times that in the file name.
+
+    A word makes as many pairs as documents times titles that have it.  Words that make
+    more than `pairs` (and more than a thousandth of all, so there are at most a thousand
+    of them) are cut: their documents are dealt to as many parts as it takes, each of
+    which meets all titles with the word.  So no task has much more than `pairs` to count
+    for one word, however common it is; every pair is still counted.
+    """
     titles = bib.where(F.col("title") != NO_TITLE).select("item_pos", T.keywords(T.normalize_text(F.col("title"))).alias("k")).select("item_pos", F.size("k").alias("n"), F.explode("k").alias("word"))
     words = feats.select("doc_id", F.explode(T.keywords(F.col("norm"))).alias("word"), F.lit(1.0).alias("w")).union(feats.select("doc_id", F.explode(T.keywords(F.col("file_norm"))), F.lit(1.25)))
-    wanted = titles.select("word").distinct()
-    kept = words.join(wanted, "word", "left_semi")  # words of no title go before the wide join
-    by_place = kept.join(titles, "word").groupBy("doc_id", "item_pos", "n", "w").agg(F.count("*").alias("k"))
+    wanted = titles.groupBy("word").agg(F.count("*").alias("titles"))
+    rows = kept(words.join(wanted.select("word"), "word", "left_semi"), "title_words")  # words of no title go before the wide join
+    made = kept(rows.groupBy("word").agg(F.count("*").alias("docs")).join(wanted, "word").select("word", (F.col("docs") * F.col("titles")).alias("made")), "word_pairs")
+    every = made.agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+    most = max(pairs, every // 1000)
+    heavy = F.broadcast(made.where(F.col("made") > most).select("word", F.ceil(F.col("made") / pairs).cast("int").alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "w"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = rows.join(heavy, "word", "left").select("doc_id", "word", "w", part.alias("part"))
+    parts = titles.join(heavy, "word", "left").select("item_pos", "n", "word", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
+    by_place = dealt.join(parts, ["word", "part"]).groupBy("doc_id", "item_pos", "n", "w").agg(F.count("*").alias("k"))
     return by_place.groupBy("doc_id", "item_pos").agg(F.max(F.col("k") / F.col("n") * F.col("w")).alias("score"))
 
 
