@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scopes
 from ..plans.inputs import derived, plain
 
 #: Prefixes of numbered targets, width of a table of contents and indent of a level.
@@ -25,6 +26,100 @@ def kind_errors(name: str, kind: str, value: Column) -> Column:
     return F.when(value.isNotNull() & ~fits, F.lit(f"{name}: not {kind}"))
 
 
+class Node:
+    """A place in a schema: the field declared there, if any, and the places below it."""
+
+    def __init__(self):
+        self.field, self.below = None, {}
+
+
+def schema_tree(schema: list[dict]) -> Node:
+    """The places of dotted names; a name must not come twice."""
+    root = Node()
+    for f in schema:
+        node = root
+        for part in f["name"].split("."):
+            node = node.below.setdefault(part, Node())
+        if node.field:
+            raise ValueError(f"{f['name']} is declared twice")
+        node.field = f
+    return root
+
+
+def _path(parts: list[str]) -> str:
+    return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts)
+
+
+def _at(data: Column, parts: list[str]) -> Column:
+    return F.try_variant_get(data, _path(parts), "variant") if parts else data
+
+
+def _is(kind: str, value: Column) -> Column:
+    """Whether a value is of a declared kind; true and false are no numbers, pictures and formulas are texts or objects."""
+    of = F.schema_of_variant(value)
+    is_text, is_object, whole = of == "STRING", of.startswith("OBJECT"), (of == "BIGINT") | of.rlike(r"^DECIMAL\(\d+,0\)$")
+    return {
+        "any": F.lit(True), "string": is_text, "integer": whole, "number": whole | of.startswith("DECIMAL") | (of == "DOUBLE"), "boolean": of == "BOOLEAN",
+        "array": of.startswith("ARRAY"), "object": is_object, "image": is_text | is_object, "formula": is_text | is_object,
+    }[kind]
+
+
+def validate_data(rows: DataFrame, schema: list[dict], allow_extra: bool = True, data: str = "data", most_bytes: int | None = None) -> DataFrame:
+    """id, errors (array, in order of the schema), data (JSON with defaults filled in; null where there is an error).
+
+    data is a JSON object as text; the schema has fields of name (a dotted path), type,
+    required (true unless said) and default.  A missing value takes its default, also
+    inside objects that are missing, which are made; where something on the way is no
+    object, that is an error.  A value that is there must be of its kind, null is only of
+    kind any.  Without allow_extra, names at the top that no field begins with are errors.
+    Texts that are no JSON objects (also those with a name twice), or of more than
+    most_bytes, are errors of the whole; 1.0 is an integer.
+    """
+    given = F.try_parse_json(F.col(data))
+    sound = F.coalesce(F.schema_of_variant(given).startswith("OBJECT"), F.lit(False))
+    small = F.octet_length(data) <= most_bytes if most_bytes is not None else F.lit(True)
+    rows = rows.select("id", F.when(sound & small, given).alias("given"), F.when(~small, "the data are too large").when(~sound, "the data are no object").alias("whole"))
+    v, errors = F.col("given"), [F.col("whole")]
+    for f in schema:
+        name, parts = f["name"], f["name"].split(".")
+        value = _at(v, parts)
+        missing = value.isNull()
+        if "default" in f:
+            on_the_way = [(i, _at(v, parts[:i])) for i in range(1, len(parts))]
+            for i, way in on_the_way:
+                errors.append(F.when(v.isNotNull() & missing & way.isNotNull() & ~F.schema_of_variant(way).startswith("OBJECT"), F.lit(f"{name}: {'.'.join(parts[:i])} is no object")))
+        elif f.get("required", True):
+            errors.append(F.when(v.isNotNull() & missing, F.lit(f"{name}: missing")))
+        errors.append(F.when(~missing & ~_is(f["type"], value), F.lit(f"{name}: not {f['type']}")))
+    found = F.array_compact(F.array(*errors))
+    if not allow_extra:
+        roots = F.array(*(F.lit(r) for r in schema_tree(schema).below)) if schema else F.array().cast("array<string>")
+        keys = F.array_sort(F.array_except(F.map_keys(F.expr("cast(given as map<string, variant>)")), roots))
+        found = F.concat(found, F.coalesce(F.transform(keys, lambda k: F.concat(k, F.lit(": undeclared"))), F.array().cast("array<string>")))
+    filled = F.to_json(_filled(v, schema_tree(schema), []))
+    return rows.select("id", found.alias("errors"), filled.alias("made")).select("id", "errors", F.when(F.size("errors") == 0, F.col("made")).alias("data"))
+
+
+def _has_default(node: Node) -> bool:
+    return bool(node.field and "default" in node.field) or any(map(_has_default, node.below.values()))
+
+
+def _filled(data: Column, node: Node, parts: list[str]) -> Column:
+    """The value at a place, with defaults at it and below it; null if there is none."""
+    value = _at(data, parts)
+    if node.field and "default" in node.field:
+        value = F.coalesce(value, F.parse_json(F.lit(json.dumps(node.field["default"]))))
+    below = {k: n for k, n in node.below.items() if _has_default(n)}
+    if not below:
+        return value
+    own = F.coalesce(F.try_variant_get(value, "$", "map<string, variant>"), F.expr("cast(map() as map<string, variant>)"))
+    own = F.map_filter(own, lambda k, _: ~k.isin(*below))
+    # a default given for this place is looked into as well
+    inner = {k: _filled(value, n, [k]) for k, n in below.items()}
+    made = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in inner.items())), lambda e: e["value"].isNotNull()))
+    return F.when(value.isNull() | F.schema_of_variant(value).startswith("OBJECT"), F.parse_json(F.to_json(F.map_concat(own, made)))).otherwise(value)
+
+
 def validate_rows(rows: DataFrame, schema: list[dict], data: str = "data") -> DataFrame:
     """id, errors, data of rows whose values (map<string,string> of JSON texts) are checked against a schema of name, type, required, default.
 
@@ -41,14 +136,25 @@ def validate_rows(rows: DataFrame, schema: list[dict], data: str = "data") -> Da
     return rows.select("id", F.array_join(found, "; ").alias("errors"), filled.alias(data))
 
 
+def template_names(templates: DataFrame) -> DataFrame:
+    """template_id, line, what, name: the names a template needs (what: name) and what is wrong with it (error), by line from 0.
+
+    Markers (if, for, else, endif, endfor) stand alone on lines; expressions and tags may
+    stand inside other lines too.  Names bound by a loop are no needs inside it, and are
+    after it; attributes, filters, tests and names of arguments are none anywhere.
+    """
+    kind = templates.schema["template_id"].dataType.simpleString()
+    return templates.select("template_id", "text").mapInPandas(scopes.template_lines, f"template_id {kind}, line int, what string, name string")
+
+
 def inspect_templates(templates: DataFrame, declared: DataFrame) -> DataFrame:
-    """template_id, name, problem: variables that the schema lacks (error) and declared ones that are not used (warning); loop variables don't count."""
-    text = F.col("text")
-    used = F.concat(F.regexp_extract_all(text, F.lit(r"\{\{\s*([A-Za-z_]\w*)"), 1), F.regexp_extract_all(text, F.lit(r"\{%\s*if\s+(?:not\s+)?([A-Za-z_]\w*)"), 1), F.regexp_extract_all(text, F.lit(r"\{%\s*for\s+\w+\s+in\s+([A-Za-z_]\w*)"), 1))
-    local = F.regexp_extract_all(text, F.lit(r"\{%\s*for\s+(\w+)\s+in"), 1)
-    names = templates.select("template_id", F.explode(F.array_except(F.array_distinct(used), F.concat(local, F.array(F.lit("loop"))))).alias("name")).distinct()
-    both = names.withColumn("u", F.lit(True)).join(declared.select("template_id", "name", F.lit(True).alias("d")), ["template_id", "name"], "full")
-    return both.where("u is null or d is null").select("template_id", "name", F.when(F.col("d").isNull(), "error").otherwise("warning").alias("problem"))
+    """template_id, name, problem: variables that the schema lacks (error), declared ones that are not used (warning), and errors of structure (error, with their line)."""
+    found = template_names(templates)
+    wrong = found.where("what = 'error'").select("template_id", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), "name").alias("name"), F.lit("error").alias("problem"))
+    used = found.where("what = 'name'").select("template_id", "name").distinct().withColumn("u", F.lit(True))
+    roots = declared.select("template_id", F.substring_index("name", ".", 1).alias("name")).distinct().withColumn("d", F.lit(True))
+    both = used.join(roots, ["template_id", "name"], "full").where("u is null or d is null")
+    return both.select("template_id", "name", F.when(F.col("d").isNull(), "error").otherwise("warning").alias("problem")).union(wrong)
 
 
 def fill_templates(templates: DataFrame, rows: DataFrame) -> DataFrame:
@@ -165,12 +271,18 @@ DECLARED = "SELECT r_regionkey AS template_id, 'name' AS name FROM {region} UNIO
 TOKENS = "SELECT l_orderkey AS doc_id, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 'figure' ELSE 'table' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 'ref' ELSE 'label' END AS role, 'l' || CAST(l_suppkey % 4 AS STRING) AS label FROM {lineitem}"
 HEADINGS = "SELECT conv_id AS doc_id, turn AS pos, CAST(1 + turn % 3 AS INT) AS level, replace(text, chr(10), ' ') AS text, turn * 2 AS page FROM {conversations}"
 REFS = "SELECT conv_id AS doc_id, turn AS pos, text FROM {conversations} UNION ALL SELECT conv_id, turn + 1000, ' ' FROM {conversations} UNION ALL SELECT conv_id, turn + 2000, 'once more ' || text FROM {conversations}"
+#: A template for each customer: a loop, a variable used after it, expressions, and by number a stray or a missing end.
+SCRIPTS = """SELECT c_custkey AS template_id, 'To {{ name }} of ' || c_mktsegment || chr(10) || '{% for x in orders %}' || chr(10) || '{{ x.id }} {{ a + b|round(n=2) }}' || chr(10) || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '{% endfor %}' || chr(10) END
+  || '{{ x }}' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '{% endif %}' ELSE '{{ ''x'' ~ last }}' END AS text FROM {customer}"""
+NESTED = [{"name": "k", "type": "integer"}, {"name": "o.t", "type": "string", "default": "none"}]
+DATA = """SELECT event_id AS id, '{"k":' || CASE WHEN event_id % 11 = 0 THEN '"7"' ELSE CAST(event_id AS STRING) END || CASE WHEN event_id % 5 = 0 THEN ',"o":{"t":"' || event_type || '"}' WHEN event_id % 7 = 0 THEN ',"o":3' ELSE '' END
+  || CASE WHEN event_id % 13 = 0 THEN ',"more":null' ELSE '' END || '}' AS data FROM {events}"""
 LINES = ["Customer {{ name }}", "{% if rich %}", "rich in {{ segment }}", "{% else %}", "not rich", "{% endif %}", "{% for o in orders %}", "- {{ o.id }}: {{ o.status }}", "{% if o.open %}", "  open", "{% endif %}", "{% endfor %}", "end"]
 
 
 def _braced(sql: str) -> str:
     """Template braces as Spark's formatter wants them; table names stay."""
-    keep = re.sub(r"\{(region|customer|orders)\}", "\x01\\1\x02", sql)
+    keep = re.sub(r"\{(region|customer|orders|events)\}", "\x01\\1\x02", sql)
     return keep.replace("{", "{{").replace("}", "}}").replace("\x01", "{").replace("\x02", "}")
 
 
@@ -202,6 +314,8 @@ _TE, _TO, _HE = plain(TEMPLATES, "region"), plain(TOKENS, "lineitem"), plain(HEA
 QUERIES = {
     "validate_rows": _validated,
     "inspect_templates": lambda s, d: inspect_templates(derived(s, d, _braced(TEMPLATES), "region"), derived(s, d, DECLARED, "region")),
+    "template_names": lambda s, d: template_names(derived(s, d, _braced(SCRIPTS), "customer")),
+    "validate_data": lambda s, d: validate_data(derived(s, d, _braced(DATA), "events"), NESTED, False).withColumn("errors", F.array_join("errors", "; ")),
     "fill_templates": lambda s, d: fill_templates(derived(s, d, _braced(TEMPLATES), "region"), _customers(s, d)),
     "render_blocks": lambda s, d: render_blocks(LINES, _with_orders(s, d)),
     "number_refs": lambda s, d: number_refs(derived(s, d, TOKENS, "lineitem")),
@@ -211,6 +325,11 @@ QUERIES = {
 SQL = {
     "validate_rows": "SELECT event_id AS id, concat_ws('; ', CASE WHEN event_id % 7 = 0 AND event_id % 11 <> 0 THEN 'k: missing' END, CASE WHEN event_id % 11 = 0 THEN 'k: not integer' END, CASE WHEN event_id % 13 = 0 THEN 'ok: not boolean' END, CASE WHEN event_id % 5 = 0 THEN 'more: undeclared' END) AS errors, CASE WHEN event_id % 2 = 0 THEN '\"' || event_type || '\"' ELSE '\"none\"' END AS title FROM events",
     "inspect_templates": f"SELECT template_id, name, CASE WHEN d IS NULL THEN 'error' ELSE 'warning' END AS problem FROM (SELECT template_id, unnest(CASE WHEN contains(text, 'extra') THEN ['name', 'segment', 'unknown', 'balance', 'items', 'extra', 'flag'] ELSE ['name', 'segment', 'unknown', 'balance'] END) AS name, true AS u FROM ({_TE})) FULL JOIN (SELECT *, true AS d FROM ({plain(DECLARED, 'region')})) USING (template_id, name) WHERE u IS NULL OR d IS NULL",
+    "template_names": """SELECT template_id, x.line, x.what, x.name FROM (SELECT c_custkey AS template_id, unnest([{line: 0, what: 'name', name: 'name'}]
+      || CASE WHEN c_custkey % 5 = 0 THEN [{line: 1, what: 'error', name: 'missing endfor'}] ELSE [{line: 1, what: 'name', name: 'orders'}, {line: 2, what: 'name', name: 'a'}, {line: 2, what: 'name', name: 'b'}, {line: 4, what: 'name', name: 'x'},
+        CASE WHEN c_custkey % 3 = 0 THEN {line: 5, what: 'error', name: 'unexpected endif'} ELSE {line: 5, what: 'name', name: 'last'} END] END) AS x FROM customer)""",
+    "validate_data": """SELECT id, errors, CASE WHEN errors = '' THEN '{"k":' || id || ',"o":{"t":"' || CASE WHEN id % 5 = 0 THEN event_type ELSE 'none' END || '"}}' END AS data
+      FROM (SELECT event_id AS id, event_type, concat_ws('; ', CASE WHEN event_id % 11 = 0 THEN 'k: not integer' END, CASE WHEN event_id % 5 <> 0 AND event_id % 7 = 0 THEN 'o.t: o is no object' END, CASE WHEN event_id % 13 = 0 THEN 'more: undeclared' END) AS errors FROM events)""",
     "fill_templates": f"SELECT template_id, c_custkey AS id, replace(replace(replace(replace(text, '{{{{name}}}}', c_name), '{{{{segment}}}}', c_mktsegment || '<N>'), '{{{{balance}}}}', c_acctbal_t), '<N>', '{{{{name}}}}') AS text FROM ({_TE}), (SELECT *, CAST(trunc(c_acctbal)::BIGINT AS VARCHAR) AS c_acctbal_t FROM customer)",
     "render_blocks": "SELECT c_custkey AS id, 'Customer ' || c_name || chr(10) || CASE WHEN c_acctbal > 5000 THEN 'rich in ' || c_mktsegment ELSE 'not rich' END || chr(10) || coalesce(o.t, '') || 'end' AS text, NULL::VARCHAR AS error FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- ' || o_orderkey || ': ' || o_orderstatus || chr(10) || CASE WHEN o_orderstatus = 'O' THEN '  open' || chr(10) ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f, label) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
