@@ -131,12 +131,11 @@ def table_grid(cells: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 
 
 def crop_table(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
-    """The cells of a range of rows and columns (both ends included), numbered from 0; tables that the range goes beyond are left out."""
+    """The cells of a range of rows and columns (both ends included), numbered from 0; tables that are no regular grid, or that the range goes beyond, are left out."""
     for low, high in (rows, columns):
         if low < 0 or high < low:
             raise ValueError(f"{low} to {high} is no range")
-    size = cells.groupBy("table_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
-    fits = size.where((F.col("last_row") >= rows[1]) & (F.col("last_col") >= columns[1])).select("table_id")
+    fits = table_grid(cells).where(F.col("regular") & (F.col("rows") > rows[1]) & (F.col("columns") > columns[1])).select("table_id")
     inside = cells.where(F.col("row").between(*rows) & F.col("col").between(*columns)).join(fits, "table_id", "left_semi")
     return inside.withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - columns[0]})
 
@@ -191,5 +190,5 @@ SQL = {
     "apply_order": f"SELECT doc_id, block_id, CASE WHEN ok THEN n - 1 - pos_rank ELSE pos END AS pos, ok AS reordered FROM (SELECT *, revision = 1 AND (doc_id % 4 <> 0 OR n = 1) AS ok FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS pos_rank FROM ({_BL})))",
     "apply_roles": f"SELECT b.doc_id, b.block_id, coalesce(CASE WHEN g.ok THEN c.role END, b.role) AS role FROM ({_BL}) b LEFT JOIN ({_RO}) c USING (doc_id, block_id) LEFT JOIN (SELECT c.doc_id, bool_and(c.role <> 'title' AND b.is_text) AS ok FROM ({_RO}) c JOIN ({_BL}) b USING (doc_id, block_id) GROUP BY c.doc_id) g ON g.doc_id = b.doc_id",
     "table_grid": _GRID.format(_CE),
-    "crop_table": _GRID.format(f"SELECT * REPLACE (col - 1 AS col) FROM ({_CE}) WHERE row <= 2 AND col BETWEEN 1 AND 2 AND table_id IN (SELECT table_id FROM ({_CE}) GROUP BY table_id HAVING max(row) >= 2 AND max(col) >= 2)"),
+    "crop_table": _GRID.format(f"SELECT * REPLACE (col - 1 AS col) FROM ({_CE}) WHERE row <= 2 AND col BETWEEN 1 AND 2 AND table_id IN (SELECT table_id FROM ({_GRID.format(_CE)}) WHERE regular AND rows > 2 AND columns > 2)"),
 }

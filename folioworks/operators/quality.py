@@ -79,17 +79,22 @@ PAIRED_BY = [("origin", ["format", "origin", "kind", "hash"]), ("origin", ["form
 
 
 def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row per object (doc_id, place, kind, hash, format, origin) of either side: retained, changed (moved, edited), lost or added.
+    """One row per object (doc_id, place, kind, hash, format, origin, role, box) of either side: retained, changed (edited, moved, resized), lost or added.
 
     Pairs are made one to one in stages, each over what is left: equal origin in equal
     formats (equal contents first), equal content, equal place and kind; of several with
     one key by order of place.  Objects of one format with different origins are
     different objects: they are never paired by content or place.  An object without an
     origin may be any.  basis says by what a pair was made, and ambiguous that either
-    side had several objects with the key.
+    side had several objects with the key.  role (heading1 and so on, null for other
+    text) and box (an array of numbers) may lack; change names the first of content,
+    place and box that differs, source_role and target_role are given as they are.
     """
-    x = source.select("doc_id", F.struct("place", "kind", "hash", "format", "origin").alias("x"))
-    y = target.select("doc_id", F.struct("place", "kind", "hash", "format", "origin").alias("y"))
+    def carried(df: DataFrame) -> Column:
+        absent = {"role": F.lit(None).cast("string"), "box": F.lit(None).cast("array<double>")}
+        return F.struct("place", "kind", "hash", "format", "origin", *(F.col(c) if c in df.columns else null.alias(c) for c, null in absent.items()))
+
+    x, y = source.select("doc_id", carried(source).alias("x")), target.select("doc_id", carried(target).alias("y"))
 
     def numbered(df, side, keys):
         named = [F.col("doc_id").alias(f"{side}0"), *(F.col(f"{side}.{k}").alias(f"{side}{i}") for i, k in enumerate(keys, 1))]
@@ -107,14 +112,14 @@ def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
         both = kept(joined.select(F.coalesce("x0", "y0").alias("doc_id"), "x", "y", (F.col("x_several") | F.col("y_several")).alias("ambiguous")), "objects")
         found.append(both.where("x is not null and y is not null").select("*", F.lit(basis).alias("basis")))
         x, y = both.where("y is null").select("doc_id", "x"), both.where("x is null").select("doc_id", "y")
-    change = F.when(F.col("x.hash") != F.col("y.hash"), "edited").when(F.col("x.place") != F.col("y.place"), "moved").otherwise("retained")
+    change = F.when(F.col("x.hash") != F.col("y.hash"), "edited").when(F.col("x.place") != F.col("y.place"), "moved").when(F.col("x.box") != F.col("y.box"), "resized").otherwise("retained")
     out = None
     for pairs in found:
-        rows = pairs.select("doc_id", F.col("x.kind").alias("kind"), F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"), "basis", "ambiguous")
+        rows = pairs.select("doc_id", F.col("x.kind").alias("kind"), F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"), "basis", "ambiguous", F.col("x.role").alias("source_role"), F.col("y.role").alias("target_role"))
         out = rows if out is None else out.union(rows)
     none, sure = F.lit(None).cast("string"), F.lit(False)
-    out = out.union(x.select("doc_id", "x.kind", "x.place", F.lit(None).cast("long"), F.lit("lost"), none, sure))
-    return out.union(y.select("doc_id", "y.kind", F.lit(None).cast("long"), "y.place", F.lit("added"), none, sure))
+    out = out.union(x.select("doc_id", "x.kind", "x.place", F.lit(None).cast("long"), F.lit("lost"), none, sure, "x.role", none))
+    return out.union(y.select("doc_id", "y.kind", F.lit(None).cast("long"), "y.place", F.lit("added"), none, sure, none, "y.role"))
 
 
 def exact_text_gate(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -137,31 +142,34 @@ def text_flow_gate(source: DataFrame, target: DataFrame) -> DataFrame:
     return flow(source).join(flow(target).withColumnRenamed("h", "g"), "doc_id", "left").select("doc_id", F.coalesce(F.col("h") == F.col("g"), F.lit(False)).alias("accepted"))
 
 
-def _object_gate(diff: DataFrame, bad: Column, name: str, limit: int, inventories: DataFrame | None) -> DataFrame:
+def _object_gate(diff: DataFrame, bad: Column, name: str, limit: int, inventories: DataFrame) -> DataFrame:
     """doc_id, the number of bad rows (null unless it is certain), accepted, reason."""
     unsure = F.col("ambiguous") | F.coalesce(F.col("basis") == "place", F.lit(False))
-    out = diff.groupBy("doc_id").agg(F.count_if(bad).alias("n"), (F.count_if(unsure) > 0).alias("unsure"))
-    if inventories is not None:
-        out = out.join(inventories.select("doc_id", "complete"), "doc_id", "full")
-    known = F.coalesce("complete", F.lit(False)) if inventories is not None else F.lit(True)
-    n = F.coalesce("n", F.lit(0))
+    out = diff.groupBy("doc_id").agg(F.count_if(bad).alias("n"), (F.count_if(unsure) > 0).alias("unsure")).join(inventories.select("doc_id", "complete"), "doc_id", "full")
+    known, n = F.coalesce("complete", F.lit(False)), F.coalesce("n", F.lit(0))
     reason = F.when(~known, "unavailable").when(F.col("unsure"), "uncertain-matching").when(n > limit, "budget-exceeded").otherwise("accepted")
     return out.select("doc_id", F.when(reason.isin("accepted", "budget-exceeded"), n).alias(name), (reason == "accepted").alias("accepted"), reason.alias("reason"))
 
 
-def object_budget(diff: DataFrame, limit: int, inventories: DataFrame | None = None) -> DataFrame:
+def object_budget(diff: DataFrame, limit: int, inventories: DataFrame) -> DataFrame:
     """Objects lost per document against a limit.
 
-    A document is refused if pairs were ambiguous or made by place alone (uncertain-matching)
-    or if inventories (doc_id, complete: both sides were listed) do not have it as
-    complete (unavailable); a complete one without objects loses nothing.
+    inventories (doc_id, complete) says of which documents both sides were listed whole.
+    A document is refused if pairs were ambiguous or made by place alone
+    (uncertain-matching), or if the inventories do not have it as complete (unavailable);
+    a complete one without objects loses nothing.
     """
     return _object_gate(diff, F.col("change") == "lost", "lost", limit, inventories)
 
 
-def heading_budget(diff: DataFrame, limit: int, inventories: DataFrame | None = None) -> DataFrame:
-    """Headings lost or edited per document against a limit, refused like lost objects; one that only moved is kept."""
-    return _object_gate(diff, (F.col("kind") == "heading") & F.col("change").isin("lost", "edited"), "changed", limit, inventories)
+def heading_budget(diff: DataFrame, limit: int, inventories: DataFrame) -> DataFrame:
+    """Headings that are lost, or whose role is another one (also a paragraph that became a heading), against a limit; refused like lost objects.
+
+    A heading that moved or whose text was edited is no changed heading.
+    """
+    lost = (F.col("change") == "lost") & F.col("source_role").isNotNull()
+    other = ~F.col("change").isin("lost", "added") & ~F.col("source_role").eqNullSafe(F.col("target_role"))
+    return _object_gate(diff, lost | other, "changed", limit, inventories)
 
 
 def formula_budget(source: DataFrame, target: DataFrame, limit: int) -> DataFrame:
@@ -250,8 +258,8 @@ def compare_rasters(pairs: DataFrame) -> DataFrame:
 
 
 TARGET = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') WHEN 2 THEN text || chr(10) || 'added line' ELSE replace(text, ' the ', ' a ') END AS text FROM {documents}"
-OBJECTS = "SELECT doc_id, place, CASE WHEN place % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, 'h' || CAST((doc_id * 7 + place * place) % (CASE WHEN doc_id % 4 = 1 THEN 5 ELSE 11 END) AS STRING) AS hash, 'docx' AS format, CASE WHEN place % 3 = 0 THEN CAST(place AS STRING) END AS origin FROM (SELECT doc_id, CAST(e AS BIGINT) AS place FROM {documents}, (SELECT l_linenumber AS e FROM {lineitem} GROUP BY l_linenumber) n)"
-OBJECTS_T = "SELECT doc_id, place + doc_id % 2 AS place, kind, CASE WHEN (doc_id + place) % 6 = 0 THEN 'edited' ELSE hash END AS hash, CASE WHEN doc_id % 5 < 2 THEN 'html' ELSE format END AS format, CASE WHEN (doc_id + place) % 7 = 0 THEN origin || 'x' ELSE origin END AS origin FROM (" + OBJECTS + ") o WHERE (doc_id * 3 + place) % 8 <> 0"
+OBJECTS = "SELECT doc_id, place, CASE WHEN place % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, 'h' || CAST((doc_id * 7 + place * place) % (CASE WHEN doc_id % 4 = 1 THEN 5 ELSE 11 END) AS STRING) AS hash, 'docx' AS format, CASE WHEN place % 3 = 0 THEN CAST(place AS STRING) END AS origin, CASE WHEN place % 4 = 0 THEN 'heading1' END AS role FROM (SELECT doc_id, CAST(e AS BIGINT) AS place FROM {documents}, (SELECT l_linenumber AS e FROM {lineitem} GROUP BY l_linenumber) n)"
+OBJECTS_T = "SELECT doc_id, place + doc_id % 2 AS place, kind, CASE WHEN (doc_id + place) % 6 = 0 THEN 'edited' ELSE hash END AS hash, CASE WHEN doc_id % 5 < 2 THEN 'html' ELSE format END AS format, CASE WHEN (doc_id + place) % 7 = 0 THEN origin || 'x' ELSE origin END AS origin, CASE WHEN doc_id % 9 = 2 THEN 'heading2' ELSE role END AS role FROM (" + OBJECTS + ") o WHERE (doc_id * 3 + place) % 8 <> 0"
 GEOMETRY = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 3 AS width, 842.0E0 - doc_id % 5 AS height, 50.0E0 AS m1, 40.0E0 AS m2, 50.0E0 + doc_id % 2 AS m3, 40.0E0 AS m4 FROM {documents} UNION ALL SELECT doc_id, 9, 595.0E0, 842.0E0, 50.0E0, 40.0E0, 50.0E0, 40.0E0 FROM {documents} WHERE doc_id % 6 = 0"
 GEOMETRY_T = "SELECT doc_id, CAST(doc_id % 7 AS INT) AS page, 595.0E0 + doc_id % 4 AS width, 842.0E0 AS height, 50.0E0 + doc_id % 4 AS m1, 40.0E0 AS m2, 50.0E0 AS m3, 41.0E0 AS m4 FROM {documents} WHERE doc_id % 10 <> 3"
 RESOURCES = "SELECT CAST(l_orderkey % 1000 AS BIGINT) AS doc_id, 'r' || CAST(l_partkey % 13 AS STRING) AS sha256, CAST(100 + (l_partkey % 13) * 10 AS BIGINT) AS size, CASE WHEN l_partkey % 13 < 4 THEN 'image/png' ELSE 'image/svg+xml' END AS media_type, 'f' || CAST(l_suppkey % 4 AS STRING) AS font FROM {lineitem}"
@@ -310,19 +318,19 @@ def _stage(n: int, basis: str, keys: list[str]) -> str:
     on = " AND ".join(f"x.{c} = y.{c}" for c in ["doc_id", *keys, "k"])
     return f"""
     x{n} AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, {k}) AS c FROM a{n} WINDOW w AS (PARTITION BY doc_id, {k} ORDER BY place)), y{n} AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, {k}) AS c FROM b{n} WINDOW w AS (PARTITION BY doc_id, {k} ORDER BY place)),
-    p{n} AS MATERIALIZED (SELECT x.doc_id, x.kind, x.place AS sp, y.place AS tp, x.hash AS h, y.hash AS g, '{basis}' AS basis, greatest(x.c, y.c) > 1 AS ambiguous FROM x{n} x JOIN y{n} y ON {on} AND (x.origin IS NULL OR y.origin IS NULL OR x.format <> y.format OR x.origin = y.origin)),
+    p{n} AS MATERIALIZED (SELECT x.doc_id, x.kind, x.place AS sp, y.place AS tp, x.hash AS h, y.hash AS g, '{basis}' AS basis, greatest(x.c, y.c) > 1 AS ambiguous, x.role AS source_role, y.role AS target_role FROM x{n} x JOIN y{n} y ON {on} AND (x.origin IS NULL OR y.origin IS NULL OR x.format <> y.format OR x.origin = y.origin)),
     a{n + 1} AS MATERIALIZED (SELECT * FROM a{n} WHERE (doc_id, place) NOT IN (SELECT (doc_id, sp) FROM p{n})), b{n + 1} AS MATERIALIZED (SELECT * FROM b{n} WHERE (doc_id, place) NOT IN (SELECT (doc_id, tp) FROM p{n}))"""
 
 
 _DIFF = f"""
 WITH a0 AS MATERIALIZED ({_O}), b0 AS MATERIALIZED ({_OT}), {_stage(0, 'origin', ['format', 'origin', 'kind', 'hash'])}, {_stage(1, 'origin', ['format', 'origin'])}, {_stage(2, 'content', ['kind', 'hash'])}, {_stage(3, 'place', ['kind', 'place'])},
-diff AS (SELECT doc_id, kind, sp AS source_place, tp AS target_place, CASE WHEN h <> g THEN 'edited' WHEN sp <> tp THEN 'moved' ELSE 'retained' END AS change, basis, ambiguous FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
-  UNION ALL SELECT doc_id, kind, place, NULL, 'lost', NULL, false FROM a4 UNION ALL SELECT doc_id, kind, NULL, place, 'added', NULL, false FROM b4)
+diff AS (SELECT doc_id, kind, sp AS source_place, tp AS target_place, CASE WHEN h <> g THEN 'edited' WHEN sp <> tp THEN 'moved' ELSE 'retained' END AS change, basis, ambiguous, source_role, target_role FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+  UNION ALL SELECT doc_id, kind, place, NULL, 'lost', NULL, false, role, NULL FROM a4 UNION ALL SELECT doc_id, kind, NULL, place, 'added', NULL, false, NULL, role FROM b4)
 """
 
 
-def _gate_sql(bad: str, name: str, limit: int, everywhere: bool = True) -> str:
-    known = f"({plain(INVENTORIES, 'documents')})" if everywhere else "(SELECT DISTINCT doc_id, true AS complete FROM diff)"
+def _gate_sql(bad: str, name: str, limit: int) -> str:
+    known = f"({plain(INVENTORIES, 'documents')})"
     return f"""SELECT doc_id, CASE WHEN reason IN ('accepted', 'budget-exceeded') THEN n END AS {name}, reason = 'accepted' AS accepted, reason FROM (
     SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN NOT coalesce(complete, false) THEN 'unavailable' WHEN u > 0 THEN 'uncertain-matching' WHEN n > {limit} THEN 'budget-exceeded' ELSE 'accepted' END AS reason FROM
     (SELECT doc_id, count(*) FILTER ({bad}) AS n, count(*) FILTER (ambiguous OR basis = 'place') AS u FROM diff GROUP BY doc_id) FULL JOIN {known} USING (doc_id))"""
@@ -346,7 +354,7 @@ QUERIES = {
     "heading_budget": lambda s, d: heading_budget(diff_objects(*_objects(s, d)), 0, derived(s, d, INVENTORIES, "documents")),
     "loss_budget": lambda s, d: loss_budget(derived(s, d, ISSUES, "lineitem"), 1),
     "word_edit_distance": lambda s, d: word_edit_distance(derived(s, d, PAIRS, "documents"), 8),
-    "quality_gates": lambda s, d: quality_gates(exact_text=exact_text_gate(_blocks(s, d), _blocks(s, d, TARGET)), text_flow=text_flow_gate(_blocks(s, d), _blocks(s, d, TARGET)), objects=object_budget(diff_objects(*_objects(s, d)), 2)),
+    "quality_gates": lambda s, d: quality_gates(exact_text=exact_text_gate(_blocks(s, d), _blocks(s, d, TARGET)), text_flow=text_flow_gate(_blocks(s, d), _blocks(s, d, TARGET)), objects=object_budget(diff_objects(*_objects(s, d)), 2, derived(s, d, INVENTORIES, "documents"))),
     "latest_measurement": lambda s, d: latest_measurement(derived(s, d, MEASURES, "events"), derived(s, d, REVISIONS, "events")),
     "compare_rasters": lambda s, d: compare_rasters(_rasters(s, d)),
 }
@@ -364,8 +372,8 @@ SQL = {
     "object_budget": _DIFF + _gate_sql("change = 'lost'", "lost", 0),
     "formula_budget": f"SELECT doc_id, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)))::BIGINT AS changed, greatest(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)), sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0))) <= 3 AS accepted FROM (SELECT doc_id, fingerprint, count(*) AS n FROM ({_FORM}) GROUP BY ALL) FULL JOIN (SELECT doc_id, fingerprint, count(*) AS m FROM ({_FORM}) WHERE NOT (fingerprint = 'f3.0' AND doc_id % 2 = 0) GROUP BY ALL) USING (doc_id, fingerprint) GROUP BY doc_id",
     "emphasis_budget": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n END AS changed, doc_id % 7 <> 0 AND n <= 500 AS accepted FROM (SELECT conv_id AS doc_id, sum(CASE WHEN conv_id % 3 = 0 AND turn % 2 <> 0 THEN length(regexp_replace(substr(text, 11), '\\s+', '', 'g')) ELSE 0 END)::BIGINT AS n FROM conversations GROUP BY conv_id)",
-    "heading_budget": _DIFF + _gate_sql("kind = 'heading' AND change IN ('lost', 'edited')", "changed", 0),
+    "heading_budget": _DIFF + _gate_sql("(change = 'lost' AND source_role IS NOT NULL) OR (change NOT IN ('lost', 'added') AND source_role IS DISTINCT FROM target_role)", "changed", 0),
     "loss_budget": f"SELECT doc_id, count(*) FILTER (severity = 'loss') AS losses, count(*) FILTER (severity = 'loss') <= 1 AS accepted FROM ({plain(ISSUES, 'lineitem')}) GROUP BY doc_id",
-    "quality_gates": _DIFF + f", g AS (SELECT doc_id, 'exact_text' AS gate, accepted FROM ({_EXACT}) UNION ALL SELECT doc_id, 'text_flow', accepted FROM ({_FLOW}) UNION ALL SELECT doc_id, 'objects', accepted FROM ({_gate_sql("change = 'lost'", "lost", 2, False)})), h AS (SELECT doc_id, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT ok), '') AS failed FROM (SELECT doc_id, gate, coalesce(accepted, false) AS ok FROM (SELECT DISTINCT doc_id FROM g) CROSS JOIN (SELECT unnest(['exact_text', 'objects', 'text_flow']) AS gate) LEFT JOIN g USING (doc_id, gate)) GROUP BY doc_id) SELECT doc_id, failed = '' AS accepted, failed FROM h",
+    "quality_gates": _DIFF + f", g AS (SELECT doc_id, 'exact_text' AS gate, accepted FROM ({_EXACT}) UNION ALL SELECT doc_id, 'text_flow', accepted FROM ({_FLOW}) UNION ALL SELECT doc_id, 'objects', accepted FROM ({_gate_sql("change = 'lost'", "lost", 2)})), h AS (SELECT doc_id, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT ok), '') AS failed FROM (SELECT doc_id, gate, coalesce(accepted, false) AS ok FROM (SELECT DISTINCT doc_id FROM g) CROSS JOIN (SELECT unnest(['exact_text', 'objects', 'text_flow']) AS gate) LEFT JOIN g USING (doc_id, gate)) GROUP BY doc_id) SELECT doc_id, failed = '' AS accepted, failed FROM h",
     "latest_measurement": f"SELECT task_id, page, revision, value FROM (SELECT task_id, page, arg_max(revision, ts) AS revision, arg_max(value, ts) AS value FROM ({plain(MEASURES, 'events')}) GROUP BY ALL) JOIN ({plain(REVISIONS, 'events')}) USING (task_id, revision)",
 }

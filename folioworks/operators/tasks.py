@@ -9,6 +9,8 @@ from ..plans.inputs import derived, plain
 #: Seconds a task lives, states that are active, states of a batch, bytes in an archive, rows in the task centre.
 TTL = 3600
 ACTIVE = ["queued", "running", "cancelling"]
+#: States that a service which starts again takes up.
+LEFT_OVER = ["queued", "running"]
 STATES = ["queued", "running", "done", "error", "expired", "interrupted"]
 ARCHIVE_BYTES = 512 * 1024 * 1024
 CENTRE = 12
@@ -89,8 +91,8 @@ def archive_manifest(files: DataFrame, tasks: DataFrame, cap: int = ARCHIVE_BYTE
 
 
 def recover_tasks(tasks: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Tasks that were active when the service stopped: resumed if their kind is known, else interrupted."""
-    rows = tasks.where(F.col("status").isin(ACTIVE)).join(kinds.select("queue_kind", F.lit(True).alias("known")), "queue_kind", "left")
+    """Tasks that were queued or running when the service stopped: resumed if their kind is known, else interrupted; those being cancelled are left alone."""
+    rows = tasks.where(F.col("status").isin(LEFT_OVER)).join(kinds.select("queue_kind", F.lit(True).alias("known")), "queue_kind", "left")
     return rows.groupBy(F.when(F.col("known"), "resumed").otherwise("interrupted").alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -208,7 +210,7 @@ SQL = {
             row_number() OVER o AS nth, (sum(coalesce(size, 0)) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT AS running
           FROM (SELECT job_id, pos, task_id, artifact, coalesce(status, 'expired') AS status, CASE WHEN status = 'done' AND artifact IS NOT NULL THEN bytes END AS size FROM ({_PF}) LEFT JOIN ({_PT}) USING (task_id))
           WINDOW o AS (PARTITION BY job_id ORDER BY pos, task_id))""",
-    "recover_tasks": f"SELECT CASE WHEN queue_kind IN ('convert', 'ocr') THEN 'resumed' ELSE 'interrupted' END AS outcome, count(*) AS n FROM ({_PT}) WHERE status IN ('queued', 'running', 'cancelling') GROUP BY 1",
+    "recover_tasks": f"SELECT CASE WHEN queue_kind IN ('convert', 'ocr') THEN 'resumed' ELSE 'interrupted' END AS outcome, count(*) AS n FROM ({_PT}) WHERE status IN ('queued', 'running') GROUP BY 1",
     "apply_updates": f"SELECT b.id, revision + (new IS NOT NULL)::INT AS revision, coalesce(new, snapshot) AS snapshot, coalesce(tried, 0) - (new IS NOT NULL)::INT AS conflicts FROM ({plain(BASE, 'orders')}) b LEFT JOIN (SELECT u.id, arg_min(u.snapshot, update_id) AS new FROM ({plain(UPDATES, 'lineitem')}) u JOIN ({plain(BASE, 'orders')}) b ON b.id = u.id AND b.revision = u.revision GROUP BY u.id) f USING (id) LEFT JOIN (SELECT id, count(*) AS tried FROM ({plain(UPDATES, 'lineitem')}) GROUP BY id) t USING (id)",
     "name_clashes": f"SELECT template, lower(name) AS name_key, count(*) AS n, min(id) AS first_id FROM ({plain(BASE, 'orders')}) GROUP BY 1, 2 HAVING count(*) > 1",
     "library_upsert": f"""

@@ -128,6 +128,10 @@ def test_short_identifiers_are_found(spark):
     assert pairs(matching.doi_match) == [(1, 1), (2, 2)] and pairs(matching.isbn_match) == [(1, 1)] and pairs(matching.year_match) == [(1, 1), (1, 2)]
 
 
+def listed(spark):
+    return spark.createDataFrame([(1, True)], "doc_id long, complete boolean")
+
+
 OBJECT = "doc_id long, place long, kind string, hash string, format string, origin string"
 
 
@@ -143,8 +147,8 @@ def changes(diff):
 def test_moved_objects_are_not_lost(spark):
     diff = quality.diff_objects(objects(spark, "gone", "kept", "too"), objects(spark, "kept", "too"))
     assert changes(diff) == [("lost", 0, None, None), ("moved", 1, 0, "content"), ("moved", 2, 1, "content")]
-    assert quality.object_budget(diff, 0).first()["reason"] == "budget-exceeded"
-    assert quality.object_budget(diff, 1).first()["reason"] == "accepted"
+    assert quality.object_budget(diff, 0, listed(spark)).first()["reason"] == "budget-exceeded"
+    assert quality.object_budget(diff, 1, listed(spark)).first()["reason"] == "accepted"
 
 
 def test_a_shared_origin_keeps_occurrences_apart(spark):
@@ -156,13 +160,13 @@ def test_a_shared_origin_keeps_occurrences_apart(spark):
 def test_repeats_are_ambiguous_and_refused(spark):
     diff = quality.diff_objects(objects(spark, *["same"] * 3), objects(spark, *["same"] * 2))
     assert diff.where("change = 'lost'").count() == 1 and diff.where("ambiguous").count() == 2
-    assert tuple(quality.object_budget(diff, 100).first()) == (1, None, False, "uncertain-matching")
+    assert tuple(quality.object_budget(diff, 100, listed(spark)).first()) == (1, None, False, "uncertain-matching")
 
 
 def test_an_edit_in_place_is_a_guess(spark):
     diff = quality.diff_objects(objects(spark, "before"), objects(spark, "after"))
     assert changes(diff) == [("edited", 0, 0, "place")]
-    assert quality.heading_budget(diff, 5).first()["reason"] == "uncertain-matching"
+    assert quality.heading_budget(diff, 5, listed(spark)).first()["reason"] == "uncertain-matching"
 
 
 @pytest.mark.parametrize(("form", "expected"), [("docx", ["added", "lost"]), ("html", ["retained"])])
@@ -198,3 +202,27 @@ def test_errors_of_page_sizes_and_margins(spark):
     first, second = (tuple(r) for r in quality.page_geometry(a, b).orderBy("doc_id").collect())
     assert first == (1, 10.0, 10.0, 3.0, 1.5, True, True)
     assert second == (2, None, None, None, None, False, False)
+
+
+def test_a_heading_changes_by_its_role(spark):
+    """Text and place do not matter; a lost heading does, and a paragraph that becomes one."""
+    rows = lambda *r: spark.createDataFrame([(1, *x) for x in r], "doc_id long, place long, kind string, hash string, format string, origin string, role string, box array<double>")
+    a = rows((0, "paragraph", "a", "docx", "1", "heading1", [0.0, 1.0]), (1, "paragraph", "b", "docx", "2", "heading2", None), (2, "paragraph", "c", "docx", "3", None, [1.0, 1.0]), (3, "paragraph", "d", "docx", "4", "heading1", None))
+    b = rows((0, "paragraph", "edited", "docx", "1", "heading1", [0.0, 2.0]), (1, "paragraph", "b", "docx", "2", "heading3", None), (2, "paragraph", "c", "docx", "3", "heading1", [2.0, 1.0]))
+    diff = quality.diff_objects(a, b)
+    assert [x[0] for x in changes(diff)] == ["edited", "lost", "resized", "retained"]
+    assert tuple(quality.heading_budget(diff, 3, listed(spark)).first()) == (1, 3, True, "accepted")
+    assert quality.heading_budget(diff, 2, listed(spark)).first()["reason"] == "budget-exceeded"
+
+
+def test_tasks_that_are_being_cancelled_are_not_resumed(spark):
+    rows = spark.createDataFrame([("queued", "convert"), ("running", "other"), ("cancelling", "convert"), ("done", "convert")], "status string, queue_kind string")
+    kinds = spark.createDataFrame([("convert",)], "queue_kind string")
+    assert sorted(tuple(r) for r in tasks.recover_tasks(rows, kinds).collect()) == [("interrupted", 1), ("resumed", 1)]
+
+
+def test_irregular_tables_are_not_cropped(spark):
+    cell = lambda t, r, c, off=0.0: (t, r, c, c * 10.0 + off, r * 5.0, c * 10.0 + 9, r * 5.0 + 4)
+    rows = [cell(1, r, c) for r in range(2) for c in range(2)] + [cell(2, r, c, 0.5 * r) for r in range(2) for c in range(2)] + [cell(3, 0, 0), cell(3, 1, 1)]
+    got = layout.crop_table(spark.createDataFrame(rows, "table_id long, row int, col int, x0 double, y0 double, x1 double, y1 double"), (0, 1), (1, 1)).collect()
+    assert sorted((r["table_id"], r["row"], r["col"]) for r in got) == [(1, 0, 0), (1, 1, 0)]
