@@ -4,6 +4,7 @@ The watermarks say how late a row may be: later rows are dropped, and closed win
 and old keys leave the state.
 """
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,6 +46,72 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
     return agg.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
 
+#: Kinds of progress events that begin a run, end it, and tell of a failed step.
+BEGINS, ENDS, FAILS = "pipeline_start", "pipeline_done", "step_failed"
+
+
+def fold_run(events: list[tuple[int, int, str]], run: tuple | None, gap: int) -> tuple[list[tuple], tuple | None]:
+    """The runs that end within events (time, id, kind, in order), and the one that is open afterwards: (start, last, steps, failed).
+
+    A run ends with its end event, when another one begins (restarted), or when nothing
+    came for `gap` (idle).  Events outside a run open one; an end event with no open run
+    is a run without steps.
+    """
+    out = []
+    for at, _, kind in events:
+        if run and (at - run[1] >= gap or kind == BEGINS):
+            out.append((*run, "idle" if at - run[1] >= gap else "restarted"))
+            run = None
+        start, _, steps, failed = run or (at, at, 0, 0)
+        run = (start, at, steps + (kind not in (BEGINS, ENDS)), failed + (kind == FAILS))
+        if kind == ENDS:
+            out.append((*run, "done"))
+            run = None
+    return out, run
+
+
+def _run_steps(gap: int):
+    """Events wait in the state until the watermark says that none before them can come; a timer looks again when the next one is due or the open run has been idle."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, run = json.loads(state.get[0]) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += [[int(t.value // 1000), int(i), str(k)] for t, i, k in zip(pdf["ts"], pdf["event_id"], pdf["kind"], strict=True)]
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        ready = [e for e in waiting if e[0] <= mark]
+        waiting = waiting[len(ready) :]
+        ended, run = fold_run(ready, run and tuple(run), gap)
+        if run and run[1] + gap <= mark and not (waiting and waiting[0][0] - run[1] < gap):
+            ended.append((*run, "idle"))
+            run = None
+        if waiting or run:
+            state.update((json.dumps([waiting, run]),))
+            due = min([e[0] for e in waiting[:1]] + ([run[1] + gap] if run else []))
+            state.setTimeoutTimestamp(max(due // 1000, mark // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if ended:
+            start, last, steps, failed, why = zip(*ended, strict=True)
+            times = lambda xs: pd.to_datetime(list(xs), unit="us")
+            yield pd.DataFrame({"run_id": [key[0]] * len(ended), "start": times(start), "stop": times(last), "steps": steps, "failed": failed, "ended": why})
+
+    return step
+
+
+def pipeline_runs(events: DataFrame, gap_seconds: int = 1800, delay: str = "10 minutes") -> DataFrame:
+    """Runs told by progress events (run_id, ts, event_id, kind): run_id, start, stop, steps, failed, ended (done, restarted, idle).
+
+    Events are taken in order of time and id, whatever the order in which they arrive;
+    those later than `delay` are dropped.  Two runs inside one gap are two runs: an end
+    event or a new beginning separates them.  Rows without a run, time or kind are left out.
+    """
+    sound = events.select("run_id", "ts", "event_id", "kind").where("run_id is not null and ts is not null and kind is not null and event_id is not null").withWatermark("ts", delay)
+    out = "run_id long, start timestamp, stop timestamp, steps long, failed long, ended string"
+    return sound.groupBy("run_id").applyInPandasWithState(_run_steps(gap_seconds * 1_000_000), out, "held string", "append", "EventTimeTimeout")
+
+
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keeps the newest (ts, status) of one task; a change is written, a task that the watermark has passed is forgotten."""
     if state.hasTimedOut:
@@ -89,6 +156,10 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return s.readStream.schema(STEPS).parquet(path)
 
 
+#: Progress events of users as runs.
+_KIND = "CASE WHEN event_id % 7 = 0 THEN 'pipeline_start' WHEN event_id % 11 = 0 THEN 'pipeline_done' WHEN event_id % 13 = 0 THEN 'step_failed' ELSE 'step_done' END"
+
+
 def _docs(s: SparkSession, d: str) -> DataFrame:
     path = new_dir(s, "arrived")
     table(s, d, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") % 3600 + 1700000000).alias("ts")).write.parquet(path)
@@ -100,6 +171,7 @@ QUERIES = {
     "stream_step_windows": lambda s, d: drained(step_windows(_events(s, d))).where("event_type <> 'end'"),
     "stream_sliding_windows": lambda s, d: drained(step_windows(_events(s, d), "2 hours", "1 hour")).where("event_type <> 'end'"),
     "stream_sessions": lambda s, d: drained(run_sessions(_events(s, d))).where("user_id >= 0"),
+    "stream_runs": lambda s, d: drained(pipeline_runs(_events(s, d).select(F.col("user_id").alias("run_id"), "ts", "event_id", F.expr(_KIND).alias("kind")), 86400, "1 hour")).where("run_id >= 0"),
     "stream_task_status": lambda s, d: latest_status(_events(s, d).where("user_id >= 0"), "10 hours"),
 }
 _EMAILS = "list_sort(list_distinct(list_filter(regexp_extract_all(text, '" + T.EMAIL + "'), lambda e: lower(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) NOT IN ('abc', 'test', 'invalid', 'localhost', 'example') AND length(regexp_extract(e, '\\.([a-zA-Z]+)$', 1)) <= 5)))"
@@ -108,5 +180,12 @@ SQL = {
     "stream_step_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS seconds FROM events GROUP BY 1, 2",
     "stream_sliding_windows": "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS seconds FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - o * INTERVAL 1 HOUR AS start, event_type, value FROM events, (SELECT unnest([0, 1]) AS o)) GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true))::INT AS new FROM events)) GROUP BY user_id, g",
+    "stream_runs": f"""
+        WITH e AS (SELECT user_id AS run_id, ts, event_id, {_KIND} AS kind FROM events),
+        f AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 1 DAY OR lag(kind) OVER w = 'pipeline_done', true) OR kind = 'pipeline_start' AS new, lead(ts) OVER w - ts < INTERVAL 1 DAY AS soon, lead(kind) OVER w AS next FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),
+        g AS (SELECT *, sum(new::INT) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS g FROM f)
+        SELECT run_id, min(ts) AS start, max(ts) AS stop, count(*) FILTER (kind LIKE 'step%') AS steps, count(*) FILTER (kind = 'step_failed') AS failed,
+          CASE WHEN bool_or(kind = 'pipeline_done') THEN 'done' WHEN arg_max(soon AND next = 'pipeline_start', (ts, event_id)) THEN 'restarted' ELSE 'idle' END AS ended
+        FROM g GROUP BY run_id, g""",
     "stream_task_status": "SELECT user_id, event_type FROM (SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 HOUR",
 }
