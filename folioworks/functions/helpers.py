@@ -45,35 +45,49 @@ def similar_pairs(least: float):
 
 
 def word_edits(left: list[str], right: list[str], limit: int, work: int = 4_000_000) -> tuple[int | None, int]:
-    """(distance, lower bound): the word edit distance if it is at most limit and the band is not too much work, else None."""
-    short, long = sorted((list(left), list(right)), key=len)
-    bound = len(long) - len(short)
-    if bound > limit:
-        return None, bound
-    while short and long and short[0] == long[0]:
-        short, long = short[1:], long[1:]
-    while short and long and short[-1] == long[-1]:
-        short, long = short[:-1], long[:-1]
-    if not short:
-        return (len(long), len(long)) if len(long) <= limit else (None, len(long))
-    if (2 * limit + 1) * len(long) > work:
-        return None, max(bound, 1)
-    far = limit + 1
-    row = {j: j for j in range(min(limit, len(short)) + 1)}
-    for i, w in enumerate(long, 1):
-        new = {}
-        for j in range(max(0, i - limit), min(len(short), i + limit) + 1):
-            best = min(row.get(j, far), new.get(j - 1, far)) + 1
-            if j:
-                best = min(best, row.get(j - 1, far) + (w != short[j - 1]))
-            else:
-                best = min(best, i)
-            new[j] = min(best, far)
-        row = new
-        if min(row.values()) > limit:
-            return None, far
-    d = row.get(len(short), far)
-    return (d, d) if d <= limit else (None, far)
+    """(distance, lower bound): the word edit distance if it is at most limit and no more than `work` steps are needed, else None.
+
+    Words become numbers.  For each number of edits the furthest place on each diagonal
+    is kept, from which equal words are passed over a stretch at a time; so a pair takes
+    as many steps as edits squared, and the words are only compared.
+    """
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in sorted((left, right), key=len))
+    n, m = len(a), len(b)
+    goal, steps = m - n, 0
+    if goal > limit:
+        return None, goal
+
+    def passed(i: int, j: int) -> int:
+        """The place in a up to which it equals b from places i and j on."""
+        nonlocal steps
+        size = 8
+        while i < n and j < m:
+            x, y = a[i : i + size], b[j : j + size]
+            k = min(len(x), len(y))
+            other = x[:k] != y[:k]
+            steps += k
+            if other.any():
+                return i + int(other.argmax())
+            i, j, size = i + k, j + k, min(size * 4, 1 << 14)
+        return i
+
+    front = {0: passed(0, 0)}
+    for edits in range(limit + 1):
+        if edits:
+            reach = {}
+            for d in range(max(-edits, -n), min(edits, m) + 1):
+                i = max(front.get(d, -1) + 1, front.get(d - 1, -1), front.get(d + 1, -1) + 1)
+                i = min(i, n, m - d)
+                if i >= 0 and i + d >= 0:
+                    reach[d] = passed(i, i + d)
+            front = reach
+            steps += len(reach)
+        if front.get(goal, -1) >= n:
+            return edits, edits
+        if steps > work:
+            return None, edits + 1
+    return None, limit + 1
 
 
 def edit_distances(limit: int):
