@@ -143,26 +143,34 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str, cap
     Columns: doc_id, text, old_shard, shard, slot (gapless from 0 by doc_id in a shard).
     Sizes are UTF-8 bytes of the text (null: none) plus 16 a row.  A first flow moves the
     fewest bytes to equal (or given) capacities; as rows don't split, a second flow over
-    the sizes that came out moves the smallest rows to even out what is left.  Rows with
-    one id and size share a shard; null ids are in order before others; an empty table
-    gives an empty result; other columns are ignored.  Files of a shard are written by
-    as many tasks as there are sub-shards, so no task holds a whole shard.
+    the sizes that came out moves the smallest rows to even out what is left.  Every row
+    is placed by itself, by a hash of its id, size and place in the table: equal rows and
+    equal texts go to any shards, as a text with a third of all rows would else make
+    equal sizes impossible.  Null ids are in order before others; rows of one id by
+    their hash; an empty table gives an empty result; other columns are ignored.  Files
+    of a shard are written by as many tasks as there are sub-shards, also for an id with
+    very many rows, so no task holds a whole shard or id.  docs is read several times and
+    must give the same rows in the same partitions, as tables of files do.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), old.cast("int").alias("old_shard"))
     sized = rows.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, "id": F.coalesce("doc_id", F.lit(-(1 << 62)))})
-    sized = sized.withColumn("h", F.xxhash64("id", "size").bitwiseAND((1 << 62) - 1))
+    sized = sized.withColumn("h", F.xxhash64("id", "size", F.monotonically_increasing_id()).bitwiseAND((1 << 62) - 1))
     light = sized.select("id", "h", "size", F.col("old_shard").alias("old"))
     first, flow = rebalance(light, n_old, capacities, n_new, small_first=False)
     second, _ = rebalance(moved(light, first, False), n_new, capacities, n_new, small_first=True)
     placed = moved(moved(sized.withColumn("old", F.col("old_shard")), first, False), second, True).withColumnRenamed("old", "shard")
     n_sub = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // n_new))
     cut = F.percentile_approx("id", [i / n_sub for i in range(1, n_sub)], 10000) if n_sub > 1 else F.array().cast("array<bigint>")
-    bounds = placed.agg(cut.alias("c")).first()["c"] or []
-    sub = sum(((F.col("id") > F.lit(b)).cast("int") for b in sorted(set(bounds))), F.lit(0))
+    bounds = sorted(placed.agg(cut.alias("c")).first()["c"] or [])
+    # a bound that comes several times is an id with many rows: its hashes are cut into as many parts
+    sub = sum(((F.col("id") > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    for b in sorted(set(bounds)):
+        if (many := bounds.count(b)) > 1:
+            sub += F.when(F.col("id") == b, F.shiftright("h", 40) * (many + 1) / (1 << 22)).otherwise(0).cast("int")
     placed = placed.withColumn("sub", sub)
     counts = placed.groupBy("shard", "sub").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("sub")) - F.col("n")).select("shard", "sub", "base")
-    inner = F.row_number().over(W.partitionBy("shard", "sub").orderBy("id", "size", F.crc32(F.coalesce("text", F.lit("")))))
+    inner = F.row_number().over(W.partitionBy("shard", "sub").orderBy("id", "h"))
     numbered = placed.withColumn("nth", inner).join(F.broadcast(counts), ["shard", "sub"])  # shards times sub-shards rows
     ready = numbered.select("doc_id", "text", "old_shard", (F.col("base") + F.col("nth") - 1).alias("slot"), "shard")
     ready.write.partitionBy("shard").parquet(path)

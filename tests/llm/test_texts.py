@@ -356,3 +356,35 @@ def test_language_of_rows_that_repeat(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang <> 'en'").select("doc_id", "text", "lang")
     both = language.identify_language(docs.union(one.withColumn("doc_id", F.lit(1_000_001).cast("long"))))
     assert [tuple(r) for r in both.where("doc_id = 1000001").groupBy("lang_pred", "rejected").count().collect()] == [("en", False, 60_000)]
+
+
+def resharded(spark, docs, n, tmp_path, capacities=None):
+    back, flow = reshard.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(n)), n, n, f"file://{tmp_path}/s", capacities)
+    rows = back.collect()
+    for shard in range(n):
+        here = sorted((r for r in rows if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in here] == list(range(len(here)))
+        ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in here]
+        assert ids == sorted(ids)
+    bytes_ = [sum(len((r["text"] or "").encode()) + 16 for r in rows if r["shard"] == s) for s in range(n)]
+    return rows, flow, bytes_
+
+
+def test_equal_rows_are_dealt_to_all_shards(spark, tmp_path):
+    docs = spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("one").alias("source"), F.lit("x").alias("shard"), F.lit(1).alias("size"), F.lit(2).alias("h"))
+    rows, _, bytes_ = resharded(spark, docs, 4, tmp_path)
+    assert len(rows) == 1000 and max(bytes_) - min(bytes_) <= 2 * 29
+
+
+def test_placement_follows_the_flow(spark, tmp_path):
+    """Uneven sources, a hot text, null ids and texts: equal bytes, and hardly more bytes moved than the flow's least."""
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 400), rng.choice(["a", "a", "a", "b", "c"])) for i in range(1500)] + [(7, "hot " * 20, "a")] * 700 + [(None, None, "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    got, flow, bytes_ = resharded(spark, docs, 5, tmp_path)
+    docs.unpersist()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted((i or -1, t or "") for i, t, _ in rows)
+    assert max(bytes_) - min(bytes_) <= 400
+    least = sum(b for (i, j), b in flow.items() if i != j)
+    moved = sum(len((r["text"] or "").encode()) + 16 for r in got if r["shard"] != r["old_shard"])
+    assert moved <= least + 5 * 5 * 416
