@@ -264,7 +264,7 @@ def match_stats(matches: DataFrame, bib: DataFrame) -> DataFrame:
 
 
 MBIB = """
-SELECT item_id + 1 AS item_pos, CASE WHEN item_id % 17 = 3 THEN 'Unknown' ELSE substr(text, 1, 60) END AS title, split_part(text, ' ', 3) || ';' || split_part(text, ' ', 6) || CASE WHEN item_id % 5 = 0 THEN '; Щукин; Kuhn-Lee' ELSE '' END AS authors_text,
+SELECT item_id + 1 AS item_pos, CASE WHEN item_id % 17 = 3 THEN 'Unknown' ELSE text END AS title, split_part(text, ' ', 3) || ';' || split_part(text, ' ', 6) || CASE WHEN item_id % 5 = 0 THEN '; Щукин; Kuhn-Lee' ELSE '' END AS authors_text,
   CAST(1950 + item_id % 70 AS STRING) AS year_text, CASE WHEN item_id % 3 = 0 THEN 'book' ELSE 'article' END AS doc_type, CASE WHEN item_id % 19 = 7 THEN '10.1/ab' WHEN item_id % 19 = 8 THEN 'x/Y' ELSE '10.1234/B' || CAST(item_id AS STRING) END AS doi, CASE WHEN item_id % 19 = 5 THEN '123' ELSE '978-5-' || CAST(10000 + item_id AS STRING) || '-1' END AS isbn
 FROM {benchmark}
 """
@@ -273,8 +273,8 @@ SELECT doc_id, d.text || CASE doc_id % 10 WHEN 1 THEN ' published 1955 doi 10.12
   CASE doc_id % 6 WHEN 0 THEN replace(substr(coalesce(b.text, 'none'), 1, 60), ' ', '_') WHEN 1 THEN split_part(coalesce(b.text, 'a b none'), ' ', 3) || '_' || CAST(doc_id AS STRING) ELSE 'file_' || CAST(doc_id AS STRING) END || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.TXT' END AS filename
 FROM (SELECT doc_id, text FROM {documents} UNION ALL SELECT doc_id + 1000000000, 'short' FROM {documents} WHERE doc_id % 15 = 0) d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id % 40
 """
-MANUAL = "SELECT 'file_' || CAST(doc_id AS STRING) AS stem, CAST(1 + quality + toxic * 500 AS BIGINT) AS item_pos FROM {labels} WHERE doc_id % 3 = 0"
-EXTRA = "SELECT '{{\"file_' || CAST(doc_id AS STRING) || '\": ' || CAST(2 + quality AS STRING) || '}}' AS json FROM {labels} WHERE doc_id % 9 = 0 UNION ALL SELECT 'not json' FROM {region}"
+MANUAL = "SELECT 'file_' || CAST(doc_id AS STRING) AS stem, CAST(1 + quality + toxic * 500 AS BIGINT) AS item_pos FROM {labels}"
+EXTRA = "SELECT '{{\"file_' || CAST(doc_id * 2 AS STRING) || '\": ' || CAST(2 + quality AS STRING) || '}}' AS json FROM {labels} UNION ALL SELECT 'not json' FROM {region}"
 
 
 def _bib(s, d):
@@ -333,7 +333,7 @@ sig_file AS (SELECT doc_id, item_pos, CASE WHEN h THEN 'title_in_filename' ELSE
 sig_year AS (SELECT doc_id, item_pos, 1.0::DOUBLE AS score FROM d, b WHERE contains(text, year_text) OR contains(filename, year_text)),
 sig_doi AS (SELECT doc_id, item_pos, 1.0::DOUBLE AS score FROM d, b WHERE doi <> '' AND contains(lower(text), lower(doi))),
 sig_isbn AS (SELECT doc_id, item_pos, 1.0::DOUBLE AS score FROM d, b WHERE contains(digits, regexp_replace(isbn, '\\D', '', 'g'))),
-manual AS (SELECT m.stem, coalesce(x.item_pos, m.item_pos) AS item_pos FROM ({plain(MANUAL, 'labels')}) m FULL JOIN (SELECT 'file_' || doc_id AS stem, (2 + quality)::BIGINT AS item_pos FROM labels WHERE doc_id % 9 = 0) x USING (stem)),
+manual AS (SELECT stem, coalesce(x.item_pos, m.item_pos) AS item_pos FROM ({plain(MANUAL, 'labels')}) m FULL JOIN (SELECT 'file_' || doc_id * 2 AS stem, (2 + quality)::BIGINT AS item_pos FROM labels) x USING (stem)),
 sig AS MATERIALIZED (SELECT doc_id, item_pos, 'author' AS name, score, 1.0::DOUBLE AS weight FROM sig_author JOIN (SELECT item_pos, unnest(authors[1:5]) AS author FROM b) USING (author)
   UNION ALL SELECT doc_id, item_pos, name, score, 1.5 FROM sig_file UNION ALL SELECT doc_id, item_pos, 'title_overlap', score, 2.0 FROM sig_overlap UNION ALL SELECT doc_id, item_pos, 'year', score, 0.15 FROM sig_year
   UNION ALL SELECT doc_id, item_pos, 'doi', score, 2.0 FROM sig_doi UNION ALL SELECT doc_id, item_pos, 'isbn', score, 1.5 FROM sig_isbn),
