@@ -16,6 +16,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def casefold(text: pd.Series) -> pd.Series:
+    """Text without differences of case."""
+    return text.map(str.casefold, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def decode_1251(content: pd.Series) -> pd.Series:
     """Windows-1251 bytes as text."""

@@ -1,9 +1,11 @@
 """Task, batch and dataset history: expiry, listings, roll-ups, selections, revisions."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import helpers
 from ..plans.inputs import derived, plain
 
 #: Seconds a task lives, states that are active, states of a batch, bytes in an archive, rows in the task centre.
@@ -14,6 +16,8 @@ LEFT_OVER = ["queued", "running"]
 STATES = ["queued", "running", "done", "error", "expired", "interrupted"]
 ARCHIVE_BYTES = 512 * 1024 * 1024
 CENTRE = 12
+#: Fixed value: characters of a dataset's name.
+NAME = 80
 
 
 def live_tasks(tasks: DataFrame, now: int, ttl: int = TTL) -> DataFrame:
@@ -106,6 +110,68 @@ def apply_updates(base: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.select("id", F.when(won, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), F.coalesce("new", "snapshot").alias("snapshot"), (F.coalesce("tried", F.lit(0)) - won.cast("int")).cast("long").alias("conflicts"))
 
 
+def fold_saves(rows: list[tuple]) -> tuple[dict, list[tuple]]:
+    """The datasets {(template, id): [name, revision, snapshot]} and the refused changes (update_id, template, id, reason) after rows in order.
+
+    A row is (update_id or None, template, id, name, revision, snapshot); None: it is
+    stored already.  A change without a revision is a new dataset, of revision 1; any
+    other must name the stored revision, which then rises.  A name, whatever its case, is
+    one dataset's of a template: a rename frees the old one for later changes.
+    """
+    held: dict[tuple, list] = {}
+    owner: dict[tuple, object] = {}
+    refused = []
+    for update, template, key, name, revision, snapshot in rows:
+        name = name if update is None else (name or "").strip()
+        wanted, mine = (template, name.casefold()), held.get((template, key))
+        new = update is None or revision is None
+        if update is not None and not 0 < len(name) <= NAME:
+            reason = "bad-name"
+        elif not new and (mine is None or mine[1] != revision):
+            reason = "other-revision"
+        elif (new and mine) or owner.get(wanted, key) != key:
+            reason = "name-taken"
+        else:
+            if mine:
+                del owner[template, mine[0].casefold()]
+            held[template, key] = [name, revision if update is None else 1 if new else revision + 1, snapshot]
+            owner[wanted] = key
+            continue
+        refused.append((update, template, key, reason))
+    return held, refused
+
+
+def save_datasets(base: DataFrame, changes: DataFrame, in_bucket: int = 10_000) -> DataFrame:
+    """Datasets after changes, one saved after the other, and the changes that were refused.
+
+    base: template, id, name (unique in its template), revision, snapshot; changes: update_id (their order), and
+    the same columns, revision null for a new dataset.  Result: update_id (null for a
+    dataset), template, id, name, revision, snapshot, reason (bad-name, other-revision,
+    name-taken; null for a dataset).  Datasets of which no name is ever another one's are
+    independent, so they are dealt to buckets of about in_bucket rows by id; those that
+    share names are folded together, a template in one bucket.
+    """
+    columns = ["template", "id", "name", "revision", "snapshot"]
+    rows = base.select(F.lit(None).cast("long").alias("update_id"), *columns).union(changes.select(F.col("update_id").cast("long"), *columns))
+    rows = rows.withColumn("key", helpers.casefold(F.trim(F.coalesce("name", F.lit("")))))
+    shared = rows.groupBy("template", "key").agg((F.min("id") != F.max("id")).alias("shared")).where("shared").select("template", "key")
+    bound = rows.join(shared, ["template", "key"], "left_semi").select("template", "id").distinct().withColumn("bound", F.lit(True))
+    buckets = max(1, -(-rows.count() // in_bucket))
+    dealt = rows.join(bound, ["template", "id"], "left")
+    bucket = F.when(F.col("bound"), -1 - F.pmod(F.xxhash64("template"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("template", "id"), F.lit(buckets)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("update_id", na_position="first", kind="stable").astype({"update_id": "Int64", "revision": "Int64"})
+        given = [tuple(None if pd.isna(x) else x for x in r) for r in pdf[["update_id", *columns]].itertuples(index=False)]
+        held, refused = fold_saves(given)
+        out = [(None, t, i, *values, None) for (t, i), values in held.items()] + [(u, t, i, None, None, None, reason) for u, t, i, reason in refused]
+        return pd.DataFrame(out, columns=["update_id", *columns, "reason"]).astype({"update_id": "Int64", "revision": "Int64"})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"update_id long, template {kinds['template']}, id {kinds['id']}, name string, revision long, snapshot string, reason string"
+    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(fold, schema)
+
+
 def name_clashes(datasets: DataFrame) -> DataFrame:
     """Template and case-folded name of datasets that share both."""
     return datasets.groupBy("template", F.lower("name").alias("name_key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
@@ -149,6 +215,9 @@ FILES = "SELECT l_orderkey + CASE WHEN l_orderkey % 10 = 1 THEN 1 ELSE 0 END AS
 JOBS = "SELECT o_orderkey AS job_id, CASE o_orderkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'pdf' ELSE 'txt' END AS target_format, CASE WHEN o_orderkey % 2 = 0 THEN 'fast' ELSE 'visual' END AS mode, CAST(1700000000 + (o_orderkey * 31) % 50000 AS BIGINT) AS ts FROM {orders}"
 ASKED = "SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 11 = 0 THEN 9 ELSE 0 END AS task_id FROM {lineitem} WHERE l_linenumber <= 3"
 BASE = "SELECT o_orderkey AS id, CAST(o_orderkey % 3 AS BIGINT) AS revision, 'v' || CAST(o_orderkey AS STRING) AS snapshot, 't' || CAST(o_custkey % 40 AS STRING) AS template, CASE WHEN o_orderkey % 2 = 0 THEN 'Set ' ELSE 'set ' END || CAST(o_orderkey % 500 AS STRING) AS name FROM {orders}"
+SAVED = "SELECT o_orderkey AS id, CAST(o_orderkey % 3 AS BIGINT) AS revision, 'v' || CAST(o_orderkey AS STRING) AS snapshot, 't' || CAST(o_custkey % 40 AS STRING) AS template, 'Set ' || CAST(o_orderkey AS STRING) AS name FROM {orders}"
+SAVES = """SELECT l_orderkey * 100 + l_linenumber AS update_id, 't' || CAST(o_custkey % 40 AS STRING) AS template, CASE WHEN l_linenumber = 6 THEN -l_orderkey ELSE l_orderkey END AS id, CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(o_orderkey % 3 + l_linenumber - 1 AS BIGINT) END AS revision,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'SET ' ELSE ' set ' END || CAST(CASE WHEN l_linenumber % 3 = 0 THEN l_partkey ELSE l_orderkey END AS STRING) AS name, 'u' || CAST(l_linenumber AS STRING) AS snapshot FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"""
 UPDATES = "SELECT l_orderkey AS id, CAST(l_linenumber % 4 AS BIGINT) AS revision, l_orderkey * 100 + l_linenumber AS update_id, 'u' || CAST(l_linenumber AS STRING) AS snapshot FROM {lineitem}"
 CHANGES = "SELECT o_orderkey AS change_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey - o_orderkey % 3 END AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'new title ' || CAST(o_orderkey AS STRING) END AS title, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(2000 + o_orderkey % 25 AS BIGINT) END AS year, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 13 = 1 END AS deleted FROM {orders} WHERE o_orderkey % 5 < 2"
 LIB = "SELECT p_partkey AS id, p_name AS title, CAST(1950 + p_partkey % 70 AS BIGINT) AS year FROM {part}"
@@ -184,6 +253,7 @@ QUERIES = {
     "archive_manifest": lambda s, d: archive_manifest(_f(s, d), _t(s, d)),
     "recover_tasks": lambda s, d: recover_tasks(_t(s, d), _t(s, d).where("queue_kind in ('convert', 'ocr')").select("queue_kind").distinct()),
     "apply_updates": lambda s, d: apply_updates(derived(s, d, BASE, "orders"), derived(s, d, UPDATES, "lineitem")),
+    "save_datasets": lambda s, d: save_datasets(derived(s, d, SAVED, "orders"), derived(s, d, SAVES, "lineitem", "orders")),
     "name_clashes": lambda s, d: name_clashes(derived(s, d, BASE, "orders")),
     "library_upsert": lambda s, d: library_upsert(derived(s, d, LIB, "part"), derived(s, d, CHANGES, "orders")),
     "storage_bytes": lambda s, d: storage_bytes(derived(s, d, STORED, "documents")),

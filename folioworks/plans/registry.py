@@ -2,12 +2,12 @@
 
 from collections.abc import Callable
 
-from ..operators import bibliography, corpus, folders, inventory, layout, matching, naming, quality, render, tasks, templates
+from ..operators import bibliography, corpus, folders, inventory, layout, matching, naming, parts, quality, render, tasks, templates
 from ..sources import files
 from ..streaming import jobs
 from . import pipeline
 
-MODULES = [corpus, bibliography, render, matching, naming, tasks, quality, inventory, folders, layout, templates, files, jobs, pipeline]
+MODULES = [corpus, bibliography, render, parts, matching, naming, tasks, quality, inventory, folders, layout, templates, files, jobs, pipeline]
 
 
 def queries() -> dict[str, Callable]:
