@@ -102,6 +102,39 @@ def apply_order(blocks: DataFrame, orders: DataFrame) -> DataFrame:
     return blocks.join(places, ["doc_id", "block_id"], "left").select("doc_id", "block_id", F.coalesce(F.col("new_pos").cast("long"), F.col("pos")).alias("pos"), F.col("new_pos").isNotNull().alias("reordered"))
 
 
+def _judged_orders(blocks: DataFrame, orders: DataFrame) -> DataFrame:
+    """doc_id, problem (null: the new order holds) of every document that an order names."""
+    have = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("block_id")).alias("ids"))
+    asked = orders.select("doc_id", "page", "block_ids")
+    same = F.coalesce(F.array_sort("block_ids") == F.col("ids"), F.lit(False))
+    pages = have.join(orders.select("doc_id").distinct(), "doc_id", "left_semi").join(asked, ["doc_id", "page"], "full").groupBy("doc_id").agg(F.bool_and(same).alias("same"))
+    named = orders.groupBy("doc_id").agg(F.min("revision").alias("least"), F.max("revision").alias("most"))
+    stored = blocks.groupBy("doc_id").agg(F.max("revision").alias("revision"))
+    both = named.join(stored, "doc_id", "left").join(pages, "doc_id", "left")
+    present = (F.col("least") == F.col("revision")) & (F.col("most") == F.col("revision"))
+    problem = F.when(F.col("revision").isNull(), "unknown-document").when(~F.coalesce(present, F.lit(False)), "other-revision").when(~F.col("same"), "not-a-permutation")
+    return both.select("doc_id", problem.alias("problem"))
+
+
+def apply_page_order(blocks: DataFrame, orders: DataFrame) -> DataFrame:
+    """Blocks (doc_id, page, block_id, pos, revision) in new orders (doc_id, revision, page, block_ids): all pages of a document or none.
+
+    An order holds if it names the stored revision and gives, for every page of the
+    document and for no other, each of its blocks once; the document's revision rises by
+    one then.  Else its blocks stay as they were (see order_problems).
+    """
+    good = _judged_orders(blocks, orders).where("problem is null").select("doc_id", F.lit(True).alias("good"))
+    places = orders.select("doc_id", "page", F.posexplode("block_ids").alias("new_pos", "block_id"))
+    moved = blocks.join(good, "doc_id", "left").join(places, ["doc_id", "page", "block_id"], "left")
+    pos = F.when(F.col("good"), F.col("new_pos").cast("long")).otherwise(F.col("pos"))
+    return moved.select("doc_id", "page", "block_id", pos.alias("pos"), (F.col("revision") + F.coalesce(F.col("good").cast("int"), F.lit(0))).cast("long").alias("revision"))
+
+
+def order_problems(blocks: DataFrame, orders: DataFrame) -> DataFrame:
+    """doc_id, problem of the orders that do not hold: unknown-document, other-revision, not-a-permutation."""
+    return _judged_orders(blocks, orders).where("problem is not null")
+
+
 def apply_roles(blocks: DataFrame, changes: DataFrame) -> DataFrame:
     """New roles of text blocks; a document's changes all apply or none does."""
     roles = ["paragraph", "heading1", "heading2", "heading3"]
@@ -143,6 +176,7 @@ def crop_table(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int]
 WORDS = "SELECT CAST(l_orderkey % 700 AS BIGINT) AS page_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS word_id, CASE l_linenumber % 7 WHEN 6 THEN '  ' ELSE 'w' || CAST(l_partkey % 90 AS STRING) END AS text, CAST(CASE WHEN l_suppkey % 9 = 0 THEN 4 ELSE 5 END AS INT) AS level, CAST(l_partkey % 300 AS DOUBLE) AS left, CAST(l_suppkey % 40 AS DOUBLE) * 12 AS top, CAST(20 + l_partkey % 30 AS DOUBLE) AS width, 10.0E0 AS height, CAST(CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_partkey % 101 END AS DOUBLE) AS conf FROM {lineitem}"
 STATS = "SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN 1403 ELSE 997 END AS INT) AS width, CAST(1189 + page_id % 7 AS INT) AS height, CAST(page_id % 5 AS DOUBLE) / 64 AS top_ink, CAST(page_id % 8 AS DOUBLE) / 128 AS bottom_ink, CAST(page_id % 16 AS DOUBLE) / 32 AS edge_density FROM {pages}"
 BLOCKS = "SELECT conv_id AS doc_id, turn AS block_id, turn AS pos, CAST(conv_id % 3 AS BIGINT) AS revision, role <> 'system' AS is_text, 'paragraph' AS role FROM {conversations}"
+PAGED = "SELECT conv_id AS doc_id, CAST(turn % 2 AS INT) AS page, turn AS block_id, turn AS pos, CAST(conv_id % 3 AS BIGINT) AS revision FROM {conversations}"
 ROLES = "SELECT conv_id AS doc_id, turn AS block_id, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'title' ELSE 'heading' || CAST(1 + turn % 3 AS STRING) END AS role FROM {conversations} WHERE turn < 3"
 CELLS = "SELECT o_orderkey AS table_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, c * 50.0E0 + CASE WHEN o_orderkey % 7 = 0 AND r = 1 AND c = 1 THEN 0.3E0 WHEN o_orderkey % 11 = 0 AND r = 2 THEN 0.05E0 ELSE 0.0E0 END AS x0, r * 20.0E0 AS y0, c * 50.0E0 + CASE WHEN o_orderkey % 13 = 0 AND r = 0 THEN 0.0E0 ELSE 49.0E0 END AS x1, r * 20.0E0 + 19 AS y1 FROM {orders}, (SELECT l_linenumber - 1 AS r FROM {lineitem} GROUP BY l_linenumber) a, (SELECT l_linenumber - 1 AS c FROM {lineitem} GROUP BY l_linenumber) b WHERE r < 2 + o_orderkey % 2 AND c < 3 AND NOT (o_orderkey % 5 = 0 AND r = 1 AND c = 0)"
 
@@ -153,6 +187,14 @@ def _orders(s, d):
     return ids.select("doc_id", F.lit(1).cast("long").alias("revision"), F.when(F.col("doc_id") % 4 == 0, F.slice("block_ids", 1, 1)).otherwise(F.col("block_ids")).alias("block_ids"))
 
 
+def _page_orders(s, d):
+    """Every page turned round; of every fifth document the last page short, and orders for documents that there are not."""
+    ids = derived(s, d, PAGED, "conversations").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("block_id"), asc=False).alias("block_ids"))
+    short = (F.col("doc_id") % 5 == 0) & (F.col("page") == 0)
+    known = ids.select("doc_id", F.lit(1).cast("long").alias("revision"), "page", F.when(short, F.array_remove("block_ids", 0)).otherwise(F.col("block_ids")).alias("block_ids"))
+    return known.union(known.where("page = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+
+
 _BL, _RO, _WO = (plain(x, t) for x, t in ((BLOCKS, "conversations"), (ROLES, "conversations"), (WORDS, "lineitem")))
 _CE = plain(CELLS, "orders", "lineitem")
 _REGIONS = f"""
@@ -173,6 +215,8 @@ QUERIES = {
     "ocr_confidence": lambda s, d: ocr_confidence(derived(s, d, WORDS, "lineitem")),
     "page_regions": lambda s, d: page_regions(derived(s, d, STATS, "pages")),
     "apply_order": lambda s, d: apply_order(derived(s, d, BLOCKS, "conversations"), _orders(s, d)),
+    "apply_page_order": lambda s, d: apply_page_order(derived(s, d, PAGED, "conversations"), _page_orders(s, d)),
+    "order_problems": lambda s, d: order_problems(derived(s, d, PAGED, "conversations"), _page_orders(s, d)),
     "apply_roles": lambda s, d: apply_roles(derived(s, d, BLOCKS, "conversations"), derived(s, d, ROLES, "conversations")),
     "table_grid": lambda s, d: table_grid(derived(s, d, CELLS, "orders", "lineitem")),
     "crop_table": lambda s, d: table_grid(crop_table(derived(s, d, CELLS, "orders", "lineitem"), (0, 2), (1, 2))),
@@ -188,6 +232,8 @@ SQL = {
     "ocr_confidence": f"SELECT page_id, round(coalesce(avg(conf) FILTER (conf <> -1) / 100, 0.0) + 1e-9, 4) AS confidence FROM ({_WO}) GROUP BY page_id",
     "page_regions": _REGIONS,
     "apply_order": f"SELECT doc_id, block_id, CASE WHEN ok THEN n - 1 - pos_rank ELSE pos END AS pos, ok AS reordered FROM (SELECT *, revision = 1 AND (doc_id % 4 <> 0 OR n = 1) AS ok FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS pos_rank FROM ({_BL})))",
+    "apply_page_order": f"SELECT doc_id, page, block_id, CASE WHEN revision = 1 AND doc_id % 5 <> 0 THEN n - 1 - nth ELSE pos END AS pos, revision + (revision = 1 AND doc_id % 5 <> 0)::BIGINT AS revision FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_id) - 1 AS nth FROM ({plain(PAGED, 'conversations')}))",
+    "order_problems": f"SELECT DISTINCT doc_id, CASE WHEN revision <> 1 THEN 'other-revision' ELSE 'not-a-permutation' END AS problem FROM ({plain(PAGED, 'conversations')}) WHERE revision <> 1 OR doc_id % 5 = 0 UNION ALL SELECT DISTINCT -1 - doc_id, 'unknown-document' FROM ({plain(PAGED, 'conversations')}) WHERE page = 0",
     "apply_roles": f"SELECT b.doc_id, b.block_id, coalesce(CASE WHEN g.ok THEN c.role END, b.role) AS role FROM ({_BL}) b LEFT JOIN ({_RO}) c USING (doc_id, block_id) LEFT JOIN (SELECT c.doc_id, bool_and(c.role <> 'title' AND b.is_text) AS ok FROM ({_RO}) c JOIN ({_BL}) b USING (doc_id, block_id) GROUP BY c.doc_id) g ON g.doc_id = b.doc_id",
     "table_grid": _GRID.format(_CE),
     "crop_table": _GRID.format(f"SELECT * REPLACE (col - 1 AS col) FROM ({_CE}) WHERE row <= 2 AND col BETWEEN 1 AND 2 AND table_id IN (SELECT table_id FROM ({_GRID.format(_CE)}) WHERE regular AND rows > 2 AND columns > 2)"),

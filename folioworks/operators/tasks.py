@@ -35,6 +35,11 @@ def task_snapshot(tasks: DataFrame, limit: int = CENTRE) -> DataFrame:
     return shown.orderBy(F.desc("active"), F.desc("ts"), "task_id").limit(limit)
 
 
+def active_total(counts: DataFrame) -> DataFrame:
+    """One row: how many tasks are active, from counts by status."""
+    return counts.agg(F.coalesce(F.sum(F.when(F.col("status").isin(ACTIVE), F.col("n"))), F.lit(0)).alias("active"))
+
+
 def task_counts(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("queue_kind") != "pipeline-input").groupBy("status").agg(F.count("*").alias("n"))
 
@@ -245,6 +250,7 @@ QUERIES = {
     "recent_tasks": lambda s, d: recent_tasks(_t(s, d), 50),
     "task_snapshot": lambda s, d: task_snapshot(_t(s, d)),
     "task_counts": lambda s, d: task_counts(_t(s, d)),
+    "active_total": lambda s, d: active_total(task_counts(_t(s, d))),
     "batch_history": lambda s, d: batch_history(_j(s, d), _f(s, d), _t(s, d)),
     "batch_history_newest": lambda s, d: batch_history(_j(s, d), _f(s, d), _t(s, d), 20),
     "batch_rollup": lambda s, d: batch_rollup(_j(s, d), _f(s, d), _t(s, d)),
@@ -264,6 +270,7 @@ SQL = {
     "recent_tasks": f"SELECT * FROM ({_PT}) ORDER BY ts DESC, task_id LIMIT 50",
     "task_snapshot": f"SELECT *, status IN ('queued', 'running', 'cancelling') AS active FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' ORDER BY active DESC, ts DESC, task_id LIMIT {CENTRE}",
     "task_counts": f"SELECT status, count(*) AS n FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' GROUP BY status",
+    "active_total": f"SELECT count(*) AS active FROM ({_PT}) WHERE queue_kind <> 'pipeline-input' AND status IN ('queued', 'running', 'cancelling')",
     "batch_history": f"SELECT job_id, target_format, ts, {_COUNTS}, count(task_id) AS total FROM (SELECT j.job_id, target_format, j.ts, f.task_id, CASE WHEN f.task_id IS NULL THEN NULL ELSE coalesce(t.status, 'expired') END AS state FROM ({_PJ}) j LEFT JOIN ({_PF}) f USING (job_id) LEFT JOIN ({_PT}) t ON t.task_id = f.task_id) GROUP BY ALL",
     "batch_history_newest": f"SELECT job_id, target_format, ts, {_COUNTS}, count(task_id) AS total FROM (SELECT j.job_id, target_format, j.ts, f.task_id, CASE WHEN f.task_id IS NULL THEN NULL ELSE coalesce(t.status, 'expired') END AS state FROM (SELECT * FROM ({_PJ}) ORDER BY ts DESC, job_id LIMIT 20) j LEFT JOIN ({_PF}) f USING (job_id) LEFT JOIN ({_PT}) t ON t.task_id = f.task_id) GROUP BY ALL",
     "batch_rollup": f"SELECT target_format, st AS status, count(*) AS n FROM (SELECT target_format, coalesce(status, 'expired') AS st FROM ({_PJ}) JOIN ({_PF}) USING (job_id) LEFT JOIN ({_PT}) USING (task_id)) GROUP BY ROLLUP (target_format, st)",

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import scopes
+from ..functions import scopes, text as T
 from ..plans.inputs import derived, plain
 
 #: Prefixes of numbered targets, width of a table of contents and indent of a level.
 PREFIX = {"figure": "Рис. ", "table": "Табл. "}
 TOC_WIDTH, TOC_INDENT = 72, "    "
+#: Fixed value: the line of a document without references.
+NO_REFERENCES = "(список литературы пуст)"
 TAG = r"\{%\s*(.*?)\s*%\}"
 
 
@@ -259,10 +261,24 @@ def build_toc(headings: DataFrame, width: int = TOC_WIDTH) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("toc"))
 
 
-def reference_list(refs: DataFrame) -> DataFrame:
-    """Numbered references of a document in order; empty ones are skipped."""
-    rows = refs.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
-    return rows.select("doc_id", "pos", F.format_string("[%d] %s", "n", "text").alias("line"))
+def reference_list(refs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, line: the references of a document, numbered in order.
+
+    A reference is a text, or a record (authors, title, year) whose parts are written
+    with spaces between; neither is no reference and takes no number, while an empty text
+    does.  Documents (doc_id) without any reference have one line that says so, with no pos.
+    """
+    said = T.strip(F.col("text"))
+    if "record" in refs.columns:
+        part = lambda c: F.nullif(c, F.lit(""))
+        record = F.concat_ws(" ", part(F.array_join("record.authors", ", ")), part(F.col("record.title")), F.nullif(F.col("record.year"), F.lit(0)).cast("string"))
+        said = F.coalesce(said, F.when(F.col("record").isNotNull(), record))
+    rows = refs.withColumn("said", said).where("said is not null").withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
+    lines = rows.select("doc_id", "pos", F.format_string("[%d] %s", "n", "said").alias("line"))
+    if docs is None:
+        return lines
+    none = docs.select("doc_id").distinct().join(lines, "doc_id", "left_anti")
+    return lines.union(none.select("doc_id", F.lit(None).cast(lines.schema["pos"].dataType), F.lit(NO_REFERENCES)))
 
 
 SCHEMA = [{"name": "k", "type": "integer", "required": True}, {"name": "title", "type": "string", "default": "none"}, {"name": "ratio", "type": "number"}, {"name": "ok", "type": "boolean", "required": True}]
@@ -270,7 +286,7 @@ TEMPLATES = "SELECT r_regionkey AS template_id, 'Dear {{name}}, ' || r_name || '
 DECLARED = "SELECT r_regionkey AS template_id, 'name' AS name FROM {region} UNION ALL SELECT r_regionkey, 'balance' FROM {region} UNION ALL SELECT r_regionkey, 'flag' FROM {region} UNION ALL SELECT r_regionkey, 'never' FROM {region}"
 TOKENS = "SELECT l_orderkey AS doc_id, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 'figure' ELSE 'table' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 'ref' ELSE 'label' END AS role, 'l' || CAST(l_suppkey % 4 AS STRING) AS label FROM {lineitem}"
 HEADINGS = "SELECT conv_id AS doc_id, turn AS pos, CAST(1 + turn % 3 AS INT) AS level, replace(text, chr(10), ' ') AS text, turn * 2 AS page FROM {conversations}"
-REFS = "SELECT conv_id AS doc_id, turn AS pos, text FROM {conversations} UNION ALL SELECT conv_id, turn + 1000, ' ' FROM {conversations} UNION ALL SELECT conv_id, turn + 2000, 'once more ' || text FROM {conversations}"
+REFS = "SELECT conv_id AS doc_id, turn AS pos, CASE WHEN turn = 1 THEN NULL ELSE text END AS text, CASE WHEN turn = 1 THEN role END AS who, turn AS n FROM {conversations} UNION ALL SELECT conv_id, turn + 1000, ' ', NULL, turn FROM {conversations} UNION ALL SELECT conv_id, turn + 2000, 'once more ' || text, NULL, turn FROM {conversations} UNION ALL SELECT -1 - conv_id, turn, NULL, NULL, turn FROM {conversations}"
 #: A template for each customer: a loop, a variable used after it, expressions, and by number a stray or a missing end.
 SCRIPTS = """SELECT c_custkey AS template_id, 'To {{ name }} of ' || c_mktsegment || chr(10) || '{% for x in orders %}' || chr(10) || '{{ x.id }} {{ a + b|round(n=2) }}' || chr(10) || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '{% endfor %}' || chr(10) END
   || '{{ x }}' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '{% endif %}' ELSE '{{ ''x'' ~ last }}' END AS text FROM {customer}"""
@@ -309,6 +325,12 @@ def _validated(s, d):
     return out.select("id", "errors", F.coalesce(F.col("data")["title"], F.lit("")).alias("title"))
 
 
+def _references(s, d):
+    refs = derived(s, d, REFS, "conversations")
+    record = F.when(F.col("who").isNotNull(), F.struct(F.array("who", F.lit("Petrov")).alias("authors"), F.lit("").alias("title"), (F.col("n") % 2 * 2000).cast("int").alias("year")))
+    return reference_list(refs.withColumn("record", record), refs)
+
+
 _TE, _TO, _HE = plain(TEMPLATES, "region"), plain(TOKENS, "lineitem"), plain(HEADINGS, "conversations")
 
 QUERIES = {
@@ -320,7 +342,7 @@ QUERIES = {
     "render_blocks": lambda s, d: render_blocks(LINES, _with_orders(s, d)),
     "number_refs": lambda s, d: number_refs(derived(s, d, TOKENS, "lineitem")),
     "build_toc": lambda s, d: build_toc(derived(s, d, HEADINGS, "conversations")),
-    "reference_list": lambda s, d: reference_list(derived(s, d, REFS, "conversations")),
+    "reference_list": _references,
 }
 SQL = {
     "validate_rows": "SELECT event_id AS id, concat_ws('; ', CASE WHEN event_id % 7 = 0 AND event_id % 11 <> 0 THEN 'k: missing' END, CASE WHEN event_id % 11 = 0 THEN 'k: not integer' END, CASE WHEN event_id % 13 = 0 THEN 'ok: not boolean' END, CASE WHEN event_id % 5 = 0 THEN 'more: undeclared' END) AS errors, CASE WHEN event_id % 2 = 0 THEN '\"' || event_type || '\"' ELSE '\"none\"' END AS title FROM events",
@@ -334,5 +356,6 @@ SQL = {
     "render_blocks": "SELECT c_custkey AS id, 'Customer ' || c_name || chr(10) || CASE WHEN c_acctbal > 5000 THEN 'rich in ' || c_mktsegment ELSE 'not rich' END || chr(10) || coalesce(o.t, '') || 'end' AS text, NULL::VARCHAR AS error FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- ' || o_orderkey || ': ' || o_orderstatus || chr(10) || CASE WHEN o_orderstatus = 'O' THEN '  open' || chr(10) ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f, label) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
     "build_toc": f"SELECT doc_id, string_agg(repeat(' ', 4 * (level - 1)) || text || ' ' || repeat('.', greatest(4, 72 - length(text) - length(page::VARCHAR))::INT) || ' ' || page, chr(10) ORDER BY pos) AS toc FROM ({_HE}) GROUP BY doc_id",
-    "reference_list": f"SELECT doc_id, pos, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || '] ' || text AS line FROM ({plain(REFS, 'conversations')}) WHERE trim(text) <> ''",
+    "reference_list": f"""WITH r AS ({plain(REFS, 'conversations')}), t AS (SELECT doc_id, pos, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), who || ', Petrov' || CASE WHEN n % 2 = 1 THEN ' 2000' ELSE '' END) AS said FROM r)
+      SELECT doc_id, pos, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || '] ' || said AS line FROM t WHERE said IS NOT NULL UNION ALL SELECT doc_id, NULL, '{NO_REFERENCES}' FROM t GROUP BY doc_id HAVING count(said) = 0""",
 }

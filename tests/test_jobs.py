@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioworks.functions import helpers, text as T
-from folioworks.operators import layout, matching, naming, quality, tasks
+from folioworks.operators import layout, matching, naming, quality, tasks, templates
 
 
 def one(spark, column, **values):
@@ -226,3 +226,23 @@ def test_irregular_tables_are_not_cropped(spark):
     rows = [cell(1, r, c) for r in range(2) for c in range(2)] + [cell(2, r, c, 0.5 * r) for r in range(2) for c in range(2)] + [cell(3, 0, 0), cell(3, 1, 1)]
     got = layout.crop_table(spark.createDataFrame(rows, "table_id long, row int, col int, x0 double, y0 double, x1 double, y1 double"), (0, 1), (1, 1)).collect()
     assert sorted((r["table_id"], r["row"], r["col"]) for r in got) == [(1, 0, 0), (1, 1, 0)]
+
+
+def test_page_orders_hold_for_all_pages_or_none(spark):
+    blocks = spark.createDataFrame([(d, p, f"b{p}{k}", k, 4) for d in (1, 2, 3, 4) for p in (0, 1) for k in range(3)], "doc_id long, page int, block_id string, pos long, revision long")
+    full = [["b02", "b00", "b01"], ["b10", "b12", "b11"]]
+    orders = [(1, 4, p, ids) for p, ids in enumerate(full)] + [(2, 3, p, ids) for p, ids in enumerate(full)] + [(3, 4, 0, full[0])] + [(4, 4, 0, ["b02", "b02", "b01"]), (4, 4, 1, full[1])] + [(9, 4, 0, full[0])]
+    orders = spark.createDataFrame(orders, "doc_id long, revision long, page int, block_ids array<string>")
+    assert {tuple(r) for r in layout.order_problems(blocks, orders).collect()} == {(2, "other-revision"), (3, "not-a-permutation"), (4, "not-a-permutation"), (9, "unknown-document")}
+    got = layout.apply_page_order(blocks, orders).orderBy("doc_id", "page", "pos").collect()
+    assert [r["block_id"] for r in got if r["doc_id"] == 1] == [*full[0], *full[1]]
+    assert {r["revision"] for r in got if r["doc_id"] == 1} == {5} and {r["revision"] for r in got if r["doc_id"] != 1} == {4}
+    assert all(r["block_id"] == f"b{r['page']}{r['pos']}" for r in got if r["doc_id"] != 1)
+
+
+def test_references_are_texts_or_records(spark):
+    kind = "doc_id long, pos long, text string, record struct<authors:array<string>,title:string,year:int>"
+    rows = [(1, 0, " Smith. A book ", None), (1, 1, None, (["Ivanov", "Petrov"], "On grids", 2020)), (1, 2, None, None), (1, 3, "", None), (1, 4, None, (None, None, None)), (2, 0, None, None)]
+    refs = spark.createDataFrame(rows, kind)
+    got = [tuple(r) for r in templates.reference_list(refs, refs.select("doc_id")).orderBy("doc_id", "pos").collect()]
+    assert got == [(1, 0, "[1] Smith. A book"), (1, 1, "[2] Ivanov, Petrov On grids 2020"), (1, 3, "[3] "), (1, 4, "[4] "), (2, None, templates.NO_REFERENCES)]
