@@ -5,10 +5,11 @@ four that follow it in its piece, padded where the piece ends, only these window
 counted, and a ROLLUP sums them to their shorter prefixes, which are the counts of all
 shorter phrases.
 
-Two passes before it keep the windows few.  A phrase that occurs often enough consists
-of words and pairs of words that do, so pieces are cut at all others: words are counted
-first, then pairs of words that passed, and both tests are bit sets of bounded size in
-which a false hit only leaves a window that the final count drops.
+Three passes before it keep the windows few.  A phrase that occurs often enough consists
+of words, pairs and triples of words that do, so pieces are cut at all others: words are
+counted first, then pairs of words that passed, then triples of such pairs, and all tests
+are bit sets of bounded size in which a false hit only leaves a window that the final
+count drops.
 """
 
 from collections.abc import Iterator
@@ -139,24 +140,36 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     return words.select("lang", "word").mapInArrow(run, "h long")
 
 
-def _pairs(codes: np.ndarray, coder: Coder, lang: str, words: Bits) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of two words in a row that are both in the set, and the hashes of these pairs."""
-    h = coder.hashes(lang)
-    known = words.has(h)
-    known[:2] = False
-    known = known[codes]
-    at = np.flatnonzero(known[:-1] & known[1:])
-    return at, mix(h[codes[at]] * np.uint64(0x9E3779B97F4A7C15) + h[codes[at + 1]])
-
+def known_runs(codes: np.ndarray, coder: Coder, lang: str, sets: list[Bits]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, at, hashes): whether the run of len(sets) words that begins at each place is known, and the places and hashes of runs of one word more.
 
-def pair_counts(texts: DataFrame, words: Bits) -> DataFrame:
-    """h, n: occurrences of pairs of words of the set, by the pair's hash."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    sets hold the hashes of known words, of known pairs, and so on; a run is asked for
+    only if both runs of one word less inside it are known.
+    """
+    h = coder.hashes(lang)
+    word = sets[0].has(h)
+    word[:2] = False
+    known, h = word[codes], h[codes]
+    grams = h
+    for k in range(1, len(sets) + 1):
+        at = np.flatnonzero(known[:-1] & known[1:])
+        longer = mix(grams[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + k])
+        if k == len(sets):
+            return known, at, longer
+        known, grams = np.zeros(len(codes), bool), np.zeros(len(codes), np.uint64)
+        grams[at] = longer
+        known[at] = sets[k].has(longer)
+    raise ValueError("no sets")
+
+
+def run_counts(texts: DataFrame, sets: list[Bits]) -> DataFrame:
+    """h, n: occurrences of runs of one word more than the sets tell of, by the run's hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(sets)
 
     def count(batches):
         for lang, part in chunks(batches):
             coder = Coder()
-            _, h = _pairs(coded(part, coder), coder, lang, shared.value)
+            _, _, h = known_runs(coded(part, coder), coder, lang, shared.value)
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
         give_back()
@@ -164,27 +177,30 @@ def pair_counts(texts: DataFrame, words: Bits) -> DataFrame:
     return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def lead_windows(texts: DataFrame, words: Bits, pairs: Bits) -> DataFrame:
-    """lang, w1 to w5, n: the longest window that begins at each word, padded by empty words where the piece or the run of known pairs ends; equal ones of a chunk are counted together."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
+def lead_windows(texts: DataFrame, sets: list[Bits]) -> DataFrame:
+    """lang, w1 to w5, n: the longest window that begins at each known pair, padded by empty words where the piece or the known runs end; equal ones of a chunk are counted together.
+
+    sets: words, pairs and triples.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sets)
     names = [f"w{i + 1}" for i in range(ORDER)]
 
     def count(batches):
         for lang, part in chunks(batches):
             coder = Coder()
             codes = coded(part, coder)
-            at, h = _pairs(codes, coder, lang, shared.value[0])
-            at = at[shared.value[1].has(h)]
+            pairs, _, _ = known_runs(codes, coder, lang, shared.value[:2])
+            triples, _, _ = known_runs(codes, coder, lang, shared.value)
+            at = np.flatnonzero(pairs)
             if not len(at):
                 continue
-            goes_on = np.zeros(len(codes) + ORDER, bool)
-            goes_on[at] = True
-            codes = np.concatenate([codes, np.full(ORDER, _NONE, np.int32)])
-            columns, inside, key = [codes[at]], np.ones(len(at), bool), codes[at].astype(np.int64)
-            for i in range(1, ORDER):
-                inside = inside & goes_on[at + i - 1]
+            codes, triples = np.concatenate([codes, np.full(ORDER, _NONE, np.int32)]), np.concatenate([triples, np.zeros(ORDER, bool)])
+            columns, inside = [codes[at], codes[at + 1]], np.ones(len(at), bool)
+            key = codes[at].astype(np.int64) * len(coder.words) + codes[at + 1]
+            for i in range(2, ORDER):
+                inside = inside & triples[at + i - 2]
                 columns.append(np.where(inside, codes[at + i], _NONE))
-                key = np.unique(key * len(coder.words) + columns[-1], return_inverse=True)[1]
+                key = np.unique(key, return_inverse=True)[1] * len(coder.words) + columns[-1]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             strings = coder.strings()
             yield _frame(lang, {w: strings.take(pa.array(c[first])) for w, c in zip(names, columns, strict=True)} | {"n": pa.array(n)})
@@ -233,9 +249,10 @@ def find_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, insid
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = staged(word_counts(texts), "words")
     often = words.where(F.col("n") >= least)
-    known = bit_set(_word_hashes(often))
-    pairs = bit_set(staged(pair_counts(texts, known).where(F.col("n") >= least), "pairs"))
-    phrases = staged(phrase_counts(lead_windows(texts, known, pairs), least).withColumn("phrase", F.array_join("words", " ")), "phrases")
+    sets = [bit_set(_word_hashes(often))]
+    for run in ("pairs", "triples"):
+        sets.append(bit_set(staged(run_counts(texts, sets).where(F.col("n") >= least), run)))
+    phrases = staged(phrase_counts(lead_windows(texts, sets), least).withColumn("phrase", F.array_join("words", " ")), "phrases")
 
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
