@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,24 @@ def test_references_are_texts_or_records(spark):
     refs = spark.createDataFrame(rows, kind)
     got = [tuple(r) for r in templates.reference_list(refs, refs.select("doc_id")).orderBy("doc_id", "pos").collect()]
     assert got == [(1, 0, "[1] Smith. A book"), (1, 1, "[2] Ivanov, Petrov On grids 2020"), (1, 3, "[3] "), (1, 4, "[4] "), (2, None, templates.NO_REFERENCES)]
+
+
+def test_numbered_names_do_not_meet_others(spark):
+    names = ["a.pdf", "a.pdf", "a.pdf", "a_2.pdf", "a_4.pdf", "a_2.pdf", "b", "b", "b_2", "c.x.pdf", "c.x.pdf", "a_02.pdf", "a.pdf", None]
+    got = naming.rename_plan(spark.createDataFrame(list(enumerate(names)), "doc_id long, name string")).orderBy("doc_id").collect()
+    targets = {r["doc_id"]: r["target"] for r in got}
+    assert len(set(targets.values())) == len(targets) == len(names) - 1
+    assert [targets[i] for i in (0, 1, 2, 12)] == ["a.pdf", "a_3.pdf", "a_5.pdf", "a_6.pdf"]
+    assert [targets[i] for i in (3, 5, 6, 7, 8, 9, 10)] == ["a_2.pdf", "a_2_2.pdf", "b", "b_3", "b_2", "c.x.pdf", "c.x_2.pdf"]
+
+
+def test_difference_hash_of_pages():
+    page = np.full((160, 160), 255.0)
+    assert helpers.difference_bits(page) == 0
+    page[:, :80] = 0  # dark to light: no pixel is lighter than its right neighbour, but for the ringing of the filter
+    ramp = np.tile(np.linspace(255, 0, 160), (160, 1))
+    assert helpers.difference_bits(ramp) == 2**64 - 1 and helpers.difference_bits(ramp[:, ::-1]) == 0
+    assert np.allclose(helpers.resampling(160, 9).sum(axis=1), 1) and (helpers.shrunk(np.full((160, 160), 77.0), 8, 9) == 77).all()
+    assert (helpers.shrunk(page, 8, 9)[:, 0] == 0).all() and (helpers.shrunk(page, 8, 9)[:, 8] == 255).all()
+    shifted = np.roll(page, 1, axis=1)
+    assert (helpers.difference_bits(page) ^ helpers.difference_bits(shifted)).bit_count() <= 16
