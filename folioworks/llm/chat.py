@@ -39,8 +39,10 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     order of turn, role, text (nulls first), so repeated rows are turns of their own.
     The first turn, if its role is system, is repeated in every window but its own.
     Windows hold at most `budget` tokens of new turns unless a single turn has more, and
-    at most `history` tokens of earlier ones; rows without conv_id are one conversation;
-    an empty table gives an empty result; other columns are ignored.
+    at most `history` tokens of earlier ones; rows without conv_id are one conversation.
+    The prefix sums need a conversation's turns in one partition, in order, so one
+    conversation (and so all rows without conv_id) is one task's; an empty table gives an
+    empty result; other columns are ignored.
     """
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     head = F.concat(F.lit("[INST]"), escaped(F.col("role")), F.lit("[/INST]"))

@@ -388,3 +388,22 @@ def test_placement_follows_the_flow(spark, tmp_path):
     least = sum(b for (i, j), b in flow.items() if i != j)
     moved = sum(len((r["text"] or "").encode()) + 16 for r in got if r["shard"] != r["old_shard"])
     assert moved <= least + 5 * 5 * 416
+
+
+def test_summed_equations_equal_a_plain_solve(spark):
+    """Weights from the sums of many tasks are those of one ridge regression; the features approximate a Gaussian kernel."""
+    rng = np.random.default_rng(5)
+    stats = rng.normal(size=(300, len(quality.NAMES)))
+    y = (stats[:, 0] + 0.3 * stats[:, 1] > 0).astype(float)
+    rows = [(i, [float(x) for x in s], float(v)) for i, (s, v) in enumerate(zip(stats, y, strict=True))]
+    model = quality.fit_quality(spark.createDataFrame(rows, "doc long, stats array<double>, y double").repartition(7))
+    own = np.array([zlib.crc32(str(i).encode()) % 5 != 4 for i in range(300)])
+    z = (stats - stats[own].mean(axis=0)) / stats[own].std(axis=0)
+    f = np.hstack([np.cos(np.clip(z, -8, 8) @ model.features.direction + model.features.phase) * np.sqrt(2 / quality.FEATURES), np.ones((300, 1))])
+    ridge = np.diag([quality.RIDGE] * quality.FEATURES + [1e-6])
+    weights = np.linalg.solve(f[own].T @ f[own] + ridge, f[own].T @ y[own])
+    assert np.allclose(model.raw(stats), f @ weights, atol=1e-6)
+    wide = quality.RandomFeatures(np.zeros(4), np.ones(4), size=20_000, width=2.0)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=(30, 4))
+    kernel = np.exp(-((a - b) ** 2).sum(axis=1) / (2 * 2.0**2))
+    assert np.abs((wide(a)[:, :-1] * wide(b)[:, :-1]).sum(axis=1) - kernel).max() < 0.05
