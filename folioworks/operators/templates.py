@@ -252,6 +252,11 @@ def number_refs(tokens: DataFrame) -> DataFrame:
     return tokens.join(named, ["doc_id", "kind", "label"], "left").select("doc_id", "pos", "label", "role", F.coalesce("shown", F.lit("??")).alias("shown"), F.col("shown").isNull().alias("undefined"))
 
 
+def refused_documents(numbered: DataFrame) -> DataFrame:
+    """doc_id, labels: the documents that are not to be written, as they refer to labels that they do not have."""
+    return numbered.where("undefined").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
+
+
 def build_toc(headings: DataFrame, width: int = TOC_WIDTH) -> DataFrame:
     """One text per document: for each heading (level, text, page) its text, dots and page; text, dots and page number together fill the width, with four dots at least."""
     page = F.col("page").cast("string")
@@ -341,6 +346,7 @@ QUERIES = {
     "fill_templates": lambda s, d: fill_templates(derived(s, d, _braced(TEMPLATES), "region"), _customers(s, d)),
     "render_blocks": lambda s, d: render_blocks(LINES, _with_orders(s, d)),
     "number_refs": lambda s, d: number_refs(derived(s, d, TOKENS, "lineitem")),
+    "refused_documents": lambda s, d: refused_documents(number_refs(derived(s, d, TOKENS, "lineitem"))),
     "build_toc": lambda s, d: build_toc(derived(s, d, HEADINGS, "conversations")),
     "reference_list": _references,
 }
@@ -355,6 +361,7 @@ SQL = {
     "fill_templates": f"SELECT template_id, c_custkey AS id, replace(replace(replace(replace(text, '{{{{name}}}}', c_name), '{{{{segment}}}}', c_mktsegment || '<N>'), '{{{{balance}}}}', c_acctbal_t), '<N>', '{{{{name}}}}') AS text FROM ({_TE}), (SELECT *, CAST(trunc(c_acctbal)::BIGINT AS VARCHAR) AS c_acctbal_t FROM customer)",
     "render_blocks": "SELECT c_custkey AS id, 'Customer ' || c_name || chr(10) || CASE WHEN c_acctbal > 5000 THEN 'rich in ' || c_mktsegment ELSE 'not rich' END || chr(10) || coalesce(o.t, '') || 'end' AS text, NULL::VARCHAR AS error FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- ' || o_orderkey || ': ' || o_orderstatus || chr(10) || CASE WHEN o_orderstatus = 'O' THEN '  open' || chr(10) ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "number_refs": f"SELECT t.doc_id, t.pos, t.label, t.role, coalesce(n.shown, '??') AS shown, n.shown IS NULL AS undefined FROM ({_TO}) t LEFT JOIN (SELECT doc_id, kind, label, CASE kind WHEN 'figure' THEN 'Рис. ' ELSE 'Табл. ' END || row_number() OVER (PARTITION BY doc_id, kind ORDER BY f, label) AS shown FROM (SELECT doc_id, kind, label, min(pos) AS f FROM ({_TO}) WHERE role = 'label' GROUP BY ALL)) n USING (doc_id, kind, label)",
+    "refused_documents": f"SELECT doc_id, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM ({_TO}) t WHERE NOT EXISTS (SELECT 1 FROM ({_TO}) x WHERE x.role = 'label' AND x.doc_id = t.doc_id AND x.kind = t.kind AND x.label = t.label) GROUP BY doc_id",
     "build_toc": f"SELECT doc_id, string_agg(repeat(' ', 4 * (level - 1)) || text || ' ' || repeat('.', greatest(4, 72 - length(text) - length(page::VARCHAR))::INT) || ' ' || page, chr(10) ORDER BY pos) AS toc FROM ({_HE}) GROUP BY doc_id",
     "reference_list": f"""WITH r AS ({plain(REFS, 'conversations')}), t AS (SELECT doc_id, pos, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), who || ', Petrov' || CASE WHEN n % 2 = 1 THEN ' 2000' ELSE '' END) AS said FROM r)
       SELECT doc_id, pos, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || '] ' || said AS line FROM t WHERE said IS NOT NULL UNION ALL SELECT doc_id, NULL, '{NO_REFERENCES}' FROM t GROUP BY doc_id HAVING count(said) = 0""",

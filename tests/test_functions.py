@@ -94,3 +94,20 @@ def test_pipeline_stops_at_the_first_failure():
     told = []
     out = run_pipeline({"steps": [{"op": "one", "output": "a"}, {"op": "bad", "input": "$a"}, {"op": "one"}]}, ops, told=told.append)
     assert not out["ok"] and [s["status"] for s in out["steps"]] == ["done", "failed"] and told[-1]["kind"] == "step_failed"
+
+
+def test_blocks_of_a_page():
+    page = "<head><title>t</title></head><h2>Head</h2><p>one &amp; two<br>three</p><script>no()</script><ul><li>a<ul><li>b</li></ul></li></ul><table><tr><th>x</th><td>y</td></tr></table>tail"
+    assert helpers.page_blocks(page) == [("heading", 2, "Head"), ("paragraph", 0, "one & two three"), ("list_item", 0, "a"), ("list_item", 1, "b"), ("cell", 0, "x"), ("cell", 0, "y"), ("paragraph", 0, "tail")]
+    assert helpers.page_blocks(None) == [] and helpers.page_blocks("<p>open<p>two") == [("paragraph", 0, "open"), ("paragraph", 0, "two")]
+
+
+def test_words_merge_to_lines():
+    word = lambda text, x0, x1, y0=0.0, y1=10.0, c=1.0: (text, x0, y0, x1, y1, c)
+    assert layout.fold_lines([word("привет", 0.0, 20.0, c=0.8), word("мир", 21.0, 40.0, c=0.6)]) == [("привет мир", 0.0, 0.0, 40.0, 10.0, 0.7)]
+    assert [r[0] for r in layout.fold_lines([word("far", 30.0, 40.0), word("near", 0.0, 20.0)])] == ["near", "far"]
+    assert [r[0] for r in layout.fold_lines([word("below", 0.0, 20.0, 13.0, 20.0), word("above", 0.0, 20.0)])] == ["above", "below"]
+    # a gap of four joins, a little more does not; boxes that are apart by less than two in height still join
+    assert len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 14.0, 20.0)])) == 1 and len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 14.1, 20.0)])) == 2
+    assert len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 9.0, 20.0, 11.9, 20.0)])) == 1 and len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 9.0, 20.0, 12.0, 20.0)])) == 2
+    assert layout.fold_lines([]) == []
