@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import join_hot, staged, table
 
 #: (host, path, verdict): the rules that the query fixes.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -22,8 +22,8 @@ VERDICTS = ("allow", "block")
 ORDER = 5
 #: The curve is fitted on scores rounded to so many decimals.
 PLACES = 3
-#: Characters that an even chance is shared between.
-ALPHABET = 256
+#: Characters that an even chance is shared between; counts of ends of one and two characters that are sent to all tasks, at most.
+ALPHABET, SENT_PARTS = 256, 200_000
 _START, _END = "\x02", "\x03"
 
 
@@ -62,7 +62,10 @@ def gram_ratios(needed: DataFrame, counts: DataFrame) -> DataFrame:
     # a row for each character at most: short contexts are in so many grams that they are not dealt out by key
     short, long = F.broadcast(contexts.where("length(context) < 2")), contexts.where("length(context) >= 2")
     known = part.where("k <= 2").join(short, "context").unionByName(part.where("k > 2").join(long, "context"))
-    known = known.join(seen.withColumnRenamed("gram", "part"), "part", "left")
+    ends = seen.withColumnRenamed("gram", "part")
+    few = ends.where("length(part) <= 2")
+    few = F.broadcast(few) if few.count() <= SENT_PARTS else few  # the ends of very many grams
+    known = known.where("k <= 2").join(few, "part", "left").unionByName(known.where("k > 2").join(ends.where("length(part) > 2"), "part", "left"))
     fields = [f"{name}_{v}" for v in VERDICTS for name in ("total", "kinds")] + list(VERDICTS)
     steps = known.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("steps"))
 
@@ -76,14 +79,21 @@ def gram_ratios(needed: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
-    """(shown, x): UrlScorer.score of every distinct URL; sums are of decimals, so their order does not matter."""
+    """(shown, count, x): how often each distinct URL comes and its UrlScorer.score; sums are of decimals, so their order does not matter.
+
+    Grams that very many URLs have, like those they all begin with, are told apart and
+    their ratios sent to all tasks.
+    """
     t = F.concat(F.lit(_START), "shown", F.lit(_END))
-    ends = urls.select("shown").distinct().select("shown", t.alias("t")).select("shown", "t", F.explode(F.sequence(F.lit(2), F.length("t"))).alias("i"))
+    times = staged(urls.groupBy("shown").agg(F.count("*").alias("count")), "urls")
+    ends = times.select("shown", t.alias("t")).select("shown", "t", F.explode(F.sequence(F.lit(2), F.length("t"))).alias("i"))
     first = F.greatest(F.lit(1), F.col("i") - ORDER)
     grams = ends.select("shown", F.substring("t", first, F.col("i") - first + 1).alias("gram"))
-    ratios = gram_ratios(grams.select("gram").distinct(), counts)
-    summed = grams.join(ratios, "gram").groupBy("shown").agg(F.sum(F.col("ratio").cast("decimal(20,12)")).alias("x"))
-    return summed.select("shown", (F.col("x").cast("double") / (F.length("shown") + 1)).alias("x"))
+    needed = staged(grams.groupBy("gram").agg(F.count("*").alias("count")), "grams")
+    ratios = staged(gram_ratios(needed.select("gram"), counts).join(needed, "gram"), "ratios")
+    every = needed.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    summed = join_hot(grams, ratios.select("gram", "ratio", "count"), ["gram"], every).groupBy("shown").agg(F.sum(F.col("ratio").cast("decimal(20,12)")).alias("x"))
+    return summed.join(times, "shown").select("shown", "count", (F.col("x").cast("double") / (F.length("shown") + 1)).alias("x"))
 
 
 class MarkovModel:
@@ -159,11 +169,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     counts = staged(context_counts(known.where("pmod(xxhash64(shown), 5) <> 0")), "url-grams")
     if counts.select("said").distinct().count() == len(VERDICTS):
         scores = staged(url_scores(judged, counts), "url-scores")
-        held = known.where("pmod(xxhash64(shown), 5) = 0").join(scores, "shown")
+        n = scores.agg(F.sum("count")).first()[0] or 0
+        held = join_hot(known.where("pmod(xxhash64(shown), 5) = 0"), scores.select("shown", "x", "count"), ["shown"], n)
         points = held.groupBy(F.round("x", PLACES).alias("x"), "said").agg(F.count("*").alias("n")).orderBy("x", "said").collect()  # bounded by PLACES
         slope, start = fit_logistic([r["x"] for r in points], [int(r["said"] == "allow") for r in points], [r["n"] for r in points])
         z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("x") + start))
-        scored = judged.join(scores, "shown").withColumn("score", 1 / (1 + F.exp(-z)))
+        scored = join_hot(judged, scores.select("shown", "x", "count"), ["shown"], n).withColumn("score", 1 / (1 + F.exp(-z)))
     else:
         scored = judged.withColumn("score", F.lit(0.5))
     by_model = F.when(F.col("score") >= 0.5, "allow").otherwise("block")

@@ -407,3 +407,27 @@ def test_summed_equations_equal_a_plain_solve(spark):
     a, b = rng.normal(size=(30, 4)), rng.normal(size=(30, 4))
     kernel = np.exp(-((a - b) ** 2).sum(axis=1) / (2 * 2.0**2))
     assert np.abs((wide(a)[:, :-1] * wide(b)[:, :-1]).sum(axis=1) - kernel).max() < 0.05
+
+
+def test_curve_lies_where_its_slopes_vanish():
+    rng = random.Random(2)
+    x = [rng.gauss(0, 1) for _ in range(60)]
+    y = [int(rng.random() < 1 / (1 + np.exp(-(2 * v - 0.5)))) for v in x]
+    n = [rng.randrange(1, 5) for _ in x]
+    a, b = urls.fit_logistic(x, y, n)
+    p = 1 / (1 + np.exp(-(a * np.array(x) + b)))
+    off = np.array(n) * (p - np.array(y))
+    assert abs((off * x).sum() + a * 1e-3) < 1e-5 and abs(off.sum() + b * 1e-3) < 1e-5
+
+
+def test_hot_urls_and_grams_are_judged_alike(spark, sf, monkeypatch):
+    """Keys told apart as hot give the results of those that are not; null URLs and one URL many times among them."""
+    from folioworks.llm import common
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    hot = spark.range(300).select((F.col("id") + 10_000).alias("page_id"), F.when(F.col("id") % 2 == 0, "https://a.org/x?q").alias("url"))
+    rows = pages.union(hot)
+    judged = lambda: sorted(tuple(r) for r in urls.judge_urls(rows, urls.RULES).withColumn("score", F.round("score", 9)).collect())
+    plain = judged()
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert judged() == plain and len(plain) == rows.count()
