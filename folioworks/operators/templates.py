@@ -13,6 +13,8 @@ from ..plans.inputs import derived, plain
 #: Prefixes of numbered targets, width of a table of contents and indent of a level.
 PREFIX = {"figure": "Рис. ", "table": "Табл. "}
 TOC_WIDTH, TOC_INDENT = 72, "    "
+#: Bytes of templates that are sent to all tasks.
+SENT = 32 << 20
 #: Fixed value: the line of a document without references.
 NO_REFERENCES = "(список литературы пуст)"
 TAG = r"\{%\s*(.*?)\s*%\}"
@@ -160,11 +162,16 @@ def inspect_templates(templates: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def fill_templates(templates: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every template (a few; broadcast) with each row's values (map) in place of {{key}}; values are not expanded again, unknown keys stay."""
+    """Every template with each row's values (map) in place of {{key}}; values are not expanded again, unknown keys stay.
+
+    The result has a row for each template and row.  Templates are sent to all tasks if
+    they are small, else Spark pairs the partitions of both tables.
+    """
     parts = F.split("text", r"(?=\{\{[^{}]+\}\})|(?<=\}\})")
     key = lambda p: F.regexp_extract(p, r"(?s)^\{\{([^{}]+)\}\}$", 1)
     filled = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(key(p) != "", F.col("data")[key(p)]), p)), "")
-    return rows.crossJoin(F.broadcast(templates)).select("template_id", "id", filled.alias("text"))
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    return rows.crossJoin(F.broadcast(templates) if size <= SENT else templates).select("template_id", "id", filled.alias("text"))
 
 
 class Block:
