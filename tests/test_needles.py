@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from folioworks.functions import bits
+from folioworks.functions import bits, helpers
 from folioworks.operators import matching, needles
 
 HAY = "doc_id long, field string, hay string"
@@ -82,3 +82,22 @@ def test_a_word_of_all_texts_and_titles_is_cut(spark):
     cut, whole = (matching.title_overlap(feats, bib, n) for n in (500, 10**9))
     assert sorted(tuple(r) for r in cut.collect()) == sorted(tuple(r) for r in whole.collect())
     assert cut.count() == 400 * 50
+
+
+def test_similar_names_equal_the_matcher():
+    """Ratios of any pair, of long names, long words, names of one letter and characters of no name."""
+    rng = random.Random(2)
+    word = lambda n, of="abcdé𝒳": "".join(rng.choice(of) for _ in range(n))
+    names = sorted({word(rng.randrange(1, 14)) for _ in range(80)} | {word(n, "abc") for n in (63, 64, 65, 130, 210)} | {"a", "ab" * 32})
+    words = sorted({word(rng.randrange(4, 16), "abcdéz") for _ in range(500)} | {word(n, "ab") for n in (60, 70, 120, 199, 200, 260)})
+    got = [(int(i), int(j)) for w, n in helpers.Names(names, 0.6).similar(words) for i, j in zip(w, n, strict=True)]
+    want = {(i, j) for i, w in enumerate(words) for j, n in enumerate(names) if SequenceMatcher(None, n, w).ratio() >= 0.6}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert not list(helpers.Names([], 0.6).similar(words)) and not list(helpers.Names(names, 0.6).similar([]))
+
+
+def test_close_authors_by_sent_names_and_by_blocks(spark):
+    docs = spark.createDataFrame([(1, "by Schukim and kuhn-lee"), (1, "again schukim"), (2, "nothing at all"), (3, None), (4, "ivanof petrov ivan")], "doc_id long, text string").withColumn("filename", F.lit("f.txt"))
+    authors = spark.createDataFrame([("Schukin",), ("SCHUKIN",), ("Ivanov",), ("Petrova",), ("--",)], "author string")
+    sent, blocks = (sorted({tuple(r) for r in matching.close_authors(matching.features(docs), authors, n).collect()}) for n in (matching.NAMES, 0))
+    assert sent == blocks == [(1, "SCHUKIN"), (1, "Schukin"), (4, "Ivanov"), (4, "Petrova")]
