@@ -139,7 +139,7 @@ QUERIES = {
 
 SQL = {
     "render_gost": _GOST,
-    "render_bibtex": f"SELECT library, item_pos, '@misc{{item' || lpad((row_number() OVER (PARTITION BY library ORDER BY item_pos))::VARCHAR, 3, '0') || ',' || chr(10) || '  author = {{' || CASE WHEN who = '' THEN 'Unknown' ELSE replace(who, ', ', ' and ') END || '}},' || chr(10) || '  title  = {{' || title || '}},' || chr(10) || CASE WHEN yr <> '' THEN '  year   = {{' || yr || '}},' || chr(10) ELSE '' END || CASE WHEN doi <> '' THEN '  doi    = {{' || doi || '}},' || chr(10) ELSE '' END || CASE WHEN url <> '' THEN '  url    = {{' || url || '}},' || chr(10) ELSE '' END || '}}' || chr(10) AS line FROM ({_B})",
+    "render_bibtex": f"SELECT library, item_pos, '@misc{{item' || lpad(nth::VARCHAR, greatest(3, length(nth::VARCHAR))::INT, '0') || ',' || chr(10) || '  author = {{' || CASE WHEN who = '' THEN 'Unknown' ELSE replace(who, ', ', ' and ') END || '}},' || chr(10) || '  title  = {{' || title || '}},' || chr(10) || CASE WHEN yr <> '' THEN '  year   = {{' || yr || '}},' || chr(10) ELSE '' END || CASE WHEN doi <> '' THEN '  doi    = {{' || doi || '}},' || chr(10) ELSE '' END || CASE WHEN url <> '' THEN '  url    = {{' || url || '}},' || chr(10) ELSE '' END || '}}' || chr(10) AS line FROM (SELECT *, row_number() OVER (PARTITION BY library ORDER BY item_pos) AS nth FROM ({_B}))",
     "bibtex_from_metadata": f"""SELECT filename, '@misc{{' || coalesce(nullif(regexp_replace(substr(stem, 1, 30), '[^a-zA-Z0-9]', '', 'g'), ''), 'ref') || ',' || chr(10) || CASE WHEN author <> '' THEN '  author = {{' || author || '}},' || chr(10) ELSE '' END || '  title = {{' || CASE WHEN trim(title) = '' THEN stem ELSE trim(title) END || '}},' || chr(10) || '  year = {{' || coalesce(nullif(regexp_extract(title || ' ' || subject, '\\b(?:19|20)\\d{{2}}\\b'), ''), 'n.d.') || '}},' || chr(10) || '  note = {{PDF}}' || chr(10) || '}}' AS entry FROM (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM ({plain(FILES, 'part')}))""",
     "render_markdown": f"SELECT library, item_pos, item_pos || '. ' || CASE WHEN who = '' THEN '{NO_AUTHOR}' ELSE who END || CASE WHEN yr <> '' THEN ' (' || yr || ')' ELSE '' END || '. **' || title || '**' AS line FROM ({_B})",
     "render_ris": f"SELECT library, item_pos, CASE WHEN who = '' THEN '' ELSE 'AU  - ' || replace(who, ', ', chr(10) || 'AU  - ') || chr(10) END || 'TI  - ' || title || chr(10) || 'PY  - ' || yr || chr(10) || 'TY  - ' || substr(upper(doc_type), 1, 4) || chr(10) || 'ER  -' || chr(10) AS line FROM ({_B})",

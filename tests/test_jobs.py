@@ -268,3 +268,17 @@ def test_difference_hash_of_pages():
     assert (helpers.shrunk(page, 8, 9)[:, 0] == 0).all() and (helpers.shrunk(page, 8, 9)[:, 8] == 255).all()
     shifted = np.roll(page, 1, axis=1)
     assert (helpers.difference_bits(page) ^ helpers.difference_bits(shifted)).bit_count() <= 16
+
+
+def test_keys_of_bibtex_past_999_are_whole_in_both(spark, tmp_path):
+    """The SQL cut keys to three characters, so the 1000th entry of a library was item100 there."""
+    import duckdb
+
+    from folioworks.operators import render
+
+    spark.range(1, 1003).selectExpr("id * 20 AS p_partkey", "'n' AS p_name", "'T' AS p_type", "'b' AS p_brand", "CAST(3 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    ours = {tuple(r) for r in render.QUERIES["render_bibtex"](spark, str(tmp_path)).select("item_pos", "line").collect()}
+    theirs = set(con.execute(f"SELECT item_pos, line FROM ({render.SQL['render_bibtex']})").fetchall())
+    assert ours == theirs and len(ours) == 1002 and any(line.startswith("@misc{item1002,") for _, line in theirs)
