@@ -90,8 +90,10 @@ def _written(s: SparkSession, d: str) -> str:
     path = new_dir(s, "folder")
     run = F.floor(F.col("doc_id") / IN_FILE)
     docs = table(s, d, "documents").select("doc_id", "text", run.alias("run"), F.when(run % 5 == 4, "pdf").otherwise("txt").alias("kind"))
-    docs.repartition("run").sortWithinPartitions("run", "doc_id").select("kind", "run", "text").where("kind = 'txt'").write.partitionBy("kind", "run").text(path)
-    docs.repartition("run").select("kind", "run", "text").where("kind = 'pdf'").write.mode("append").partitionBy("kind", "run").option("compression", "gzip").text(path)
+    for kind, how in (("txt", {}), ("pdf", {"compression": "gzip"})):
+        # a folder for each kind, as a second column of the partitioning makes the writer sort by both and forget doc_id
+        rows = docs.where(F.col("kind") == kind).repartition("run").sortWithinPartitions("run", "doc_id")
+        rows.select("run", "text").write.options(**how).partitionBy("run").text(f"{path}/kind={kind}")
     return path
 
 

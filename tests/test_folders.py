@@ -34,3 +34,11 @@ def test_broken_files_do_not_end_the_job(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     (tmp_path / "other.bin").write_bytes(b"x")
     assert folders.read_folder(spark, f"file://{tmp_path}", ["txt"]).count() == 0
+
+
+def test_files_hold_their_documents_in_order(spark, tmp_path):
+    """Many files in a task: each holds its documents by doc_id, whatever the order of the table."""
+    spark.range(30_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").orderBy("text").write.parquet(f"{tmp_path}/documents.parquet")
+    files = spark.read.option("recursiveFileLookup", True).text(f"{folders._written(spark, str(tmp_path))}/kind=txt", wholetext=True).collect()
+    rows = [[int(x) for x in r["value"].split()] for r in files]
+    assert len(rows) == 120 and all(r == list(range(r[0], r[0] + folders.IN_FILE)) for r in rows)
