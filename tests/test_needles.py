@@ -101,3 +101,22 @@ def test_close_authors_by_sent_names_and_by_blocks(spark):
     authors = spark.createDataFrame([("Schukin",), ("SCHUKIN",), ("Ivanov",), ("Petrova",), ("--",)], "author string")
     sent, blocks = (sorted({tuple(r) for r in matching.close_authors(matching.features(docs), authors, n).collect()}) for n in (matching.NAMES, 0))
     assert sent == blocks == [(1, "SCHUKIN"), (1, "Schukin"), (4, "Ivanov"), (4, "Petrova")]
+
+
+def test_identifiers_in_words_with_marks_equal_brute_force(spark):
+    """DOIs are looked for in words with a slash or digit, years among digits: nothing is lost or made up at their ends, and repeats count once."""
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice(["a", "b", "1", "19", "50", "/", "10.", " ", "\n", "\t", "é", "-"]) for _ in range(rng.randrange(60)))
+    docs = [(i, text(), f"f{rng.choice(['', '1950'])}{i}.txt") for i in range(150)] + [(900, "A b/1 c", "x"), (901, "plain words only", "1950"), (902, None, "y"), (903, "1 950", "z")]
+    items = [(i, d, y) for i, (d, y) in enumerate([("b/1", 1950), ("a b", 19), ("a/", 1901), ("ab", -19), ("\n1", 950), ("1\t", None), ("/", 50), ("É1", 5019), ("b a/1", 1), ("10.1919/ab", 0), ("", 7)])]
+    feats = matching.features(spark.createDataFrame(docs, "doc_id long, text string, filename string"))
+    bib = spark.createDataFrame([(i, d, y) for i, d, y in items], "item_pos long, doi string, year int")
+    pairs = lambda df: sorted((r["doc_id"], r["item_pos"]) for r in df.select("doc_id", "item_pos").collect())
+    assert pairs(matching.doi_match(feats, bib)) == sorted((n, i) for n, t, _ in docs for i, d, _ in items if d and d.lower() in (t or "").lower())
+    assert pairs(matching.year_match(feats, bib)) == sorted((n, i) for n, t, f in docs for i, _, y in items if y is not None and str(y) in (f if t is None else f"{t}\n{f}"))
+
+
+def test_long_texts_are_read_in_parts_that_fit_a_cache(spark):
+    """Parts were 4 million characters, each with hashes of eight bytes."""
+    lines = list(needles._lines(needles.pa.RecordBatch.from_pydict({"field": ["x"] * 40, "hay": ["word " * 10_000] * 40}), "hay"))
+    assert max(len(line.codes) for _, _, line in lines) < 200_000 and sum(len(rows) for _, rows, _ in lines) == 40
