@@ -43,3 +43,18 @@ def test_no_range_is_large(spark, tmp_path):
 def test_an_empty_table_has_no_part(spark, tmp_path):
     named = exported(spark, tmp_path, [], 100)
     assert named == {}
+
+
+def test_small_parts_share_files_and_tasks(spark, tmp_path):
+    """Two thousand parts of three groups: as many files as groups, no task for each part, and each part's own bytes are hashed; with files of their own, one each."""
+    df = spark.range(20_000).select((F.col("id") % 3).alias("name"), F.col("id").alias("pos"), F.format_string("line %07d", "id").alias("line"))
+    for file_bytes, files in ((parts.FILE_BYTES, 3), (0, 261)):
+        path = tmp_path / f"few{file_bytes}"
+        small = df if file_bytes else df.where("pos < 2000")
+        got = parts.part_files(parts.write_parts(small, f"file://{path}", "name", ["pos"], 100, file_bytes), f"file://{path}", "name").collect()
+        assert len(list(path.rglob("*.txt"))) == files and len(got) == (2601 if file_bytes else 261)
+        for r in got:
+            if r["part"] % 50 == 0:
+                mine = [b"line %07d\n" % i for i in range(r["name"], 20_000 if file_bytes else 2000, 3)]
+                at = [i * 13 for i in range(len(mine)) if i * 13 // 100 == r["part"]]
+                assert (r["offset"], r["lines"]) == (at[0], len(at)) and r["sha256"] == hashlib.sha256(b"".join(mine[i // 13] for i in at)).hexdigest()
