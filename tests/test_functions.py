@@ -111,3 +111,12 @@ def test_words_merge_to_lines():
     assert len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 14.0, 20.0)])) == 1 and len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 14.1, 20.0)])) == 2
     assert len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 9.0, 20.0, 11.9, 20.0)])) == 1 and len(layout.fold_lines([word("a", 0.0, 10.0), word("b", 9.0, 20.0, 12.0, 20.0)])) == 2
     assert layout.fold_lines([]) == []
+
+
+def test_cells_of_tables_go_to_as_many_tasks_as_they_need(spark):
+    """However little a shuffle holds, a task of a grid or a cropped grid has no more than some cells."""
+    cells = spark.range(6000).select(F.expr("id div 6").alias("table_id"), F.expr("cast(id % 6 div 3 as int)").alias("row"), F.expr("cast(id % 3 as int)").alias("col"))
+    cells = cells.selectExpr("*", "col * 50.0D as x0", "row * 20.0D as y0", "col * 50.0D + 49 as x1", "row * 20.0D + 19 as y1")
+    assert layout.tasks_of(cells, 1000) == 6 and layout.tasks_of(cells.limit(0)) == 1
+    grid = layout.table_grid(cells, tasks=7)
+    assert grid.rdd.getNumPartitions() == 7 and grid.where("regular").count() == 1000
