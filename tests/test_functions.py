@@ -120,3 +120,7 @@ def test_cells_of_tables_go_to_as_many_tasks_as_they_need(spark):
     assert layout.tasks_of(cells, 1000) == 6 and layout.tasks_of(cells.limit(0)) == 1
     grid = layout.table_grid(cells, tasks=7)
     assert grid.rdd.getNumPartitions() == 7 and grid.where("regular").count() == 1000
+    cropped = layout.crop_table(cells, (0, 0), (1, 2), tasks=7)
+    assert cropped.count() == 2000 and {r["col"] for r in cropped.limit(50).collect()} == {0, 1}
+    spread = cropped.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 7 and max(r["count"] for r in spread) < 600
