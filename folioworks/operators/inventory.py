@@ -1,6 +1,8 @@
 """What HTML pages and LaTeX sources consist of: a flat tree of parts, counts by metric, objects to compare."""
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ PARTS = "pos int, kind string, location string, parent string, text string, leve
 #: Kinds of parts that are objects of a document, and kinds whose text counts.
 OBJECTS = ["paragraph", "heading", "list_item", "table", "image", "formula"]
 TEXTS = ["paragraph", "heading", "list_item", "cell"]
+#: Sources that a worker has as rows of parts at once.
+AT_ONCE = 128
 
 
 def html_inventory(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -20,51 +24,61 @@ def html_inventory(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     col are a cell's place in the grid that spans leave; target is a link's or image's
     address, or a formula's notation; font is that of the nearest style.
     """
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, *r) for i, html in zip(pdf["doc_id"], pdf["html"], strict=True) for r in markup.html_tree(html)]
-            yield _frame(rows)
-
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html")).mapInPandas(run, f"doc_id {kind}, {PARTS}")
+    return pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("source")).mapInArrow(_parts_of(markup.html_tree), f"doc_id {kind}, {PARTS}")
 
 
 def latex_inventory(sources: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As html_inventory, for LaTeX sources; citations are parts too, and the page is one where the class names its paper (text: width and height in points)."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, tex in zip(pdf["doc_id"], pdf["tex"], strict=True):
-                parts, paper = markup.latex_tree(tex)
-                rows += [(i, *r) for r in parts]
-                if paper:
-                    rows.append((i, len(parts), "page", "/page[0]", "", f"{paper[0]} {paper[1]}", *[None] * 7))
-            yield _frame(rows)
+    def tree(tex: str | None) -> list[tuple]:
+        parts, paper = markup.latex_tree(tex)
+        return [*parts, (len(parts), "page", "/page[0]", "", f"{paper[0]} {paper[1]}", *[None] * 7)] if paper else parts
 
     kind = sources.schema[id_col].dataType.simpleString()
-    return sources.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("tex")).mapInPandas(run, f"doc_id {kind}, {PARTS}")
+    return sources.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("source")).mapInArrow(_parts_of(tree), f"doc_id {kind}, {PARTS}")
+
 
+def _parts_of(tree: Callable[[str | None], list[tuple]], at_once: int = AT_ONCE):
+    """A mapInArrow function: doc_id, source -> doc_id and the parts of each source, of a few sources at a time."""
+    types = [pa.int32() if c.endswith(" int") else pa.string() for c in PARTS.split(", ")]
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", *markup.COLUMNS])
-    return out.astype({c: "Int32" for c in ("level", "row", "col", "row_span", "col_span")})
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                batch = whole.slice(at, at_once)
+                rows, docs = [], []
+                for i, source in enumerate(batch["source"]):
+                    found = tree(source.as_py())
+                    rows += found
+                    docs += [i] * len(found)
+                columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+                parts = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(docs, pa.int64())), *parts], ["doc_id", *markup.COLUMNS])
+
+    return run
 
 
 def inventory_metrics(parts: DataFrame) -> DataFrame:
-    """doc_id, metric, value of the parts of each document: sixteen counts, and one for each font (font:NAME) and notation of formulas (formula:NAME)."""
+    """doc_id, metric, value of the parts of each document: sixteen counts, and one for each font (font:NAME) and notation of formulas (formula:NAME).
+
+    Parts are counted by document and name, names then by document, so the sources are read once.
+    """
     kind = lambda *ks: F.count_if(F.col("kind").isin(*ks))
     inner = F.col("target").startswith("#")
-    wide = parts.groupBy("doc_id").agg(
+    named = F.when((F.col("kind") == "run") & F.col("font").isNotNull(), F.concat(F.lit("font:"), "font")).when(F.col("kind") == "formula", F.concat(F.lit("formula:"), "target"))
+    counts = [
         kind("section").alias("sections"), kind("heading").alias("headings"), kind("paragraph").alias("paragraphs"), kind("list_item").alias("list_items"), kind("table").alias("tables"),
         kind("row").alias("table_rows"), kind("cell").alias("table_cells"), F.count_if((F.col("kind") == "cell") & ((F.col("row_span") > 1) | (F.col("col_span") > 1))).alias("merged_cells"),
         kind("image").alias("images"), kind("formula").alias("formulas"), F.count_if((F.col("kind") == "link") & ~inner).alias("hyperlinks"), F.count_if((F.col("kind") == "link") & inner).alias("internal_hyperlinks"),
         kind("citation").alias("citations"), kind("page").alias("pages"), kind("run").alias("text_runs"), F.coalesce(F.sum(F.when(F.col("kind").isin(TEXTS), F.length("text"))), F.lit(0)).alias("characters"),
-    )
-    counts = wide.unpivot("doc_id", [c for c in wide.columns if c != "doc_id"], "metric", "value")
-    named = F.when((F.col("kind") == "run") & F.col("font").isNotNull(), F.concat(F.lit("font:"), "font")).when(F.col("kind") == "formula", F.concat(F.lit("formula:"), "target"))
-    return counts.union(parts.select("doc_id", named.alias("metric")).where("metric is not null").groupBy("doc_id", "metric").agg(F.count("*").alias("value")))
+    ]
+    by_name = parts.groupBy("doc_id", named.alias("name")).agg(*counts, F.count("*").alias("n"))
+    names = [c for c in by_name.columns if c not in ("doc_id", "name", "n")]
+    entry = lambda name, value: F.struct(name.alias("metric"), value.alias("value"))
+    own = F.collect_list(F.when(F.col("name").isNotNull(), entry(F.col("name"), F.col("n"))))
+    wide = by_name.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in names), own.alias("own"))
+    return wide.select("doc_id", F.inline(F.concat(F.array(*(entry(F.lit(c), F.col(c)) for c in names)), "own")))
 
 
 def inventory_objects(parts: DataFrame, form: str) -> DataFrame:

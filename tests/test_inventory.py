@@ -2,6 +2,7 @@
 
 import base64
 
+import pyarrow as pa
 import pytest
 
 from folioworks.functions import markup
@@ -134,3 +135,11 @@ def test_losses_by_metric(spark):
     a, b = (inventory.inventory_metrics(html(spark, *p)) for p in ((PAGE, "<p>x</p>"), (PAGE.replace("<img", "<x"), "<p>xy</p>")))
     got = inventory.with_losses(quality.compare_metrics(a, b)).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(0, True, "images"), (1, False, "")]
+
+
+def test_sources_are_read_once_and_a_few_at_a_time(spark):
+    parts = inventory.latex_inventory(spark.createDataFrame([(1, SOURCE)], "doc_id long, text string"))
+    assert inventory.inventory_metrics(parts)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "source": [PAGE] * 999 + [None]})
+    sizes = [b.column("doc_id").to_pylist() for b in inventory._parts_of(markup.html_tree)([batch])]
+    assert max(len(set(ids)) for ids in sizes) <= inventory.AT_ONCE and len({i for ids in sizes for i in ids}) == 999
