@@ -2,6 +2,7 @@
 
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,11 @@ def test_cells_of_tables_go_to_as_many_tasks_as_they_need(spark):
     assert cropped.count() == 2000 and {r["col"] for r in cropped.limit(50).collect()} == {0, 1}
     spread = cropped.groupBy(F.spark_partition_id()).count().collect()
     assert len(spread) == 7 and max(r["count"] for r in spread) < 600
+
+
+def test_pages_become_rows_a_few_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "html": ["<h2>a</h2><p>b<ul><li>c</ul>"] * 998 + ["", None]})
+    got = list(helpers.html_rows([batch, batch.slice(0, 0), batch.slice(998)]))
+    assert max(len(set(b.column("page_id").to_pylist())) for b in got) <= 128
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(i, n, *b) for i in range(998) for n, b in enumerate([("heading", 2, "a"), ("paragraph", 0, "b"), ("list_item", 0, "c")])]
