@@ -133,3 +133,16 @@ def test_pages_become_rows_a_few_at_a_time():
     assert max(len(set(b.column("page_id").to_pylist())) for b in got) <= 128
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     assert rows == [(i, n, *b) for i in range(998) for n, b in enumerate([("heading", 2, "a"), ("paragraph", 0, "b"), ("list_item", 0, "c")])]
+
+
+def test_a_batch_of_long_texts_is_composed_in_little_memory():
+    """Ten thousand texts of 10 kB: Python's own strings are far fewer than the batch at any time."""
+    import tracemalloc
+
+    batch = pa.array(["ﬁ" + "é" * 5000] * 9_999 + [None, ""])
+    tracemalloc.start()
+    got = helpers.composed(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 10_001 and got[0].as_py() == "fi" + "é" * 5000 and got[9_999].as_py() is None and got[10_000].as_py() == ""
+    assert peak < 20_000_000 and helpers.composed(batch.slice(0, 0)).to_pylist() == []
