@@ -3,7 +3,10 @@
 import random
 import sqlite3
 
+import pyarrow as pa
+
 from folioworks.operators import tasks
+from folioworks.operators.links import linked_groups
 
 BASE = "template string, id long, name string, revision long, snapshot string"
 
@@ -59,3 +62,28 @@ def test_a_rename_frees_its_name():
 def test_nothing_to_save(spark):
     empty = spark.createDataFrame([], BASE)
     assert tasks.save_datasets(empty, spark.createDataFrame([], "update_id long, " + BASE)).count() == 0
+
+
+def test_white_space_of_any_kind_makes_no_other_name(spark):
+    base = [("t", i, f"own {i}", 1, "s") for i in range(8)]
+    changes = [(i, "t", i, w, 1, "s") for i, w in enumerate(["Ab", "\tAB", "ab ", "\x1fAb", " aB ", "　ab\n", "AB\x85", "ab"])]
+    got = tasks.save_datasets(spark.createDataFrame(base, BASE), spark.createDataFrame(changes, "update_id long, " + BASE), 1).collect()
+    assert sorted((r["update_id"], r["reason"]) for r in got if r["reason"]) == [(i, "name-taken") for i in range(1, 8)]
+
+
+def test_groups_of_one_template_go_apart(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100 + 2 * i, 101 + 2 * i) for i in range(50)]
+    roots = {r["node"]: r["root"] for r in linked_groups(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert roots == dict.fromkeys(range(41), 0) | {100 + i: 100 + i - i % 2 for i in range(100)}
+
+
+def test_datasets_apart_as_one_by_one():
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        rows += [(None, "t", i, f"own {i}", rng.choice([None, 0, 1]), "b")] if rng.random() < 0.7 else []
+        rows += [(u, "t", i, rng.choice([f"own {i}", f"OWN {i}", "", "x" * 81]), rng.choice([None, 0, 1, 2, 3]), f"s{u}") for u in range(i * 10, i * 10 + rng.randrange(9))]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()], strict=True)], names=["update_id", "template", "id", "name", "revision", "snapshot"])
+    held, refused = tasks.fold_saves(rows)
+    stored, at, reason = tasks.fold_apart(table)
+    assert {(r["template"], r["id"]): [r["name"], r["revision"], r["snapshot"]] for r in stored.to_pylist()} == held
+    assert [(*rows[i][:3], tasks.REASONS[w]) for i, w in zip(at, reason, strict=True)] == refused
