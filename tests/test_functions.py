@@ -146,3 +146,9 @@ def test_a_batch_of_long_texts_is_composed_in_little_memory():
     tracemalloc.stop()
     assert len(got) == 10_001 and got[0].as_py() == "fi" + "é" * 5000 and got[9_999].as_py() is None and got[10_000].as_py() == ""
     assert peak < 20_000_000 and helpers.composed(batch.slice(0, 0)).to_pylist() == []
+
+
+def test_references_are_dealt_to_all_cores_and_titles_computed_once(spark, sf):
+    rows = bibliography.QUERIES["bib_title"](spark, sf)
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert rows._jdf.queryExecution().analyzed().toString().count("lower(raw_text") == 1
