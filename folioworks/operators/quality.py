@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers
 from ..plans.inputs import derived, plain, table
-from ..sources.staging import kept
 
 #: What an accepted pair of page images has at least, and at most.
 LEAST_SIMILARITY, MOST_HASH_DISTANCE, LEAST_OVERLAP = 0.90, 20, 0.30
@@ -78,7 +77,7 @@ def font_retention(source: DataFrame, target: DataFrame) -> DataFrame:
 PAIRED_BY = [("origin", ["format", "origin", "kind", "hash"]), ("origin", ["format", "origin"]), ("content", ["kind", "hash"]), ("place", ["kind", "place"])]
 
 
-def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
+def diff_objects(source: DataFrame, target: DataFrame, in_task: int = 100_000) -> DataFrame:
     """One row per object (doc_id, place, kind, hash, format, origin, role, box) of either side: retained, changed (edited, moved, resized), lost or added.
 
     Pairs are made one to one in stages, each over what is left: equal origin in equal
@@ -88,47 +87,48 @@ def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
     origin may be any.  basis says by what a pair was made, and ambiguous that either
     side had several objects with the key.  role (heading1 and so on, null for other
     text) and box (an array of numbers) may lack; change names the first of content,
-    place and box that differs, source_role and target_role are given as they are.
+    place and box that differs, source_role and target_role are given as they are.  The
+    objects of a document are brought together once, about in_task objects to a task.
     """
     def carried(df: DataFrame) -> Column:
         absent = {"role": F.lit(None).cast("string"), "box": F.lit(None).cast("array<double>")}
         return F.struct("place", "kind", "hash", "format", "origin", *(F.col(c) if c in df.columns else null.alias(c) for c, null in absent.items()))
 
-    x, y = source.select("doc_id", carried(source).alias("x")), target.select("doc_id", carried(target).alias("y"))
-
-    def numbered(df, side, keys):
-        named = [F.col("doc_id").alias(f"{side}0"), *(F.col(f"{side}.{k}").alias(f"{side}{i}") for i, k in enumerate(keys, 1))]
-        same = W.partitionBy(*(f"{side}{i}" for i in range(len(keys) + 1)))
-        nth, several = F.row_number().over(same.orderBy(f"{side}.place")), F.count("*").over(same) > 1
-        return df.select(side, *named).withColumns({f"{side}_nth": nth, f"{side}_several": several})
-
-    others = F.col("x.origin").isNotNull() & F.col("y.origin").isNotNull() & F.col("x.format").eqNullSafe(F.col("y.format")) & (F.col("x.origin") != F.col("y.origin"))
-    found = []
+    absent, sure = F.lit(None).cast("string"), F.lit(False)
+    sides = source.select("doc_id", carried(source).alias("o"), F.lit(True).alias("is_x")).union(target.select("doc_id", carried(target), F.lit(False)))
+    tasks = max(-(-sides.count() // in_task), int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = sides.repartition(tasks, "doc_id").withColumns({"partner": F.when(F.lit(False), F.col("o")), "basis": absent, "ambiguous": sure})  # the one exchange of all stages
     for basis, keys in PAIRED_BY:
-        on = (F.col("x_nth") == F.col("y_nth")) & ~others
-        for i in range(len(keys) + 1):
-            on &= F.col(f"x{i}") == F.col(f"y{i}")
-        joined = numbered(x, "x", keys).join(numbered(y, "y", keys), on, "full")
-        both = kept(joined.select(F.coalesce("x0", "y0").alias("doc_id"), "x", "y", (F.col("x_several") | F.col("y_several")).alias("ambiguous")), "objects")
-        found.append(both.where("x is not null and y is not null").select("*", F.lit(basis).alias("basis")))
-        x, y = both.where("y is null").select("doc_id", "x"), both.where("x is null").select("doc_id", "y")
+        named = [F.col(f"o.{k}").alias(f"k{i}") for i, k in enumerate(keys)]
+        whole = F.col("doc_id").isNotNull()
+        for k in keys:
+            whole &= F.col(f"o.{k}").isNotNull()
+        open_rows = rows.select("*", *named, F.col("basis").isNull().alias("open"), F.when(~whole, F.col("is_x")).alias("lone"))
+        group = ["doc_id", "open", "lone", *(f"k{i}" for i in range(len(keys)))]
+        same = W.partitionBy(*group, "is_x")
+        open_rows = open_rows.withColumns({"nth": F.row_number().over(same.orderBy("o.place")), "several": F.count("*").over(same) > 1})
+        pair = W.partitionBy(*group, "nth")
+        side = lambda of: F.first(F.when(of, F.col("o")), True).over(pair)  # noqa: E731, B023
+        open_rows = open_rows.withColumns({"x": side(F.col("is_x")), "y": side(~F.col("is_x")), "several": F.bool_or("several").over(pair)})
+        others = F.col("x.origin").isNotNull() & F.col("y.origin").isNotNull() & F.col("x.format").eqNullSafe(F.col("y.format")) & (F.col("x.origin") != F.col("y.origin"))
+        open_rows = open_rows.withColumn("fits", F.col("open") & F.col("lone").isNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & ~others)
+        new = lambda value, old: F.when(F.col("fits"), value).otherwise(F.col(old)).alias(old)
+        rows = open_rows.where("is_x or not fits").select("doc_id", "o", "is_x", new(F.col("y"), "partner"), new(F.lit(basis), "basis"), new(F.col("several"), "ambiguous"))
+    x = F.when(F.col("is_x"), F.col("o"))
+    out = rows.select("doc_id", "basis", "ambiguous", "is_x", F.col("o.kind").alias("kind"), x.alias("x"), F.when(F.col("is_x"), F.col("partner")).otherwise(F.col("o")).alias("y"))
     change = F.when(F.col("x.hash") != F.col("y.hash"), "edited").when(F.col("x.place") != F.col("y.place"), "moved").when(F.col("x.box") != F.col("y.box"), "resized").otherwise("retained")
-    out = None
-    for pairs in found:
-        rows = pairs.select("doc_id", F.col("x.kind").alias("kind"), F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"), "basis", "ambiguous", F.col("x.role").alias("source_role"), F.col("y.role").alias("target_role"))
-        out = rows if out is None else out.union(rows)
-    none, sure = F.lit(None).cast("string"), F.lit(False)
-    out = out.union(x.select("doc_id", "x.kind", "x.place", F.lit(None).cast("long"), F.lit("lost"), none, sure, "x.role", none))
-    return out.union(y.select("doc_id", "y.kind", F.lit(None).cast("long"), "y.place", F.lit("added"), none, sure, none, "y.role"))
+    change = F.when(F.col("basis").isNotNull(), change).when(F.col("is_x"), "lost").otherwise("added")
+    return out.select("doc_id", "kind", F.col("x.place").alias("source_place"), F.col("y.place").alias("target_place"), change.alias("change"), "basis", "ambiguous", F.col("x.role").alias("source_role"), F.col("y.role").alias("target_role"))
 
 
 def exact_text_gate(source: DataFrame, target: DataFrame) -> DataFrame:
     """unmatched: source paragraphs (not blank) that the target lacks, with repeats; accepted if none, so also where all source paragraphs are blank."""
-    clean = lambda df, n: df.where(F.trim("text") != "").groupBy("doc_id", F.sha2("text", 256).alias("h")).agg(F.count("*").alias(n))
-    both = clean(source, "n").join(clean(target, "m"), ["doc_id", "h"], "left")
-    lacking = both.groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("unmatched"))
-    out = source.select("doc_id").distinct().join(lacking, "doc_id", "left").select("doc_id", F.coalesce("unmatched", F.lit(0)).alias("unmatched"))
-    return out.withColumn("accepted", F.col("unmatched") == 0)
+    hashed = F.when(F.trim("text") != "", F.unhex(F.sha2("text", 256))).alias("h")
+    rows = source.select("doc_id", hashed, F.lit(1).alias("n")).union(target.select("doc_id", hashed, F.lit(-1))).where("h is not null or n > 0")
+    texts = rows.repartition("doc_id").groupBy("doc_id", "h").agg(F.sum("n").alias("more"), F.max("n").alias("side"))  # the one exchange
+    lacking = F.when(F.col("h").isNotNull(), F.greatest("more", F.lit(0))).otherwise(0)
+    out = texts.groupBy("doc_id").agg(F.sum(lacking).alias("unmatched"), F.max("side").alias("side")).where("side > 0")
+    return out.select("doc_id", "unmatched", (F.col("unmatched") == 0).alias("accepted"))
 
 
 def text_flow_gate(source: DataFrame, target: DataFrame) -> DataFrame:

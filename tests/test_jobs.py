@@ -282,3 +282,19 @@ def test_keys_of_bibtex_past_999_are_whole_in_both(spark, tmp_path):
     ours = {tuple(r) for r in render.QUERIES["render_bibtex"](spark, str(tmp_path)).select("item_pos", "line").collect()}
     theirs = set(con.execute(f"SELECT item_pos, line FROM ({render.SQL['render_bibtex']})").fetchall())
     assert ours == theirs and len(ours) == 1002 and any(line.startswith("@misc{item1002,") for _, line in theirs)
+
+
+def test_objects_and_exact_texts_are_compared_after_one_exchange(spark):
+    kinds = "doc_id long, place long, kind string, hash string, format string, origin string"
+    a = spark.createDataFrame([(1, 1, "p", "a", "x", "o1"), (1, 2, "p", "b", "x", None), (1, 3, "p", "b", "x", "o3"), (1, 4, None, "n", "x", None), (None, 1, "p", "a", "x", None)], kinds)
+    b = spark.createDataFrame([(1, 1, "p", "z", "x", "o1"), (1, 2, "p", "b", "x", None), (1, 3, "p", "q", "x", "o4"), (1, 4, None, "n", "x", None), (None, 1, "p", "a", "x", None)], kinds)
+    diff = quality.diff_objects(a, b)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(diff).count("Exchange hashpartitioning") == 1
+    got = sorted(((r["doc_id"], r["source_place"], r["target_place"], r["change"], r["basis"], r["ambiguous"]) for r in diff.collect()), key=repr)
+    want = [(1, 1, 1, "edited", "origin", False), (1, 2, 2, "retained", "content", True), (1, 3, None, "lost", None, False), (1, 4, None, "lost", None, False), (1, None, 3, "added", None, False), (1, None, 4, "added", None, False), (None, 1, None, "lost", None, False), (None, None, 1, "added", None, False)]
+    assert got == sorted(want, key=repr)
+    blocks = "doc_id long, text string"
+    gate = quality.exact_text_gate(spark.createDataFrame([(1, "a"), (1, "a"), (2, " "), (3, "b"), (3, "c")], blocks), spark.createDataFrame([(1, "a"), (3, "c"), (3, "b"), (3, "b"), (4, "d")], blocks))
+    assert plan(gate).count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in gate.collect()) == [(1, 1, False), (2, 0, True), (3, 0, True)]
