@@ -120,3 +120,11 @@ def test_long_texts_are_read_in_parts_that_fit_a_cache(spark):
     """Parts were 4 million characters, each with hashes of eight bytes."""
     lines = list(needles._lines(needles.pa.RecordBatch.from_pydict({"field": ["x"] * 40, "hay": ["word " * 10_000] * 40}), "hay"))
     assert max(len(line.codes) for _, _, line in lines) < 200_000 and sum(len(rows) for _, rows, _ in lines) == 40
+
+
+def test_pairs_of_titles_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PAIRS", 100)
+    feats = spark.createDataFrame([(i, "alpha beta", "") for i in range(60)], "doc_id long, norm string, file_norm string")
+    bib = spark.createDataFrame([(i, "Alpha beta gamma") for i in range(20)], "item_pos long, title string")
+    got = matching.title_overlap(feats, bib)
+    assert got.rdd.getNumPartitions() == 24 and got.count() == 1200
