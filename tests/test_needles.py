@@ -1,13 +1,16 @@
 """Needles in texts, similar authors and titles' words beside plain Python."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from compare import differences
 from folioworks.functions import bits, helpers
 from folioworks.operators import matching, needles
 
@@ -96,6 +99,23 @@ def test_similar_names_equal_the_matcher():
     assert not list(helpers.Names([], 0.6).similar(words)) and not list(helpers.Names(names, 0.6).similar([]))
 
 
+def test_characters_in_common_are_counted_with_repeats():
+    """The first bound of the similarity; names of a large alphabet go without it and find the same."""
+    rng = random.Random(9)
+    word = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    names, words = ([word(rng.randrange(4, 12), "abcdé𝒳") for _ in range(60)] for _ in range(2))
+    index = helpers.Names(names, 0.6)
+    bags = index._bags(np.hstack([index._repeats(index._rows(w).reshape(1, -1)) for w in words]))
+    common = np.bitwise_count(bags[:, :, None] & index.bags[:, None, :]).sum(axis=0)
+    assert common.tolist() == [[(Counter(w) & Counter(n)).total() for n in names] for w in words]
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    names = [word(rng.randrange(4, 12), wide) for _ in range(60)] + [wide[i : i + 60] for i in range(0, 300, 60)]
+    words = [n[1:] + "x" for n in names] + [n[::2] * 2 for n in names]
+    index = helpers.Names(names, 0.6)
+    got = {(int(i), int(j)) for w, n in index.similar(words) for i, j in zip(w, n, strict=True)}
+    assert len(index.bags) > index.BAGS and got == {(i, j) for i, w in enumerate(words) for j, n in enumerate(names) if SequenceMatcher(None, n, w).ratio() >= 0.6} and len(got) > 60
+
+
 def test_close_authors_by_sent_names_and_by_blocks(spark):
     docs = spark.createDataFrame([(1, "by Schukim and kuhn-lee"), (1, "again schukim"), (2, "nothing at all"), (3, None), (4, "ivanof petrov ivan")], "doc_id long, text string").withColumn("filename", F.lit("f.txt"))
     authors = spark.createDataFrame([("Schukin",), ("SCHUKIN",), ("Ivanov",), ("Petrova",), ("--",)], "author string")
@@ -103,6 +123,28 @@ def test_close_authors_by_sent_names_and_by_blocks(spark):
     assert sent == blocks == [(1, "SCHUKIN"), (1, "Schukin"), (4, "Ivanov"), (4, "Petrova")]
 
 
+def test_author_signal_takes_similar_words(spark, tmp_path):
+    """The registered query beside its SQL and the matcher, also with words and names of 200 characters, in which the matcher drops common ones."""
+    rng = random.Random(8)
+    word = lambda n, of="abcdeo": "".join(rng.choice(of) for _ in range(n))
+    names = [word(rng.randrange(4, 10)) for _ in range(14)] + [word(n, of) for n, of in ((65, "abc"), (150, "abc"), (210, "abcdefghijklmnopqrstuvwxyz0123456789"), (230, "abcdefghijklmnopqrstuvwxyz0123456789"))]
+    near = lambda n: "".join(rng.choice((c, c, c, c, rng.choice("abz"))) for c in n) + word(rng.randrange(3))
+    texts = [" ".join([*(word(rng.randrange(1, 12)) for _ in range(6)), near(rng.choice(names)), near(names[i % 4 - 4])]) for i in range(40)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"a b {n} c d e") for i, n in enumerate(names, 1)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER)")
+    query = matching.QUERIES["author_signal"](spark, str(tmp_path))
+    assert differences(query, con, matching.SQL["author_signal"]) == ""
+    got = {(r["doc_id"], r["author"]) for r in query.where("score = 0.8").collect()}
+    words = {r["doc_id"]: r["norm"].split() for r in matching._feats(spark, str(tmp_path)).collect()}
+    alike = {(i, n) for i, ws in words.items() for n in names if any(len(w) >= 4 and SequenceMatcher(None, n, w).ratio() >= 0.6 for w in ws)}
+    exact = {(r["doc_id"], r["author"]) for r in query.where("score > 0.8").collect()}
+    assert got - {(i, n) for i, n in got if n not in names} == alike - exact and len(alike - exact) > 60
+
+
 def test_identifiers_in_words_with_marks_equal_brute_force(spark):
     """DOIs are looked for in words with a slash or digit, years among digits: nothing is lost or made up at their ends, and repeats count once."""
     rng = random.Random(4)
