@@ -145,6 +145,19 @@ def test_author_signal_takes_similar_words(spark, tmp_path):
     assert got - {(i, n) for i, n in got if n not in names} == alike - exact and len(alike - exact) > 60
 
 
+def test_authors_of_a_document_are_brought_together_as_one_row(spark):
+    """Best scores over all rows of a document, also of one in several rows or without an id; what is exchanged is a row for each document."""
+    ids = [1, 1, 2, None, 3]
+    rows = spark.createDataFrame([(1, "b", 1.0), (1, "b", 1.2), (1, "c", 0.9), (2, "a", 1.1), (None, "a", 0.9), (4, "c", 1.0)], "doc_id long, author string, score double")
+    close = spark.createDataFrame(list(zip(ids, [[0, 1], [1], [], [0, 2], [2]], strict=True)), "doc_id long, numbers array<int>")
+    got = matching.best_of_listed(rows, close, [("a", "a"), ("b", "b"), ("c", "c")])
+    want = [(1, "a", 0.8), (1, "b", 1.2), (1, "c", 0.9), (2, "a", 1.1), (None, "a", 0.9), (None, "c", 0.8), (3, "c", 0.8), (4, "c", 1.0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    words = spark.createDataFrame([(1, "abcd abce"), (2, None), (3, "zzzz")], "doc_id long, norm string")
+    assert sorted(map(tuple, matching.close_numbers(words, [("Abcd", "abcd"), ("--", ""), ("abcD", "abcd"), ("abxx", "abxx")]).collect())) == [(1, [0, 2]), (2, []), (3, [])]
+    assert [tuple(r) for r in matching.close_numbers(words.where("doc_id = 1"), []).collect()] == [(1, [])]
+
+
 def test_identifiers_in_words_with_marks_equal_brute_force(spark):
     """DOIs are looked for in words with a slash or digit, years among digits: nothing is lost or made up at their ends, and repeats count once."""
     rng = random.Random(4)
