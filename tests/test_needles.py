@@ -158,6 +158,15 @@ def test_authors_of_a_document_are_brought_together_as_one_row(spark):
     assert [tuple(r) for r in matching.close_numbers(words.where("doc_id = 1"), []).collect()] == [(1, [])]
 
 
+def test_author_signal_is_the_same_by_blocks_of_names(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "by Schukim and kuhn-lee", "schukin.txt"), (2, "again schukim", "f"), (3, None, "f"), (4, "ivanof petrov", "f")], "doc_id long, text string, filename string")
+    bib = spark.createDataFrame([(1, ["Schukin", "Kuhn-Lee"]), (2, ["Ivanov", "Petrova", "----"])], "item_pos long, authors array<string>")
+    signal = lambda: sorted(map(tuple, matching.author_signal(matching.features(docs), bib).collect()))
+    sent = signal()
+    monkeypatch.setattr(matching, "listed_authors", lambda *_: None)
+    assert signal() == sent == [(1, "Kuhn-Lee", 1.0), (1, "Schukin", 1.2), (2, "Schukin", 0.8), (4, "Ivanov", 0.8), (4, "Petrova", 0.8)]
+
+
 def test_identifiers_in_words_with_marks_equal_brute_force(spark):
     """DOIs are looked for in words with a slash or digit, years among digits: nothing is lost or made up at their ends, and repeats count once."""
     rng = random.Random(4)
